@@ -7,10 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaria.llm import decontaminate, exact_dedup, packing, sharding, token_counts, url_filter
+from tessaria.llm import decontaminate, exact_dedup, language_id, packing, sharding, token_counts, url_filter
 from tessaria.llm.common import shared_dir, table
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_packing, op5_url_filter, op7_exact_dedup, op8_token_counts, op9_sharding, op10_decontamination)
+    f.__name__: f for f in (op3_language_id, op4_packing, op5_url_filter, op7_exact_dedup, op8_token_counts, op9_sharding, op10_decontamination)
 }
 
 ORACLES: dict[str, str] = {
