@@ -7,10 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaria.llm import decontaminate, exact_dedup, html_extract, language_id, packing, sharding, token_counts, url_filter
+from tessaria.llm import decontaminate, exact_dedup, html_extract, language_id, near_dedup, packing, sharding, token_counts, url_filter
 from tessaria.llm.common import shared_dir, table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -50,7 +54,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_html_extract, op3_language_id, op4_packing, op5_url_filter, op7_exact_dedup, op8_token_counts, op9_sharding, op10_decontamination)
+    f.__name__: f for f in (op1_near_dedup, op2_html_extract, op3_language_id, op4_packing, op5_url_filter, op7_exact_dedup, op8_token_counts, op9_sharding, op10_decontamination)
 }
 
 ORACLES: dict[str, str] = {
