@@ -87,55 +87,44 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple
     yield block
 
 
-SCHEMA = "doc_id long, n_words long, hit binary, items array<string>, spans array<struct<start:int,end:int>>"
+CARRIED = "doc_id long, text string, hit binary, items array<string>"
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def scan_documents(docs: DataFrame, items: list[tuple[str, str]], window: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, n_words, a bit per word (null if none is hit), item ids, spans in the original."""
-    auto = docs.sparkSession.sparkContext.broadcast(items)
-    state: dict = {}
+def _scan_block(docs: DataFrame, block: list[tuple[str, str]], window: int, last: bool) -> DataFrame:
+    """Adds one block's hits to those that the rows carry; the last block's scan gives the result."""
+    items, state = docs.sparkSession.sparkContext.broadcast(block), {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "auto" not in state:
-            state["auto"] = build(auto.value, window)
-        names = auto.value
+            state["auto"] = build(items.value, window)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                n, bits, ids, offs = [], [], [], []
-                for t in b.column(1):
-                    t = t.as_py()
+                b, out = whole.slice(at, 512), []
+                for t, bits, ids in zip(b.column(1), b.column(2), b.column(3), strict=True):
+                    t, bits, ids = t.as_py(), bits.as_py(), ids.as_py()
                     w = word_list(t)
                     hit, found = scan(state["auto"], w)
-                    n.append(len(w))
-                    bits.append(np.packbits(hit).tobytes() if found else None)
-                    ids.append(sorted({names[k][0] for k in found}))
-                    offs.append([{"start": s, "end": e} for s, e in spans(t, hit)] if found else [])
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([b.column(0), n, bits, ids, offs], kinds, strict=True)], ["doc_id", "n_words", "hit", "items", "spans"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
-
-
-def _digest(scanned: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hits = [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) if x else 0 for x in b.column(2).to_pylist()]
-            items = b.column(3).to_pylist()
-            shas = [hashlib.sha256(",".join(i or ()).encode()).hexdigest() for i in items]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(hits, pa.int64()), pa.array([len(i or ()) for i in items], pa.int64()), pa.array(shas), pa.array([h > 0 for h in hits]), b.column(4)],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
-            )
-
-    return scanned.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>")
-
-
-def _union(a: bytearray, b: bytearray) -> bytearray:
-    return bytearray(x | y for x, y in zip(a, b, strict=True))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+                    names = sorted({*(ids or ()), *(items.value[k][0] for k in found)})
+                    if bits is not None:
+                        hit |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(w)).astype(bool)
+                    if last:
+                        cuts = [{"start": s, "end": e} for s, e in spans(t, hit)] if names else []
+                        out.append((len(w), int(hit.sum()), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit.any()), cuts))
+                    else:
+                        out.append((np.packbits(hit).tobytes() if names else None, names or None))
+                cols = list(zip(*out, strict=True))
+                if last:
+                    kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), _SPANS], [f.split()[0] for f in RESULT.split(", ")]
+                    yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names)
+                else:
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.list_(pa.string()))], ["doc_id", "text", "hit", "items"])
+
+    return docs.mapInArrow(run, RESULT if last else CARRIED)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
     A word inside any occurrence of an item's window is hit; an item of fewer
@@ -143,33 +132,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     words, null items or item ids none either. Repeated documents are judged one by
     one, an item repeated under one id counts once. Other columns are ignored. An
     empty benchmark contaminates nothing, an empty table gives an empty result.
-    spans are runs of hit words as code point offsets in the original text.
+    spans are runs of hit words as code point offsets in the original text. Nothing
+    is shuffled; each block of items is a scan.
     """
-    parts = [scan_documents(docs, block, window) for block in blocks(benchmark)]
-    if len(parts) == 1:
-        return _digest(parts[0])
-    # Beyond one block: a document's rows, one per block, meet again. Texts that repeat a doc_id need the number of their row.
-    merged = None
-    for p in parts:
-        p = p.where("hit is not null or n_words >= 0")
-        merged = p if merged is None else merged.unionAll(p)
-    fields = "doc_id long, n_words long, hit binary, items array<string>, spans array<struct<start:int,end:int>>"
-
-    def join(_, pdf):
-        import pandas as pd
-
-        bits = None
-        for x in pdf["hit"]:
-            if x is not None:
-                bits = bytearray(x) if bits is None else _union(bits, bytearray(x))
-        items = sorted({i for row in pdf["items"] for i in row})
-        cuts = sorted((s["start"], s["end"]) for row in pdf["spans"] for s in row)
-        runs: list[dict] = []
-        for s, e in cuts:
-            if runs and s <= runs[-1]["end"]:
-                runs[-1]["end"] = max(e, runs[-1]["end"])
-            else:
-                runs.append({"start": s, "end": e})
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "n_words": [pdf["n_words"].iloc[0]], "hit": [bytes(bits) if bits else None], "items": [items], "spans": [runs]})
-
-    return _digest(merged.groupBy("doc_id").applyInPandas(join, fields))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
+    before = None
+    for block in blocks(benchmark, block_chars):
+        if before is not None:
+            rows = _scan_block(rows, before, window, last=False)
+        before = block
+    return _scan_block(rows, before, window, last=True)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents that hold no window of any item, with their own columns: a scan per block of items, without a shuffle."""
+    names, at = docs.columns, docs.columns.index("text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    for block in blocks(benchmark, block_chars):
+        items, state = docs.sparkSession.sparkContext.broadcast(block), {}
+
+        def run(batches: Iterator[pa.RecordBatch], items=items, state=state) -> Iterator[pa.RecordBatch]:
+            if "auto" not in state:
+                state["auto"] = build(items.value, window)
+            for b in batches:
+                ok = [not scan(state["auto"], word_list(t.as_py()))[1] for t in b.column(at)]
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns], names)
+
+        docs = docs.mapInArrow(run, kinds)
+    return docs
