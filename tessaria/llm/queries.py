@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaria.llm import decontaminate, exact_dedup, html_extract, language_id, near_dedup, packing, sharding, token_counts, url_filter
+from tessaria.llm import decontaminate, exact_dedup, html_extract, language_id, near_dedup, packing, sharding, substring_dedup, token_counts, url_filter
 from tessaria.llm.common import shared_dir, table
 
 
@@ -31,6 +31,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_html_extract, op3_language_id, op4_packing, op5_url_filter, op7_exact_dedup, op8_token_counts, op9_sharding, op10_decontamination)
+    f.__name__: f for f in (op1_near_dedup, op2_html_extract, op3_language_id, op4_packing, op5_url_filter, op6_substring_dedup, op7_exact_dedup, op8_token_counts, op9_sharding, op10_decontamination)
 }
 
 ORACLES: dict[str, str] = {
