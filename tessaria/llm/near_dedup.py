@@ -278,7 +278,8 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     full = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members, members_path = keep(dealt.join(full, "bucket"), "members")
     wanted = members.select("doc_id").distinct()
-    texts, texts_path = keep(docs.join(wanted, "doc_id", "left_semi"), "texts")
+    # The ids grow with the corpus: they are hashed in shuffled parts at any size, never broadcast, and texts are not sorted.
+    texts, texts_path = keep(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
     links, path = keep(verified(star_and_chain(members, "near"), texts, idf, threshold), "links")
     paths = [path]
     found = components(links)
