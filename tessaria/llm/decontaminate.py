@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessaria.llm.common import small_batches
+
 WINDOW = 10
 #: Most characters of item texts in one automaton; larger benchmarks are scanned in several blocks of items.
 BLOCK_CHARS = 8 << 20
@@ -135,7 +137,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     spans are runs of hit words as code point offsets in the original text. Nothing
     is shuffled; each block of items is a scan.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
     before = None
     for block in blocks(benchmark, block_chars):
         if before is not None:
@@ -146,7 +148,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that hold no window of any item, with their own columns: a scan per block of items, without a shuffle."""
-    names, at = docs.columns, docs.columns.index("text")
+    names, at = small_batches(docs).columns, docs.columns.index("text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     for block in blocks(benchmark, block_chars):
         items, state = docs.sparkSession.sparkContext.broadcast(block), {}

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessaria.llm.common import small_batches
+
 # Fixed values of HTML: elements by how they are parsed and laid out.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -531,7 +533,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Repeated rows are extracted one by one, other columns are ignored, an empty
     table gives an empty result.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(model())  # some 100 kB, whatever the input
+    shared = small_batches(pages).sparkSession.sparkContext.broadcast(model())  # some 100 kB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessaria.llm import words
+from tessaria.llm.common import small_batches
 
 #: ISO 639-1 codes by language family. A code that is missing is a family of its own.
 FAMILIES = {
@@ -162,7 +163,7 @@ def remainder(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """Labelled training rows, each kept by a hash of its id at its language's rate."""
-    rows = docs.where(training_rows(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = small_batches(docs).where(training_rows(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     if not counts:
         return rows.limit(0)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessaria.llm import words
-from tessaria.llm.common import drop, keep
+from tessaria.llm.common import drop, keep, small_batches
 from tessaria.llm.components import components
 
 U = np.uint64
@@ -267,7 +267,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     idf = spark.sparkContext.broadcast(document_frequencies(docs))
     sig, _ = keep(signatures(docs, idf), "signatures")
     equal = sig.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep_id"))

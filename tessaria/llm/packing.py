@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessaria.llm import tokens
+from tessaria.llm.common import small_batches
 
 LENGTH = 2048
 #: The id after each document.
@@ -168,7 +169,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, group_d
     gives an empty result. Groups are dealt by a seeded hash of id and text, so that
     their expected size is ``group_docs`` whatever the input's size or order.
     """
-    groups = max(1, -(-docs.count() // group_docs))
+    groups = max(1, -(-small_batches(docs).count() // group_docs))
     wide = np.uint32 if tokens.encoding(path).max_token_value >= 1 << 16 else np.uint16
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

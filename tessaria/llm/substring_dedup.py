@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessaria.llm import words
-from tessaria.llm.common import keep
+from tessaria.llm.common import keep, small_batches
 
 U = np.uint64
 WINDOW, GRAM = 20, 8
@@ -342,7 +342,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False)
     """
     spark = docs.sparkSession
     doc_id = F.col("doc_id").cast("long")
-    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64(doc_id, "text").alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = small_batches(docs).select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64(doc_id, "text").alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     flags = repeated_anchors(rows, max(1, -(-size // GROUP_BYTES)), window)
     table, _ = keep(marked(rows, flags, window), "marked")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaria.llm import tokens
-from tessaria.llm.common import drop
+from tessaria.llm.common import drop, small_batches
 
 VERSION = "byte_bpe_50k"
 KEYS = ["source", "lang", "tokenizer"]
@@ -45,7 +45,7 @@ def count_tokens(docs: DataFrame, version: str = VERSION, path: str | None = Non
                     [f.split()[0] for f in LEDGER.split(", ")],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string"), F.col("lang").cast("string"), "text").mapInArrow(run, LEDGER)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string"), F.col("lang").cast("string"), "text").mapInArrow(run, LEDGER)
 
 
 class Rollup:

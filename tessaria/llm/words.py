@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 BASE, GRAM = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def inverse(odd: int) -> int:
