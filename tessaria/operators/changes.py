@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+_WORD = re.compile(r"\w+")
+
+
 def content_hash(c: Column) -> Column:
     return F.sha2(c, 256)
 
@@ -61,11 +68,15 @@ def embed_missing(rows: DataFrame, cache: DataFrame, text: str, embed: Callable[
 
 
 def hash_embed(c: Column, dims: int = 64) -> Column:
-    """The built-in embedder: words hashed into a fixed number of signed dimensions, of length 1."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int")
-    sign = lambda w: F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    pairs = F.transform(words, lambda w: F.struct(slot(w).alias("s"), sign(w).alias("v")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(F.filter(pairs, lambda p: p["s"] == d), F.lit(0.0), lambda a, p: a + p["v"]))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, v: a + v * v))
-    return F.transform(raw, lambda v: F.coalesce(F.try_divide(v, norm), F.lit(0.0)))
+    """The built-in embedder: words hashed into a fixed number of signed dimensions, of length 1. One pass over a text's words."""
+
+    @F.pandas_udf("array<double>")
+    def embed(s: pd.Series) -> pd.Series:
+        def one(text: str | None) -> np.ndarray:
+            h = np.fromiter((zlib.crc32(w.encode()) for w in _WORD.findall((text or "").lower())), np.int64)
+            v = np.bincount(h % dims, np.where(h // dims % 2 == 0, 1.0, -1.0), dims)
+            return v / (np.linalg.norm(v) or 1.0)
+
+        return s.map(one)
+
+    return embed(c)
