@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessaria.functions.text import ZWNJ, keyword_field
 from tessaria.functions.tokens import token_jaccard, words
@@ -24,88 +28,117 @@ DIFFICULTY = {"verbatim": "easy", "paraphrase": "medium", "typo": "medium", "rew
 BANDS = {"verbatim": (0.8, 1.0), "paraphrase": (0.45, 0.79), "typo": (0.4, 0.85), "reworded": (0.05, 0.44), "keyword_only": (0.0, 0.3), "conversational": (0.05, 0.45)}
 
 
-def _draw(key: Column, place: Column | str, most: int) -> Column:
+# --- one query at a time: these run in batches of a pandas UDF, as a chain of list operations is interpreted slowly as columns
+
+
+def _draw(key: str, place: str, most: int) -> int:
     """A number from 0 to most - 1."""
-    p = F.lit(place) if isinstance(place, str) else place.cast("string")
-    return F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("#", key.cast("string"), p), 256), 1, 8), 16, 10).cast("long"), F.lit(most)).cast("int")
+    return int(hashlib.sha256(f"{key}#{place}".encode()).hexdigest()[:8], 16) % most
 
 
-def _pick(key: Column, place: str, options: list[str]) -> Column:
-    return F.element_at(F.array(*map(F.lit, options)), _draw(key, place, len(options)) + 1)
+def _pick(key: str, place: str, options: list[str]) -> str:
+    return options[_draw(key, place, len(options))]
 
 
-def _coin(key: Column, place: str, percent: int) -> Column:
+def _coin(key: str, place: str, percent: int) -> bool:
     return _draw(key, place, 100) < percent
 
 
-def _swap(tokens: Column, key: Column, most: int | None, turn: str) -> Column:
-    """Replaces up to ``most`` words by synonyms, in their order."""
-    names = list(SYNONYMS)
-    known = lambda w: F.regexp_replace(w, "،+$", "").isin(*names)
-    table = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+def _order(key: str, turn: str, n: int) -> list[int]:
+    """The places between the first and the last word, in the order of their hashes."""
+    return sorted(range(1, n - 1), key=lambda i: (_draw(key, f"{turn}{i}", 1 << 30), i))
 
-    def one(w: Column, i: Column) -> Column:
-        stem = F.regexp_replace(w, "،+$", "")
-        options = F.element_at(table, stem)
-        chosen = F.element_at(options, F.pmod(_draw(key, F.concat(F.lit(turn), i.cast("string")), 1 << 20), F.size(options)) + 1)
-        early = F.lit(True) if most is None else F.size(F.filter(F.slice(tokens, 1, i), known)) < most
-        return F.when(known(w) & early, F.concat(chosen, F.substr(w, F.char_length(stem) + 1))).otherwise(w)
 
-    return F.transform(tokens, one)
+def _swap(tokens: list[str], key: str, turn: str, most: int | None = None) -> list[str]:
+    """Replaces up to ``most`` words by synonyms, in their order; a comma after a word stays."""
+    out, left = [], len(tokens) if most is None else most
+    for i, w in enumerate(tokens):
+        stem = w.rstrip("،")
+        if left > 0 and stem in SYNONYMS:
+            w = _pick(key, f"{turn}{i}", SYNONYMS[stem]) + w[len(stem) :]
+            left -= 1
+        out.append(w)
+    return out
 
 
-def _shuffle(tokens: Column, key: Column, swaps: int, turn: str) -> Column:
+def _shuffle(tokens: list[str], key: str, turn: str, swaps: int) -> list[str]:
     """Rotates some of the inner words among their places."""
-    n = F.size(tokens)
-    inner = F.sequence(F.lit(2), n - 1)
-    chosen = F.slice(F.transform(F.array_sort(F.transform(inner, lambda i: F.struct(_draw(key, F.concat(F.lit(turn), i.cast("string")), 1 << 30).alias("h"), i.alias("i")))), lambda s: s["i"]), F.lit(1), F.least(F.lit(swaps), n - 3))
-    place = lambda i: F.array_position(chosen, i)
-    moved = F.transform(tokens, lambda w, i: F.when(place(i + 1) > 0, F.element_at(tokens, F.element_at(chosen, (place(i + 1) % F.size(chosen) + 1).cast("int")))).otherwise(w))
-    return F.when(n > 3, moved).otherwise(tokens)
+    n = len(tokens)
+    if n <= 3:
+        return tokens
+    places, out = _order(key, turn, n)[: min(swaps, n - 3)], list(tokens)
+    for a, b in zip(places, places[1:] + places[:1], strict=True):
+        out[a] = tokens[b]
+    return out
 
 
-def _drop(tokens: Column, key: Column, percent: int) -> Column:
+def _drop(tokens: list[str], key: str, percent: int) -> list[str]:
     """Drops so many of the inner words, chosen by hash."""
-    n = F.size(tokens)
-    inner = F.sequence(F.lit(2), n - 1)
-    many = F.greatest(F.lit(1), F.floor(n * percent / 100).cast("int"))
-    gone = F.slice(F.transform(F.array_sort(F.transform(inner, lambda i: F.struct(_draw(key, F.concat(F.lit("drop"), i.cast("string")), 1 << 30).alias("h"), i.alias("i")))), lambda s: s["i"]), F.lit(1), F.least(many, n - 2))
-    return F.when(n > 4, F.filter(tokens, lambda w, i: ~F.array_contains(gone, i + 1))).otherwise(tokens)
+    n = len(tokens)
+    if n <= 4:
+        return tokens
+    gone = set(_order(key, "drop", n)[: min(max(1, n * percent // 100), n - 2)])
+    return [w for i, w in enumerate(tokens) if i not in gone]
 
 
-def verbatim(q: Column) -> Column:
-    return F.regexp_replace(q, "؟+$", "")
+def _paraphrase(q: str, key: str) -> str:
+    t = " ".join(_swap(_shuffle(_swap(q.split(), key, "s1", 3), key, "m", 2), key, "s2", 2))
+    return f"{_pick(key, 'pre', PREFIXES)}{t}{_pick(key, 'end', ENDINGS)}" if _coin(key, "wrap", 80) else t
 
 
-def paraphrase(q: Column, key: Column) -> Column:
-    t = F.array_join(_swap(_shuffle(_swap(words(q), key, 3, "s1"), key, 2, "m"), key, 2, "s2"), " ")
-    return F.when(_coin(key, "wrap", 80), F.concat(_pick(key, "pre", PREFIXES), t, _pick(key, "end", ENDINGS))).otherwise(t)
+def _reworded(q: str, key: str) -> str:
+    t = _swap(_shuffle(_swap(_drop(q.split(), key, 40), key, "s1"), key, "m", 3), key, "s2", 2)
+    return f"{_pick(key, 'pre', PREFIXES)}{_pick(key, 'fill', FILLERS)} {' '.join(t)}{_pick(key, 'end', ENDINGS)}"
 
 
-def reworded(q: Column, key: Column) -> Column:
-    t = _swap(_shuffle(_swap(_drop(words(q), key, 40), key, None, "s1"), key, 3, "m"), key, 2, "s2")
-    return F.concat(_pick(key, "pre", PREFIXES), _pick(key, "fill", FILLERS), F.lit(" "), F.array_join(t, " "), _pick(key, "end", ENDINGS))
-
-
-def typo(q: Column, key: Column) -> Column:
-    out = q
+def _typo(q: str, key: str) -> str:
     for k, (right, wrong) in enumerate(TYPOS.items()):
-        out = F.when(_coin(key, f"typo{k}", 50), F.regexp_replace(out, rf"(?s)^(.*?){right}", f"$1{wrong}")).otherwise(out)
-    return F.when(_coin(key, "zwnj", 50), F.regexp_replace(out, rf"(?s)^(.*?){ZWNJ}", "$1")).otherwise(out)
+        if _coin(key, f"typo{k}", 50):
+            q = q.replace(right, wrong, 1)
+    return q.replace(ZWNJ, "", 1) if _coin(key, "zwnj", 50) else q
 
 
-def conversational(q: Column, key: Column) -> Column:
-    out = verbatim(q)
+def _conversational(q: str, key: str) -> str:
+    q = q.rstrip("؟")
     for written, said in SPOKEN.items():
-        out = F.replace(out, F.lit(written), F.lit(said))
-    return F.concat(_pick(key, "greet", GREETINGS), out, _pick(key, "end", ENDINGS))
+        q = q.replace(written, said)
+    return f"{_pick(key, 'greet', GREETINGS)}{q}{_pick(key, 'end', ENDINGS)}"
+
 
+_MADE = {"paraphrase": _paraphrase, "reworded": _reworded, "typo": _typo, "conversational": _conversational}
 
-def variant(fmt: str, q: Column, keywords: Column, key: Column) -> Column:
-    made = {"verbatim": lambda: verbatim(q), "paraphrase": lambda: paraphrase(q, key), "reworded": lambda: reworded(q, key), "keyword_only": lambda: keyword_field(keywords, q), "typo": lambda: typo(q, key), "conversational": lambda: conversational(q, key)}
-    if fmt not in made:
-        raise KeyError(f"{fmt}: known are {sorted(made)}")
-    return made[fmt]()
+
+def _jaccard(a: str, b: str) -> float:
+    x, y = set(a.split()), set(b.split())
+    return round(len(x & y) / len(x | y), 6) if x | y else 0.0
+
+
+@F.pandas_udf(StringType())
+def _variant(fmt: pd.Series, question: pd.Series, key: pd.Series, tries: pd.Series) -> pd.Series:
+    """Of so many seeded candidates the first within the format's band, else the last."""
+
+    def one(f: str, q: str | None, k: str, n: int) -> str | None:
+        if q is None or f not in _MADE:
+            return None
+        lo, hi = BANDS[f]
+        made = None
+        for s in range(n):
+            made = _MADE[f](q, f"{k}#{s}")
+            if lo <= _jaccard(made, q) <= hi:
+                break
+        return made
+
+    return pd.Series([one(*x) for x in zip(fmt, question, key, tries, strict=True)], dtype=object)
+
+
+def verbatim(q: Column) -> Column:
+    return F.regexp_replace(q, "؟+$", "")
+
+
+def variant(fmt: Column, q: Column, keywords: Column, key: Column, tries: int = 9) -> Column:
+    """The variant of a question in a format; an unknown format is taken as verbatim."""
+    made = _variant(fmt, q, key.cast("string"), F.lit(tries))
+    return F.when(fmt == "keyword_only", keyword_field(keywords, q)).when(fmt.isin(*_MADE), made).otherwise(verbatim(q))
 
 
 def difficulty(fmt: Column) -> Column:
@@ -113,19 +146,8 @@ def difficulty(fmt: Column) -> Column:
 
 
 def all_variants(questions: DataFrame, formats: list[str] | None = None, tries: int = 9) -> DataFrame:
-    """query_id, format, difficulty, query, similarity: of so many seeded candidates the first within the format's band, else the last.
-
-    questions: query_id, question, keywords.
-    """
-    out = None
-    for f in formats or list(DIFFICULTY):
-        once = f in ("verbatim", "keyword_only")
-        lo, hi = BANDS[f]
-        seeds = range(1 if once else tries)
-        made = F.array(*[F.struct(variant(f, F.col("question"), F.col("keywords"), F.concat_ws("#", F.col("query_id").cast("string"), F.lit(f"{f}{s}"))).alias("query")) for s in seeds])
-        scored = F.transform(made, lambda c: F.struct(c["query"].alias("query"), F.round(token_jaccard(words(c["query"]), words(F.col("question"))), 6).alias("similarity")))
-        rows = questions.select("query_id", F.lit(f).alias("format"), F.lit(DIFFICULTY[f]).alias("difficulty"), scored.alias("c"))
-        fits = F.filter("c", lambda x: x["similarity"].between(lo, hi))
-        rows = rows.select("query_id", "format", "difficulty", F.coalesce(F.get(fits, F.lit(0)), F.element_at("c", -1)).alias("b")).select("query_id", "format", "difficulty", "b.query", "b.similarity")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """query_id, format, difficulty, query, similarity, from questions (query_id, question, keywords)."""
+    rows = questions.select("*", F.explode(F.array(*map(F.lit, formats or list(DIFFICULTY)))).alias("format"))
+    q = variant(F.col("format"), F.col("question"), F.col("keywords"), F.col("query_id"), tries)
+    rows = rows.withColumn("query", q)
+    return rows.select("query_id", "format", difficulty(F.col("format")).alias("difficulty"), "query", F.round(token_jaccard(F.array_distinct(words(F.col("query"))), F.array_distinct(words(F.col("question")))), 6).alias("similarity"))

@@ -1,4 +1,4 @@
 """Queries over the driver's tables and their SQL, by the rows of the inventory."""
 
-from tessaria.plans import retrieval, text  # noqa: F401
+from tessaria.plans import corpus, retrieval, text  # noqa: F401
 from tessaria.plans.base import ORACLES, QUERIES  # noqa: F401
