@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessaria.llm.common import drop, keep
 
 
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("a").cast("decimal(38,0)") + F.col("b"))).first()
-    return tuple(r)
+def _kept(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """Edges in the shared folder, their path, and a mark of their set that is gathered while they are written."""
+    seen = Observation()
+    marked = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.bit_xor(F.xxhash64("b", "a")).alias("y"))
+    df, path = keep(marked, "edges")
+    m = seen.get
+    return df, path, (m["n"], m["x"], m["y"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,12 +39,11 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder; their number grows with the logarithm of the graph's size.
     """
     spark = edges.sparkSession
-    now, path = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = _mark(now)
+    now, path, mark = _kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        new, new_path = keep(_small_star(_large_star(now)), "edges")
-        drop(spark, path)
-        now, path, (old, mark) = new, new_path, (mark, _mark(new))
+        old, before = mark, path
+        now, path, mark = _kept(_small_star(_large_star(now)))
+        drop(spark, before)
         if mark == old:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

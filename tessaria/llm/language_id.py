@@ -184,11 +184,12 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | Non
                     i, c = np.unique(got, return_counts=True)
                     idx.append(i.astype("<i4").tobytes())
                     val.append((c / max(1, len(got))).astype("<f4").tobytes())
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["lang", "idx", "val"])
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(idx, pa.binary()), pa.array(val, pa.binary()), s.column(2)], ["lang", "idx", "val", "o"])
 
-    got = sample(docs, per_language).select("lang", "text", F.xxhash64("doc_id").alias("o")).orderBy("o").select("lang", "text").mapInArrow(count, "lang string, idx binary, val binary").collect()
-    rows = [(r["lang"], np.frombuffer(r["idx"], "<i4").astype(np.int64), np.frombuffer(r["val"], "<f4").astype(float)) for r in got]
-    rows = [r for r in rows if len(r[1])]
+    got = sample(docs, per_language).select("lang", "text", F.xxhash64("doc_id").alias("o")).mapInArrow(count, "lang string, idx binary, val binary, o long").collect()
+    got.sort(key=lambda r: (r["o"], r["lang"], r["idx"]))  # the same order on every run
+    rows = [(r["lang"], np.frombuffer(r["idx"], "<i4"), np.frombuffer(r["val"], "<f4")) for r in got if r["idx"]]
+    del got
     langs = sorted({r[0] for r in rows})
     if not langs:
         return None

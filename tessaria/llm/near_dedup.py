@@ -9,10 +9,9 @@ how often a document has been copied, so that large groups would fall apart.)
 Consistent samples are banded into buckets. Within a bucket no pairs are
 enumerated: members are linked to the bucket's first member and to their
 neighbour in the order of another band, each link is verified on whole texts, and
-verified links are joined into components. Buckets that still hold several
-components are linked anew in another order, and what then remains is compared
-exactly: the members outside a bucket's largest component against all of its
-members, in blocks. So every pair of documents that share a bucket is either
+verified links are joined into components. Where a bucket still holds several
+components, the members outside the largest are compared exactly with all of its
+members, in blocks of bounded size. So every pair of documents that share a bucket is either
 verified or already connected, at a cost that is linear but for those members.
 """
 
@@ -198,23 +197,16 @@ def verified(edges: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
     return edges.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def star_and_chain(members: DataFrame, order: str, across: str | None = None) -> DataFrame:
-    """Edges from each bucket's first member to all others and between neighbours; with ``across`` only between different values of it.
+def star_and_chain(members: DataFrame, order: str) -> DataFrame:
+    """Edges from each bucket's first member to all others, and between neighbours in its order.
 
     Neighbours are taken within runs of a bucket of bounded size, so that a hot bucket is spread over many tasks.
     """
-    first = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order, "doc_id", *([across] if across else []))).alias("f"))
+    first = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
     m = members.join(first, "bucket").withColumn("run", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("n") / RUN)))
-    w = Window.partitionBy("bucket", "run").orderBy(order, "doc_id")
-    m = m.withColumn("before", F.lag("doc_id").over(w))
-    ends = [("f.doc_id", f"f.{across}"), ("before", "across_before")] if across else [("f.doc_id", None), ("before", None)]
-    if across:
-        m = m.withColumn("across_before", F.lag(across).over(w))
-    pairs = F.explode(F.array(*[F.struct(F.col(e).alias("o"), (F.col(x) if x else F.lit(None).cast("long")).alias("x")) for e, x in ends]))
-    edges = m.select("doc_id", *([across] if across else []), pairs.alias("p")).where("p.o is not null and p.o <> doc_id")
-    if across:
-        edges = edges.where(F.col("p.x") != F.col(across))
-    return edges.select(F.least("doc_id", "p.o").alias("a"), F.greatest("doc_id", "p.o").alias("b")).distinct()
+    m = m.withColumn("before", F.lag("doc_id").over(Window.partitionBy("bucket", "run").orderBy(order, "doc_id")))
+    edges = m.select("doc_id", F.explode(F.array("first", "before")).alias("other")).where("other is not null and other <> doc_id")
+    return edges.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
 
 
 def compare_rest(members: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
@@ -281,24 +273,13 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # The ids grow with the corpus: they are hashed in shuffled parts at any size, never broadcast, and texts are not sorted.
     texts, texts_path = keep(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
     links, path = keep(verified(star_and_chain(members, "near"), texts, idf, threshold), "links")
-    paths = [path]
     found = components(links)
-
-    def placed() -> DataFrame:
-        return members.join(found, members.doc_id == found.node, "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-
-    def several(m: DataFrame) -> DataFrame:
-        mixed = m.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi and n > 3")
-        return m.join(mixed.select("bucket"), "bucket", "left_semi")
-
-    again = several(placed()).withColumn("turn", F.xxhash64("doc_id", "bucket"))
-    for step in (lambda: verified(star_and_chain(again, "turn", "component"), texts, idf, threshold), lambda: compare_rest(placed(), texts, idf, threshold)):
-        more, path = keep(step(), "links")
-        paths.append(path)
-        if not more.isEmpty():
-            found = components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    placed = members.join(found, members.doc_id == found.node, "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    more, more_path = keep(compare_rest(placed, texts, idf, threshold), "links")
+    if not more.isEmpty():
+        found = components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     classes = named.join(found, named.rep_id == found.node, "left").select("doc_id", F.coalesce("component", "rep_id").alias("class_id"), "rep_id")
-    drop(spark, members_path, texts_path, *paths)
+    drop(spark, members_path, texts_path, path, more_path)
     return classes.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
