@@ -82,9 +82,11 @@ def _unblob(raw: pd.Series, kind) -> np.ndarray:
 
 def _by_row(rid: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
     """(rid, its positions) as rows."""
+    if not len(rid):
+        return pd.DataFrame({"rid": np.zeros(0, np.int64), "pos": []})
     order = np.lexsort((pos, rid))
     rid, pos = rid[order], pos[order].astype("<i4")
-    cut = np.flatnonzero(np.append(True, rid[1:] != rid[:-1])) if len(rid) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.append(True, rid[1:] != rid[:-1]))
     ends = np.append(cut[1:], len(rid))
     return pd.DataFrame({"rid": rid[cut], "pos": [pos[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]})
 
