@@ -38,7 +38,7 @@ PREFIXES = (4, 10, 20)
 #: Cells of the histogram of prefixes, whatever the input's size.
 CELLS = 1 << 14
 #: Leaves in a group, text bytes per group of anchors, and anchors that a task sorts at once.
-GROUP_LEAVES, GROUP_BYTES, RUN = 1 << 19, 8 << 20, 1 << 20
+GROUP_LEAVES, GROUP_BYTES, RUN = 1 << 19, 4 << 20, 1 << 20
 
 
 class Words:
