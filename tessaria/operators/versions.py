@@ -40,11 +40,16 @@ def restored_chunks(versions: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def rollback(versions: DataFrame, targets: DataFrame) -> DataFrame:
-    """All versions and, for each target, a new one with its content: one above the last, status ``rollback``."""
-    last = versions.groupBy("doc_id").agg(F.max("version").alias("last"))
-    again = versions.join(targets, ["doc_id", "version"]).join(last, "doc_id")
-    again = again.withColumn("version", (F.col("last") + 1).cast("int")).withColumn("status", F.lit("rollback")).drop("last")
-    return versions.unionByName(again.select(versions.columns))
+    """All versions and, for each target, a new one with its content: one above the last, status ``rollback``.
+
+    A chosen version's row becomes two, so that nothing is joined to itself.
+    """
+    chosen = targets.select("doc_id", "version").distinct().withColumn("_hit", F.lit(True))
+    n = versions.withColumn("_last", F.max("version").over(Window.partitionBy("doc_id"))).join(chosen, ["doc_id", "version"], "left")
+    own = F.struct("version", "status")
+    new = F.struct((F.col("_last") + 1).cast(versions.schema["version"].dataType).alias("version"), F.lit("rollback").alias("status"))
+    out = n.withColumn("_v", F.explode(F.when(F.col("_hit"), F.array(own, new)).otherwise(F.array(own))))
+    return out.withColumns({"version": F.col("_v.version"), "status": F.col("_v.status")}).select(versions.columns)
 
 
 def stamp(chunks: DataFrame, version: int, at: Column) -> DataFrame:

@@ -2,3 +2,4 @@
 
 from tessaria.plans import corpus, retrieval, text  # noqa: F401
 from tessaria.plans.base import ORACLES, QUERIES  # noqa: F401
+from tessaria.plans.retrieval import flagship  # noqa: F401

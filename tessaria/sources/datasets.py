@@ -21,12 +21,12 @@ def retrieval_dataset(rows: DataFrame, order: str, query_field: str, corpus_fiel
     text are skipped but counted; of passages with one id the last counts.
     Numbers come from a sort of the whole table that keeps its partitions.
     """
-    schema = f"i bigint, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema.fields)}"
+    schema = f"_row bigint, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema.fields)}"
     ordered = rows.orderBy(order)
     numbered = ordered.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])).toDF(schema)
     full = numbered.where((strip(F.col(query_field)) != "") & (strip(F.col(corpus_field)) != ""))
-    named = full.select("i", F.concat(F.lit("q_"), "i").alias("query_id"), F.col(query_field).alias("text"), F.col(id_field).cast("string").alias("doc_id"), F.col(corpus_field).alias("passage"))
-    corpus = named.groupBy("doc_id").agg(F.max_by("passage", "i").alias("text"))
+    named = full.select("_row", F.concat(F.lit("q_"), "_row").alias("query_id"), F.col(query_field).alias("text"), F.col(id_field).cast("string").alias("doc_id"), F.col(corpus_field).alias("passage"))
+    corpus = named.groupBy("doc_id").agg(F.max_by("passage", "_row").alias("text"))
     return named.select("query_id", "text"), corpus, named.select("query_id", "doc_id", F.lit(1).alias("rel"))
 
 
