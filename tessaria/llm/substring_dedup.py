@@ -13,8 +13,8 @@ corpus are dropped. Second, each task sorts its own suffixes beforehand and send
 one leaf per node, since the others are repeats already; a passage that is in
 a third of all documents therefore costs one leaf per task.
 
-Hashes are 64-bit and leaves also agree in a 32-bit prefix hash, so that about one
-false repeat is expected in 10**14 pairs of groups' windows.
+Windows are compared by 64-bit hashes, in the trees by a further 32-bit hash of
+their prefix: two different ones are taken for equal with a probability of 2**-64.
 """
 
 from __future__ import annotations
