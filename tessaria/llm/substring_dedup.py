@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ PREFIXES = (4, 10, 20)
 #: Cells of the histogram of prefixes, whatever the input's size.
 CELLS = 1 << 14
 #: Leaves in a group, text bytes per group of anchors, and anchors that a task sorts at once.
-GROUP_LEAVES, GROUP_BYTES, RUN = 1 << 19, 4 << 20, 1 << 20
+GROUP_LEAVES, GROUP_BYTES, RUN = 1 << 19, 16 << 20, 1 << 20
 
 
 class Words:
@@ -80,24 +81,50 @@ def _unblob(raw: pd.Series, kind) -> np.ndarray:
     return np.frombuffer(b"".join(raw), kind)
 
 
-def _by_row(rid: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
-    """(rid, its positions) as rows."""
-    if not len(rid):
-        return pd.DataFrame({"rid": np.zeros(0, np.int64), "pos": []})
-    order = np.lexsort((pos, rid))
-    rid, pos = rid[order], pos[order].astype("<i4")
-    cut = np.flatnonzero(np.append(True, rid[1:] != rid[:-1]))
-    ends = np.append(cut[1:], len(rid))
-    return pd.DataFrame({"rid": rid[cut], "pos": [pos[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]})
+ANSWERS = "run long, pos binary, new binary, rid binary"
+
+
+def _answers(asked: pd.DataFrame, hit: np.ndarray, pos: np.ndarray, doc: np.ndarray, rid: np.ndarray) -> pd.DataFrame:
+    """For each row that a run has sent, its places that are hit: as many answers as there were questions, at most."""
+    passed, sent = asked[asked["h"].str.len() == 0], asked[asked["h"].str.len() > 0]
+    row = np.repeat(np.arange(len(sent)), sent["h"].str.len().to_numpy(int) // 8)
+    at = np.flatnonzero(hit)
+    cut = np.searchsorted(row[at], np.arange(len(sent) + 1))
+    out = list(passed[["run", "pos", "new", "rid"]].itertuples(index=False, name=None))
+    for k, run in enumerate(sent["run"]):
+        a = at[cut[k] : cut[k + 1]]
+        if len(a):
+            new = np.append(True, doc[a][1:] != doc[a][:-1])
+            out.append((run, pos[a].tobytes(), new.tobytes(), rid[doc[a][new]].tobytes()))
+    return pd.DataFrame(out, columns=["run", "pos", "new", "rid"])
+
+
+def _by_row(answers: DataFrame) -> DataFrame:
+    """(rid, pos): each run puts together what all groups have answered, a row per document of its own."""
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pos, rid = _unblob(pdf["pos"], np.int32), _unblob(pdf["rid"], np.int64)[np.cumsum(_unblob(pdf["new"], bool)) - 1]
+        order = np.lexsort((pos, rid))
+        rid, pos = rid[order], pos[order].astype("<i4")
+        cut = np.flatnonzero(np.append(True, rid[1:] != rid[:-1]))
+        ends = np.append(cut[1:], len(rid))
+        return pd.DataFrame({"rid": rid[cut], "pos": [pos[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]})
+
+    return answers.groupBy("run").applyInPandas(merge, "rid long, pos binary")
+
+
+def _run(turn: int) -> int:
+    """The number of a task's run, the same when the task is tried again."""
+    return (TaskContext.get().partitionId() << 24) + turn
 
 
 # --- anchors that occur more than once -----------------------------------------------------------------------------------
 
-ANCHORS = "part int, h binary, pos binary, known binary, new binary, rid binary"
+ANCHORS = "run long, part int, h binary, pos binary, known binary, new binary, rid binary"
 
 
 def repeated_anchors(rows: DataFrame, parts: int, window: int) -> DataFrame:
-    """(rid, pos): where the anchors start that occur more than once; several rows per rid."""
+    """(rid, pos): where the anchors start that occur more than once."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -124,7 +151,8 @@ def repeated_anchors(rows: DataFrame, parts: int, window: int) -> DataFrame:
                 out.append((turn % parts, b"", pos[here].tobytes(), b"", np.append(True, doc[here][1:] != doc[here][:-1]).tobytes(), rid[doc[here][np.append(True, doc[here][1:] != doc[here][:-1])]].tobytes()))
             held.clear()
             ids.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))], [f.split()[0] for f in ANCHORS.split(", ")])
+            kinds = [pa.int32(), *[pa.binary()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array([_run(turn)] * len(out), pa.int64()), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]], [f.split()[0] for f in ANCHORS.split(", ")])
 
         for b in batches:
             for s in words.slices(b, "text"):
@@ -144,22 +172,16 @@ def repeated_anchors(rows: DataFrame, parts: int, window: int) -> DataFrame:
             yield flush()
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        passed, sent = pdf[pdf["h"].str.len() == 0], pdf[pdf["h"].str.len() > 0]
-        out = []
-        for x in (passed, sent):
-            pos = _unblob(x["pos"], np.int32)
-            rid = _unblob(x["rid"], np.int64)[np.cumsum(_unblob(x["new"], bool)) - 1] if len(pos) else np.zeros(0, np.int64)
-            out.append((rid, pos))
-        h, known = _unblob(sent["h"], U), _unblob(sent["known"], bool)
+        sent = pdf[pdf["h"].str.len() > 0]
+        h, known, doc = _unblob(sent["h"], U), _unblob(sent["known"], bool), np.cumsum(_unblob(sent["new"], bool)) - 1
         order = np.argsort(h, kind="stable")
         many = np.zeros(len(h), bool)
         same = h[order][1:] == h[order][:-1]
         many[order[1:]] |= same
         many[order[:-1]] |= same
-        many &= ~known
-        return _by_row(np.concatenate([out[0][0], out[1][0][many]]), np.concatenate([out[0][1], out[1][1][many]]))
+        return _answers(pdf, many & ~known, _unblob(sent["pos"], np.int32), doc, _unblob(sent["rid"], np.int64))
 
-    return rows.select("rid", "text").mapInArrow(find, ANCHORS).groupBy("part").applyInPandas(judge, "rid long, pos binary")
+    return _by_row(rows.select("rid", "text").mapInArrow(find, ANCHORS).groupBy("part").applyInPandas(judge, ANSWERS))
 
 
 # --- suffixes ------------------------------------------------------------------------------------------------------------
@@ -233,11 +255,11 @@ def plan_groups(counts: dict[int, int], most: int = GROUP_LEAVES) -> tuple[np.nd
     return base, split, length, group + 1
 
 
-LEAVES = "part int, h binary, prefix binary, pos binary, new binary, rid binary, ord binary"
+LEAVES = "run long, part int, h binary, prefix binary, pos binary, new binary, rid binary, ord binary"
 
 
 def repeats(hits: DataFrame, plan, window: int) -> DataFrame:
-    """(rid, pos): where the windows start that also start earlier; several rows per rid. hits: rid, ord, text, flags."""
+    """(rid, pos): where the windows start that also start earlier. hits: rid, ord, text, flags."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, split, length, groups = plan.value
@@ -263,7 +285,8 @@ def repeats(hits: DataFrame, plan, window: int) -> DataFrame:
                 out.append((turn % groups, b"", b"", pos[gone].tobytes(), new.tobytes(), rid[doc[gone][new]].tobytes(), b""))
             held.clear()
             ids.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))], [f.split()[0] for f in LEAVES.split(", ")])
+            kinds = [pa.int32(), *[pa.binary()] * 6]
+            return pa.RecordBatch.from_arrays([pa.array([_run(turn)] * len(out), pa.int64()), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]], [f.split()[0] for f in LEAVES.split(", ")])
 
         for b in batches:
             for s in words.slices(b, "text"):
@@ -287,21 +310,18 @@ def repeats(hits: DataFrame, plan, window: int) -> DataFrame:
             yield flush()
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        passed, sent = pdf[pdf["h"].str.len() == 0], pdf[pdf["h"].str.len() > 0]
-        pos0 = _unblob(passed["pos"], np.int32)
-        rid0 = _unblob(passed["rid"], np.int64)[np.cumsum(_unblob(passed["new"], bool)) - 1] if len(pos0) else np.zeros(0, np.int64)
-        h, prefix, pos = _unblob(sent["h"], U), _unblob(sent["prefix"], np.uint32), _unblob(sent["pos"], np.int32)
+        sent = pdf[pdf["h"].str.len() > 0]
+        h, prefix, pos, doc = _unblob(sent["h"], U), _unblob(sent["prefix"], np.uint32), _unblob(sent["pos"], np.int32), np.cumsum(_unblob(sent["new"], bool)) - 1
+        ids, hit = _unblob(sent["rid"], np.int64), np.zeros(len(h), bool)
         if len(h):
-            doc = np.cumsum(_unblob(sent["new"], bool)) - 1
-            rid, order_ = _unblob(sent["rid"], np.int64)[doc], _unblob(sent["ord"], np.int64)[doc]
+            rid, order_ = ids[doc], _unblob(sent["ord"], np.int64)[doc]
             o = np.lexsort((pos, rid, order_, h, prefix))  # the tree's leaves in order: by prefix, then whole
             first = np.append(True, (h[o][1:] != h[o][:-1]) | (prefix[o][1:] != prefix[o][:-1]))  # a node of full depth begins
             top = o[first][np.cumsum(first) - 1]
-            gone = o[(rid[o] != rid[top]) | (pos[o] != pos[top])]
-            rid0, pos0 = np.concatenate([rid0, rid[gone]]), np.concatenate([pos0, pos[gone]])
-        return _by_row(rid0, pos0)
+            hit[o] = (rid[o] != rid[top]) | (pos[o] != pos[top])
+        return _answers(pdf, hit, pos, doc, ids)
 
-    return hits.select("rid", "ord", "text", "flags").mapInArrow(find, LEAVES).groupBy("part").applyInPandas(judge, "rid long, pos binary")
+    return _by_row(hits.select("rid", "ord", "text", "flags").mapInArrow(find, LEAVES).groupBy("part").applyInPandas(judge, ANSWERS))
 
 
 def covered(hits: DataFrame, gone: DataFrame, window: int, texts: bool) -> DataFrame:
