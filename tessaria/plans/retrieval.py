@@ -204,11 +204,11 @@ def topk_per_key(spark, sf_dir):
     return R.top_k(o, 3, "o_custkey", "o_orderkey", "o_totalprice").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("i9_first_relevant", f"WITH {BASE}, {QRELS} SELECT query_id, min(CASE WHEN rel = 1 THEN rank END) AS first_rank, coalesce(max(CASE WHEN rank = 1 THEN rel END), 0) AS top1 FROM bm25 LEFT JOIN qrels USING (query_id, doc_id) WHERE rank <= 10 GROUP BY query_id")
+@query("i9_first_relevant", f"WITH {BASE}, {QRELS} SELECT query_id, coalesce(min(CASE WHEN rel = 1 THEN rank END), -1) AS first_rank, coalesce(max(CASE WHEN rank = 1 THEN rel END), 0) AS top1 FROM bm25 LEFT JOIN qrels USING (query_id, doc_id) WHERE rank <= 10 GROUP BY query_id")
 def first_relevant(spark, sf_dir):
     j = M.judged(bm25_run(spark, sf_dir, 10), qrels(spark, sf_dir))
     good = F.col("rel") > 0
-    return j.groupBy("query_id").agg(F.min(F.when(good, F.col("rank"))).cast("long").alias("first_rank"), F.max(F.when(good & (F.col("rank") == 1), 1).otherwise(0)).alias("top1"))
+    return j.groupBy("query_id").agg(F.coalesce(F.min(F.when(good, F.col("rank"))), F.lit(-1)).cast("long").alias("first_rank"), F.max(F.when(good & (F.col("rank") == 1), 1).otherwise(0)).alias("top1"))
 
 
 @query("i10_filtered_hybrid", f"""

@@ -1,8 +1,10 @@
 """Every query that has SQL gives what DuckDB gives on the same tables."""
 
+import numbers
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tessaria import plans
@@ -20,7 +22,8 @@ def duck(sf_dir):
 
 def canon(df):
     df = df[sorted(df.columns)]
-    show = lambda v: "null" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+    number = lambda v: isinstance(v, numbers.Real) and not isinstance(v, bool)
+    show = lambda v: "null" if v is None or v is pd.NA or v is pd.NaT or v != v else f"{float(v):.6f}" if number(v) else str(v)
     return sorted(tuple(show(v) for v in r) for r in df.astype(object).itertuples(index=False))
 
 
