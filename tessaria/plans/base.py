@@ -25,8 +25,21 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Tables below this size are dealt out over all cores, as one small file with one row group is one task otherwise.
+SMALL_BYTES = 64 << 20
+TEXTUAL = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt over all cores; a larger one has splits enough and isn't shuffled."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SMALL_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTUAL else df
 
 
 def quoted(text: str) -> str:
