@@ -56,7 +56,8 @@ def run(args: list[str], spark: SparkSession | None = None) -> DataFrame:
     queries, qrels = generation.dataset_from_pairs(pairs())
     if a.command == "eval-generate":
         return queries.join(qrels, "query_id")
-    found = ranking.bm25(queries, build_index(chunks(), "chunk_id", F.col("content")), a.k)
+    children = chunks().where(~F.col("chunk_type").endswith("_parent"))  # a parent repeats its only child's text
+    found = ranking.bm25(queries, build_index(children, "chunk_id", F.col("content")), a.k)
     return metrics.summary(metrics.per_query(found, qrels, a.k, queries))
 
 
