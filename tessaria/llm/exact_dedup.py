@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessaria.llm.common import drop, keep
 
@@ -101,3 +102,23 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return resolve(docs, build_index(docs))
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows that stay, with their own columns: exactly one of each text, whatever their ids.
+
+    It is a row with the index's keep_id, null or not, and with that text. Of several
+    such rows the one with most code points stays, then the smallest text and hash of the row.
+    """
+    index = build_index(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    norm = normalised(F.col("text"))
+    named = lambda c: (F.coalesce(c, F.lit(0)).alias("id"), c.isNull().alias("unnamed"))
+    rows = docs.select(
+        F.xxhash64(norm).alias("key"), F.sha2(norm, 256).alias("digest"), *named(F.col("doc_id").cast("long")),
+        F.coalesce(F.char_length("text"), F.lit(0)).alias("points"), F.xxhash64(*docs.columns).alias("row"), F.struct(*docs.columns).alias("doc"),
+    )
+    # The id is part of the key, so that the copies of a hot text are dealt over all tasks.
+    key = ["key", "digest", "id", "unnamed"]
+    found = rows.join(index.select("key", "digest", *named(F.col("keep_id"))), key, "left_semi")
+    order = Window.partitionBy(*key).orderBy(F.col("points").desc(), "doc.text", "row")
+    return found.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("doc.*")

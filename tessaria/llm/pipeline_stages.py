@@ -15,9 +15,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
-    gone = exact_dedup.exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone.gone_id), "left_anti")
+    """Of rows with equal texts exactly one stays."""
+    return exact_dedup.keep_one_of_each(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

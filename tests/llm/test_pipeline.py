@@ -43,6 +43,28 @@ def test_stages_drop_what_they_should(spark, tmp_path):
     assert {r["doc_id"] for r in packed} == ids["decontamination"]
 
 
+def check_one_row_of_each_text(spark, table):
+    """Brute force: of equal texts the row with most code points stays, then the smallest id, null last."""
+    best = {}
+    for r in table.collect():
+        t = r["text"] or ""
+        order = (-len(t), r["doc_id"] is None, r["doc_id"] or 0)
+        k = re.sub(r"[\x20\x09-\x0D]", "", t)
+        best[k] = min(best.get(k, (order, r["doc_id"])), (order, r["doc_id"]), key=lambda x: x[0])
+    got = dict(corpus_pipeline.STAGES)["exact_dedup"](spark, table, "/root/testdata/sf0.001")
+    assert got.columns == table.columns
+    stay = [(re.sub(r"[\x20\x09-\x0D]", "", r["text"] or ""), r["doc_id"], -len(r["text"] or "")) for r in got.collect()]
+    assert sorted(map(str, stay)) == sorted(str((k, d, order[0])) for k, (order, d) in best.items())
+
+
+def test_exact_copies_go_row_by_row(spark, docs, empty):
+    """Null and repeated ids: a row is dropped for its own text only, and one row of each text stays."""
+    more = [(None, prose(61, 30)), (None, prose(61, 30) + " "), (None, prose(62, 30)), (70, prose(63, 30)), (70, prose(64, 30)), (3, prose(63, 30)), (80, prose(65, 30)), (80, prose(65, 30)), (None, prose(65, 30)), (None, prose(66, 30)), (None, prose(66, 30))]
+    rows = spark.createDataFrame([(i, t, None, None, None, None, None, None, None) for i, t in more], docs.schema)
+    for table in (docs, docs.unionByName(rows), rows, empty):
+        check_one_row_of_each_text(spark, table)
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")).where("n <> doc_tokens").count() == 0
