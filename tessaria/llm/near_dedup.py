@@ -210,13 +210,13 @@ def star_and_chain(members: DataFrame, order: str) -> DataFrame:
 
 
 def compare_rest(members: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """Links (a, b) between members of different components in buckets of four and more, found exactly.
+    """Links (a, b) between members of different components in buckets of three and more, found exactly.
 
     members: bucket, doc_id, component. The members outside a bucket's largest
     component are compared with all its members, dealt into blocks of bounded size.
     """
     by = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1 and n > 3")
+    mixed = by.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1 and n > 2")
     m = members.join(mixed.select("bucket", "n", F.col("top.component").alias("top")), "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
     m = m.join(texts, "doc_id")
     here = m.select("bucket", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.col("blocks")).alias("block"), "doc_id", "component", "text")

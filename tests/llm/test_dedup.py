@@ -107,6 +107,18 @@ def test_rest_is_compared_exactly(spark):
     assert {(0, 1), (0, 2)} <= got and not any(3 in p or 4 in p for p in got)
 
 
+def test_rest_of_a_bucket_of_three(spark):
+    """The star and the chain test a-b and a-c when a stands between b and c: the pair b-c is left to the exact step."""
+    base = prose(24, 200)
+    texts = [prose(25, 200), base, changed(base, 70)]
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    dealt = spark.createDataFrame([(7, 0, 5), (7, 1, 4), (7, 2, 6)], "bucket long, doc_id long, near long")
+    assert {tuple(r) for r in near_dedup.star_and_chain(dealt, "near").collect()} == {(0, 1), (0, 2)}
+    idf = spark.sparkContext.broadcast(near_dedup.document_frequencies(t))
+    members = spark.createDataFrame([(7, k, k) for k in range(3)], "bucket long, doc_id long, component long")
+    assert {tuple(sorted(r)) for r in near_dedup.compare_rest(members, t, idf, near_dedup.THRESHOLD).collect()} == {(1, 2)}
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     base = prose(31, 2000)
     a, b = base, changed(base, 40)
