@@ -97,6 +97,34 @@ def set_scores(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return out.select("query_id", z(F.try_divide("n_both", "n_run")).alias("precision"), z(F.try_divide("n_both", "n_rel")).alias("recall"), z(F.try_divide(2 * F.col("n_both"), F.col("n_run") + F.col("n_rel"))).alias("f1"))
 
 
+def rank_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
+    """query_id, n, spearman, kendall of two runs, over the n documents that both have; null where n is 1.
+
+    The shared documents are ranked anew in each run, 1 to n without ties.
+    """
+    both = a.select("query_id", "doc_id", F.col("rank").alias("x")).join(b.select("query_id", "doc_id", F.col("rank").alias("y")), ["query_id", "doc_id"])
+    again = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(c)).cast("long")
+    both = both.select("query_id", again("x").alias("x"), again("y").alias("y"))
+    n, d = F.count(F.lit(1)), F.col("x") - F.col("y")
+    rho = both.groupBy("query_id").agg(n.alias("n"), F.when(n > 1, 1 - F.lit(6.0) * F.sum(d * d) / (n * (n * n - 1))).alias("spearman"))
+    # Runs are cut at their k, so that a query has at most k * (k - 1) / 2 pairs.
+    other = both.select("query_id", F.col("x").alias("x2"), F.col("y").alias("y2"))
+    pairs = both.join(other, "query_id").where("x < x2").groupBy("query_id").agg(F.avg(F.when(F.col("y") < F.col("y2"), 1.0).otherwise(-1.0)).alias("kendall"))
+    return rho.join(pairs, "query_id", "left").select("query_id", "n", "spearman", "kendall")
+
+
+def fusion_gain(fused: DataFrame, legs: list[DataFrame], qrels: DataFrame, k: int, queries: DataFrame | None = None, metric: str = "ndcg") -> DataFrame:
+    """One row: the fused run's mean of a metric, the best leg's, the gain, and the gain as a share of the best leg's (null where that is 0)."""
+    queries = queries if queries is not None else qrels.select("query_id").distinct()
+    mean = lambda run, name: per_query(run.where(F.col("rank") <= k), qrels, k, queries).agg(F.avg(metric).alias(name))
+    out = mean(fused, "fused")
+    for i, leg in enumerate(legs):
+        out = out.crossJoin(mean(leg, f"leg{i}"))
+    names = [F.col(f"leg{i}") for i in range(len(legs))]
+    best = F.greatest(*names) if len(names) > 1 else names[0]
+    return out.select("fused", best.alias("best_leg"), (F.col("fused") - best).alias("gain"), F.try_divide(F.col("fused") - best, best).alias("gain_share"))
+
+
 def gate(values: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Holds metrics (metric, value) against thresholds (metric, at_least or at_most)."""
     ok = (F.col("at_least").isNull() | (F.col("value") >= F.col("at_least"))) & (F.col("at_most").isNull() | (F.col("value") <= F.col("at_most")))

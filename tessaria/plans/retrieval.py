@@ -372,6 +372,25 @@ def rank_overlap(spark, sf_dir):
     return bm.join(tf.select("query_id", "doc_id"), ["query_id", "doc_id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+RANKED = f"""{FUSED}, a AS (SELECT * FROM bm25 WHERE rank <= 30), b AS (SELECT * FROM tfidf WHERE rank <= 30),
+shared AS (SELECT a.query_id, row_number() OVER (PARTITION BY a.query_id ORDER BY a.rank) AS x, row_number() OVER (PARTITION BY a.query_id ORDER BY b.rank) AS y FROM a JOIN b USING (query_id, doc_id)),
+pairs AS (SELECT p.query_id, sum(sign((p.x - q.x) * (p.y - q.y))) AS s, count(*) AS m FROM shared p JOIN shared q ON p.query_id = q.query_id AND p.x < q.x GROUP BY p.query_id),
+rho AS (SELECT query_id, count(*) AS n, CASE WHEN count(*) > 1 THEN 1 - 6.0::DOUBLE * sum((x - y) * (x - y)) / (count(*) * (count(*) * count(*) - 1.0::DOUBLE)) END AS spearman FROM shared GROUP BY query_id)"""
+
+
+@query("r5_rank_agreement", f"WITH {RANKED} SELECT query_id, n, round(spearman, 6) AS spearman, round(s::DOUBLE / m, 6) AS kendall FROM rho LEFT JOIN pairs USING (query_id)")
+def rank_agreement(spark, sf_dir):
+    """Spearman's and Kendall's correlation of the two legs' ranks, over the documents that both have."""
+    return M.rank_correlation(*legs(spark, sf_dir)).select("query_id", "n", F.round("spearman", 6).alias("spearman"), F.round("kendall", 6).alias("kendall"))
+
+
+@query("r5_fusion_gain")
+def fusion_gain(spark, sf_dir):
+    """nDCG at 10 of the fused run against its legs."""
+    both = list(legs(spark, sf_dir))
+    return M.fusion_gain(R.fuse(both, 10), both, qrels(spark, sf_dir), 10, questions(spark, sf_dir)).select(*[F.round(c, 6).alias(c) for c in ("fused", "best_leg", "gain", "gain_share")])
+
+
 @query("r6_set_scores", f"""
 WITH {BASE}, {QRELS}, run AS (SELECT query_id, doc_id FROM bm25 WHERE rank <= 5), k AS (SELECT query_id FROM run UNION SELECT query_id FROM qrels),
 s AS (SELECT query_id, (SELECT count(*) FROM run r WHERE r.query_id = k.query_id) AS a, (SELECT count(*) FROM qrels q WHERE q.query_id = k.query_id) AS b, (SELECT count(*) FROM run r JOIN qrels q USING (query_id, doc_id) WHERE query_id = k.query_id) AS c FROM k)

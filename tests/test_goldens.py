@@ -133,6 +133,17 @@ def test_dense_zero_vectors_and_blocks(spark):
         assert [(r["query_id"], r["doc_id"]) for r in got] == [(7, 1), (7, 4), (9, 3), (9, 1)]
 
 
+def test_rank_correlation_and_gain(spark):
+    run = lambda rows: spark.createDataFrame(rows, "query_id int, doc_id string, rank int")
+    a = run([(1, "p", 1), (1, "q", 2), (1, "r", 3), (1, "s", 4), (2, "p", 1), (2, "q", 2), (3, "p", 1)])
+    b = run([(1, "p", 2), (1, "r", 3), (1, "q", 7), (1, "t", 1), (2, "p", 9), (2, "q", 3), (3, "p", 5)])
+    got = {r["query_id"]: tuple(r)[1:] for r in metrics.rank_correlation(a, b).collect()}
+    assert got == {1: (3, 0.5, pytest.approx(1 / 3)), 2: (2, -1.0, -1.0), 3: (1, None, None)}
+    rel = spark.createDataFrame([(1, "p", 1)], "query_id int, doc_id string, rel int")
+    r = metrics.fusion_gain(run([(1, "p", 1)]), [run([(1, "q", 1)]), run([(1, "t", 1), (1, "p", 3)])], rel, 10).first()
+    assert tuple(r) == (1.0, 0.5, 0.5, 1.0)
+
+
 def test_index_round_trip_and_fingerprint(spark, tmp_path):
     from tessaria.operators.index import Index
 
