@@ -9,7 +9,7 @@ from tessaria.functions.text import clean_text
 from tessaria.operators import index as X
 from tessaria.operators import metrics as M
 from tessaria.operators import ranking as R
-from tessaria.plans.base import query, quoted, table
+from tessaria.plans.base import query, quoted, spread, table
 from tessaria.plans.text import WORD, search_tokens_sql
 
 # --- stand-ins: documents are searched, benchmark passages are queries, a document that holds a passage is relevant ------
@@ -146,6 +146,25 @@ def similarity_join(spark, sf_dir):
     return vectors(spark, sf_dir).join(F.broadcast(q), c >= 0.3, "inner").select("query_id", "doc_id", F.round(c, 6).alias("score"))
 
 
+#: The whole job beside the three queries above and below whose SQL takes a query vector per label: searched is with every twentieth row.
+SEARCH = DENSE.replace("doc_id IN (SELECT min(doc_id) FROM v GROUP BY label)", "doc_id % 20 = 0")
+
+
+def search_vectors(spark, sf_dir):
+    return vectors(spark, sf_dir).where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+
+
+@query("i3_dense_search", f"WITH {SEARCH} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM dense WHERE rank <= 10")
+def dense_search(spark, sf_dir):
+    return _ranked(R.dense(search_vectors(spark, sf_dir), spread(vectors(spark, sf_dir)), 10))
+
+
+@query("g7_similarity_classes")
+def similarity_classes(spark, sf_dir):
+    """The whole table against itself: each row's class and its number of links."""
+    return R.similarity_join(vectors(spark, sf_dir), 0.3)
+
+
 LEGS = TFIDF
 FUSED = f"""{LEGS}, part AS (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) AS s FROM bm25 WHERE rank <= 30 UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) FROM tfidf WHERE rank <= 30),
 f AS (SELECT query_id, doc_id, sum(s) AS score, count(*) AS n_legs FROM part GROUP BY ALL), fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM f)"""
@@ -289,13 +308,22 @@ DENSE_RUN = f"{DENSE}, run AS (SELECT query_id, doc_id, ql, label, rank FROM den
 @query("j8_dense_label_precision", f"WITH {DENSE_RUN} SELECT query_id, sum(CASE WHEN label = ql THEN 1 ELSE 0 END) / 10.0::DOUBLE AS precision FROM run GROUP BY query_id")
 def dense_precision(spark, sf_dir):
     """Vectors of the query's label are relevant."""
-    q = query_vectors(spark, sf_dir)
-    run = R.dense(q, vectors(spark, sf_dir), 10).where("doc_id <> query_id")
-    labels = vectors(spark, sf_dir).select("doc_id", "label")
+    return label_precision(query_vectors(spark, sf_dir), vectors(spark, sf_dir))
+
+
+def label_precision(q, vectors):
+    run = R.dense(q, vectors, 10).where("doc_id <> query_id")
+    labels = vectors.select("doc_id", "label")
     j = run.join(labels, "doc_id").join(q.select("query_id", F.col("label").alias("ql")), "query_id")
     return j.groupBy("query_id").agg((F.sum((F.col("label") == F.col("ql")).cast("int")) / 10).alias("precision"))
 
 
+@query("j8_dense_search_precision", f"WITH {DENSE_RUN.replace(DENSE, SEARCH)} SELECT query_id, sum(CASE WHEN label = ql THEN 1 ELSE 0 END) / 10.0::DOUBLE AS precision FROM run GROUP BY query_id")
+def dense_search_precision(spark, sf_dir):
+    """As j8_dense_label_precision, for every twentieth row."""
+    return label_precision(search_vectors(spark, sf_dir), spread(vectors(spark, sf_dir)))
+
+
 @query("j9_rag_overlap", f"""
 WITH {BASE}, c AS (SELECT query_id, list(regexp_extract_all(text, {WORD})) AS ctx FROM bm25 JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id),
 a AS (SELECT query_id, ctx, list_distinct(regexp_extract_all(text, {WORD})) AS t FROM c JOIN benchmark ON item_id = query_id)

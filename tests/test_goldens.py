@@ -133,6 +133,30 @@ def test_dense_zero_vectors_and_blocks(spark):
         assert [(r["query_id"], r["doc_id"]) for r in got] == [(7, 1), (7, 4), (9, 3), (9, 1)]
 
 
+def test_similarity_join_is_whole(spark, sf_dir):
+    """All pairs by brute force, in several blocks; a chain of links is one class, and a null or zero vector has no link."""
+    import numpy as np
+
+    def brute(rows, threshold):
+        ids = [i for i, _ in rows]
+        e = np.array([v if v is not None else [0] * len(rows[0][1]) for _, v in rows], float)
+        size = np.linalg.norm(e, axis=1, keepdims=True)
+        e = e / np.where(size > 0, size, 1)
+        link = (e @ e.T >= threshold) & (size > 0) & (size.T > 0) & ~np.eye(len(ids), dtype=bool)
+        cls = np.array(ids)
+        while True:
+            new = np.minimum(cls, np.where(link, cls[None, :], 1 << 62).min(1))
+            if (new == cls).all():
+                return {(i, int(c), int(n)) for i, c, n in zip(ids, cls, link.sum(1), strict=True)}
+            cls = new
+
+    chain = [(100 - k, [float(np.cos(k / 10)), float(np.sin(k / 10))]) for k in range(25)] + [(200, [0.0, 0.0]), (201, None), (202, [-1.0, -0.2])]
+    real = [(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    for rows, threshold, block in ((chain, 0.99, 4), (chain, 0.99, 100), (real, 0.3, 150)):
+        df = spark.createDataFrame(rows, "doc_id long, vector array<float>").repartition(3)
+        assert {tuple(r) for r in ranking.similarity_join(df, threshold, block).collect()} == brute(rows, threshold)
+
+
 def test_rank_correlation_and_gain(spark):
     run = lambda rows: spark.createDataFrame(rows, "query_id int, doc_id string, rank int")
     a = run([(1, "p", 1), (1, "q", 2), (1, "r", 3), (1, "s", 4), (2, "p", 1), (2, "q", 2), (3, "p", 1)])
