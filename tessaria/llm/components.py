@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tessaria.llm.common import drop, keep
+from tessaria.llm.common import drop, join_spread, keep
 
 
 def _kept(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
@@ -18,10 +18,10 @@ def _kept(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Links each node's larger neighbours to the smallest node next to it."""
+    """Links each node's larger neighbours to the smallest node next to it. A node may have any share of the edges."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return join_spread(both.where("v > u"), least, ["u"], ["v"]).select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): each node that has an edge, and the smallest node it is connected with, itself included.
 
-    Edges are (a, b) in any direction; loops are ignored. Each round is a few
+    Edges are (a, b) in any direction, of any type that has an order; loops are ignored. Each round is a few
     shuffles of the edges, without collecting any, and its table is written to the
     shared folder; their number grows with the logarithm of the graph's size.
     """

@@ -2,17 +2,22 @@
 
 A document is its five-word shingles, each weighted by how often it occurs there
 times its inverse document frequency: the mean over its words of
-1 + ln((1 + N) / (1 + df)) / ln(1 + N), with df counted over all documents in a
+1 + ln((1 + N) / (1 + df)) / ln(2 + N), with df counted over all documents in a
 fixed number of hashed word buckets. (The df of the shingle itself would measure
-how often a document has been copied, so that large groups would fall apart.)
+how often a document has been copied, so that large groups would fall apart; a
+wider spread would take pairs apart that differ in a few rare words.)
 
+Texts with equal words are one node, named by the 126-bit digest of the words.
 Consistent samples are banded into buckets. Within a bucket no pairs are
-enumerated: members are linked to the bucket's first member and to their
-neighbour in the order of another band, each link is verified on whole texts, and
-verified links are joined into components. Where a bucket still holds several
-components, the members outside the largest are compared exactly with all of its
-members, in blocks of bounded size. So every pair of documents that share a bucket is either
-verified or already connected, at a cost that is linear but for those members.
+enumerated: nodes are linked to the bucket's first node and to their neighbour
+in the order of another band, each link is verified on whole texts, and verified
+links are joined into components. Where a bucket still holds several components,
+its nodes are dealt into blocks of bounded rows and bytes, and the nodes outside
+the largest component are compared exactly: first with the nodes of their own
+block, which joins most, and then, those that are still outside, block by block
+with the other nodes of the bucket. So every pair of nodes that share a bucket is
+verified or already connected. The cost is linear, but for the nodes that stay
+outside: each of those is held against its whole bucket.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessaria.llm import words
-from tessaria.llm.common import drop, keep, small_batches
+from tessaria.llm.common import drop, join_spread, keep, small_batches
 from tessaria.llm.components import components
 
 U = np.uint64
@@ -35,8 +40,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 8, 3
 #: Word buckets of the document frequencies: 4 MB, whatever the input.
 BUCKET_BITS = 20
-#: Members of a bucket that are ordered, or compared exactly, in one task.
-RUN, BLOCK = 4096, 1024
+#: Nodes of a bucket that are ordered, that meet one copy of the first node's text, and that are compared exactly, in one task; and the latter's bytes.
+RUN, HUB, BLOCK, BLOCK_BYTES = 1024, 256, 512, 2 << 20
+#: Rows whose shingles are told apart in one sort, as a row takes 16 bits there.
+MOST_ROWS = 1 << 15
 
 # --- document frequencies ------------------------------------------------------------------------------------------------
 
@@ -77,6 +84,9 @@ def shingles(col: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
     A text of one to four words is one shingle.
     """
+    if len(col) > MOST_ROWS:
+        parts = [(at, shingles(col.slice(at, MOST_ROWS), idf)) for at in range(0, len(col), MOST_ROWS)]
+        return np.concatenate([r + at for at, (r, _, _, _) in parts]), *(np.concatenate([p[k] for _, p in parts]) for k in (1, 2, 3))
     h, _, _, first = words.words(*words.buffers(col), words.FOLDED)
     count = np.diff(first)
     rows = len(count)
@@ -148,7 +158,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard similarity of the texts in each row; 0 where both are without words."""
+    """Weighted Jaccard similarity of the texts in each row; 0 where both are without words. At most MOST_ROWS rows."""
     ra, ha, wa, _ = shingles(a, idf)
     rb, hb, wb, _ = shingles(b, idf)
     rows = len(a)
@@ -164,87 +174,181 @@ def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
 
 # --- the operator --------------------------------------------------------------------------------------------------------
 
+BAND_NAMES = [f"b{k}" for k in range(BANDS)]
+ROW = "doc_id long, oid long, th long, size long"
+#: Stands for a null doc_id, after all others.
+LAST = (1 << 63) - 1
+
+
+def rows(docs: DataFrame) -> DataFrame:
+    """doc_id, oid and th (they tell rows apart: the id or LAST, and a hash of the text), size, text."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("oid"), F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
+
+
+def _keys(digest: np.ndarray) -> pa.Array:
+    """126 bits of each digest as a number; null where a row has no words."""
+    halves = digest.copy()
+    halves[:, 1] &= U((1 << 62) - 1)
+    valid = np.packbits(digest.any(1), bitorder="little").tobytes()
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(digest), [pa.py_buffer(valid), pa.py_buffer(halves.tobytes())])
+
 
 def signatures(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, key (two halves of the words' digest, null without words), bands."""
+    """The rows without text, with key (of the words, null without any) and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in words.slices(b, "text"):
-                row, h, w, digest = shingles(s.column(1), idf.value)
+                row, h, w, digest = shingles(s.column(4), idf.value)
                 got = bands(samples(row, h, w, s.num_rows)).view(np.int64)
-                none = ~digest.any(1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(s.num_rows + 1, dtype=np.int32) * BANDS), pa.array(got.ravel()))
-                keys = [pa.array(digest[:, k].view(np.int64), mask=none) for k in range(2)]
-                yield pa.RecordBatch.from_arrays([s.column(0), *keys, lists], ["doc_id", "k1", "k2", "bands"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<long>")
+                cols = [*s.columns[:4], _keys(digest), *[pa.array(got[:, k].copy()) for k in range(BANDS)]]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "oid", "th", "size", "key", *BAND_NAMES])
 
+    return rows(docs).mapInArrow(run, f"{ROW}, key decimal(38,0), " + ", ".join(f"{b} long" for b in BAND_NAMES))
 
-def verified(edges: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """The edges (a, b) whose texts are similar enough."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in words.slices(whole, "ta"):
-                for at in range(0, b.num_rows, 1024):
-                    s = b.slice(at, 1024)
-                    ok = pa.array(similarities(s.column(2), s.column(3), idf.value) >= threshold)
-                    yield pa.RecordBatch.from_arrays([s.column(0).filter(ok), s.column(1).filter(ok)], ["a", "b"])
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """bucket, key, near (the node's next band), size; n, first, bytes of the bucket: a row per node and bucket that it shares with others.
 
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return edges.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    nodes: key, size, bands; a row per node.
+    """
+    nth = F.posexplode(F.array(*BAND_NAMES)).alias("band", "bucket")
+    near = F.expr(f"array({', '.join(BAND_NAMES)})[(band + 1) % {BANDS}]")
+    dealt = nodes.select("key", "size", *BAND_NAMES, nth).select("bucket", "key", near.alias("near"), "size")
+    full = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), F.sum("size").alias("bytes")).where("n > 1")
+    return join_spread(dealt, full, ["bucket"], ["key"])
 
 
-def star_and_chain(members: DataFrame, order: str) -> DataFrame:
-    """Edges from each bucket's first member to all others, and between neighbours in its order.
+def star_and_chain(members: DataFrame) -> DataFrame:
+    """Edges (a, b, part) from each bucket's first node to all others, and between neighbours in the order of ``near``.
 
-    Neighbours are taken within runs of a bucket of bounded size, so that a hot bucket is spread over many tasks.
+    Neighbours are taken within runs of a bucket of bounded size. part tells the
+    edges of a hot first node apart, so that its text meets them in many tasks.
     """
-    first = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
-    m = members.join(first, "bucket").withColumn("run", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("n") / RUN)))
-    m = m.withColumn("before", F.lag("doc_id").over(Window.partitionBy("bucket", "run").orderBy(order, "doc_id")))
-    edges = m.select("doc_id", F.explode(F.array("first", "before")).alias("other")).where("other is not null and other <> doc_id")
-    return edges.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    of = lambda most, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.ceil(F.col("n") / most)).cast("int")
+    m = members.withColumn("run", of(RUN, 3))
+    m = m.withColumn("before", F.lag("key").over(Window.partitionBy("bucket", "run").orderBy("near", "key")))
+    both = F.array(F.struct(F.col("first").alias("other"), of(HUB, 5).alias("part")), F.struct(F.col("before").alias("other"), F.lit(0).alias("part")))
+    edges = m.select("key", F.explode(both).alias("e")).select("key", "e.*").where("other is not null and other <> key")
+    return edges.groupBy(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).agg(F.min("part").alias("part"))
 
 
-def compare_rest(members: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """Links (a, b) between members of different components in buckets of three and more, found exactly.
+def verified(edges: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """The edges (a, b) whose texts are similar enough. edges: a, b, part; texts: key, text."""
 
-    members: bucket, doc_id, component. The members outside a bucket's largest
-    component are compared with all its members, dealt into blocks of bounded size.
-    """
-    by = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1 and n > 2")
-    m = members.join(mixed.select("bucket", "n", F.col("top.component").alias("top")), "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    m = m.join(texts, "doc_id")
-    here = m.select("bucket", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.col("blocks")).alias("block"), "doc_id", "component", "text")
-    rest = [F.col(c).alias(c) for c in ("bucket", "doc_id", "component", "text")]  # new columns, as both sides come from m
-    asked = m.where("component <> top").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *rest)
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            row, h, w, _ = shingles(pa.array(left["text"], pa.string()), idf.value)
-            total = np.bincount(row, w, len(left))
-            order = np.argsort(h, kind="stable")
-            h, row, w = h[order], row[order], w[order].astype(float)
-            comp, ids = left["component"].to_numpy(), left["doc_id"].to_numpy()
-            qrow, qh, qw, _ = shingles(pa.array(right["text"], pa.string()), idf.value)
-            cut = np.searchsorted(qrow, np.arange(len(right) + 1))
-            for q, (mine, doc) in enumerate(zip(right["component"].to_numpy(), right["doc_id"].to_numpy(), strict=True)):
-                s = slice(cut[q], cut[q + 1])
-                lo, hi = np.searchsorted(h, qh[s], "left"), np.searchsorted(h, qh[s], "right")
-                n = hi - lo
-                at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                both = np.bincount(row[at], np.minimum(w[at], np.repeat(qw[s], n)), len(left))
-                near = np.flatnonzero((both >= threshold * (total + float(qw[s].sum()) - both)) & (comp != mine) & (both > 0))
-                _, once = np.unique(comp[near], return_index=True)
-                out += [(int(doc), int(ids[near[k]])) for k in once]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return here.groupBy("bucket", "block").cogroup(asked.groupBy("bucket", "block")).applyInPandas(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for half in words.slices(whole, "ta"):
+                for s in words.slices(half, "tb"):
+                    ok = pa.array(similarities(s.column(2), s.column(3), idf.value) >= threshold)
+                    yield pa.RecordBatch.from_arrays([s.column(0).filter(ok), s.column(1).filter(ok)], ["a", "b"])
+
+    one = edges.select("a", "part").distinct().join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+    two = edges.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    return two.join(one.hint("merge"), ["a", "part"]).select("a", "b", "ta", "tb").mapInArrow(run, "a decimal(38,0), b decimal(38,0)")
+
+
+def compare(here: pd.DataFrame, asked: pd.DataFrame, idf: np.ndarray, threshold: float) -> pd.DataFrame:
+    """Links (a, b) of each asked node to the nodes here, one link to each component but its own. Both: key, component, text."""
+    out: list[tuple] = []
+    if len(here) and len(asked):
+        comp = pd.factorize(pd.concat([here["component"], asked["component"]]))[0]
+        comp, own = comp[: len(here)], comp[len(here) :]
+        row, h, w, _ = shingles(pa.array(here["text"], pa.string()), idf)
+        total = np.bincount(row, w, len(here))
+        order = np.argsort(h, kind="stable")
+        h, row, w = h[order], row[order], w[order].astype(float)
+        ids = here["key"].to_numpy()
+        qrow, qh, qw, _ = shingles(pa.array(asked["text"], pa.string()), idf)
+        cut = np.searchsorted(qrow, np.arange(len(asked) + 1))
+        for q, (mine, key) in enumerate(zip(own, asked["key"].to_numpy(), strict=True)):
+            s = slice(cut[q], cut[q + 1])
+            lo, hi = np.searchsorted(h, qh[s], "left"), np.searchsorted(h, qh[s], "right")
+            n = hi - lo
+            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            both = np.bincount(row[at], np.minimum(w[at], np.repeat(qw[s], n)), len(here))
+            near = np.flatnonzero((both >= threshold * (total + float(qw[s].sum()) - both)) & (comp != mine) & (both > 0))
+            _, once = np.unique(comp[near], return_index=True)
+            out += [(key, ids[near[k]]) for k in once]
+    return pd.DataFrame(out, columns=["a", "b"], dtype=object)
+
+
+LINKS = "a decimal(38,0), b decimal(38,0)"
+
+
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with their own, whether that is the bucket's largest, and their block of ``blocks``."""
+    placed = members.join(found, members.key == found.node, "left").select("bucket", "key", "size", "n", "bytes", F.coalesce("component", "key").alias("component"))
+    by = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+    mixed = by.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("bucket", "top.component")
+    m = join_spread(placed, mixed.withColumnRenamed("component", "top"), ["bucket"], ["key"])
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES))
+    return m.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key", F.lit(4)), "blocks")).withColumn("rest", F.col("component") != F.col("top"))
+
+
+def compare_within_blocks(mixed: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links between different components, each node outside its bucket's largest one held against its own block."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return compare(pdf, pdf[pdf["rest"]], idf.value, threshold)
+
+    m = mixed.select("bucket", "block", "key", "component", "rest")
+    return m.join(texts.hint("merge"), "key").groupBy("bucket", "block").applyInPandas(run, LINKS)
+
+
+def compare_across_blocks(mixed: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """The same, each node outside held against the other blocks of its bucket: pairs of blocks, both of bounded size."""
+
+    def run(here: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        return compare(here, asked, idf.value, threshold)
+
+    m = mixed.where("blocks > 1")
+    outside = m.where("rest").groupBy("bucket").agg(F.count(F.lit(1)).alias("r"), F.sum("size").alias("rb")).select("bucket", F.ceil(F.greatest(F.col("r") / BLOCK, F.col("rb") / BLOCK_BYTES)).alias("turns"))
+    m = join_spread(m, outside, ["bucket"], ["key"]).join(texts.hint("merge"), "key")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    here = m.select("bucket", "block", upto("turns").alias("turn"), "key", "component", "text")
+    asked = m.where("rest").select("bucket", "block", upto("blocks").alias("of"), F.pmod(F.xxhash64("key", F.lit(6)), "turns").alias("turn"), "key", "component", "text")
+    asked = asked.where("of <> block").select(*[F.col(c).alias(n) for c, n in (("bucket", "bucket"), ("of", "block"), ("turn", "turn"), ("key", "key"), ("component", "component"), ("text", "text"))])
+    by = ["bucket", "block", "turn"]
+    return here.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(run, LINKS)
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """oid, th, doc_id, key, class_id, rep_id, kept of each row; see :func:`near_dedup`."""
+    spark = docs.sparkSession
+    docs = small_batches(docs)
+    idf = spark.sparkContext.broadcast(document_frequencies(docs))
+    sig, sig_path = keep(signatures(docs, idf), "signatures")
+    # A node's head is its row with the smallest id, and of those the one with the smallest hash.
+    nodes, nodes_path = keep(
+        sig.where("key is not null").groupBy("key").agg(F.min(F.struct("oid", "th")).alias("head"), F.max("size").alias("size"), *[F.max(b).alias(b) for b in BAND_NAMES]), "nodes"
+    )
+    members, members_path = keep(bucket_members(nodes), "members")
+    wanted = nodes.join(members.select("key").distinct(), "key", "left_semi").select("key", "head.*")
+    # The ids grow with the corpus: they are hashed in shuffled parts at any size, never broadcast, and texts are not sorted.
+    texts, texts_path = keep(rows(docs).select("oid", "th", "text").join(wanted.hint("shuffle_hash"), ["oid", "th"]).select("key", "text"), "texts")
+    again = texts.groupBy("key").count().where("count > 1").select("key")
+    if not again.isEmpty():  # rows repeated in full: one text of each
+        texts = texts.join(again, "key", "left_anti").union(texts.join(again, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
+    links, links_path = keep(verified(star_and_chain(members), texts, idf, threshold), "links")
+    found = components(links)
+    paths = [members_path, texts_path, links_path]
+    for step in (compare_within_blocks, compare_across_blocks):
+        mixed, mixed_path = keep(_mixed(members, found), "mixed")
+        more, more_path = keep(step(mixed, texts, idf, threshold), "links")
+        paths += [mixed_path, more_path]
+        if not more.isEmpty():
+            found = components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    placed = nodes.select("key", "head").join(found, nodes.key == found.node, "left").select("key", "head", F.coalesce("component", "key").alias("component"))
+    tops = placed.groupBy("component").agg(F.min("head").alias("top"))
+    named, _ = keep(join_spread(placed, tops, ["component"], ["key"]).select("key", F.col("head.oid").alias("rep"), "top"), "classes")
+    drop(spark, *paths, nodes_path)
+    some = join_spread(sig.where("key is not null").select("oid", "th", "doc_id", "key"), named, ["key"], ["oid", "th"])
+    id_of = lambda c: F.when(c != LAST, c)
+    here = some.select("oid", "th", "doc_id", "key", id_of(F.col("top.oid")).alias("class_id"), id_of(F.col("rep")).alias("rep_id"), ((F.col("oid") == F.col("top.oid")) & (F.col("th") == F.col("top.th"))).alias("kept"))
+    alone = sig.where("key is null").select("oid", "th", "doc_id", "key", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"), F.lit(True).alias("kept"))
+    return here.union(alone)
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -252,38 +356,25 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     class_id is the smallest doc_id of those that a chain of pairs with a weighted
     Jaccard similarity of ``threshold`` or more connects; rep_id the smallest of those
-    with the same words; kept marks the document of a class that stays. Null texts and
-    texts without a word are similar to nothing, a class each. Rows with one doc_id
-    are one document; rows without an id have a class only through equal words, and
-    only those without one are kept. Other columns are ignored; an empty table gives
-    an empty result.
+    with the same words; both null where none has an id. kept marks the row of a
+    class that stays: the one with that id, and of several the one whose text has
+    the smallest hash. Rows are judged one by one, whatever their ids; rows that
+    repeat the id and text of the row that stays are all kept. Null texts and texts
+    without a word are similar to nothing, a class each. Other columns are
+    ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    idf = spark.sparkContext.broadcast(document_frequencies(docs))
-    sig, _ = keep(signatures(docs, idf), "signatures")
-    equal = sig.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep_id"))
-    named, _ = keep(sig.join(equal, ["k1", "k2"], "left").select("doc_id", F.coalesce("rep_id", "doc_id").alias("rep_id"), F.when(F.col("doc_id") == F.col("rep_id"), F.col("bands")).alias("bands")), "classes")
-    dealt = named.where("bands is not null").select("doc_id", F.posexplode("bands").alias("band", "bucket"), "bands").select(
-        "doc_id", "bucket", F.expr(f"bands[(band + 1) % {BANDS}]").alias("near")
-    )
-    full = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members, members_path = keep(dealt.join(full, "bucket"), "members")
-    wanted = members.select("doc_id").distinct()
-    # The ids grow with the corpus: they are hashed in shuffled parts at any size, never broadcast, and texts are not sorted.
-    texts, texts_path = keep(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
-    links, path = keep(verified(star_and_chain(members, "near"), texts, idf, threshold), "links")
-    found = components(links)
-    placed = members.join(found, members.doc_id == found.node, "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    more, more_path = keep(compare_rest(placed, texts, idf, threshold), "links")
-    if not more.isEmpty():
-        found = components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    classes = named.join(found, named.rep_id == found.node, "left").select("doc_id", F.coalesce("component", "rep_id").alias("class_id"), "rep_id")
-    drop(spark, members_path, texts_path, path, more_path)
-    return classes.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return classes(docs, threshold).select("doc_id", "class_id", "rep_id", "kept")
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that stay, with their own columns: one of each class."""
-    kept = near_dedup(docs, threshold).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept.kept_id), "left_semi")
+    """The rows that stay, with their own columns: exactly one of each class, and every row without a word.
+
+    Of rows that repeat the id and text of the one that stays, the one with the smallest hash of the whole row stays.
+    """
+    stay = classes(docs, threshold).where("kept").groupBy(F.col("oid").alias("_oid"), F.col("th").alias("_th")).agg(F.count("key").alias("_copies"))
+    own = [F.col(f"doc.`{c}`") for c in docs.columns]
+    wide = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_oid"), F.xxhash64("text").alias("_th"), F.struct(*docs.columns).alias("doc"))
+    found = wide.join(stay, ["_oid", "_th"])
+    order = Window.partitionBy("_oid", "_th").orderBy("_hash")
+    many = found.where("_copies > 1").dropDuplicates().withColumn("_hash", F.xxhash64("doc")).withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
+    return found.where("_copies <= 1").select(*own).unionByName(many.select(*own))

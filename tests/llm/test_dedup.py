@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ def jaccard(a, b):
 
 def test_near_finds_copies_and_leaves_others(docs):
     got = {r["doc_id"]: r for r in near_dedup.near_dedup(docs).collect() if r["doc_id"] is not None}
+    assert [r["class_id"] for r in near_dedup.near_dedup(docs.where("doc_id is null and text is not null")).collect()] == [None]
     assert got[1]["class_id"] == got[2]["class_id"] == got[3]["class_id"] == 1
     assert got[4]["class_id"] == got[5]["class_id"] == 4
     assert got[6]["class_id"] == got[-5]["class_id"] == -5
@@ -96,27 +98,80 @@ def test_near_equals_brute_force_on_a_cloud_of_copies(spark):
     assert got == {k: find(k) for k in range(len(texts))}
 
 
+def nodes_of(spark, texts):
+    """texts by key, and a broadcast idf."""
+    t = spark.createDataFrame([(Decimal(k), t) for k, t in enumerate(texts)], "key decimal(38,0), text string")
+    return t, spark.sparkContext.broadcast(near_dedup.document_frequencies(t))
+
+
+def in_bucket(spark, texts, near=None):
+    rows = [(7, Decimal(k), near[k] if near else k, len(t), len(texts), Decimal(0), sum(map(len, texts))) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "bucket long, key decimal(38,0), near long, size long, n long, first decimal(38,0), bytes long")
+
+
+def exact_links(spark, members, texts, idf, threshold):
+    none = spark.createDataFrame([], "node decimal(38,0), component decimal(38,0)")
+    mixed = near_dedup._mixed(members, none).cache()
+    return [{tuple(sorted(map(int, r))) for r in f(mixed, texts, idf, threshold).collect()} for f in (near_dedup.compare_within_blocks, near_dedup.compare_across_blocks)]
+
+
 def test_rest_is_compared_exactly(spark):
-    """Members outside a bucket's largest component are linked by the exact step alone."""
+    """Nodes outside a bucket's largest component are linked by the exact step alone."""
     base = prose(21, 200)
     texts = [base, changed(base, 50), changed(base, 70, "yy"), prose(22, 200), prose(23, 200)]
-    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    members = spark.createDataFrame([(7, k, k) for k in range(5)], "bucket long, doc_id long, component long")
-    idf = spark.sparkContext.broadcast(near_dedup.document_frequencies(t))
-    got = {tuple(sorted(r)) for r in near_dedup.compare_rest(members, t, idf, 0.75).collect()}
-    assert {(0, 1), (0, 2)} <= got and not any(3 in p or 4 in p for p in got)
+    t, idf = nodes_of(spark, texts)
+    got, across = exact_links(spark, in_bucket(spark, texts), t, idf, 0.75)
+    assert {(0, 1), (0, 2)} <= got and not any(3 in p or 4 in p for p in got) and not across
+
+
+def test_rest_is_compared_across_blocks(spark, monkeypatch):
+    """Blocks of three nodes: what the own block doesn't show, the other blocks do."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    base = [prose(200 + k, 60) for k in range(8)]
+    texts = [changed(b, 70, "yy") if k else b for b in base for k in (0, 1)]
+    t, idf = nodes_of(spark, texts)
+    within, across = exact_links(spark, in_bucket(spark, texts), t, idf, 0.8)
+    assert within | across == {(k, k + 1) for k in range(0, 16, 2)} and across and not within & across
 
 
 def test_rest_of_a_bucket_of_three(spark):
     """The star and the chain test a-b and a-c when a stands between b and c: the pair b-c is left to the exact step."""
     base = prose(24, 200)
     texts = [prose(25, 200), base, changed(base, 70)]
-    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    dealt = spark.createDataFrame([(7, 0, 5), (7, 1, 4), (7, 2, 6)], "bucket long, doc_id long, near long")
-    assert {tuple(r) for r in near_dedup.star_and_chain(dealt, "near").collect()} == {(0, 1), (0, 2)}
-    idf = spark.sparkContext.broadcast(near_dedup.document_frequencies(t))
-    members = spark.createDataFrame([(7, k, k) for k in range(3)], "bucket long, doc_id long, component long")
-    assert {tuple(sorted(r)) for r in near_dedup.compare_rest(members, t, idf, near_dedup.THRESHOLD).collect()} == {(1, 2)}
+    t, idf = nodes_of(spark, texts)
+    members = in_bucket(spark, texts, near=[5, 4, 6])
+    assert {(int(r.a), int(r.b)) for r in near_dedup.star_and_chain(members).collect()} == {(0, 1), (0, 2)}
+    assert exact_links(spark, members, t, idf, near_dedup.THRESHOLD)[0] == {(1, 2)}
+
+
+def test_more_rows_than_a_sort_takes():
+    """Beyond the rows of one sort, each row's shingles stay its own."""
+    many = near_dedup.MOST_ROWS + 5
+    idf = np.ones(1 << near_dedup.BUCKET_BITS, np.float32)
+    row, h, w, digest = near_dedup.shingles(pa.array([f"row {k}" for k in range(many)]), idf)
+    assert row.tolist() == list(range(many)) and len(digest) == many and len(np.unique(digest[:, 0])) == many
+
+
+def test_a_hot_group_of_near_copies(spark, monkeypatch):
+    """Most rows are near copies of one text, dealt into many runs, parts and blocks."""
+    for name, value in (("RUN", 16), ("HUB", 8), ("BLOCK", 8)):
+        monkeypatch.setattr(near_dedup, name, value)
+    base = prose(77, 120)
+    texts = [" ".join([f"n{k}", *base.split(" ")]) for k in range(90)] + [prose(300 + k, 80) for k in range(20)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)).collect()}
+    assert got == {k: 0 if k < 90 else k for k in range(110)}
+
+
+def test_near_stage_goes_row_by_row(spark, docs, empty):
+    """Null and repeated ids: a row goes for its own text only, and exactly one row of each class stays."""
+    base, other = prose(500, 120), prose(501, 120)
+    more = [(None, base), (None, changed(base, 90)), (None, other), (None, other), (70, prose(502, 90)), (70, changed(base, 80)), (80, prose(503, 90)), (80, prose(503, 90)), (90, None), (90, None), (91, " ")]
+    rows = spark.createDataFrame([(i, t, f"l{k}", None, k, None, None, None, None) for k, (i, t) in enumerate(more)], docs.schema)
+    stay = sorted((r["doc_id"] or 0, r["text"] or "") for r in near_dedup.keep_one_of_each(rows).collect())
+    assert stay == sorted([(0, other), (70, prose(502, 90)), (70, changed(base, 80)), (80, prose(503, 90)), (90, ""), (90, ""), (91, " ")])
+    got = near_dedup.near_dedup(rows).collect()
+    assert len(got) == len(more) and sum(r["class_id"] is None for r in got) == 2
+    assert near_dedup.keep_one_of_each(empty).columns == docs.columns and near_dedup.keep_one_of_each(empty).count() == 0
 
 
 def test_samples_agree_as_often_as_texts_are_similar():
