@@ -1,20 +1,22 @@
 """Substring dedup: prefix-partitioned suffix trees over words.
 
 A window of twenty words that also starts earlier in the corpus is a repeat. The
-corpus' word suffixes, cut at twenty words, are split into groups by
-variable-length prefixes, so that a group fits a task's memory; a group's suffix
-tree is laid out by sorting it, prefix before whole, and the nodes twenty words
-deep that have several leaves are the repeats: all leaves but the first go.
-
-Two things keep the volume small. First, only suffixes that can be repeats
-enter the trees: a window's anchor is the least hash among its thirteen 8-word
-grams, equal windows have equal anchors, and windows whose anchor is unique in the
-corpus are dropped. Second, each task sorts its own suffixes beforehand and sends
-one leaf per node, since the others are repeats already; a passage that is in
-a third of all documents therefore costs one leaf per task.
-
-Windows are compared by 64-bit hashes, in the trees by a further 32-bit hash of
-their prefix: two different ones are taken for equal with a probability of 2**-64.
+corpus' word suffixes are cut at twenty words and split into groups that fit a
+task's memory. The words by which they are dealt out are of variable length: in
+general a suffix' anchor, the least by hash of its 8-word grams, which equal
+suffixes have in common, and where an anchor is too frequent all twenty words. A
+group's suffix tree is laid out by naming: a suffix' node at depth 2d is the pair
+of the nodes at depth d that it and the suffix d words further on lie under. Depth
+one is the words themselves, so that equal nodes are equal words. The nodes twenty
+words deep with several leaves are the repeats: all leaves but the first go, and
+repeats that follow on one another in a document make up a maximal one.
+
+Three things keep the volume small. Only suffixes that can be repeats enter the
+trees: those whose anchor occurs twice in the corpus. Neighbouring suffixes with
+one anchor travel as one segment of text, some 26 words for seven suffixes. And of
+segments that are equal byte by byte a task sends the first alone, since the others
+are repeats already; a passage that is in a third of all documents therefore
+costs one segment per task.
 """
 
 from __future__ import annotations
@@ -34,12 +36,10 @@ from tessaria.llm.common import keep, small_batches
 
 U = np.uint64
 WINDOW, GRAM = 20, 8
-#: Prefix lengths in words by which suffixes are dealt out; the longer ones are used where a group would be too large.
-PREFIXES = (4, 10, 20)
-#: Cells of the histogram of prefixes, whatever the input's size.
-CELLS = 1 << 14
-#: Leaves in a group, text bytes per group of anchors, and anchors that a task sorts at once.
-GROUP_LEAVES, GROUP_BYTES, RUN = 1 << 19, 16 << 20, 1 << 20
+#: An anchor that occurs more often is hot: its suffixes are dealt out by all their words.
+HOT = 1 << 13
+#: Words of segments in a group, text bytes per group of anchors, and anchors and bytes of segments that a task sorts at once.
+GROUP_WORDS, GROUP_BYTES, RUN, RUN_BYTES = 1 << 20, 16 << 20, 1 << 20, 16 << 20
 
 
 class Words:
@@ -57,74 +57,69 @@ class Words:
     def anchors(self, window: int) -> np.ndarray:
         """Each window's anchor, as the word here that it begins with."""
         gram = min(GRAM, window)
-        g = words.grams(self.h, gram)
+        self.grams = words.grams(self.h, gram)
         wide = window - gram + 1
-        if len(g) < wide or not len(self.word):
+        if len(self.grams) < wide or not len(self.word):
             return np.zeros(0, np.int64)
-        least = np.lib.stride_tricks.sliding_window_view(g, wide)[self.word].argmin(1)
-        self.grams = g
-        return self.word + least
+        return self.word + np.lib.stride_tricks.sliding_window_view(self.grams, wide)[self.word].argmin(1)
 
 
-def _blobs(part: np.ndarray, fields: list[np.ndarray], doc: np.ndarray, ids: list[np.ndarray]) -> Iterator[tuple]:
-    """(part, bytes of each field, run of documents, bytes of their ids) for each part; rows keep their order."""
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    return np.append(True, x[1:] != x[:-1]) if len(x) else np.zeros(0, bool)
+
+
+def _cuts(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """A stable order by part, and the runs of parts in it."""
     order = np.argsort(part, kind="stable")
-    part, doc = part[order], doc[order]
-    cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, np.int64)
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        d = doc[a:b]
-        new = np.append(True, d[1:] != d[:-1])
-        yield (int(part[a]), *[f[order[a:b]].tobytes() for f in fields], new.tobytes(), *[i[d[new]].tobytes() for i in ids])
+    at = np.flatnonzero(_changes(part[order]))
+    return order, list(zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True)) if len(part) else []
 
 
 def _unblob(raw: pd.Series, kind) -> np.ndarray:
     return np.frombuffer(b"".join(raw), kind)
 
 
-ANSWERS = "run long, pos binary, new binary, rid binary"
+def _run(turn: int) -> int:
+    """The number of a task's run, the same when the task is tried again."""
+    return (TaskContext.get().partitionId() << 24) + turn
 
 
-def _answers(asked: pd.DataFrame, hit: np.ndarray, pos: np.ndarray, doc: np.ndarray, rid: np.ndarray) -> pd.DataFrame:
-    """For each row that a run has sent, its places that are hit: as many answers as there were questions, at most."""
-    passed, sent = asked[asked["h"].str.len() == 0], asked[asked["h"].str.len() > 0]
-    row = np.repeat(np.arange(len(sent)), sent["h"].str.len().to_numpy(int) // 8)
-    at = np.flatnonzero(hit)
-    cut = np.searchsorted(row[at], np.arange(len(sent) + 1))
-    out = list(passed[["run", "pos", "new", "rid"]].itertuples(index=False, name=None))
-    for k, run in enumerate(sent["run"]):
-        a = at[cut[k] : cut[k + 1]]
-        if len(a):
-            new = np.append(True, doc[a][1:] != doc[a][:-1])
-            out.append((run, pos[a].tobytes(), new.tobytes(), rid[doc[a][new]].tobytes()))
-    return pd.DataFrame(out, columns=["run", "pos", "new", "rid"])
+def _any(run: int, parts: int) -> int:
+    """A part for what may pass through any, another for each run."""
+    return int(words.mix(np.array([run + 1], U))[0] % U(parts))
 
 
-def _by_row(answers: DataFrame) -> DataFrame:
-    """(rid, pos): each run puts together what all groups have answered, a row per document of its own."""
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pos, rid = _unblob(pdf["pos"], np.int32), _unblob(pdf["rid"], np.int64)[np.cumsum(_unblob(pdf["new"], bool)) - 1]
-        order = np.lexsort((pos, rid))
-        rid, pos = rid[order], pos[order].astype("<i4")
-        cut = np.flatnonzero(np.append(True, rid[1:] != rid[:-1]))
-        ends = np.append(cut[1:], len(rid))
-        return pd.DataFrame({"rid": rid[cut], "pos": [pos[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]})
 
-    return answers.groupBy("run").applyInPandas(merge, "rid long, pos binary")
+def _by_row(answers: DataFrame, merge) -> DataFrame:
+    """(rid, pos): each run puts together what all groups have answered; merge gives rid and pos of its places, and a row per document is made of them."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rid, pos = merge(pdf)
+        order = np.lexsort((pos, rid))
+        rid, pos = rid[order], pos[order].astype("<i4")
+        cut = np.flatnonzero(_changes(rid))
+        return pd.DataFrame({"rid": rid[cut], "pos": [pos[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(rid)], strict=True)]})
 
-def _run(turn: int) -> int:
-    """The number of a task's run, the same when the task is tried again."""
-    return (TaskContext.get().partitionId() << 24) + turn
+    return answers.groupBy("run").applyInPandas(run, "rid long, pos binary")
 
 
 # --- anchors that occur more than once -----------------------------------------------------------------------------------
 
-ANCHORS = "run long, part int, h binary, pos binary, known binary, new binary, rid binary"
+#: A run's first occurrences of anchors, with how often each occurs in it; and a row without h, which passes through: the
+#: further ones, with the part and the place there of their first one.
+ANCHORS = "run long, part int, h binary, pos binary, times binary, new binary, rid binary, firsts binary"
+ANSWERS = "run long, part int, pos binary, new binary, rid binary, hot binary, firsts binary"
+HOT_BIT = np.int32(-(1 << 31))
 
 
 def repeated_anchors(rows: DataFrame, parts: int, window: int) -> DataFrame:
-    """(rid, pos): where the anchors start that occur more than once."""
+    """(rid, pos): where the anchors start that occur more than once; the sign bit is set where they are hot."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -133,34 +128,42 @@ def repeated_anchors(rows: DataFrame, parts: int, window: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             h, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            rid = np.concatenate(ids)
+            rid, run = np.concatenate(ids), _run(turn)
             order = np.argsort(h, kind="stable")
-            new = np.append(True, h[order][1:] != h[order][:-1])
-            first = np.flatnonzero(new)
-            many = np.diff(np.append(first, len(h))) > 1
-            out = []
-            lead = np.zeros(len(h), bool)
-            known = np.zeros(len(h), bool)
-            lead[order[first]] = True
-            known[order] = np.repeat(many, np.diff(np.append(first, len(h))))
-            sent = np.flatnonzero(lead)
-            for b in _blobs(((h[sent] >> U(24)) % U(parts)).astype(np.int32), [h[sent], pos[sent], known[sent]], doc[sent], [rid]):
-                out.append(b)
-            here = np.flatnonzero(known)
-            if len(here):  # known as repeated: they pass through any part
-                out.append((turn % parts, b"", pos[here].tobytes(), b"", np.append(True, doc[here][1:] != doc[here][:-1]).tobytes(), rid[doc[here][np.append(True, doc[here][1:] != doc[here][:-1])]].tobytes()))
+            first = np.flatnonzero(_changes(h[order]))
+            times = np.diff(np.append(first, len(h)))
+            lead = order[first]
+            sent, rank = np.sort(lead), np.argsort(lead)
+            part = ((h[sent] >> U(24)) % U(parts)).astype(np.int32)
+            often = np.minimum(times[rank], 65535).astype(np.uint16)
+            by, cuts = _cuts(part)
+            place, out = np.zeros(len(sent), np.int32), []
+            for a, b in cuts:
+                i = by[a:b]
+                place[i] = np.arange(b - a)
+                at = sent[i]
+                new = _changes(doc[at])
+                out.append((run, int(part[i[0]]), h[at].tobytes(), pos[at].tobytes(), often[i].tobytes(), new.tobytes(), rid[doc[at][new]].tobytes(), b""))
+            more = np.ones(len(h), bool)
+            more[lead] = False
+            if more.any():
+                of = np.zeros(len(h), np.int64)
+                of[order] = np.repeat(np.searchsorted(sent, lead), times)
+                at = np.flatnonzero(more)
+                new = _changes(doc[at])
+                firsts = (part[of[at]].astype(np.int64) << 32) | place[of[at]]
+                out.append((run, _any(run, parts), b"", pos[at].tobytes(), b"", new.tobytes(), rid[doc[at][new]].tobytes(), firsts.tobytes()))
             held.clear()
             ids.clear()
-            kinds = [pa.int32(), *[pa.binary()] * 5]
-            return pa.RecordBatch.from_arrays([pa.array([_run(turn)] * len(out), pa.int64()), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]], [f.split()[0] for f in ANCHORS.split(", ")])
+            return _batch(out, ANCHORS)
 
         for b in batches:
             for s in words.slices(b, "text"):
                 w = Words(s.column(1), window)
                 anchor = w.anchors(window)
                 if len(anchor):
-                    keep_ = np.append(True, (anchor[1:] != anchor[:-1]) | (w.row[1:] != w.row[:-1]))  # anchors never step back
-                    anchor, row = anchor[keep_], w.row[keep_]
+                    once = _changes(anchor) | _changes(w.row)  # anchors never step back
+                    anchor, row = anchor[once], w.row[once]
                     held.append((w.grams[anchor], (row + docs).astype(np.int32), (anchor - w.first[:-1][row]).astype(np.int32)))
                     ids.append(s.column(0).to_numpy(zero_copy_only=False))
                     docs += s.num_rows
@@ -172,34 +175,61 @@ def repeated_anchors(rows: DataFrame, parts: int, window: int) -> DataFrame:
             yield flush()
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        sent = pdf[pdf["h"].str.len() > 0]
-        h, known, doc = _unblob(sent["h"], U), _unblob(sent["known"], bool), np.cumsum(_unblob(sent["new"], bool)) - 1
+        """Of each run its anchors that occur twice, and which are hot."""
+        passed, sent = pdf[pdf["h"].str.len() == 0], pdf[pdf["h"].str.len() > 0]
+        out = [(r.run, -1, r.pos, r.new, r.rid, b"", r.firsts) for r in passed.itertuples()]
+        h, times = _unblob(sent["h"], U), _unblob(sent["times"], np.uint16).astype(np.int64)
         order = np.argsort(h, kind="stable")
-        many = np.zeros(len(h), bool)
-        same = h[order][1:] == h[order][:-1]
-        many[order[1:]] |= same
-        many[order[:-1]] |= same
-        return _answers(pdf, many & ~known, _unblob(sent["pos"], np.int32), doc, _unblob(sent["rid"], np.int64))
-
-    return _by_row(rows.select("rid", "text").mapInArrow(find, ANCHORS).groupBy("part").applyInPandas(judge, ANSWERS))
+        first = np.flatnonzero(_changes(h[order]))
+        total = np.zeros(len(h), np.int64)
+        if len(h):
+            total[order] = np.repeat(np.add.reduceat(times[order], first), np.diff(np.append(first, len(h))))
+        ends = np.cumsum(sent["h"].str.len().to_numpy(int) // 8) if len(sent) else []
+        for r, a, b in zip(sent.itertuples(), [0, *ends][:-1], ends, strict=True):
+            at = np.flatnonzero(total[a:b] > 1)
+            if len(at):
+                doc = np.cumsum(np.frombuffer(r.new, bool)) - 1
+                new = _changes(doc[at])
+                out.append((r.run, r.part, np.frombuffer(r.pos, np.int32)[at].tobytes(), new.tobytes(), np.frombuffer(r.rid, np.int64)[doc[at][new]].tobytes(), (total[a:b][at] > HOT).tobytes(), at.astype(np.int64).tobytes()))
+        return pd.DataFrame(out, columns=[f.split()[0] for f in ANSWERS.split(", ")])
+
+    def merge(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The further occurrences are as hot as their first ones."""
+        rid = _unblob(pdf["rid"], np.int64)[np.cumsum(_unblob(pdf["new"], bool)) - 1]
+        pos, firsts = _unblob(pdf["pos"], np.int32).copy(), _unblob(pdf["firsts"], np.int64)
+        part = np.repeat(pdf["part"].to_numpy(np.int64), pdf["pos"].str.len().to_numpy(int) // 4)
+        hot, own = np.zeros(len(pos), bool), part >= 0
+        hot[own] = _unblob(pdf.loc[pdf["part"] >= 0, "hot"], bool)
+        where = np.where(own, (part << 32) | firsts, firsts)
+        hot[~own] = np.isin(where[~own], where[own & hot])
+        pos[hot] |= HOT_BIT
+        return rid, pos
+
+    return _by_row(rows.select("rid", "text").mapInArrow(find, ANCHORS).groupBy("part").applyInPandas(judge, ANSWERS), merge)
 
 
 # --- suffixes ------------------------------------------------------------------------------------------------------------
 
 
-def _candidates(col: pa.Array, flags: pa.Array, window: int) -> tuple[Words, np.ndarray]:
-    """The rows' words, and which windows have an anchor that is repeated."""
-    w = Words(col, window)
-    anchor = w.anchors(window)
-    hot = np.zeros(len(w.h) + 1, bool)
-    for k, lists in enumerate(flags.to_pylist()):
-        for raw in lists or ():
-            hot[np.frombuffer(raw, "<i4") + w.first[k]] = True
-    return w, np.flatnonzero(hot[anchor]) if len(anchor) else np.zeros(0, np.int64)
+class Segments:
+    """The rows' suffixes whose anchors are repeated, as runs of neighbours with one anchor; a hot anchor's are apart."""
 
-
-def _prefix_cells(w: Words, chosen: np.ndarray, window: int) -> np.ndarray:
-    return (words.grams(w.h, min(PREFIXES[0], window))[w.word[chosen]] >> U(50)).astype(np.int64) if len(chosen) else np.zeros(0, np.int64)
+    def __init__(self, col: pa.Array, flags: pa.Array, window: int):
+        self.words = w = Words(col, window)
+        anchor = w.anchors(window)
+        state = np.zeros(len(w.h) + 1, np.int8)
+        for k, lists in enumerate(flags.to_pylist()):
+            for raw in lists or ():
+                at = np.frombuffer(raw, "<i4")
+                state[(at & ~HOT_BIT) + w.first[k]] = np.where(at < 0, 2, 1)
+        of = state[anchor] if len(anchor) else np.zeros(0, np.int8)
+        chosen = np.flatnonzero(of)
+        new = _changes(anchor[chosen]) | _changes(w.row[chosen]) | (of[chosen] == 2)
+        first = np.flatnonzero(new)
+        self.suffixes = np.diff(np.append(first, len(chosen)))  # of each segment
+        at = chosen[first]
+        self.hot, self.row, self.at, self.word, self.anchor = of[at] == 2, w.row[at], w.at[at], w.word[at], anchor[at] if len(anchor) else at
+        self.size = self.suffixes + window - 1  # in words
 
 
 def _digest(data: bytes) -> tuple[int, str]:
@@ -207,121 +237,154 @@ def _digest(data: bytes) -> tuple[int, str]:
     return len(found), hashlib.sha256(b" ".join(found)).hexdigest()
 
 
-MARKED = "kind int, rid long, ord long, doc_id long, n_words long, kept_sha256 string, text string, flags array<binary>, cell int, leaves long"
+MARKED = "kind int, rid long, ord long, doc_id long, n_words long, kept_sha256 string, text string, flags array<binary>, words long, hot_words long"
 
 
 def marked(rows: DataFrame, flags: DataFrame, window: int) -> DataFrame:
-    """Kind 0: documents that no repeat can be in, with their result. 1: the others, with text and anchors. 2: leaves by prefix cell."""
+    """Kind 0: documents that no repeat can be in, with their result. 1: the others, with text and anchors. 2: a task's words of segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in MARKED.split(", ")]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.binary()), pa.int32(), pa.int64()]
-        cells = np.zeros(CELLS, np.int64)
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.binary()), pa.int64(), pa.int64()]
+        cool = hot = 0
         for b in batches:
             for s in words.slices(b, "text"):
-                w, chosen = _candidates(s.column(3), s.column(4), window)
-                cells += np.bincount(_prefix_cells(w, chosen, window), minlength=CELLS)
+                got = Segments(s.column(3), s.column(4), window)
+                w = got.words
+                hot += int(got.size[got.hot].sum())
+                cool += int(got.size[~got.hot].sum())
                 some = np.zeros(s.num_rows, bool)
-                some[w.row[chosen]] = True
+                some[got.row] = True
                 done = [(None, None) if m else _digest(w.data[w.off[k] : w.off[k + 1]].tobytes()) for k, m in enumerate(some)]
                 cols = [pa.array(some.astype(np.int32)), s.column(0), s.column(1), s.column(2), pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.string())]
                 cols += [pa.array([t.as_py() if m else None for t, m in zip(s.column(3), some, strict=True)], kinds[6]), pa.array([f if m else None for f, m in zip(s.column(4).to_pylist(), some, strict=True)], kinds[7])]
                 cols += [pa.nulls(s.num_rows, kinds[8]), pa.nulls(s.num_rows, kinds[9])]
                 yield pa.RecordBatch.from_arrays(cols, names)
-        at = np.flatnonzero(cells)
-        n = len(at)
-        yield pa.RecordBatch.from_arrays([pa.array([2] * n, kinds[0]), *[pa.nulls(n, k) for k in kinds[1:8]], pa.array(at, kinds[8]), pa.array(cells[at], kinds[9])], names)
+        yield pa.RecordBatch.from_arrays([pa.array([2], kinds[0]), *[pa.nulls(1, k) for k in kinds[1:8]], pa.array([cool], kinds[8]), pa.array([hot], kinds[9])], names)
 
     by_row = flags.groupBy("rid").agg(F.collect_list("pos").alias("flags"))
     return rows.join(by_row.hint("shuffle_hash"), "rid", "left").select("rid", "ord", "doc_id", "text", "flags").mapInArrow(run, MARKED)
 
 
-def plan_groups(counts: dict[int, int], most: int = GROUP_LEAVES) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(first group, number of groups, prefix length of each cell; number of groups): small cells share a group, large ones are split by longer prefixes."""
-    base, split, length = np.zeros(CELLS, np.int64), np.ones(CELLS, np.int64), np.full(CELLS, PREFIXES[0])
-    group, filled = 0, 0
-    for cell in range(CELLS):
-        n = counts.get(cell, 0)
-        if n > most:
-            if filled:
-                group, filled = group + 1, 0
-            base[cell], split[cell] = group, -(-n // most)
-            length[cell] = PREFIXES[1] if n <= 64 * most else PREFIXES[2]
-            group += int(split[cell])
-        else:
-            if filled + n > most:
-                group, filled = group + 1, 0
-            base[cell], filled = group, filled + n
-    return base, split, length, group + 1
+def word_numbers(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each word, equal for equal bytes alone."""
+    size = end - start
+    off = np.append(0, np.cumsum(size))
+    held = data[np.arange(off[-1]) + np.repeat(start - off[:-1], size)]
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(held)]).dictionary_encode().indices.to_numpy()
+
+
+def nodes(ids: np.ndarray, depth: int) -> np.ndarray:
+    """The node of the suffix tree, ``depth`` words deep, under which each suffix of the sequence lies; those beyond its end are of no use."""
+
+    def below(node: np.ndarray, by: int) -> np.ndarray:
+        further = np.append(node[by:], np.zeros(min(by, len(node)), node.dtype))
+        return np.unique((node.astype(np.int64) << 32) | further, return_inverse=True)[1].astype(np.int64)
 
+    node, deep = ids, 1
+    while 2 * deep <= depth:
+        node, deep = below(node, deep), 2 * deep
+    return below(node, depth - deep) if deep < depth else node
 
-LEAVES = "run long, part int, h binary, prefix binary, pos binary, new binary, rid binary, ord binary"
 
+#: A run's segments in a group; and a row without text, which passes through: places that are known as repeats.
+LEAVES = "run long, part int, text binary, size binary, suffixes binary, pos binary, new binary, rid binary, ord binary"
+PLACES = "run long, pos binary, new binary, rid binary"
 
-def repeats(hits: DataFrame, plan, window: int) -> DataFrame:
+
+def repeats(hits: DataFrame, groups: int, hot_groups: int, window: int) -> DataFrame:
     """(rid, pos): where the windows start that also start earlier. hits: rid, ord, text, flags."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, split, length, groups = plan.value
+        texts: list[bytes] = []
         held: list[tuple[np.ndarray, ...]] = []
         ids: list[tuple[np.ndarray, np.ndarray]] = []
         size = docs = turn = 0
 
         def flush() -> pa.RecordBatch:
-            h, prefix, group, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            rid, order_ = (np.concatenate(x) for x in zip(*ids, strict=True))
-            o = np.lexsort((pos, rid[doc], order_[doc], h))
-            lead = np.zeros(len(h), bool)
-            lead[o[np.append(True, h[o][1:] != h[o][:-1])]] = True
-            # Leaves of one node that are the same place, as rows may be repeated, are one leaf.
-            node = np.cumsum(np.append(True, h[o][1:] != h[o][:-1])) - 1
-            top = o[np.append(True, h[o][1:] != h[o][:-1])][node]
-            same = (rid[doc[o]] == rid[doc[top]]) & (pos[o] == pos[top])
-            gone = np.sort(o[~same])
-            sent = np.flatnonzero(lead)
-            out = list(_blobs(group[sent].astype(np.int32), [h[sent], prefix[sent], pos[sent]], doc[sent], [rid, order_]))
+            part, suffixes, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            rid, ord_ = (np.concatenate(x) for x in zip(*ids, strict=True))
+            run = _run(turn)
+            order = np.lexsort((pos, rid[doc], ord_[doc]))
+            seen: dict[bytes, int] = {}
+            lead, gone = [], []
+            for k, r, p in zip(order.tolist(), rid[doc[order]].tolist(), pos[order].tolist(), strict=True):
+                first = seen.setdefault(texts[k], k)
+                if first == k:
+                    lead.append(k)
+                elif rid[doc[first]] != r or pos[first] != p:  # else the same place, as rows may be repeated
+                    gone.append(k)
+            lead, gone, out = np.array(lead), np.array(gone, np.int64), []
+            by, cuts = _cuts(part[lead])
+            for a, b in cuts:
+                at = lead[by[a:b]]
+                new = _changes(doc[at])
+                raw = [texts[k] for k in at.tolist()]
+                fields = (np.array([len(t) for t in raw], np.int32), suffixes[at].astype(np.int32), pos[at].astype(np.int32))
+                out.append((run, int(part[at[0]]), b"".join(raw), *[f.tobytes() for f in fields], new.tobytes(), rid[doc[at][new]].tobytes(), ord_[doc[at][new]].tobytes()))
             if len(gone):
-                new = np.append(True, doc[gone][1:] != doc[gone][:-1])
-                out.append((turn % groups, b"", b"", pos[gone].tobytes(), new.tobytes(), rid[doc[gone][new]].tobytes(), b""))
-            held.clear()
-            ids.clear()
-            kinds = [pa.int32(), *[pa.binary()] * 6]
-            return pa.RecordBatch.from_arrays([pa.array([_run(turn)] * len(out), pa.int64()), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]], [f.split()[0] for f in LEAVES.split(", ")])
+                n = suffixes[gone]
+                place = np.repeat(pos[gone] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                owner = np.repeat(doc[gone], n)
+                new = _changes(owner)
+                out.append((run, _any(run, groups + hot_groups), b"", b"", b"", place.astype(np.int32).tobytes(), new.tobytes(), rid[owner[new]].tobytes(), b""))
+            for x in (texts, held, ids):
+                x.clear()
+            return _batch(out, LEAVES)
 
         for b in batches:
             for s in words.slices(b, "text"):
-                w, chosen = _candidates(s.column(2), s.column(3), window)
-                if len(chosen):
-                    cell, word = _prefix_cells(w, chosen, window), w.word[chosen]
-                    part = np.zeros(len(chosen), np.int64)
-                    for n in PREFIXES:
-                        here = np.flatnonzero((length[cell] == n) & (split[cell] > 1))
-                        if len(here):
-                            part[here] = ((words.grams(w.h, min(n, window))[word[here]] >> U(8)) % split[cell[here]].astype(U)).astype(np.int64)
-                    prefix = (words.grams(w.h, min(PREFIXES[0], window))[word] & U(0xFFFFFFFF)).astype(np.uint32)
-                    held.append((words.grams(w.h, window)[word], prefix, base[cell] + part, (w.row[chosen] + docs).astype(np.int32), w.at[chosen].astype(np.int32)))
-                    ids.append((s.column(0).to_numpy(zero_copy_only=False), s.column(1).to_numpy(zero_copy_only=False)))
-                    docs += s.num_rows
-                    size += len(chosen)
-                    if size >= RUN:
-                        yield flush()
-                        size, docs, turn = 0, 0, turn + 1
-        if size:
+                got = Segments(s.column(2), s.column(3), window)
+                if not len(got.row):
+                    continue
+                w = got.words
+                part = (words.mix(w.grams[got.anchor]) % U(groups)).astype(np.int64)
+                if got.hot.any():
+                    part[got.hot] = groups + (words.mix(words.grams(w.h, window)[got.word[got.hot]]) % U(hot_groups)).astype(np.int64)
+                raw = w.data.tobytes()
+                texts += [raw[a:z] for a, z in zip(w.start[got.word].tolist(), w.end[got.word + got.size - 1].tolist(), strict=True)]
+                held.append((part, got.suffixes, got.row + docs, got.at))
+                ids.append((s.column(0).to_numpy(zero_copy_only=False), s.column(1).to_numpy(zero_copy_only=False)))
+                docs += s.num_rows
+                size += int((w.end[got.word + got.size - 1] - w.start[got.word]).sum())
+                if size >= RUN_BYTES:
+                    yield flush()
+                    size, docs, turn = 0, 0, turn + 1
+        if texts:
             yield flush()
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        sent = pdf[pdf["h"].str.len() > 0]
-        h, prefix, pos, doc = _unblob(sent["h"], U), _unblob(sent["prefix"], np.uint32), _unblob(sent["pos"], np.int32), np.cumsum(_unblob(sent["new"], bool)) - 1
-        ids, hit = _unblob(sent["rid"], np.int64), np.zeros(len(h), bool)
-        if len(h):
-            rid, order_ = ids[doc], _unblob(sent["ord"], np.int64)[doc]
-            o = np.lexsort((pos, rid, order_, h, prefix))  # the tree's leaves in order: by prefix, then whole
-            first = np.append(True, (h[o][1:] != h[o][:-1]) | (prefix[o][1:] != prefix[o][:-1]))  # a node of full depth begins
-            top = o[first][np.cumsum(first) - 1]
-            hit[o] = (rid[o] != rid[top]) | (pos[o] != pos[top])
-        return _answers(pdf, hit, pos, doc, ids)
-
-    return _by_row(hits.select("rid", "ord", "text", "flags").mapInArrow(find, LEAVES).groupBy("part").applyInPandas(judge, ANSWERS))
+        """A group's tree: of each node of full depth all leaves but the first are repeats."""
+        passed, sent = pdf[pdf["text"].str.len() == 0], pdf[pdf["text"].str.len() > 0]
+        out = list(passed[["run", "pos", "new", "rid"]].itertuples(index=False, name=None))
+        if len(sent):
+            data = np.frombuffer(b"".join(sent["text"]), np.uint8)
+            off = np.append(0, np.cumsum(_unblob(sent["size"], np.int32), dtype=np.int64))
+            start, end, first = words.borders(data, off, words.PLAIN)
+            node = nodes(word_numbers(data, start, end), window)
+            n, pos, doc = _unblob(sent["suffixes"], np.int32).astype(np.int64), _unblob(sent["pos"], np.int32), np.cumsum(_unblob(sent["new"], bool)) - 1
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            node, pos, doc = node[np.repeat(first[:-1], n) + step], np.repeat(pos, n) + step, np.repeat(doc, n)
+            row = np.repeat(np.repeat(np.arange(len(sent)), sent["size"].str.len().to_numpy(int) // 4), n)
+            rid, ord_ = _unblob(sent["rid"], np.int64), _unblob(sent["ord"], np.int64)
+            o = np.lexsort((pos, rid[doc], ord_[doc], node))  # the tree's leaves in order
+            begins = _changes(node[o])
+            top = o[begins][np.cumsum(begins) - 1]
+            hit = np.zeros(len(node), bool)
+            hit[o] = (rid[doc[o]] != rid[doc[top]]) | (pos[o] != pos[top])
+            at = np.flatnonzero(hit)
+            cut = np.searchsorted(row[at], np.arange(len(sent) + 1))
+            for k, run in enumerate(sent["run"]):
+                a = at[cut[k] : cut[k + 1]]
+                if len(a):
+                    new = _changes(doc[a])
+                    out.append((run, pos[a].astype(np.int32).tobytes(), new.tobytes(), rid[doc[a][new]].tobytes()))
+        return pd.DataFrame(out, columns=["run", "pos", "new", "rid"])
+
+    def merge(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return _unblob(pdf["rid"], np.int64)[np.cumsum(_unblob(pdf["new"], bool)) - 1], _unblob(pdf["pos"], np.int32)
+
+    return _by_row(hits.select("rid", "ord", "text", "flags").mapInArrow(find, LEAVES).groupBy("part").applyInPandas(judge, PLACES), merge)
 
 
 def covered(hits: DataFrame, gone: DataFrame, window: int, texts: bool) -> DataFrame:
@@ -362,14 +425,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False)
     text; rows equal in both are one document, each returned. Other columns are
     ignored, an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     doc_id = F.col("doc_id").cast("long")
     rows = small_batches(docs).select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64(doc_id, "text").alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     flags = repeated_anchors(rows, max(1, -(-size // GROUP_BYTES)), window)
     table, _ = keep(marked(rows, flags, window), "marked")
-    counts = {r["cell"]: r["n"] for r in table.where("kind = 2").groupBy("cell").agg(F.sum("leaves").alias("n")).collect()}  # at most CELLS rows
-    plan = spark.sparkContext.broadcast(plan_groups(counts))
+    cool, hot = table.where("kind = 2").agg(F.sum("words"), F.sum("hot_words")).first()
+    groups, hot_groups = (max(1, -(-(n or 0) // GROUP_WORDS)) for n in (cool, hot))
     hits = table.where("kind = 1")
     done = table.where("kind = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
-    return done.unionByName(covered(hits, repeats(hits, plan, window), window, texts))
+    return done.unionByName(covered(hits, repeats(hits, groups, hot_groups, window), window, texts))

@@ -89,14 +89,13 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         at = to
 
 
-def words(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, its first byte, the byte after it, first word of each row and the end)."""
+def borders(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte of each word, the byte after it, first word of each row and the end)."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, U), none, none, np.zeros(len(off), np.int64)
-    v = table[data]
-    inside = v != 0
+        return none, none, np.zeros(len(off), np.int64)
+    inside = (table != 0)[data]
     cut = np.zeros(n + 1, bool)
     cut[off] = True
     before = np.empty(n, bool)
@@ -105,12 +104,20 @@ def words(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndar
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, inside[1:]
     end = np.flatnonzero(inside & (~after | cut[1:])) + 1
+    return start, end, np.searchsorted(start, off)
+
+
+def words(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, its first byte, the byte after it, first word of each row and the end)."""
+    start, end, first = borders(data, off, table)
+    n = len(data)
+    if n == 0:
+        return np.zeros(0, U), start, end, first
     up, down = powers(BASE, n)
     sums = np.empty(n + 1, U)
     sums[0] = 0
-    np.cumsum(v * up[:n], out=sums[1:])
-    h = mix((sums[end] - sums[start]) * down[start])
-    return h, start, end, np.searchsorted(start, off)
+    np.cumsum(table[data] * up[:n], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start]), start, end, first
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
