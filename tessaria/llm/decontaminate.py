@@ -1,16 +1,19 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test items.
 
 Text and items are normalised to words of digits, lower-cased letters and
-non-ASCII characters, joined and framed by one space. The automaton holds every
-window of ten consecutive item words (or the whole of a shorter item), frames
-included, so that a hit begins and ends at word borders. A text is scanned once;
-hits are mapped to words and, where wanted, to offsets in the original text.
+non-ASCII characters. Every word of the items gets a code of a fixed number of
+characters, and a text is one string of its words' codes, so that the automaton
+has a node for a few symbols of a word and not for each of its letters. It
+holds every window of ten consecutive item words (or the whole of a shorter
+item). A text is scanned once; hits are mapped to words and, where wanted, to
+offsets in the original text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -22,45 +25,57 @@ from pyspark.sql import functions as F
 from tessaria.llm.common import small_batches
 
 WINDOW = 10
-#: Most characters of item texts in one automaton; larger benchmarks are scanned in several blocks of items.
-BLOCK_CHARS = 8 << 20
+#: Most words of items in one automaton (some 200 MB in a Python worker); larger benchmarks are scanned in several blocks of items.
+BLOCK_WORDS = 1 << 17
+#: Symbols a place of a code has: few, as the automaton seeks a node's children one by one.
+SYMBOLS = 64
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_RAW_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+_FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def word_list(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(FOLD)) if text else []
-
-
-def build(items: list[tuple[str, str]], window: int = WINDOW) -> ahocorasick.Automaton:
-    """Each window's value: (its number of words, its length, the numbers of the items that hold it)."""
-    held: dict[str, set[int]] = {}
-    for k, (_, text) in enumerate(items):
-        w = word_list(text)
-        n = min(window, len(w))
-        for i in range(len(w) - n + 1 if n else 0):
-            held.setdefault(" " + " ".join(w[i : i + n]) + " ", set()).add(k)
-    auto = ahocorasick.Automaton()
-    for pattern, ks in held.items():
-        auto.add_word(pattern, (pattern.count(" ") - 1, len(pattern), tuple(sorted(ks))))
-    auto.make_automaton()
-    return auto
+def word_list(text: str | None) -> list[bytes]:
+    """The normalised words, as UTF-8."""
+    return _RAW_WORD.findall(text.encode("utf-8", "surrogatepass").translate(_FOLD)) if text else []
+
+
+class Windows:
+    """The automaton over the windows of some items; an item is (name, its words)."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+        names = {w for _, ws in items for w in ws}
+        self.width = next(k for k in range(1, 12) if SYMBOLS**k > len(names))
+        # The places of a code use symbols of their own, so that a match begins where a word does. All symbols 0 is no word.
+        self.code = {w: self._encode(k) for k, w in enumerate(sorted(names), 1)}
+        self.none = self._encode(0)
+        held: dict[str, tuple[int, set[int]]] = {}
+        for k, (_, ws) in enumerate(items):
+            n = min(window, len(ws))
+            for i in range(len(ws) - n + 1 if n else 0):
+                held.setdefault("".join([self.code[w] for w in ws[i : i + n]]), (n, set()))[1].add(k)
+        self.auto = ahocorasick.Automaton()
+        for pattern, (n, ks) in held.items():
+            self.auto.add_word(pattern, (n, tuple(sorted(ks))))
+        self.auto.make_automaton()
+
+    def _encode(self, k: int) -> str:
+        return "".join(chr(1 + place * SYMBOLS + k // SYMBOLS**place % SYMBOLS) for place in range(self.width))
+
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
+        """(which words are hit, which items have windows here)."""
+        hit, found = np.zeros(len(words), bool), set()
+        if words and len(self.auto):
+            code, none = self.code, self.none
+            for end, (n, ks) in self.auto.iter("".join([code.get(w, none) for w in words])):
+                last = end // self.width
+                hit[last - n + 1 : last + 1] = True
+                found.update(ks)
+        return hit, found
 
 
-def scan(auto: ahocorasick.Automaton, words: list[str]) -> tuple[np.ndarray, set[int]]:
-    """(which words are hit, which items have windows here)."""
-    hit, found = np.zeros(len(words), bool), set()
-    if not words or len(auto) == 0:
-        return hit, found
-    text = " " + " ".join(words) + " "
-    ends = None
-    for end, (n, _, ks) in auto.iter(text):
-        if ends is None:
-            ends = np.cumsum([len(w) + 1 for w in words])  # the space after each word
-        last = int(np.searchsorted(ends, end))
-        hit[last - n + 1 : last + 1] = True
-        found.update(ks)
-    return hit, found
+def build(items: list[tuple[str, str]], window: int = WINDOW) -> Windows:
+    return Windows([(i, word_list(t)) for i, t in items], window)
 
 
 def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -77,87 +92,112 @@ def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of bounded text, one block on the driver at a time; more than one only beyond the bound."""
-    block, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).toLocalIterator():
-        if block and size + len(r["text"]) > most:
-            yield block
-            block, size = [], 0
-        block.append((r["i"], r["text"]))
-        size += len(r["text"])
+Item = tuple[str, list[bytes]]
+
+
+def blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS) -> Iterator[list[Item]]:
+    """Items in blocks of bounded words, one block on the driver at a time; more than one only beyond the bound.
+
+    An item of more words than a block is cut into overlapping parts, so that no window is lost. Items without a word are left out.
+    An item is named by ``i`` and its id, or by ``n`` and its number where it has none.
+    """
+    block: list[Item] = []
+    size = 0
+    for k, r in enumerate(benchmark.select(F.col("item_id").cast("string").alias("i"), "text").where(F.col("text").isNotNull()).toLocalIterator()):
+        ws = word_list(r["text"])
+        step = max(1, most - window + 1)
+        for at in range(0, max(1, len(ws) - window + 1) if ws else 0, step):
+            part = ws[at : at + step + window - 1]
+            if block and size + len(part) > most:
+                yield block
+                block, size = [], 0
+            block.append((f"n{k}" if r["i"] is None else f"i{r['i']}", part))
+            size += len(part)
     yield block
 
 
 CARRIED = "doc_id long, text string, hit binary, items array<string>"
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_held: dict[str, Windows] = {}
+
 
+def _automaton(key: str, shared, window: int) -> Windows:
+    """The automaton of a broadcast block, made once per Python worker, which holds one at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = Windows(shared.value, window)
+    return _held[key]
 
-def _scan_block(docs: DataFrame, block: list[tuple[str, str]], window: int, last: bool) -> DataFrame:
+
+def _scan_block(docs: DataFrame, block: list[Item], window: int, last: bool) -> DataFrame:
     """Adds one block's hits to those that the rows carry; the last block's scan gives the result."""
-    items, state = docs.sparkSession.sparkContext.broadcast(block), {}
+    items, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "auto" not in state:
-            state["auto"] = build(items.value, window)
+        auto = _automaton(key, items, window)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b, out = whole.slice(at, 512), []
                 for t, bits, ids in zip(b.column(1), b.column(2), b.column(3), strict=True):
                     t, bits, ids = t.as_py(), bits.as_py(), ids.as_py()
                     w = word_list(t)
-                    hit, found = scan(state["auto"], w)
-                    names = sorted({*(ids or ()), *(items.value[k][0] for k in found)})
+                    hit, found = auto.scan(w)
+                    names = {*(ids or ()), *(items.value[k][0] for k in found)}
                     if bits is not None:
                         hit |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(w)).astype(bool)
                     if last:
+                        own = ",".join(sorted(n[1:] for n in names if n[0] == "i"))
                         cuts = [{"start": s, "end": e} for s, e in spans(t, hit)] if names else []
-                        out.append((len(w), int(hit.sum()), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit.any()), cuts))
+                        out.append((len(w), int(hit.sum()), len(names), hashlib.sha256(own.encode()).hexdigest(), bool(hit.any()), cuts))
                     else:
-                        out.append((np.packbits(hit).tobytes() if names else None, names or None))
+                        out.append((np.packbits(hit).tobytes() if names else None, sorted(names) or None))
                 cols = list(zip(*out, strict=True))
                 if last:
                     kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), _SPANS], [f.split()[0] for f in RESULT.split(", ")]
                     yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names)
                 else:
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.list_(pa.string()))], ["doc_id", "text", "hit", "items"])
+                    kinds = [pa.binary(), pa.list_(pa.string())]
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "text", "hit", "items"])
 
     return docs.mapInArrow(run, RESULT if last else CARRIED)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
     A word inside any occurrence of an item's window is hit; an item of fewer
     words than a window, but not none, is one window. Null and empty texts have no
-    words, null items or item ids none either. Repeated documents are judged one by
-    one, an item repeated under one id counts once. Other columns are ignored. An
-    empty benchmark contaminates nothing, an empty table gives an empty result.
-    spans are runs of hit words as code point offsets in the original text. Nothing
-    is shuffled; each block of items is a scan.
+    words, nor have null items. Repeated documents are judged one by one. An item
+    repeated under one id counts once; items without an id hit as others do and
+    count each by itself, but have no place in items_sha256. Other columns are
+    ignored. An empty benchmark contaminates nothing, an empty table gives an empty
+    result. spans are runs of hit words as code point offsets in the original
+    text. Nothing is shuffled; each block of items is a scan.
     """
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
     before = None
-    for block in blocks(benchmark, block_chars):
+    for block in blocks(benchmark, window, block_words):
         if before is not None:
             rows = _scan_block(rows, before, window, last=False)
         before = block
     return _scan_block(rows, before, window, last=True)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents that hold no window of any item, with their own columns: a scan per block of items, without a shuffle."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents that hold no window of any item, with their own columns: a scan per block of items, without a shuffle.
+
+    Null texts and texts without a word stay, rows that repeat each for itself.
+    """
     names, at = small_batches(docs).columns, docs.columns.index("text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    for block in blocks(benchmark, block_chars):
-        items, state = docs.sparkSession.sparkContext.broadcast(block), {}
+    for block in blocks(benchmark, window, block_words):
+        items, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], items=items, state=state) -> Iterator[pa.RecordBatch]:
-            if "auto" not in state:
-                state["auto"] = build(items.value, window)
+        def run(batches: Iterator[pa.RecordBatch], items=items, key=key) -> Iterator[pa.RecordBatch]:
+            auto = _automaton(key, items, window)
             for b in batches:
-                ok = [not scan(state["auto"], word_list(t.as_py()))[1] for t in b.column(at)]
+                ok = [not auto.scan(word_list(t.as_py()))[1] for t in b.column(at)]
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns], names)
 
         docs = docs.mapInArrow(run, kinds)
