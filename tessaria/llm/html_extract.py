@@ -11,6 +11,8 @@ are trained once per process on pages that :func:`made_page` makes with known la
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -61,18 +63,29 @@ _MARKUP = re.compile(r"<!--[\s\S]*?(?:-->|\Z)|<(?:[!?][^>]*+>?|(/?)([a-zA-Z][^\s
 _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _TOKEN = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Attributes by which an element and all below it is not shown.
+_UNSEEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)(?!\s*=\s*[\"']?until-found)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s>]*)(?:display\s*:\s*none|visibility\s*:\s*hidden))", re.I)
 
 
 class Tree:
-    """Block nodes in page order: kind, parent, depth, tokens; texts and breaks in page order."""
+    """Block nodes in page order: kind, parent, depth, tokens, whether unseen; texts and breaks in page order. An unseen inline element is a node too."""
 
-    __slots__ = ("kind", "parent", "depth", "tokens", "inner", "events")
+    __slots__ = ("kind", "parent", "depth", "tokens", "unseen", "inner", "events")
 
     def __init__(self):
-        self.kind, self.parent, self.depth, self.tokens = [KIND_OF["#root"]], [-1], [0], [()]
+        self.kind, self.parent, self.depth, self.tokens, self.unseen = [KIND_OF["#root"]], [-1], [0], [()], [False]
         self.inner = [0]  # inline elements directly below, links apart
         self.events: list[tuple[int, str | None, bool]] = []  # (node, text or None for a break, within a link)
 
+    def add(self, kind: int, parent: int, attributes: str | None) -> int:
+        self.kind.append(kind)
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        self.tokens.append(attribute_tokens(attributes) if attributes and "=" in attributes else ())
+        self.unseen.append(self.unseen[parent] or kind == KIND_OF["script"] or bool(attributes and _UNSEEN.search(attributes)))
+        self.inner.append(0)
+        return len(self.kind) - 1
+
 
 @lru_cache(4096)
 def attribute_tokens(raw: str) -> tuple[int, ...]:
@@ -84,16 +97,42 @@ def attribute_tokens(raw: str) -> tuple[int, ...]:
     return tuple(sorted(found))
 
 
+class Open:
+    """The open elements, with the places of each name, so that any can be found without a walk."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, int]] = [("#root", 0, 0)]  # (element, its block node, place of the nearest element that is no inline one)
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+
+    def push(self, name: str, node: int, inline: bool) -> None:
+        at = len(self.stack)
+        self.stack.append((name, node, self.stack[-1][2] if inline else at))
+        self.places[name].append(at)
+
+    def close(self, cut: int) -> None:
+        for name, _, _ in reversed(self.stack[cut:]):
+            self.places[name].pop()
+        del self.stack[cut:]
+
+    def last(self, names: set[str]) -> int:
+        return max((self.places[n][-1] for n in names if self.places[n]), default=0)
+
+    def first_after(self, names: set[str], place: int) -> int:
+        """The outermost of the names above a place; the top where there is none."""
+        found = [ps[k] for n in names if (ps := self.places[n]) and (k := bisect_right(ps, place)) < len(ps)]
+        return min(found, default=len(self.stack))
+
+
 def parse(html: str) -> Tree:
     """Never fails: stray end tags are ignored, open elements close where HTML closes them or at the end."""
-    tree = Tree()
-    stack: list[tuple[str, int]] = [("#root", 0)]  # (element, its block node)
-    events, at, n, links = tree.events, 0, len(html), 0
+    tree, open_ = Tree(), Open()
+    stack, links = open_.stack, open_.places["a"]
+    events, at, n = tree.events, 0, len(html)
     while at < n:
         m = _MARKUP.search(html, at)
         stop = m.start() if m else n
         if stop > at:
-            events.append((stack[-1][1], html[at:stop], links > 0))
+            events.append((stack[-1][1], html[at:stop], bool(links)))
         if not m:
             break
         at = m.end()
@@ -102,57 +141,40 @@ def parse(html: str) -> Tree:
             continue
         name = name.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    links -= sum(1 for e, _ in stack[k:] if e == "a")
-                    if name not in INLINE:
-                        events.append((stack[k - 1][1], None, False))
-                    del stack[k:]
-                    break
+            if open_.places[name]:
+                cut = open_.places[name][-1]
+                if name not in INLINE:
+                    events.append((stack[cut - 1][1], None, False))
+                open_.close(cut)
             continue
         if name in VOID:
             if name == "br":
-                events.append((stack[-1][1], " ", links > 0))
+                events.append((stack[-1][1], " ", bool(links)))
             elif name == "hr":
                 events.append((stack[-1][1], None, False))
             continue
         if name in INLINE:
             node = stack[-1][1]
-            if name == "a":
-                links += 1
-            else:
+            if m[3] and _UNSEEN.search(m[3]):
+                node = tree.add(OTHER, node, m[3])
+            elif name != "a":
                 tree.inner[node] += 1
-            stack.append((name, node))
+            open_.push(name, node, True)
         else:
-            cut = len(stack)
+            cut, top = len(stack), stack[-1][2]
             if name in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        cut = k
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
+                if stack[top][0] == "p":
+                    cut = top
             elif name in SIBLINGS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in SIBLINGS[name]:
-                        cut = k
-                    elif stack[k][0] in SCOPES[name]:
-                        break
+                cut = open_.first_after(SIBLINGS[name], open_.last(SCOPES[name]))
             elif name == "body" and stack[-1][0] == "head":
                 cut = len(stack) - 1
             if cut < len(stack):
-                links -= sum(1 for e, _ in stack[cut:] if e == "a")
-                del stack[cut:]
-            up = stack[-1][1]
-            tree.kind.append(KIND_OF.get(name, OTHER))
-            tree.parent.append(up)
-            tree.depth.append(tree.depth[up] + 1)
-            tree.tokens.append(attribute_tokens(m[3]) if m[3] and "=" in m[3] else ())
-            tree.inner.append(0)
-            node = len(tree.kind) - 1
+                open_.close(cut)
+            node = tree.add(KIND_OF.get(name, OTHER), stack[-1][1], m[3])
             events.append((node, None, False))
             if not (m[3] or "").rstrip().endswith("/") or name not in {"svg", "path", "use"}:
-                stack.append((name, node))
+                open_.push(name, node, False)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(html, at)
             at = close.start() if close else n  # what an unclosed one holds is no text
@@ -176,10 +198,7 @@ def features(tree: Tree) -> np.ndarray:
                 linked[node] += c
             wordy[node] += text.count(" ") + 1
             stops[node] += text.count(".") + text.count(",") + text.count("،") + text.count("。")
-    hidden = kind == KIND_OF["script"]
-    for k in range(1, n):  # hidden text counts for nothing
-        if hidden[parent[k]]:
-            hidden[k] = True
+    hidden = np.array(tree.unseen)  # hidden text counts for nothing
     for a in (chars, linked, wordy, stops):
         a[hidden] = 0
     own = chars.copy()
@@ -230,7 +249,7 @@ class Forest:
 
     DEPTH, BINS = 4, 32
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.25, least: float = 1.0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 70, rate: float = 0.25, least: float = 1.0):
         self.cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, self.BINS + 1)[1:-1])) for f in range(x.shape[1])]
         b = self.bins(x)
         share = y.mean()
@@ -291,8 +310,7 @@ def decode(parent: list[int], odds: np.ndarray) -> np.ndarray:
 
 
 def block_texts(tree: Tree, kept: np.ndarray) -> list[str]:
-    """The kept nodes' texts, a string per block, in page order."""
-    hidden = KIND_OF["script"]
+    """The kept nodes' texts, a string per block, in page order; nothing that is unseen. Text outside of any element is the root's, which is kept."""
     out: list[str] = []
     part: list[str] = []
 
@@ -304,7 +322,7 @@ def block_texts(tree: Tree, kept: np.ndarray) -> list[str]:
     for node, text, _ in tree.events:
         if text is None:
             close()
-        elif kept[node] and tree.kind[node] != hidden and node:
+        elif kept[node] and not tree.unseen[node]:
             part.append(text)
     close()
     return out
@@ -429,6 +447,12 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[int]]:
     junk = (ad, notice, form, share, side, nav)
 
     def article():
+        if chance(0.18):  # a short one
+            if chance(0.5):
+                el(pick("h1", "h2"), 1, "", sentence(6))
+            for _ in range(int(rng.integers(1, 4))):
+                el("p", 1, "", sentence(10))
+            return
         if chance(0.85):
             el(pick("h1", "h1", "h2"), 1, "", sentence(14))
         for _ in range(int(rng.integers(1, 5))):
@@ -467,12 +491,25 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[int]]:
         if chance(0.3):
             comments()
 
+    def bare():
+        """Text without elements of its own, cut by line breaks or not at all."""
+        for _ in range(int(rng.integers(1, 9))):
+            out.append(" ".join(sentence(30) for _ in range(int(rng.integers(1, 6)))) + pick("<br>", "<br><br>", " ", "<hr>"))
+            if chance(0.2):
+                el(pick("h1", "h2", "h3"), 1, "", sentence(6))
+
     def body():
         for part, p in ((notice, 0.25), (header, 0.5), (nav, 0.6), (ad, 0.5), (side, 0.3), (form, 0.2)):
             if chance(p):
                 if chance(0.3):
                     out.append(f"<!-- {sentence(5)} <p> -->")
                 part()
+        if chance(0.14):
+            pick(bare, article)()  # text, or headings and paragraphs, that stand in the page itself
+            for part, p in ((nav, 0.3), (footer, 0.5), (ad, 0.2)):
+                if chance(p):
+                    part()
+            return
         wrap = pick(None, None, "main", "div")
         el(wrap, 1, attrs("wrapper", "container", "page", "") if wrap == "div" else "", middle) if wrap else middle()
         for part, p in ((side, 0.3), (ad, 0.3), (share, 0.2), (comments, 0.1), (form, 0.15), (notice, 0.15), (nav, 0.15), (footer, 0.8)):
@@ -486,12 +523,15 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[int]]:
         if chance(0.6):
             el("script", 0, "", 'var t="</p>";')
 
+    if chance(0.1):  # a fragment
+        pick(body, article, middle)()
+        return "".join(out), labels
     out.append("<!DOCTYPE html>")
     el("html", 1, "", lambda: (el("head", 0, "", head), el("body", 1, "", body)), chance(0.9))
     return "".join(out), labels
 
 
-TRAINING_PAGES = 500
+TRAINING_PAGES = 900
 
 
 @lru_cache(1)
@@ -528,8 +568,9 @@ def extract_texts(pages: list[str | None], forest: Forest) -> list[str]:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 
-    Null and empty pages, and pages without main text, give an empty text. Unclosed
-    and stray tags, cut-off pages and pages of any length are parsed to their end.
+    Null and empty pages, and pages without main text, give an empty text; a page
+    without any element is its text. Elements that are not shown (by their kind, or by
+    hidden, aria-hidden or style) are left out with all they hold. Unclosed and stray tags, cut-off pages and pages of any length are parsed to their end.
     Repeated rows are extracted one by one, other columns are ignored, an empty
     table gives an empty result.
     """
