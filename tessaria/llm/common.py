@@ -6,6 +6,7 @@ import getpass
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +76,20 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def rename_once(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a folder unless the target is there, in one step of the file system; False if it is."""
+    context, fs = spark.sparkContext, spark.sparkContext._jvm.org.apache.hadoop.fs
+    kind = getattr(fs, "Options$Rename")
+    never_over = context._gateway.new_array(kind, 1)
+    never_over[0] = kind.NONE
+    to = fs.Path(target)
+    files = fs.FileContext.getFileContext(to.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(to).toUri(), context._jsc.hadoopConfiguration())
+    try:
+        files.rename(fs.Path(source), to, never_over)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True

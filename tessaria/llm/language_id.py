@@ -40,8 +40,8 @@ SAMPLE_PER_LANGUAGE = 400
 BITS, GRAMS = 15, (2, 3, 4)
 DIM = len(GRAMS) << BITS
 UNKNOWN = "und"
-#: The pipeline drops documents whose best language is less certain.
-MIN_SCORE = 0.52
+#: At most so many languages are learned, those with most labelled rows, as the machines grow with the square of their number.
+MOST_LANGUAGES = 128
 
 _FOLD = np.full(256, 0x20, np.uint8)
 for _b in range(256):
@@ -162,9 +162,10 @@ def remainder(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """Labelled training rows, each kept by a hash of its id at its language's rate."""
+    """Labelled training rows of the most frequent languages, each kept by a hash of its id at its language's rate."""
     rows = small_batches(docs).where(training_rows(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    by = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in by.collect()}
     if not counts:
         return rows.limit(0)
     rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in sorted(counts.items())])
@@ -239,7 +240,8 @@ def identify(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFr
     Learned from text and non-null lang of rows whose crc32(doc_id as text) mod 4
     is not 2; rows without an id are neither learned from nor held out. Predictions
     see the text alone. A null text, or one without a letter, is ``und`` with score
-    0, and so is all where nothing is labelled; repeated rows are judged one by
+    0, and so is all where nothing is labelled; of more than MOST_LANGUAGES
+    values of lang the most frequent are learned; repeated rows are judged one by
     one; other columns are ignored; an empty table gives an empty result.
     """
     model = fit(docs, per_language)
@@ -247,8 +249,8 @@ def identify(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFr
     return judged.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
-    """The documents whose language is recognised, with their own columns; ``und`` and uncertain ones go."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The documents whose language is recognised, with their own columns; those that are ``und`` go."""
     judged = predict(docs.withColumnsRenamed({c: f"own_{k}" for k, c in enumerate(docs.columns) if c in ("lang_pred", "score")}), fit(docs))
-    kept = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score")
+    kept = judged.where(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score")
     return kept.withColumnsRenamed({f"own_{k}": c for k, c in enumerate(docs.columns) if c in ("lang_pred", "score")})

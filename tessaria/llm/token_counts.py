@@ -2,23 +2,25 @@
 
 Totals by source, language and tokenizer version are additive: inserts add a
 document's counts, deletes subtract what the ledger holds of it, revised counts
-do both. A batch is committed by renaming one staged folder, which holds its
-signed sums and its ledger rows, to the batch's own name. A batch that is
-there already is skipped, so that a replay or a retry after a failure adds
-nothing; readers see a batch whole or not at all.
+do both, and so does the insert of a document that the ledger holds already. A
+batch is committed by renaming one staged folder, which holds its signed sums and
+its ledger rows, to the batch's own name; the renaming fails where that is
+taken. A batch that is there already is skipped, so that a replay or a retry
+after a failure adds nothing; readers see a batch whole or not at all.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaria.llm import tokens
-from tessaria.llm.common import drop, small_batches
+from tessaria.llm.common import drop, rename_once, small_batches
 
 VERSION = "byte_bpe_50k"
 KEYS = ["source", "lang", "tokenizer"]
@@ -78,18 +80,21 @@ class Rollup:
 
         inserts and revised have the columns of the ledger, deletes has doc_id and
         tokenizer. A revised document's present rows are taken back, whatever their
-        source and language; one that is unknown is an insert; an unknown delete does
-        nothing. Null ids, sources and languages are values like any other. Within a
-        batch rows of one document add up.
+        source and language, and an inserted one's too, if other batches have brought it;
+        one that is unknown is an insert; an unknown delete does nothing. Null sources
+        and languages are values like any other, and so are null ids, but that an insert
+        without an id is always new. Within a batch rows of one document add up. Empty
+        tables add nothing. Batches that share documents are committed one after another.
         """
         final = self.path(f"{self.where}/batches/{batch}")
         if self.fs.exists(final):
             return False
         signed = [x for x in (inserts, revised) if x is not None]
         gone = [x.select("doc_id", "tokenizer") for x in (deletes, revised) if x is not None]
+        if inserts is not None and self.batches():
+            gone.append(inserts.where("doc_id is not null").select("doc_id", "tokenizer"))
         if gone:
-            ids = gone[0].unionByName(gone[1]) if len(gone) > 1 else gone[0]
-            ids = ids.distinct().withColumnsRenamed({"doc_id": "d", "tokenizer": "t"})
+            ids = reduce(DataFrame.unionByName, gone).distinct().withColumnsRenamed({"doc_id": "d", "tokenizer": "t"})
             held = self.ledger()
             held = held.join(ids, held.doc_id.eqNullSafe(ids.d) & held.tokenizer.eqNullSafe(ids.t), "left_semi")
             signed.append(held.select("doc_id", *KEYS, *[(-F.col(c)).alias(c) for c in SUMS]))
@@ -104,7 +109,7 @@ class Rollup:
         written = self.spark.read.schema(LEDGER).parquet(f"{stage}/ledger")
         written.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).coalesce(1).write.parquet(f"{stage}/sums")
         self.fs.mkdirs(self.path(f"{self.where}/batches"))
-        if self.fs.exists(final) or not self.fs.rename(self.path(stage), final):
+        if not rename_once(self.spark, stage, final.toString()):
             drop(self.spark, stage)
             return False
         return True
