@@ -32,15 +32,31 @@ def test_exact_empty(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
-def test_directory_doubles_until_no_bucket_is_overfull(spark):
+def test_directory_splits_overfull_buckets(spark):
     keys = spark.range(4000).select(F.xxhash64("id").alias("key"))
-    depth = exact_dedup.directory_depth(keys, capacity=300, most=12)
-    size = [r["count"] for r in keys.groupBy(exact_dedup.cell(F.col("key"), depth)).count().collect()]
-    assert max(size) <= 300 and depth == 4
-    same = spark.range(100).select(F.lit(5).cast("long").alias("key"))
-    assert exact_dedup.directory_depth(same, capacity=10, most=6) == 6  # equal keys are chained, not split
+    routes = exact_dedup.directory(keys, capacity=300, most=12)
+    placed = keys.withColumn("cell", exact_dedup.cell(F.col("key"), 12)).join(routes, "cell")
+    assert placed.count() == 4000 and routes.count() == 1 << 12
+    assert max(r["count"] for r in placed.groupBy("bucket").count().collect()) <= 300
+    same = spark.range(100).select(F.lit(5).cast("long").alias("key"))  # equal keys are chained, not split
+    depth = {r["cell"]: r["depth"] for r in exact_dedup.directory(same, capacity=10, most=6).collect()}
+    assert depth[0] == 6 and depth[1] == 6 and depth[2] == 5 and depth[63] == 1
 
 
+def test_buckets_have_depths_of_their_own():
+    """A full half is split on while the empty one stays one bucket; ranges cover all keys in order."""
+    made = exact_dedup.buckets({0: 9, 1: 1, 2: 1}, capacity=4, most=3)
+    assert made == [(0, 0, 3), (1, 1, 3), (2, 2, 2), (3, 4, 1)]
+    assert exact_dedup.buckets({}, capacity=4, most=3) == [(0, 0, 0)]
+
+
+def test_index_is_owned_by_buckets(spark, docs):
+    """No shuffle between routing and the index; colliding keys are chained and told apart."""
+    located = spark.createDataFrame([(k, 77, bytes([k % 3]), 4, 10 + k) for k in range(9)] + [(k, k << 57, b"x", 4, 1) for k in range(20, 60)], "doc_id long, key long, digest binary, bytes int, points long")
+    index, _ = exact_dedup.build_index(located, capacity=4, most=8)
+    got = {(r["key"], r["place"]): (r["keep_id"], r["group_size"]) for r in index.where("key = 77").collect()}
+    assert got == {(77, 1): (6, 3), (77, 2): (7, 3), (77, 3): (8, 3)}
+    assert index.count() == 43 and index.groupBy("bucket").agg(F.countDistinct("key").alias("n")).agg(F.max("n")).first()[0] <= 4
 
 
 def jaccard(a, b):
@@ -231,8 +247,8 @@ def test_substrings_empty(empty):
 
 
 def test_substrings_in_many_groups(spark, docs, monkeypatch):
-    """Small groups, runs and slices, and a prefix that is in most windows."""
-    for name, value in (("GROUP_LEAVES", 50), ("GROUP_BYTES", 3000), ("RUN", 200)):
+    """Small groups, runs and slices, hot anchors and such that aren't."""
+    for name, value in (("GROUP_WORDS", 300), ("GROUP_BYTES", 3000), ("RUN", 200), ("RUN_BYTES", 2000), ("HOT", 12)):
         monkeypatch.setattr(substring_dedup, name, value)
     monkeypatch.setattr(words, "SLICE_BYTES", 2000)
     passage = prose(41, 40)
@@ -240,10 +256,22 @@ def test_substrings_in_many_groups(spark, docs, monkeypatch):
     check_substrings(spark.createDataFrame(many, "doc_id long, text string").repartition(4), 20)
 
 
-def test_plan_splits_hot_prefixes():
-    base, split, length, groups = substring_dedup.plan_groups({3: 10, 4: 10, 9: 1000, 12: 5}, most=20)
-    assert split[9] == 50 and length[9] == substring_dedup.PREFIXES[1] and split[3] == 1 and base[3] == base[4]
-    assert groups == 1 + 50 + 1 and base[12] == 51
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=60), st.integers(1, 9))
+def test_nodes_are_those_of_the_words(ids, depth):
+    """Two suffixes lie under one node exactly if their first words are equal."""
+    node = substring_dedup.nodes(np.array(ids, np.int64), depth)
+    known = {}
+    for k in range(len(ids) - depth + 1):
+        assert known.setdefault(tuple(ids[k : k + depth]), node[k]) == node[k]
+    assert len(set(known.values())) == len(known)
+
+
+def test_words_are_told_apart_by_their_bytes():
+    data, off = words.buffers(pa.array(["aa b  aa", "b\taab é"], pa.string()))
+    _, start, end, _ = words.words(data, off, words.PLAIN)
+    assert substring_dedup.word_numbers(data, start, end).tolist() == [0, 1, 0, 1, 2, 3]
+    assert substring_dedup.word_numbers(data[:0], start[:0], end[:0]).tolist() == []
 
 
 @settings(max_examples=60, deadline=None)

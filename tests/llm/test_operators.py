@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -88,25 +89,25 @@ def leaks_brute(text, window):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
     w, hit, ids = word.findall(low(text or "")), set(), set()
-    for i, t in ITEMS:
+    for place, (i, t) in enumerate(ITEMS):
         x = word.findall(low(t or ""))
         n = min(window, len(x))
-        for k in range(len(x) - n + 1 if n and i is not None else 0):
+        for k in range(len(x) - n + 1 if n else 0):
             for j in range(len(w) - n + 1):
                 if w[j : j + n] == x[k : k + n]:
                     hit |= set(range(j, j + n))
-                    ids.add(str(i))
-    return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)
+                    ids.add(str(i) if i is not None else place)  # an item without an id counts by itself
+    return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(i for i in ids if isinstance(i, str))).encode()).hexdigest(), bool(hit)
 
 
 def test_leaks(spark, docs, table_rows):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    own = spark.createDataFrame([(100 + k, t) for k, t in enumerate(["short item", "a short, ITEM b", "shorts item", "x漢字-ünï", "x 漢字-Ünï y", (prose(2, 11) + " ") * 50])], "doc_id long, text string")
+    own = spark.createDataFrame([(100 + k, t) for k, t in enumerate(["short item", "a short, ITEM b", "shorts item", "x漢字-ünï", "x 漢字-Ünï y", (prose(2, 11) + " ") * 50, "so " + prose(3, 30) + " short item"])], "doc_id long, text string")
     both = docs.select("doc_id", "text").unionByName(own)
-    for chars in (decontaminate.BLOCK_CHARS, 60):  # one block, and several
-        got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.decontaminate(both, bench, block_chars=chars).collect())
+    for most in (decontaminate.BLOCK_WORDS, 20, 11):  # one block, several, and items cut into parts
+        got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.decontaminate(both, bench, block_words=most).collect())
         assert got == Counter((r["doc_id"], *leaks_brute(r["text"], 10)) for r in both.collect())
-        clean = decontaminate.keep_clean(docs, bench, block_chars=chars)
+        clean = decontaminate.keep_clean(docs, bench, block_words=most)
         assert clean.columns == docs.columns and clean.count() == sum(not leaks_brute(t, 10)[-1] for _, t, *_ in table_rows)
     assert not decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count()
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
@@ -115,11 +116,21 @@ def test_leaks(spark, docs, table_rows):
 def test_spans_point_into_the_original(spark):
     text = "Ünder the,  SHORT -- Item; (漢字 ünder)"
     auto = decontaminate.build([("2", "short item")])
-    w = decontaminate.word_list(text)
-    hit, _ = decontaminate.scan(auto, w)
+    hit, _ = auto.scan(decontaminate.word_list(text))
     assert [text[a:b] for a, b in decontaminate.spans(text, hit)] == ["SHORT -- Item"]
 
 
+def test_a_full_block_stays_small():
+    """The automaton at its bound of words, of a large vocabulary, as its own statistics tell."""
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 1 << 16, decontaminate.BLOCK_WORDS)
+    items = [(str(k), [b"w%d" % x for x in ids[k : k + 64]]) for k in range(0, len(ids), 64)]
+    auto = decontaminate.Windows(items)
+    assert auto.auto.get_stats()["total_size"] < 256 << 20
+    hit, found = auto.scan([b"x", *items[7][1][3:20], b"w1"])
+    assert hit.tolist() == [False, *[True] * 17, False] and found == {7}
+
+
 def test_ids_are_those_of_the_tokenizer_file(table_rows):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -204,6 +215,21 @@ def test_rollup_follows_deltas(spark, docs, tmp_path):
     assert r.commit("c", revised=new) and not r.commit("c", revised=new)
     assert counted(r.totals()) == sums(left.where("doc_id is null or doc_id not in (2, 3)").unionByName(new))
     assert r.batches() == ["a", "b", "c"]
+    again = c.where("doc_id in (4, 5) or doc_id is null")  # held already, but for the rows without an id
+    assert r.commit("d", inserts=again)
+    assert counted(r.totals()) == sums(left.where("doc_id is null or doc_id not in (2, 3)").unionByName(new).unionByName(c.where("doc_id is null")))
+    before = counted(r.totals())
+    assert r.commit("e", inserts=c.limit(0), deletes=c.limit(0)) and counted(r.totals()) == before
+
+
+def test_a_taken_name_is_not_renamed_over(spark, tmp_path):
+    """Nor is the folder moved into the other one, as a plain renaming does on some file systems."""
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "file").write_text(name)
+    assert common.rename_once(spark, f"file://{tmp_path}/one", f"file://{tmp_path}/there")
+    assert not common.rename_once(spark, f"file://{tmp_path}/two", f"file://{tmp_path}/there")
+    assert (tmp_path / "there" / "file").read_text() == "one" and (tmp_path / "two" / "file").exists() and not (tmp_path / "there" / "two").exists()
 
 
 def test_counts(docs, table_rows, empty):
@@ -222,7 +248,7 @@ def test_language_accuracy_on_held_out(spark):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
 
 
-def test_language_edges(spark, docs, empty):
+def test_language_edges(spark, docs, empty, monkeypatch):
     got = language_id.identify(docs).collect()
     assert len(got) == docs.count()
     blank = {7, 8, 9, 2**62}
@@ -234,6 +260,9 @@ def test_language_edges(spark, docs, empty):
     assert language_id.identify(empty).count() == 0
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in language_id.identify(unlabelled).collect()} == {"und"}
+    several = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").when(F.col("doc_id") == 1, "xx").otherwise("de"))
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    assert {r["lang_pred"] for r in language_id.identify(several).collect()} <= {"en", "de", "und"}
     kept = language_id.keep_identified(docs)
     assert kept.columns == docs.columns and [f.dataType for f in kept.schema] == [f.dataType for f in docs.schema]
     assert not {r["doc_id"] for r in kept.collect()} & blank
@@ -269,6 +298,30 @@ def test_html_of_held_out_layouts():
     assert wrong < 0.01 * total
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("plain text only &amp; more", "plain text only & more"),
+        ("first piece</p><p>Second paragraph here, with words.</p>", "first piece\nSecond paragraph here, with words."),
+        ("<body>Some text here that is long enough to be read.<br>And more</body>", "Some text here that is long enough to be read. And more"),
+        ("<html><body>Text one two three four. More of it.</body></html>", "Text one two three four. More of it."),
+        ("<p>One short line.</p><p>And a second one, with words.</p>", "One short line.\nAnd a second one, with words."),
+        ("<html><body><nav><ul><li><a href=x>Home</a></li></ul></nav><article><p>A para.</p></article><aside>side</aside><footer>foot</footer></body></html>", "A para."),
+        ("<article><p>Real text of it.</p><template><p>tmpl</p></template><svg><text>svg</text></svg><p hidden>hid</p><p>All of it.</p></article>", "Real text of it.\nAll of it."),
+        ("<article><p>Real text of it.</p><div style='color: red; display: none'><p>none</p></div><p>seen <span style=\"display:none\">no</span> too</p><div aria-hidden=true>ah</div></article>", "Real text of it.\nseen too"),
+    ],
+)
+def test_html_written_by_hand(page, text):
+    assert html_extract.extract_texts([page], html_extract.model()) == [text]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20000 + "</span>" * 20000, "<ul><li><ul>" + "<div>" * 20000 + "<li></li>" * 20000, "<p><li>" + "<span>" * 20000 + "<div></div>" * 20000, "<b>" * 30000 + "</i>" * 30000, "<a '" * 20000])
+def test_html_is_parsed_in_linear_time(page):
+    began = time.perf_counter()
+    html_extract.parse(page)
+    assert time.perf_counter() - began < 3
+
+
 def test_html_edges(spark):
     body = "".join(f"<p>{prose(k, 60)}.</p>" for k in range(4))
     pages = [None, "", "   ", "<", "<<<>>>", "<article", f"<article><p>a &amp; b &lt;c&gt; &#233; x<br>y\n z</p>{body}", f"<html><body><nav><a href='/'>Home</a></nav><main>{body}<form><p>Your name please</p><input></form></main></body>", "<p>" * 3000 + "deep" + "</div>" * 10, "<script>var a='<p>no</p>'"]
