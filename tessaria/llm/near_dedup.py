@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -208,16 +208,19 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     return rows(docs).mapInArrow(run, f"{ROW}, key decimal(38,0), " + ", ".join(f"{b} long" for b in BAND_NAMES))
 
 
-def bucket_members(nodes: DataFrame) -> DataFrame:
+def bucket_members(nodes: DataFrame) -> tuple[DataFrame, str]:
     """bucket, key, near (the node's next band), size; n, first, bytes of the bucket: a row per node and bucket that it shares with others.
 
-    nodes: key, size, bands; a row per node.
+    nodes: key, size, bands; a row per node. The buckets' sums are a table of their
+    own, so that the join has plain shuffles on both sides and a hot bucket can be split at run time.
     """
     nth = F.posexplode(F.array(*BAND_NAMES)).alias("band", "bucket")
     near = F.expr(f"array({', '.join(BAND_NAMES)})[(band + 1) % {BANDS}]")
     dealt = nodes.select("key", "size", *BAND_NAMES, nth).select("bucket", "key", near.alias("near"), "size")
-    full = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), F.sum("size").alias("bytes")).where("n > 1")
-    return join_spread(dealt, full, ["bucket"], ["key"])
+    full, path = keep(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), F.sum("size").alias("bytes")).where("n > 1"), "buckets")
+    members = keep(dealt.join(full.hint("merge"), "bucket"), "members")
+    drop(nodes.sparkSession, path)
+    return members
 
 
 def star_and_chain(members: DataFrame) -> DataFrame:
@@ -250,27 +253,33 @@ def verified(edges: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
 
 
 def compare(here: pd.DataFrame, asked: pd.DataFrame, idf: np.ndarray, threshold: float) -> pd.DataFrame:
-    """Links (a, b) of each asked node to the nodes here, one link to each component but its own. Both: key, component, text."""
+    """Links (a, b) of each asked node to the nodes here of its group, one link to each component but its own.
+
+    Both: group, key, component, text. Shingles are made in slices of bounded text; groups are at most 2**16.
+    """
     out: list[tuple] = []
     if len(here) and len(asked):
-        comp = pd.factorize(pd.concat([here["component"], asked["component"]]))[0]
-        comp, own = comp[: len(here)], comp[len(here) :]
+        of = lambda name: np.split(pd.factorize(pd.concat([here[name], asked[name]]))[0], [len(here)])
+        (comp, own), (mine, theirs) = of("component"), of("group")
         row, h, w, _ = shingles(pa.array(here["text"], pa.string()), idf)
         total = np.bincount(row, w, len(here))
+        h = (mine[row].astype(U) << U(48)) | h
         order = np.argsort(h, kind="stable")
         h, row, w = h[order], row[order], w[order].astype(float)
-        ids = here["key"].to_numpy()
+        ids, qids = here["key"].to_numpy(), asked["key"].to_numpy()
         qrow, qh, qw, _ = shingles(pa.array(asked["text"], pa.string()), idf)
-        cut = np.searchsorted(qrow, np.arange(len(asked) + 1))
-        for q, (mine, key) in enumerate(zip(own, asked["key"].to_numpy(), strict=True)):
+        qh, qw = (theirs[qrow].astype(U) << U(48)) | qh, qw.astype(float)
+        lo, hi = np.searchsorted(h, qh, "left"), np.searchsorted(h, qh, "right")
+        cut, qtotal = np.searchsorted(qrow, np.arange(len(asked) + 1)), np.bincount(qrow, qw, len(asked))
+        for q in range(len(asked)):
             s = slice(cut[q], cut[q + 1])
-            lo, hi = np.searchsorted(h, qh[s], "left"), np.searchsorted(h, qh[s], "right")
-            n = hi - lo
-            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            both = np.bincount(row[at], np.minimum(w[at], np.repeat(qw[s], n)), len(here))
-            near = np.flatnonzero((both >= threshold * (total + float(qw[s].sum()) - both)) & (comp != mine) & (both > 0))
+            n = hi[s] - lo[s]
+            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[s], n)
+            seen, place = np.unique(row[at], return_inverse=True)
+            both = np.bincount(place, np.minimum(w[at], np.repeat(qw[s], n)), len(seen))
+            near = seen[(both >= threshold * (total[seen] + qtotal[q] - both)) & (comp[seen] != own[q])]
             _, once = np.unique(comp[near], return_index=True)
-            out += [(key, ids[near[k]]) for k in once]
+            out += [(qids[q], ids[near[k]]) for k in once]
     return pd.DataFrame(out, columns=["a", "b"], dtype=object)
 
 
@@ -278,8 +287,9 @@ LINKS = "a decimal(38,0), b decimal(38,0)"
 
 
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with their own, whether that is the bucket's largest, and their block of ``blocks``."""
-    placed = members.join(found, members.key == found.node, "left").select("bucket", "key", "size", "n", "bytes", F.coalesce("component", "key").alias("component"))
+    """Members of buckets of three and more that hold several components (the pair of a smaller one has been verified):
+    with their component, whether that is not the bucket's largest (rest), and their block of ``blocks``."""
+    placed = members.where("n > 2").join(found, members.key == found.node, "left").select("bucket", "key", "size", "n", "bytes", F.coalesce("component", "key").alias("component"))
     by = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
     mixed = by.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("bucket", "top.component")
     m = join_spread(placed, mixed.withColumnRenamed("component", "top"), ["bucket"], ["key"])
@@ -287,14 +297,20 @@ def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     return m.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key", F.lit(4)), "blocks")).withColumn("rest", F.col("component") != F.col("top"))
 
 
+def _turns(group: Column, rows: int, size: int) -> Column:
+    """Small groups share a turn of pandas code, as many as hold some rows or bytes of a block."""
+    return F.pmod(F.xxhash64(group), F.lit(max(1, -(-rows // BLOCK), -(-size // BLOCK_BYTES))))
+
+
 def compare_within_blocks(mixed: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """Links between different components, each node outside its bucket's largest one held against its own block."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return compare(pdf, pdf[pdf["rest"]], idf.value, threshold)
 
-    m = mixed.select("bucket", "block", "key", "component", "rest")
-    return m.join(texts.hint("merge"), "key").groupBy("bucket", "block").applyInPandas(run, LINKS)
+    rows, size = mixed.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    m = mixed.select(F.xxhash64("bucket", "block").alias("group"), "key", "component", "rest").withColumn("turn", _turns(F.col("group"), rows, size))
+    return m.join(texts.hint("merge"), "key").groupBy("turn").applyInPandas(run, LINKS)
 
 
 def compare_across_blocks(mixed: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
@@ -307,11 +323,11 @@ def compare_across_blocks(mixed: DataFrame, texts: DataFrame, idf, threshold: fl
     outside = m.where("rest").groupBy("bucket").agg(F.count(F.lit(1)).alias("r"), F.sum("size").alias("rb")).select("bucket", F.ceil(F.greatest(F.col("r") / BLOCK, F.col("rb") / BLOCK_BYTES)).alias("turns"))
     m = join_spread(m, outside, ["bucket"], ["key"]).join(texts.hint("merge"), "key")
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    here = m.select("bucket", "block", upto("turns").alias("turn"), "key", "component", "text")
-    asked = m.where("rest").select("bucket", "block", upto("blocks").alias("of"), F.pmod(F.xxhash64("key", F.lit(6)), "turns").alias("turn"), "key", "component", "text")
-    asked = asked.where("of <> block").select(*[F.col(c).alias(n) for c, n in (("bucket", "bucket"), ("of", "block"), ("turn", "turn"), ("key", "key"), ("component", "component"), ("text", "text"))])
-    by = ["bucket", "block", "turn"]
-    return here.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(run, LINKS)
+    group, own = F.xxhash64("bucket", "block", "turn").alias("group"), [F.col(c).alias(c) for c in ("key", "component", "text")]
+    here = m.withColumn("turn", upto("turns")).select(group, *own)
+    asked = m.where("rest").withColumn("turn", F.pmod(F.xxhash64("key", F.lit(6)), "turns")).withColumn("of", upto("blocks")).where("of <> block")
+    asked = asked.withColumn("block", F.col("of")).select(group, *own)
+    return here.groupBy("group").cogroup(asked.groupBy("group")).applyInPandas(run, LINKS)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -324,7 +340,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes, nodes_path = keep(
         sig.where("key is not null").groupBy("key").agg(F.min(F.struct("oid", "th")).alias("head"), F.max("size").alias("size"), *[F.max(b).alias(b) for b in BAND_NAMES]), "nodes"
     )
-    members, members_path = keep(bucket_members(nodes), "members")
+    members, members_path = bucket_members(nodes)
     wanted = nodes.join(members.select("key").distinct(), "key", "left_semi").select("key", "head.*")
     # The ids grow with the corpus: they are hashed in shuffled parts at any size, never broadcast, and texts are not sorted.
     texts, texts_path = keep(rows(docs).select("oid", "th", "text").join(wanted.hint("shuffle_hash"), ["oid", "th"]).select("key", "text"), "texts")
@@ -336,15 +352,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     paths = [members_path, texts_path, links_path]
     for step in (compare_within_blocks, compare_across_blocks):
         mixed, mixed_path = keep(_mixed(members, found), "mixed")
+        paths.append(mixed_path)
+        if mixed.where("rest" if step is compare_within_blocks else "blocks > 1").isEmpty():
+            break
         more, more_path = keep(step(mixed, texts, idf, threshold), "links")
-        paths += [mixed_path, more_path]
+        paths.append(more_path)
         if not more.isEmpty():
             found = components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     placed = nodes.select("key", "head").join(found, nodes.key == found.node, "left").select("key", "head", F.coalesce("component", "key").alias("component"))
     tops = placed.groupBy("component").agg(F.min("head").alias("top"))
     named, _ = keep(join_spread(placed, tops, ["component"], ["key"]).select("key", F.col("head.oid").alias("rep"), "top"), "classes")
     drop(spark, *paths, nodes_path)
-    some = join_spread(sig.where("key is not null").select("oid", "th", "doc_id", "key"), named, ["key"], ["oid", "th"])
+    some = sig.where("key is not null").select("oid", "th", "doc_id", "key").join(named.hint("merge"), "key")
     id_of = lambda c: F.when(c != LAST, c)
     here = some.select("oid", "th", "doc_id", "key", id_of(F.col("top.oid")).alias("class_id"), id_of(F.col("rep")).alias("rep_id"), ((F.col("oid") == F.col("top.oid")) & (F.col("th") == F.col("top.th"))).alias("kept"))
     alone = sig.where("key is null").select("oid", "th", "doc_id", "key", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"), F.lit(True).alias("kept"))
