@@ -1,36 +1,88 @@
-"""Inverted index as tables: postings with lengths, document frequencies, corpus statistics, fingerprints."""
+"""Inverted index as tables: postings with lengths, document frequencies, norms, corpus statistics, fingerprints."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaria.functions.tokens import search_tokens
 
 
+def idf(df: Column, n: Column) -> Column:
+    return F.log((n - df + 0.5) / (df + 0.5) + 1.0)
+
+
 @dataclass
 class Index:
-    """postings: doc_id, term, tf, dl; df: term, df; stats: one row of n_docs, avgdl.
+    """postings: doc_id, term, tf, dl, and df once written; df: term, df; stats: one row of n_docs, avgdl; norms: doc_id, norm of tf / length * idf.
 
-    The tables can be written once and read again: postings clustered by term,
-    so that a query's terms prune what is read.
+    The tables can be written once and read again: postings clustered by term, with
+    their terms' frequencies, so that a batch of queries joins nothing but its own terms.
     """
 
     postings: DataFrame
     df: DataFrame
     stats: DataFrame
+    norms: DataFrame | None = None
+
+    def weighted(self, terms: DataFrame) -> DataFrame:
+        """The postings of some terms (term and further columns), with df: they are pruned before anything else is joined."""
+        hit = self.postings.join(terms, "term")
+        return hit if "df" in self.postings.columns else hit.join(self.df, "term")
+
+    def doc_norms(self) -> DataFrame:
+        if self.norms is not None:
+            return self.norms
+        w = F.col("tf") / F.col("dl") * idf(F.col("df"), F.col("n_docs"))
+        all_ = self.postings if "df" in self.postings.columns else self.postings.join(self.df, "term")
+        return all_.crossJoin(self.stats).groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
 
     def write(self, path: str, buckets: int = 64) -> None:
-        by_term = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-        self.postings.select("*", by_term).repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
-        self.df.write.mode("overwrite").parquet(f"{path}/df")
+        """Tables in the folder ``path``; postings are tokenised once, all else comes from what is written."""
+        spark = self.postings.sparkSession
+        self.postings.write.mode("overwrite").parquet(f"{path}/raw")
+        raw = spark.read.parquet(f"{path}/raw")
+        raw.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/df")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        by_term = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+        full = raw.join(spark.read.parquet(f"{path}/df"), "term").select("*", by_term)
+        full.repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+        Index.read(spark, path, norms=False).doc_norms().write.mode("overwrite").parquet(f"{path}/norms")
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/raw")
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     @staticmethod
-    def read(spark, path: str) -> Index:
-        return Index(spark.read.parquet(f"{path}/postings").drop("bucket"), spark.read.parquet(f"{path}/df"), spark.read.parquet(f"{path}/stats"))
+    def read(spark: SparkSession, path: str, norms: bool = True) -> Index:
+        part = lambda name: spark.read.parquet(f"{path}/{name}")
+        return Index(part("postings").drop("bucket"), part("df"), part("stats"), part("norms") if norms else None)
+
+
+_written: dict[tuple, str] = {}
+
+
+def written_index(spark: SparkSession, source: str, build: Callable[[], Index]) -> Index:
+    """The index of the table at ``source``, written once per application and read from then on, until the table's files change.
+
+    It lies in spark.checkpoint.dir; where that is unset in a temporary folder, which serves a single machine only.
+    """
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(context._jsc.hadoopConfiguration())
+    size = fs.getContentSummary(path)
+    key = (context.applicationId, source, size.getLength(), size.getFileCount(), fs.getFileStatus(path).getModificationTime())
+    if key not in _written:
+        root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if not root and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = f"{(root or 'file://' + tempfile.gettempdir()).rstrip('/')}/index-{uuid.uuid4().hex}"
+        build().write(where)
+        _written[key] = where
+    return Index.read(spark, _written[key])
 
 
 def tokenised(docs: DataFrame, id_col: str, text: Column, tokens=search_tokens) -> DataFrame:

@@ -53,14 +53,26 @@ def summary(per: DataFrame, drop_empty: bool = False) -> DataFrame:
 
 
 def at_many_k(run: DataFrame, qrels: DataFrame, ks=(1, 3, 5, 10, 20, 100)) -> DataFrame:
-    """Binary metrics at several k: k, hit, recall, map (by at most k), ndcg, mrr."""
-    out = None
-    for k in ks:
-        m = per_query(run, qrels, k, binary=True, ap_base="min")
-        r = lambda c: F.round(F.avg(c), 6)
-        one = m.agg(r("hit").alias("hit"), r("recall").alias("recall"), r("ap").alias("map"), r("ndcg").alias("ndcg"), r("rr").alias("mrr")).select(F.lit(k).alias("k"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Binary metrics at several k, in one pass: k, hit, recall, map (by at most k), ndcg, mrr."""
+    good = qrels.select("query_id", "doc_id", (F.col("rel") > 0).cast("double").alias("rel"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rel").desc(), "doc_id"))
+    gain = lambda at: F.col("rel") / F.log2(F.col(at) + 1.0)
+    truth = good.withColumn("at", nth).groupBy("query_id").agg(F.sum("rel").alias("n_rel"), *[F.sum(F.when(F.col("at") <= k, gain("at"))).alias(f"ideal{k}") for k in ks])
+    seen = F.sum("rel").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    hits = judged(run, good).withColumn("seen", seen)
+    upto = lambda k, x: F.sum(F.when(F.col("rank") <= k, x))
+    each = [x for k in ks for x in (upto(k, F.col("rel")).alias(f"n{k}"), upto(k, gain("rank")).alias(f"dcg{k}"), upto(k, F.col("rel") * F.col("seen") / F.col("rank")).alias(f"ap{k}"))]
+    found = hits.groupBy("query_id").agg(F.min(F.when(F.col("rel") > 0, F.col("rank"))).alias("first"), *each)
+    per = qrels.select("query_id").union(run.select("query_id")).distinct().join(truth, "query_id", "left").join(found, "query_id", "left")
+    mean = lambda x: F.round(F.avg(F.coalesce(x, F.lit(0.0))), 6)
+    rows = [
+        F.struct(
+            F.lit(k).alias("k"), mean((F.col(f"n{k}") > 0).cast("double")).alias("hit"), mean(F.try_divide(f"n{k}", "n_rel")).alias("recall"), mean(F.try_divide(F.col(f"ap{k}"), F.least("n_rel", F.lit(float(k))))).alias("map"),
+            mean(F.try_divide(f"dcg{k}", f"ideal{k}")).alias("ndcg"), mean(1.0 / F.col("first")).alias("mrr"),
+        )
+        for k in ks
+    ]
+    return per.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("x")).select("x.*")
 
 
 def by_format(results: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessaria.functions.tokens import search_tokens, words
-from tessaria.operators.index import Index
+from tessaria.operators.index import Index, idf
 
 K1, B, RRF_K = 1.5, 0.75, 60
 #: The candidates that a leg hands to fusion are this many times the results; at most POOL are reranked.
@@ -30,18 +30,13 @@ def query_terms(queries: DataFrame, text_col: str = "text", tokens=search_tokens
     return queries.select("query_id", F.explode(tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def idf(df: Column, n: Column) -> Column:
-    return F.log((n - df + 0.5) / (df + 0.5) + 1.0)
-
-
 def bm25(queries: DataFrame, index: Index, k: int, k1: float = K1, b: float = B, tokens=search_tokens, weight: Column | None = None) -> DataFrame:
     """query_id, doc_id, score, rank. Only documents that share a term are scored; a query without terms has no result.
 
     ``weight`` may be a Column over ``term``, to weigh words and grams differently.
     """
     terms = query_terms(queries, tokens=tokens)
-    # The terms of the queries prune the postings before anything else is joined.
-    hit = index.postings.join(terms, "term").join(index.df, "term").crossJoin(index.stats)
+    hit = index.weighted(terms).crossJoin(index.stats)
     norm = k1 * (1 - b + b * F.col("dl") / F.greatest("avgdl", F.lit(1.0)))
     part = F.col("qtf") * idf(F.col("df"), F.col("n_docs")) * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
     if weight is not None:
@@ -51,16 +46,23 @@ def bm25(queries: DataFrame, index: Index, k: int, k1: float = K1, b: float = B,
 
 def tfidf(queries: DataFrame, index: Index, k: int) -> DataFrame:
     """Cosine of tf / length * idf vectors. Terms that the corpus lacks weigh 1 in the query's length."""
-    n = F.col("n_docs")
-    w = index.postings.join(index.df, "term").crossJoin(index.stats).select("doc_id", "term", (F.col("tf") / F.col("dl") * idf(F.col("df"), n)).alias("w"))
-    norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    qw = query_weights(queries, index)
+    qnorm = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
+    scored = dot_products(qw, index).join(index.doc_norms(), "doc_id").join(qnorm, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
+    return top_k(scored.where("score > 0"), k)
+
+
+def query_weights(queries: DataFrame, index: Index) -> DataFrame:
+    """query_id, term, qw: share of the query's terms times idf; terms that the corpus lacks weigh as if their idf were 1."""
     q = query_terms(queries)
     total = q.groupBy("query_id").agg(F.sum("qtf").alias("ql"))
-    q = q.join(total, "query_id").join(index.df, "term", "left").crossJoin(index.stats).select("query_id", "term", (F.col("qtf") / F.col("ql") * F.coalesce(idf(F.col("df"), n), F.lit(1.0))).alias("qw"))
-    qnorm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dot = q.join(w, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    scored = dot.join(norm, "doc_id").join(qnorm, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
-    return top_k(scored.where("score > 0"), k)
+    return q.join(total, "query_id").join(index.df, "term", "left").crossJoin(index.stats).select("query_id", "term", (F.col("qtf") / F.col("ql") * F.coalesce(idf(F.col("df"), F.col("n_docs")), F.lit(1.0))).alias("qw"))
+
+
+def dot_products(qw: DataFrame, index: Index) -> DataFrame:
+    """query_id, doc_id, dot of query weights and tf / length * idf, over the documents that share a term."""
+    w = F.col("tf") / F.col("dl") * idf(F.col("df"), F.col("n_docs"))
+    return index.weighted(qw).crossJoin(index.stats).groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * w).alias("dot"))
 
 
 def cosine(a: Column, b: Column) -> Column:

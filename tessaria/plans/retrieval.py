@@ -24,19 +24,25 @@ def questions(spark, sf_dir):
 
 
 def index(spark, sf_dir):
+    """The index of the documents, written once and then read."""
+    return X.written_index(spark, f"{sf_dir}/documents.parquet", lambda: fresh_index(spark, sf_dir))
+
+
+def fresh_index(spark, sf_dir):
     return X.build_index(docs(spark, sf_dir))
 
 
-def qrels(spark, sf_dir, scored=None):
-    """Relevant are documents that hold the passage, found by its words: pairs that share the passage's rarest words, then verified.
+def qrels(spark, sf_dir):
+    """Relevant are documents that hold the passage: those that have its longest word are the candidates, and the texts decide.
 
-    The candidates come from BM25 over all documents; a passage that a document holds ranks
-    before any that lacks some of its words, and the pair is verified by the text itself.
+    Words travel with ids alone; texts are fetched for the candidates.
     """
     words = K.words(F.col("text"))
-    item = questions(spark, sf_dir).select("query_id", F.col("text").alias("passage"), F.element_at(F.array_sort(F.transform(words, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))), -1)["w"].alias("key"))
-    body = docs(spark, sf_dir).select("doc_id", "text", F.explode(F.array_distinct(words)).alias("key"))
-    return body.join(item, "key").where(F.contains("text", F.col("passage"))).select("query_id", "doc_id", F.lit(1).alias("rel")).distinct()
+    longest = F.element_at(F.array_sort(F.transform(words, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))), -1)["w"]
+    item = questions(spark, sf_dir).select("query_id", longest.alias("key"))
+    pairs = docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(words)).alias("key")).join(item, "key").select("query_id", "doc_id").distinct()
+    both = pairs.join(questions(spark, sf_dir).withColumnRenamed("text", "passage"), "query_id").join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    return both.where(F.contains("text", F.col("passage"))).select("query_id", "doc_id", F.lit(1).alias("rel"))
 
 
 BASE = f"""
@@ -61,17 +67,17 @@ def flagship(spark, sf_dir):
 
 @query("h10_document_frequency", f"WITH {BASE} SELECT term, df FROM df")
 def document_frequency(spark, sf_dir):
-    return index(spark, sf_dir).df
+    return fresh_index(spark, sf_dir).df
 
 
 @query("h10_corpus_stats", f"WITH {BASE} SELECT n AS n_docs, round(avgdl, 6) AS avgdl FROM stats")
 def corpus_stats(spark, sf_dir):
-    return index(spark, sf_dir).stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return fresh_index(spark, sf_dir).stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("h11_term_frequency", f"WITH {BASE} SELECT doc_id, term, tf, dl FROM p JOIN dl USING (doc_id)")
 def term_frequency(spark, sf_dir):
-    return index(spark, sf_dir).postings
+    return fresh_index(spark, sf_dir).postings
 
 
 @query("h21_corpus_fingerprint")
@@ -109,60 +115,42 @@ def tfidf_cosine(spark, sf_dir):
 @query("g6_sparse_dot", f"WITH {TFIDF} SELECT query_id, doc_id, round(d, 6) AS dot FROM dot")
 def sparse_dot(spark, sf_dir):
     ix = index(spark, sf_dir)
-    n = F.col("n_docs")
-    w = ix.postings.join(ix.df, "term").crossJoin(ix.stats).select("doc_id", "term", (F.col("tf") / F.col("dl") * R.idf(F.col("df"), n)).alias("w"))
-    q = R.query_terms(questions(spark, sf_dir))
-    total = q.groupBy("query_id").agg(F.sum("qtf").alias("ql"))
-    qw = q.join(total, "query_id").join(ix.df, "term").crossJoin(ix.stats).select("query_id", "term", (F.col("qtf") / F.col("ql") * R.idf(F.col("df"), n)).alias("qw"))
-    return qw.join(w, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("dot"))
+    return R.dot_products(R.query_weights(questions(spark, sf_dir), ix), ix).select("query_id", "doc_id", F.round("dot", 6).alias("dot"))
 
 
 def vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
 
 
-#: One query vector per label: its first one. The number of labels is fixed.
 def query_vectors(spark, sf_dir):
-    first = vectors(spark, sf_dir).groupBy("label").agg(F.min("doc_id").alias("doc_id"))
-    return vectors(spark, sf_dir).join(first.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "vector", "label")
+    """Searched is with every row whose id is divisible by 20, against all rows."""
+    return vectors(spark, sf_dir).where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
 
 
 DENSE = """
-v AS (SELECT vec_id AS doc_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), qv AS (SELECT doc_id AS query_id, e AS qe, label AS ql FROM v WHERE doc_id IN (SELECT min(doc_id) FROM v GROUP BY label)),
+v AS (SELECT vec_id AS doc_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), qv AS (SELECT doc_id AS query_id, e AS qe, label AS ql FROM v WHERE doc_id % 20 = 0),
 de AS (SELECT query_id, doc_id, ql, label, list_cosine_similarity(qe, e) AS score FROM qv, v), dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM de)
 """
 
 
 @query("i3_dense_topk", f"WITH {DENSE} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM dense WHERE rank <= 10")
 def dense_topk(spark, sf_dir):
-    return R.dense(query_vectors(spark, sf_dir), vectors(spark, sf_dir), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
-
-
-@query("g7_similarity_join", f"WITH {DENSE} SELECT query_id, doc_id, round(score, 6) AS score FROM de WHERE score >= 0.3")
-def similarity_join(spark, sf_dir):
-    """The native form, for a fixed number of query vectors: one per label."""
-    q = query_vectors(spark, sf_dir).select("query_id", F.col("vector").alias("qv"))
-    c = R.cosine(F.col("qv"), F.col("vector"))
-    return vectors(spark, sf_dir).join(F.broadcast(q), c >= 0.3, "inner").select("query_id", "doc_id", F.round(c, 6).alias("score"))
-
-
-#: The whole job beside the three queries above and below whose SQL takes a query vector per label: searched is with every twentieth row.
-SEARCH = DENSE.replace("doc_id IN (SELECT min(doc_id) FROM v GROUP BY label)", "doc_id % 20 = 0")
-
-
-def search_vectors(spark, sf_dir):
-    return vectors(spark, sf_dir).where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    return _ranked(R.dense(query_vectors(spark, sf_dir), spread(vectors(spark, sf_dir)), 10))
 
 
-@query("i3_dense_search", f"WITH {SEARCH} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM dense WHERE rank <= 10")
-def dense_search(spark, sf_dir):
-    return _ranked(R.dense(search_vectors(spark, sf_dir), spread(vectors(spark, sf_dir)), 10))
+SIMILAR = 0.3
 
 
-@query("g7_similarity_classes")
-def similarity_classes(spark, sf_dir):
+@query("g7_similarity_join", f"""
+WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+link AS (SELECT a.id AS a, b.id AS b FROM v a, v b WHERE a.id <> b.id AND list_cosine_similarity(a.e, b.e) >= {SIMILAR}),
+reach(id, top) AS (SELECT id, id FROM v UNION SELECT link.b, reach.top FROM reach JOIN link ON link.a = reach.id AND reach.top < link.b),
+class AS (SELECT id, min(top) AS class_id FROM reach GROUP BY id)
+SELECT id AS doc_id, class_id, (SELECT count(*) FROM link WHERE a = id) AS n_links FROM class
+""")
+def similarity_join(spark, sf_dir):
     """The whole table against itself: each row's class and its number of links."""
-    return R.similarity_join(vectors(spark, sf_dir), 0.3)
+    return R.similarity_join(vectors(spark, sf_dir), SIMILAR)
 
 
 LEGS = TFIDF
@@ -243,7 +231,14 @@ def filtered_hybrid(spark, sf_dir):
     return R.top_k(fused.join(own, "doc_id"), 5).select("query_id", "doc_id", "source", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("i11_multi_query")
+@query("i11_multi_query", f"""
+WITH {BASE}, legs AS (SELECT query_id, variant, text FROM (SELECT item_id AS query_id, unnest([0, 1, 2]) AS variant, unnest([text, array_to_string(list_filter(regexp_extract_all(text, {WORD}), lambda w: length(w) > 6), ' '), array_to_string(regexp_extract_all(text, {WORD})[1:10], ' ')]) AS text FROM benchmark) WHERE text <> ''),
+lq AS (SELECT query_id, variant, unnest({search_tokens_sql('text')}) AS term FROM legs),
+ls AS (SELECT query_id, variant, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(avgdl, 1)))) AS score FROM lq JOIN p USING (term) JOIN df USING (term) JOIN dl USING (doc_id), stats GROUP BY ALL),
+lr AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY round(score, 9) DESC, doc_id) AS r FROM ls),
+s AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + r)), 12) AS score FROM lr WHERE r <= 15 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM k WHERE rank <= 5
+""")
 def multi_query(spark, sf_dir):
     """The mock generator gives the query's long words and its first ten words."""
     w = lambda c: K.words(c)
@@ -296,7 +291,15 @@ def summary_unit(spark, sf_dir):
     return M.summary(M.per_query(bm25_run(spark, sf_dir, 10).withColumn("score", F.lit(1.0)), qrels(spark, sf_dir), 10, questions(spark, sf_dir)))
 
 
-@query("j8_metrics_at_many_k")
+@query("j8_metrics_at_many_k", f"""
+WITH {BASE}, {QRELS}, run AS (SELECT query_id, doc_id, rank FROM bm25 WHERE rank <= 100), ks(k) AS (VALUES (1), (3), (5), (10), (20), (100)),
+c AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS seen FROM (SELECT query_id, doc_id, rank, coalesce(rel, 0) AS rel FROM run LEFT JOIN qrels USING (query_id, doc_id))),
+ids AS (SELECT query_id FROM qrels UNION SELECT query_id FROM run), nr AS (SELECT query_id, count(*) AS n_rel FROM qrels GROUP BY query_id), f AS (SELECT query_id, min(CASE WHEN rel = 1 THEN rank END) AS fr FROM c GROUP BY query_id),
+x AS (SELECT query_id, k, sum(rel) AS n, sum(rel / log2(rank + 1)) AS dcg, sum(rel * seen::DOUBLE / rank) AS aps FROM c JOIN ks ON rank <= k GROUP BY ALL)
+SELECT CAST(ks.k AS INTEGER) AS k, round(avg(CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit, round(avg(coalesce(n::DOUBLE / n_rel, 0)), 6) AS recall, round(avg(coalesce(aps / least(n_rel, ks.k), 0)), 6) AS map,
+  round(avg(coalesce(dcg / list_sum(list_transform(range(1, CAST(least(n_rel, ks.k) AS BIGINT) + 1), lambda i: 1.0::DOUBLE / log2(i + 1))), 0)), 6) AS ndcg, round(avg(coalesce(1.0::DOUBLE / fr, 0)), 6) AS mrr
+FROM ids CROSS JOIN ks LEFT JOIN x ON x.query_id = ids.query_id AND x.k = ks.k LEFT JOIN nr ON nr.query_id = ids.query_id LEFT JOIN f ON f.query_id = ids.query_id GROUP BY ks.k
+""")
 def many_k(spark, sf_dir):
     run, rel = bm25_run(spark, sf_dir, 100), qrels(spark, sf_dir)
     return M.at_many_k(run, rel)
@@ -308,22 +311,12 @@ DENSE_RUN = f"{DENSE}, run AS (SELECT query_id, doc_id, ql, label, rank FROM den
 @query("j8_dense_label_precision", f"WITH {DENSE_RUN} SELECT query_id, sum(CASE WHEN label = ql THEN 1 ELSE 0 END) / 10.0::DOUBLE AS precision FROM run GROUP BY query_id")
 def dense_precision(spark, sf_dir):
     """Vectors of the query's label are relevant."""
-    return label_precision(query_vectors(spark, sf_dir), vectors(spark, sf_dir))
-
-
-def label_precision(q, vectors):
-    run = R.dense(q, vectors, 10).where("doc_id <> query_id")
-    labels = vectors.select("doc_id", "label")
+    q, labels = query_vectors(spark, sf_dir), vectors(spark, sf_dir).select("doc_id", "label")
+    run = R.dense(q, spread(vectors(spark, sf_dir)), 10).where("doc_id <> query_id")
     j = run.join(labels, "doc_id").join(q.select("query_id", F.col("label").alias("ql")), "query_id")
     return j.groupBy("query_id").agg((F.sum((F.col("label") == F.col("ql")).cast("int")) / 10).alias("precision"))
 
 
-@query("j8_dense_search_precision", f"WITH {DENSE_RUN.replace(DENSE, SEARCH)} SELECT query_id, sum(CASE WHEN label = ql THEN 1 ELSE 0 END) / 10.0::DOUBLE AS precision FROM run GROUP BY query_id")
-def dense_search_precision(spark, sf_dir):
-    """As j8_dense_label_precision, for every twentieth row."""
-    return label_precision(search_vectors(spark, sf_dir), spread(vectors(spark, sf_dir)))
-
-
 @query("j9_rag_overlap", f"""
 WITH {BASE}, c AS (SELECT query_id, list(regexp_extract_all(text, {WORD})) AS ctx FROM bm25 JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id),
 a AS (SELECT query_id, ctx, list_distinct(regexp_extract_all(text, {WORD})) AS t FROM c JOIN benchmark ON item_id = query_id)
@@ -394,20 +387,14 @@ def score_fusion(spark, sf_dir):
     return R.fuse_scores(list(legs(spark, sf_dir)), [0.6, 0.4]).select("query_id", "doc_id", F.round("score", 5).alias("score"))
 
 
-@query("r5_rank_correlation", f"WITH {LEGS} SELECT a.query_id, count(*) AS n FROM (SELECT * FROM bm25 WHERE rank <= 30) a JOIN (SELECT * FROM tfidf WHERE rank <= 30) b USING (query_id, doc_id) GROUP BY a.query_id")
-def rank_overlap(spark, sf_dir):
-    bm, tf = legs(spark, sf_dir)
-    return bm.join(tf.select("query_id", "doc_id"), ["query_id", "doc_id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 RANKED = f"""{FUSED}, a AS (SELECT * FROM bm25 WHERE rank <= 30), b AS (SELECT * FROM tfidf WHERE rank <= 30),
 shared AS (SELECT a.query_id, row_number() OVER (PARTITION BY a.query_id ORDER BY a.rank) AS x, row_number() OVER (PARTITION BY a.query_id ORDER BY b.rank) AS y FROM a JOIN b USING (query_id, doc_id)),
 pairs AS (SELECT p.query_id, sum(sign((p.x - q.x) * (p.y - q.y))) AS s, count(*) AS m FROM shared p JOIN shared q ON p.query_id = q.query_id AND p.x < q.x GROUP BY p.query_id),
 rho AS (SELECT query_id, count(*) AS n, CASE WHEN count(*) > 1 THEN 1 - 6.0::DOUBLE * sum((x - y) * (x - y)) / (count(*) * (count(*) * count(*) - 1.0::DOUBLE)) END AS spearman FROM shared GROUP BY query_id)"""
 
 
-@query("r5_rank_agreement", f"WITH {RANKED} SELECT query_id, n, round(spearman, 6) AS spearman, round(s::DOUBLE / m, 6) AS kendall FROM rho LEFT JOIN pairs USING (query_id)")
-def rank_agreement(spark, sf_dir):
+@query("r5_rank_correlation", f"WITH {RANKED} SELECT query_id, n, round(spearman, 6) AS spearman, round(s::DOUBLE / m, 6) AS kendall FROM rho LEFT JOIN pairs USING (query_id)")
+def rank_correlation(spark, sf_dir):
     """Spearman's and Kendall's correlation of the two legs' ranks, over the documents that both have."""
     return M.rank_correlation(*legs(spark, sf_dir)).select("query_id", "n", F.round("spearman", 6).alias("spearman"), F.round("kendall", 6).alias("kendall"))
 
