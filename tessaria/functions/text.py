@@ -7,6 +7,7 @@ notion of white space is spelt out, as Java's ``\\s`` knows ASCII alone.
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -85,9 +86,22 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+@lru_cache(1)
+def unstable() -> str:
+    """A character class of all that composition may change: what isn't its own NFC, combining marks, and second parts of composed characters."""
+    second = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+    for k in range(0x110000):
+        d = unicodedata.decomposition(chr(k))
+        if d and d[0] != "<" and " " in d:
+            second.add(int(d.split(" ")[1], 16))
+    found = [k for k in range(0x300, 0x110000) if not 0xD800 <= k < 0xE000 and (k in second or unicodedata.combining(chr(k)) or not unicodedata.is_normalized("NFC", chr(k)))]
+    cuts = [i for i in range(len(found)) if i == 0 or found[i] != found[i - 1] + 1]
+    return "[" + "".join(rf"\x{{{found[a]:X}}}-\x{{{found[b - 1]:X}}}" for a, b in zip(cuts, [*cuts[1:], len(found)], strict=True)) + "]"
+
+
 def nfc(c: Column) -> Column:
     """Canonical composition. Only texts with characters that it may change pass through Python."""
-    return F.when(c.rlike(r"[\x{0300}-\x{036F}\x{0340}-\x{0345}\x{0653}-\x{0655}\x{093C}\x{09BE}\x{0F71}-\x{0F84}\x{1100}-\x{11FF}\x{1FBE}-\x{1FFD}\x{2126}\x{212A}\x{212B}\x{3099}\x{309A}\x{F900}-\x{FAFF}]|\p{M}"), _nfc(c)).otherwise(c)
+    return F.when(c.rlike(unstable()), _nfc(c)).otherwise(c)
 
 
 def arabic_to_persian(c: Column) -> Column:
