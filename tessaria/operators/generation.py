@@ -126,12 +126,20 @@ def judge(rows: DataFrame, judges: dict[str, Scorer] | None = None) -> DataFrame
 def dataset_from_pairs(chunks: DataFrame, negatives: int = 2, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(queries, qrels) from question chunks (chunk_id, question): the own chunk is relevant, others in hash order are negatives of rel 0.
 
-    Negatives are neighbours on a ring in hash order, so that no query meets all chunks: a range of places per task.
+    Every question has ``negatives`` of them, or all others where there are fewer.
+    They are its successors on a ring in hash order, which is cut into 256 shelves, so
+    that no query meets all chunks: behind a shelf's last question come the first ones
+    of the shelves that follow, a table of bounded size.
     """
     q = chunks.where("question is not null and trim(question) <> ''").select(F.col("chunk_id").cast("string").alias("doc_id"), "question")
     ring = q.withColumn("h", F.sha2(F.concat(F.col("doc_id"), F.lit(f"#{seed}")), 256)).withColumn("shelf", F.substring("h", 1, 2))
     w = Window.partitionBy("shelf").orderBy("h")
-    ring = ring.withColumn("after", F.array_compact(F.array(*[F.lead("doc_id", k + 1).over(w) for k in range(negatives)])))
+    placed = ring.withColumn("at", F.row_number().over(w)).withColumn("next", F.array_compact(F.array(*[F.lead("doc_id", k + 1).over(w) for k in range(negatives)])))
+    heads = placed.where(F.col("at") <= negatives + 1).agg(F.array_sort(F.collect_list(F.struct("shelf", "at", "doc_id"))).alias("heads"))
+    after = F.concat(F.filter("heads", lambda x: x["shelf"] > F.col("shelf")), F.filter("heads", lambda x: x["shelf"] <= F.col("shelf")))
+    more = F.transform(F.slice(after, 1, 2 * negatives + 1), lambda x: x["doc_id"])
+    full = F.when(F.size("next") < negatives, F.array_remove(F.array_distinct(F.concat("next", more)), F.col("doc_id"))).otherwise(F.col("next"))
+    ring = placed.crossJoin(F.broadcast(heads)).withColumn("after", F.slice(full, 1, negatives))
     own, others = F.struct(F.col("doc_id").alias("d"), F.lit(1).alias("r")), F.transform("after", lambda d: F.struct(d.alias("d"), F.lit(0).alias("r")))
     rel = ring.select(F.col("doc_id").alias("query_id"), F.explode(F.concat(F.array(own), others)).alias("x"))
     return q.select(F.col("doc_id").alias("query_id"), F.col("question").alias("text")), rel.select("query_id", F.col("x.d").alias("doc_id"), F.col("x.r").alias("rel"))

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessaria.functions.text import clean_text, normalise
 from tessaria.functions.tokens import quality_score
@@ -21,7 +22,6 @@ from tessaria.sources import office
 DOCUMENTS = "doc_id string, source_path string, title string, domain string, category string, status string, version int, content_hash string, chunk_count long, updated_at timestamp"
 CHUNKS = "doc_id string, ordinal long, chunk_type string, content string, heading_path string, token_count long, chunk_id string, quality_score double, is_verified boolean, errors array<string>"
 JOBS = "job_type string, finished_at timestamp, files long, succeeded long, failed long, created long, updated long, skipped long, chunks long, errors array<string>"
-DOC_TYPE = {"xlsx": "qa_pair"}
 
 
 @dataclass
@@ -97,7 +97,8 @@ def make_chunks(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     names = ["doc_id", "ordinal", "chunk_type", "content", "heading_path", "token_count"]
     last = kids.groupBy("doc_id").agg((F.max("ordinal") + 1).alias("_n"))
     over = chunking.parents(kids, s.parent_scope).join(last, "doc_id")
-    over = over.withColumn("ordinal", F.col("_n") + F.pmod(F.xxhash64("parent_key", "chunk_type"), F.lit(1 << 20))).withColumn("heading_path", F.lit("")).select(names)
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("parent_key", "chunk_type"))  # a document's sheets are few
+    over = over.withColumn("ordinal", (F.col("_n") + nth - 1).cast(kids.schema["ordinal"].dataType)).withColumn("heading_path", F.lit("")).select(names)
     rows = chunking.with_overlap(kids.select(names), "doc_id", s.overlap, *chunking.SEMANTIC_MARKS).unionByName(over)
     text = docs.join(known.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", normalise(clean_text(F.col("content"))).alias("text"))
     body = chunking.semantic(text, most=s.max_tokens, least=s.min_tokens, overlap=s.overlap).select(names)
