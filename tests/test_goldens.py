@@ -33,6 +33,13 @@ def test_text_by_plain_python(spark):
     assert apply(spark, T.clean_text, ["", None, "a  b\n\n\n\nc <!-- x\ny --><b>d</b>  http://x.y/z?q e@f.gh ~$k "]) == ["", None, "a b\n\nc d [URL] [EMAIL]"]
 
 
+def test_nfc_of_all_characters(spark):
+    """Each character alone, and behind a letter that it may join."""
+    points = [k for k in range(1, 0x110000) if not 0xD800 <= k < 0xE000 and unicodedata.category(chr(k)) not in ("Cn", "Co")]
+    values = [f"{chr(k)} a{chr(k)} \u1100{chr(k)} \u09c7{chr(k)}" for k in points]
+    assert apply(spark, T.nfc, values) == [unicodedata.normalize("NFC", t) for t in values]
+
+
 def test_zwnj(spark):
     assert apply(spark, T.fix_zwnj, [f"a{Z}b", "دوها", f"دو{Z}ها"]) == ["ab", f"دو{Z}ها", f"دو{Z}ها"]
     assert apply(spark, T.fix_zwnj, ["کتابها"]) == [f"ک{Z}تاب{Z}ها"]  # the rule as it stands also splits words
@@ -157,6 +164,29 @@ def test_similarity_join_is_whole(spark, sf_dir):
         assert {tuple(r) for r in ranking.similarity_join(df, threshold, block).collect()} == brute(rows, threshold)
 
 
+def test_negatives_are_as_many_as_asked_for(spark):
+    """On a ring of few or many questions, none of them its own negative."""
+    from tessaria.operators import generation
+
+    for n in (1, 2, 3, 5, 700):
+        q = spark.createDataFrame([(f"c{k}", f"question {k}") for k in range(n)], "chunk_id string, question string")
+        rel = generation.dataset_from_pairs(q, 3)[1].collect()
+        other = {}
+        for r in rel:
+            assert (r["rel"] == 1) == (r["doc_id"] == r["query_id"])
+            if r["rel"] == 0:
+                other.setdefault(r["query_id"], set()).add(r["doc_id"])
+        assert len(rel) == n * (1 + min(3, n - 1)) and all(len(x) == min(3, n - 1) for x in other.values()) and len(other) == (n if n > 1 else 0)
+
+
+def test_metrics_at_many_k_are_those_of_each(spark):
+    run = spark.createDataFrame([(q, d, (d * 7 + q) % 9 + 1) for q in range(4) for d in range(9)], "query_id int, doc_id int, rank int")
+    rel = spark.createDataFrame([(q, d, (q + d) % 3) for q in range(1, 6) for d in range(0, 9, 2)], "query_id int, doc_id int, rel int")
+    for r in metrics.at_many_k(run, rel, (1, 4, 20)).collect():
+        m = metrics.per_query(run, rel, r["k"], binary=True, ap_base="min").agg(*[F.round(F.avg(c), 6).alias(n) for c, n in (("hit", "hit"), ("recall", "recall"), ("ap", "map"), ("ndcg", "ndcg"), ("rr", "mrr"))]).first()
+        assert all(abs(m[n] - r[n]) < 1e-6 for n in ("hit", "recall", "map", "ndcg", "mrr"))
+
+
 def test_rank_correlation_and_gain(spark):
     run = lambda rows: spark.createDataFrame(rows, "query_id int, doc_id string, rank int")
     a = run([(1, "p", 1), (1, "q", 2), (1, "r", 3), (1, "s", 4), (2, "p", 1), (2, "q", 2), (3, "p", 1)])
@@ -174,7 +204,13 @@ def test_index_round_trip_and_fingerprint(spark, tmp_path):
     d = spark.createDataFrame([(k, f"word{k} common") for k in range(50)], "doc_id long, text string")
     build_index(d).write(str(tmp_path / "ix"), 4)
     q = spark.createDataFrame([(1, "word7")], "query_id long, text string")
-    assert ranking.bm25(q, Index.read(spark, str(tmp_path / "ix")), 1).first()["doc_id"] == 7
+    back = Index.read(spark, str(tmp_path / "ix"))
+    assert ranking.bm25(q, back, 1).first()["doc_id"] == 7
+    assert sorted(back.doc_norms().collect()) == sorted(build_index(d).doc_norms().collect())
+    both = spark.createDataFrame([(1, "word7 common"), (2, "absent word9")], "query_id long, text string")
+    for leg in (ranking.bm25, ranking.tfidf):
+        rows = lambda ix: [(r["query_id"], r["doc_id"], round(r["score"], 9), r["rank"]) for r in leg(both, ix, 3).orderBy("query_id", "rank").collect()]  # noqa: B023, E731
+        assert rows(back) == rows(build_index(d))
     mark = lambda x: corpus_fingerprint(x, "doc_id", "text").first()["fingerprint"]
     assert mark(d) == mark(d.repartition(7)) != mark(d.where("doc_id > 0"))
     table, there = sinks.load_or_build(d, str(tmp_path / "v"), ["text"], lambda x: x.select("doc_id"))
