@@ -9,7 +9,9 @@ from tessaria.functions import tokens as K
 from tessaria.functions import variants as V
 from tessaria.functions.text import question_form
 from tessaria.operators import changes as C
+from tessaria.functions import text as T
 from tessaria.operators import chunking as H
+from tessaria.operators import generation
 from tessaria.operators import monitoring as N
 from tessaria.operators import quality as Q
 from tessaria.operators import versions as S
@@ -292,6 +294,41 @@ def docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+BARE = f"regexp_replace(text, {quoted(f'[{T.WS}]+')}, '', 'g')"
+
+
+def _bare(chunks):
+    """Each document's pieces, put together in their order, without white space."""
+    c = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "content"))).alias("all"))
+    return c.select("doc_id", F.sha2(F.regexp_replace(F.array_join(F.transform("all", lambda x: x["content"]), ""), f"[{T.WS}]+", ""), 256).alias("bare"))
+
+
+BARE_SQL = f"SELECT doc_id, sha256({BARE}) AS bare FROM documents WHERE {BARE} <> ''"
+
+
+@query("f2_f3_fixed_chunker_is_whole", BARE_SQL)
+def fixed_chunker_is_whole(spark, sf_dir):
+    """But for overlaps and white space the pieces are the document."""
+    return _bare(H.chunk(docs(spark, sf_dir), "fixed", overlap=0))
+
+
+@query("f5_f8_f9_semantic_chunker_is_whole", BARE_SQL)
+def semantic_chunker_is_whole(spark, sf_dir):
+    return _bare(H.chunk(docs(spark, sf_dir), "semantic", overlap=0))
+
+
+@query("f7_question_pieces", f"""
+WITH d AS (SELECT conv_id AS doc_id, string_agg('سوال: ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+p AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, {quoted(H.QUESTION)}, chr(1) || '\\0', 'g'), chr(1)), lambda x: x <> '')) AS piece, generate_subscripts(list_filter(string_split(regexp_replace(text, {quoted(H.QUESTION)}, chr(1) || '\\0', 'g'), chr(1)), lambda x: x <> ''), 1) - 1 AS ordinal FROM d)
+SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, {_strip('piece')} AS content FROM p
+""")
+def question_pieces(spark, sf_dir):
+    """Conversations as texts of questions, cut before each."""
+    turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    text = turns.select("doc_id", F.array_join(F.transform("t", lambda x: F.concat(F.lit("سوال: "), x["text"])), "\n").alias("text"))
+    return H.semantic(text, doc_type="qa_pair", overlap=0).select("doc_id", "ordinal", "content")
+
+
 @query("f2_fixed_chunker")
 def fixed_chunker(spark, sf_dir):
     return H.chunk(docs(spark, sf_dir), "fixed")
@@ -524,6 +561,30 @@ def variants(spark, sf_dir):
     return V.all_variants(bench(spark, sf_dir))
 
 
+@query("m8_pairs", "WITH r AS (SELECT CAST(item_id AS VARCHAR) AS d, row_number() OVER (ORDER BY sha256(CAST(item_id AS VARCHAR) || '#0')) - 1 AS i, count(*) OVER () AS n FROM benchmark) SELECT d AS query_id, d AS doc_id, 1 AS rel FROM r UNION ALL SELECT a.d, b.d, 0 FROM r a JOIN r b ON b.i = (a.i + 1) % a.n OR b.i = (a.i + 2) % a.n")
+def pairs(spark, sf_dir):
+    """Every question with its own chunk and two negatives, its successors in hash order."""
+    chunks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), F.col("text").alias("question"))
+    return generation.dataset_from_pairs(chunks, 2)[1]
+
+
+def _cover(a: str, b: str) -> str:
+    words = lambda x: f"regexp_extract_all(lower({x}), {WORD})"
+    return f"coalesce(len(list_intersect(list_distinct({words(a)}), {words(b)}))::DOUBLE / nullif(len(list_distinct({words(a)})), 0), 0)"
+
+
+@query("j12_judges", f"""
+WITH r AS (SELECT doc_id, substr(text, 1, 80) AS question, substr(text, 41, 80) AS answer, substr(text, 1, 200) AS contexts, substr(text, 61, 120) AS truth FROM documents),
+j AS (SELECT doc_id, {_cover('answer', 'contexts')} AS faithfulness, {_cover('question', 'answer')} AS answer_relevancy, {_cover('truth', 'contexts')} AS context_precision, {_cover('truth', 'contexts')} AS context_recall FROM r)
+SELECT doc_id, round(faithfulness, 6) AS faithfulness, round(answer_relevancy, 6) AS answer_relevancy, round(context_precision, 6) AS context_precision, round(context_recall, 6) AS context_recall, round((faithfulness + answer_relevancy + context_precision + context_recall) / 4, 6) AS mean FROM j
+""")
+def judges(spark, sf_dir):
+    """Answers judged by their overlap with contexts and truth, on parts of each document."""
+    part = lambda a, n: F.substring("text", a, n)
+    rows = docs(spark, sf_dir).select("doc_id", part(1, 80).alias("question"), part(41, 80).alias("answer"), part(1, 200).alias("contexts"), part(61, 120).alias("truth"))
+    return generation.judge(rows).select("doc_id", *[F.round(c, 6).alias(c) for c in (*generation.JUDGES, "mean")])
+
+
 @query("m9_role_check", "WITH g AS (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY conv_id) SELECT conv_id, len(r) >= 3 AND len(list_filter(r, lambda x: x NOT IN ('user', 'assistant', 'system'))) = 0 AS valid FROM g")
 def role_check(spark, sf_dir):
     g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("r"))

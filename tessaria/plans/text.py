@@ -29,6 +29,16 @@ def clean_sql(x: str) -> str:
     return _spaces(x, rf"[{T.WS_NOT_NEWLINE}]{{2,}}")
 
 
+def zwnj_sql(x: str) -> str:
+    """A suffix that a non-joiner follows is put away before it is looked for, as the dialect has no lookahead."""
+    x = rr(x, f"([a-zA-Z0-9]){T.ZWNJ}([a-zA-Z0-9])", r"\1\2")
+    for s in T.SUFFIXES:
+        kept = quoted(s + T.ZWNJ)
+        away = rr(f"replace({x}, {kept}, chr(2))", f"([{T.ARABIC}])({s})", rf"\1{T.ZWNJ}\2")
+        x = f"replace({away}, chr(2), {kept})"
+    return f"replace({x}, {quoted(T.ZWNJ * 2)}, {quoted(T.ZWNJ)})"
+
+
 COMPARISON = _strip(_translate("text", T.COMPARISON_LETTERS))
 QUESTION_SQL = _strip(rr(f"translate({COMPARISON}, '؟?', '')", rf"[{T.WS}]+", " "))
 #: name: (Column function, SQL over ``text`` or None)
@@ -43,12 +53,12 @@ SCALARS = {
     "d8_clean_text": (T.clean_text, clean_sql("text")),
     "d9_nfc": (T.nfc, "nfc_normalize(text)"),
     "d10_arabic_to_persian": (T.arabic_to_persian, _translate("text", T.ARABIC_LETTERS)),
-    "d11_fix_zwnj": (T.fix_zwnj, None),
+    "d11_fix_zwnj": (T.fix_zwnj, zwnj_sql("text")),
     "d12_fix_numbers": (T.fix_numbers, "translate(text, '٪', '%')"),
     "d13_fix_punctuation": (T.fix_punctuation, _translate("text", T.PUNCTUATION)),
     "d14_remove_extra_spaces": (T.remove_extra_spaces, _spaces("text", r"[ \t\x{A0}]{2,}")),
     "d15_spell_check": (lambda c: T.spell_check(c, collapse_newlines=True), f"array_to_string(regexp_extract_all(text, {quoted(f'[^{T.WS}]+')}), ' ')"),
-    "d16_normalise": (T.normalise, None),
+    "d16_normalise": (T.normalise, _spaces(_translate(f"translate({zwnj_sql(_translate('nfc_normalize(text)', T.ARABIC_LETTERS))}, '٪', '%')", T.PUNCTUATION), r"[ \t\x{A0}]{2,}")),
     "d17_search_letters": (T.search_letters, _translate("text", T.SEARCH_LETTERS)),
     "d18_comparison_form": (T.comparison_form, COMPARISON),
     "d19_question_form": (T.question_form, QUESTION_SQL),
@@ -73,7 +83,17 @@ def clean_pages(spark, sf_dir):
 KEYWORD_ROWS = [("بروزرسانی، بازپرداخت، وام، گزارش اعتباری مدل: حقیقی و حقوقی…", "x"), ("[a]; bb، \"cc\"\n x:y; مدل ; dd", "q"), (None, "این پرسش درباره قرارداد تسهیلات است"), ("…", "کد گزارش"), ("a1, b2, c3, d4, e5, f6, g7", "")]
 
 
-@query("d22_keyword_field")
+KEYWORD_SQL = ", ".join("(" + ", ".join(["NULL" if v is None else quoted(v) if isinstance(v, str) else str(v) for v in (k, *r)]) + ")" for k, r in enumerate(KEYWORD_ROWS))
+
+
+@query("d22_keyword_field", rf"""
+WITH r AS (SELECT * FROM (VALUES {KEYWORD_SQL}) v(id, keywords, question)),
+c AS (SELECT id, question, replace({rr(rr("coalesce(keywords, '')", f"[{T.WS}]*مدل[{T.WS}]*:[{T.WS}]*[^\n,،؛]+", ""), "…+", "")}, {quoted(T.ZWNJ)}, ' ') AS k FROM r),
+i AS (SELECT id, question, list_transform(regexp_split_to_array(k, '[،,؛;\n]+'), lambda x: {_strip(rr("x", "^[][\"' …]+|[][\"' …]+$", ""))}) AS items FROM c),
+g AS (SELECT id, list_filter(items, lambda x: length(x) >= 2 AND NOT contains(x, ':') AND NOT contains(x, 'مدل') AND x NOT IN ('حقیقی', 'حقوقی', 'و') AND NOT regexp_full_match(x, '[…. ]+')) AS good,
+  list_filter(regexp_extract_all(coalesce(question, ''), '[\x{{0600}}-\x{{06FF}}]+'), lambda w: length(w) > 3) AS words FROM i)
+SELECT id, array_to_string(list_slice(CASE WHEN len(good) > 0 THEN good ELSE words END, 1, 6), ' ') AS out FROM g
+""")
 def keyword_field(spark, sf_dir):
     rows = spark.createDataFrame([(k, *r) for k, r in enumerate(KEYWORD_ROWS)], "id int, keywords string, question string")
     return rows.select("id", T.keyword_field(F.col("keywords"), F.col("question")).alias("out"))
