@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessaria.operators.changes import change_set
 
 def snapshot(docs: DataFrame, chunks: DataFrame, version: Column, status: str = "snapshot") -> DataFrame:
     """doc_id, version, content_hash, chunk_count, status, snapshot_data (title, domain, category, chunks in order).
@@ -52,6 +53,11 @@ def rollback(versions: DataFrame, targets: DataFrame) -> DataFrame:
     return out.withColumns({"version": F.col("_v.version"), "status": F.col("_v.status")}).select(versions.columns)
 
 
+def diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """doc_id, status (added, modified, removed, unchanged) and both content hashes of two snapshots, one row per document each."""
+    return change_set(old, new, "doc_id", "content_hash")
+
+
 def stamp(chunks: DataFrame, version: int, at: Column) -> DataFrame:
     return chunks.withColumns({"corpus_version": F.lit(version), "stamped_at": at})
 

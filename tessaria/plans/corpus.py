@@ -11,6 +11,7 @@ from tessaria.functions.text import question_form
 from tessaria.operators import changes as C
 from tessaria.functions import text as T
 from tessaria.operators import chunking as H
+from tessaria.operators import edits as E
 from tessaria.operators import generation
 from tessaria.operators import monitoring as N
 from tessaria.operators import quality as Q
@@ -512,9 +513,27 @@ def issue_codes(spark, sf_dir):
     return d.select("doc_id", F.array_join(Q.issue_codes(F.col("text"), F.col("source"), F.col("has").isNotNull()), "|").alias("issues"))
 
 
-@query("l14_updates", "SELECT doc_id, CASE WHEN quality = 1 THEN 'verified' WHEN toxic = 1 THEN 'deleted' ELSE 'active' END AS status FROM labels")
+@query("l14_updates", f"""
+WITH e AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'delete' WHEN quality = 1 THEN 'verify' ELSE 'edit' END AS action FROM labels),
+c AS (SELECT d.doc_id, CASE WHEN action = 'edit' THEN 'edited ' || text ELSE text END AS content, action FROM documents d LEFT JOIN e USING (doc_id))
+SELECT doc_id, sha256(content) AS hash, CAST(2 * length(regexp_extract_all(content, {WORD})) AS BIGINT) AS token_count, coalesce(action = 'verify', false) AS is_verified, CASE WHEN action = 'delete' THEN 'deleted' ELSE 'active' END AS status FROM c
+""")
 def updates(spark, sf_dir):
-    return table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "verified").when(F.col("toxic") == 1, "deleted").otherwise("active").alias("status"))
+    """Labelled documents are verified, edited or deleted; an earlier edit of each is overruled."""
+    chunks = docs(spark, sf_dir).select("doc_id", F.col("text").alias("content"), K.estimate_tokens(F.col("text")).alias("token_count"), F.lit(False).alias("is_verified"), F.lit("active").alias("status"))
+    action = F.when(F.col("toxic") == 1, E.DELETE).when(F.col("quality") == 1, E.VERIFY).otherwise(E.EDIT)
+    last = table(spark, sf_dir, "labels").join(docs(spark, sf_dir), "doc_id").select("doc_id", action.alias("action"), F.concat(F.lit("edited "), "text").alias("content"), F.lit(2).alias("at"))
+    first = last.select("doc_id", F.lit(E.EDIT).alias("action"), F.lit("overruled").alias("content"), F.lit(1).alias("at"))
+    return E.apply_edits(chunks, first.unionByName(last), "doc_id").select("doc_id", C.content_hash(F.col("content")).alias("hash"), "token_count", "is_verified", "status")
+
+
+@query("l19_version_diff", "SELECT DISTINCT conv_id AS doc_id, CASE WHEN conv_id % 7 = 0 THEN 'removed' WHEN conv_id % 5 = 0 THEN 'modified' ELSE 'unchanged' END AS status FROM conversations")
+def version_diff(spark, sf_dir):
+    """The corpus against a version that lacks every seventh conversation and has another text in every fifth."""
+    heads, kids = turns(spark, sf_dir)
+    other = kids.withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    new = S.snapshot(heads.where("doc_id % 7 <> 0"), other.where("doc_id % 7 <> 0"), F.lit(2))
+    return S.diff(S.snapshot(heads, kids, F.lit(1)), new).select("doc_id", "status")
 
 
 @query("l17_version_stamp", "SELECT doc_id, 3 AS corpus_version FROM documents")
@@ -534,8 +553,20 @@ def to_parents(spark, sf_dir):
 
 @query("r8_merge_chunks", "SELECT conv_id, turn // 2 AS part, string_agg(text, chr(10) ORDER BY turn) AS content FROM conversations GROUP BY ALL")
 def merge_chunks(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("part", F.floor(F.col("turn") / 2))
-    return c.groupBy("conv_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("content"))
+    return E.merge_chunks(turn_chunks(spark, sf_dir), "conv_id", F.floor(F.col("ordinal") / 2))
+
+
+def turn_chunks(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ordinal"), F.col("text").alias("content"))
+
+
+@query("r8_split_chunks", f"""
+WITH p AS (SELECT conv_id, turn, unnest(string_split(text, '. ')) AS piece, generate_subscripts(string_split(text, '. '), 1) AS pos FROM conversations),
+k AS (SELECT conv_id, turn, pos, {_strip('piece')} AS content FROM p)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) - 1 AS ordinal, content FROM k WHERE content <> ''
+""")
+def split_chunks(spark, sf_dir):
+    return E.split_chunks(turn_chunks(spark, sf_dir), "conv_id", r"\. ")
 
 
 # --- M: variants ---------------------------------------------------------------------------------------------------------

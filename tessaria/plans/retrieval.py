@@ -246,6 +246,16 @@ def multi_query(spark, sf_dir):
     return _ranked(R.multi_query(questions(spark, sf_dir), index(spark, sf_dir), 5, mock))
 
 
+@query("i11_hyde")
+def hyde(spark, sf_dir):
+    """The mock generator answers with the query's first twenty words; documents are searched with that answer's vector."""
+    from tessaria.operators.changes import hash_embed
+    from tessaria.operators.generation import hyde_search
+
+    answer = lambda c: F.array_join(F.slice(K.words(c), 1, 20), " ")
+    return _ranked(hyde_search(questions(spark, sf_dir), _embed(docs(spark, sf_dir), "doc_id"), hash_embed, answer, 5))
+
+
 @query("c5_any_term", "SELECT doc_id, score FROM (SELECT doc_id, (CASE WHEN contains(lower(text), 'ation') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'email') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'licensed') THEN 1 ELSE 0 END) / 3.0::DOUBLE AS score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")
 def any_term(spark, sf_dir):
     return R.any_term(docs(spark, sf_dir), ["ation", "email", "licensed"], 20)

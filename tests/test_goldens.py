@@ -179,6 +179,19 @@ def test_negatives_are_as_many_as_asked_for(spark):
         assert len(rel) == n * (1 + min(3, n - 1)) and all(len(x) == min(3, n - 1) for x in other.values()) and len(other) == (n if n > 1 else 0)
 
 
+def test_edits(spark):
+    """The last edit of a chunk counts; an edited chunk isn't verified any more, a deleted one keeps its content."""
+    from tessaria.operators import edits
+
+    chunks = spark.createDataFrame([(k, f"text {k}", 4, k == 2, "active") for k in range(5)], "id int, content string, token_count int, is_verified boolean, status string")
+    done = spark.createDataFrame([(0, "verify", None, 1), (1, "edit", "a", 1), (1, "edit", "a b c", 2), (2, "edit", "new", 1), (3, "verify", None, 1), (3, "delete", None, 2), (9, "edit", "none", 1)], "id int, action string, content string, at int")
+    got = {r["id"]: (r["content"], r["token_count"], r["is_verified"], r["status"]) for r in edits.apply_edits(chunks, done, "id").collect()}
+    assert got == {0: ("text 0", 4, True, "active"), 1: ("a b c", 6, False, "active"), 2: ("new", 2, False, "active"), 3: ("text 3", 4, False, "deleted"), 4: ("text 4", 4, False, "active")}
+    assert edits.apply_edits(chunks, done.limit(0), "id").where("id = 2 and is_verified").count() == 1
+    two = spark.createDataFrame([(1, 0, "a. b"), (1, 1, ". "), (1, 2, "c. d")], "doc int, ordinal int, content string")
+    assert sorted(map(tuple, edits.split_chunks(two, "doc", r"\. ", F.col("ordinal") < 2).collect())) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c. d")]
+
+
 def test_metrics_at_many_k_are_those_of_each(spark):
     run = spark.createDataFrame([(q, d, (d * 7 + q) % 9 + 1) for q in range(4) for d in range(9)], "query_id int, doc_id int, rank int")
     rel = spark.createDataFrame([(q, d, (q + d) % 3) for q in range(1, 6) for d in range(0, 9, 2)], "query_id int, doc_id int, rel int")
