@@ -62,24 +62,27 @@ class Index:
         return Index(part("postings").drop("bucket"), part("df"), part("stats"), part("norms") if norms else None)
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir; where that is unset a temporary folder, which serves a single machine only."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not root and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (root or "file://" + tempfile.gettempdir()).rstrip("/")
+
+
 _written: dict[tuple, str] = {}
 
 
 def written_index(spark: SparkSession, source: str, build: Callable[[], Index]) -> Index:
-    """The index of the table at ``source``, written once per application and read from then on, until the table's files change.
-
-    It lies in spark.checkpoint.dir; where that is unset in a temporary folder, which serves a single machine only.
-    """
+    """The index of the table at ``source``, written to the shared folder once per application and read from then on, until the table's files change."""
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(source)
     fs = path.getFileSystem(context._jsc.hadoopConfiguration())
     size = fs.getContentSummary(path)
     key = (context.applicationId, source, size.getLength(), size.getFileCount(), fs.getFileStatus(path).getModificationTime())
     if key not in _written:
-        root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-        if not root and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = f"{(root or 'file://' + tempfile.gettempdir()).rstrip('/')}/index-{uuid.uuid4().hex}"
+        where = f"{shared_root(spark)}/index-{uuid.uuid4().hex}"
         build().write(where)
         _written[key] = where
     return Index.read(spark, _written[key])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessaria.functions.tokens import search_tokens, words
-from tessaria.operators.index import Index, idf
+from tessaria.operators.index import Index, idf, shared_root
 
 K1, B, RRF_K = 1.5, 0.75, 60
 #: The candidates that a leg hands to fusion are this many times the results; at most POOL are reranked.
@@ -137,9 +137,10 @@ def similarity_join(vectors: DataFrame, threshold: float, block: int = QUERY_BLO
     rows = vectors.where(F.exists("vector", lambda v: v != 0)).select("doc_id", "vector")
     blocks = max(1, -(-rows.count() // block))
     linked = "doc_id long, n_links long, least long"
-    # In the shared folder where there is one; local only on one machine, as in tests.
-    shared = vectors.sparkSession.conf.get("spark.checkpoint.dir", None)
-    cut = lambda df: df.checkpoint() if shared else df.localCheckpoint()
+    context = vectors.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_root(vectors.sparkSession))
+    cut = lambda df: df.checkpoint()
 
     def unit(part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids, cls = part.field("doc_id").to_numpy(zero_copy_only=False), part.field("class_id").to_numpy(zero_copy_only=False)
