@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Callable
 from xml.sax.saxutils import escape
 
@@ -40,12 +41,29 @@ def docx(lines: list[str]) -> bytes:
     return zipped({"word/document.xml": f"<w:document xmlns:w='http://w'><w:body>{body}</w:body></w:document>"})
 
 
+def pdf(pages: list[str]) -> bytes:
+    """A file of a page per text: one font, whose codes are the characters in order of appearance."""
+    chars = dict.fromkeys("".join(pages))
+    code = {c: f"{k:04x}" for k, c in enumerate(chars, 1)}
+    table = f"1 begincodespacerange <0000> <ffff> endcodespacerange {len(code)} beginbfchar " + " ".join(f"<{n}> <{c.encode('utf-16-be').hex()}>" for c, n in code.items()) + " endbfchar"
+    kids = " ".join(f"{2 * k + 5} 0 R" for k in range(len(pages)))
+    parts = ["<</Type/Catalog/Pages 2 0 R>>", f"<</Type/Pages/Kids[{kids}]/Resources<</Font<</F1 3 0 R>>>>>>", "<</Type/Font/ToUnicode 4 0 R>>", table]
+    for k, page in enumerate(pages):
+        parts += [f"<</Type/Page/Parent 2 0 R/Contents {2 * k + 6} 0 R>>", f"BT /F1 12 Tf 72 700 Td <{''.join(code[c] for c in page)}> Tj ET"]
+    body = b"%PDF-1.7\n"
+    for n, part in enumerate(parts, 1):
+        raw = zlib.compress(part.encode())
+        whole = part.encode() if part.startswith("<<") else b"<</Filter/FlateDecode/Length %d>>stream\n%s\nendstream" % (len(raw), raw)
+        body += b"%d 0 obj\n%s\nendobj\n" % (n, whole)
+    return body
+
+
 def written(docs: DataFrame, extension: str, make: Callable[[pd.DataFrame], list[bytes]]) -> DataFrame:
     """path and content of a file per row, as a scan of a folder gives them."""
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"path": [f"kb/{i}{extension}" for i in pdf["doc_id"]], "content": make(pdf)})
+        for frame in batches:
+            yield pd.DataFrame({"path": [f"kb/{i}{extension}" for i in frame["doc_id"]], "content": make(frame)})
 
     return docs.mapInPandas(run, "path string, content binary")
 
@@ -80,3 +98,11 @@ def paragraphs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     parsed = office.parse_files(written(docs, ".docx", lambda pdf: [docx(t.split("\n")) for t in pdf["text"]]))
     return parsed.where("error is null").select(number("path").alias("doc_id"), "content")
+
+
+@query("a7_pdf_pages", f"WITH l AS ({LINES}) SELECT doc_id, string_agg(regexp_replace(line, '[ \\t]+', ' ', 'g'), chr(10) || chr(10) ORDER BY pos) AS content FROM l GROUP BY doc_id")
+def pages(spark, sf_dir):
+    """A page per line of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parsed = office.parse_files(written(docs, ".pdf", lambda frame: [pdf(t.split("\n")) for t in frame["text"]]))
+    return parsed.where("error is null").select(number("path").alias("doc_id"), "content")

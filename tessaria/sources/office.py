@@ -3,7 +3,8 @@
 Parsers take a file's bytes and use the standard library alone; they run in
 Arrow batches on the executors, one row per file, and a file that can't be read
 gives a row with its error instead of ending the job. Spreadsheets and word
-processor files are zipped XML; PDF text needs an extractor of the user's.
+processor files are zipped XML; PDF texts come from tessaria.sources.pdf or an
+extractor of the user's.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessaria.sources import pdf
+
 SCHEMA = (
     "path string, title string, file_type string, content string, error string, "
     "sheets array<struct<name:string,headers:array<string>,rows:array<array<string>>>>, sections array<struct<heading:string,text:string>>"
@@ -192,7 +195,7 @@ def pdf_parser(extract_pages: Callable[[bytes], list[str | None]]) -> Callable[[
     return parse
 
 
-PARSERS: dict[str, Callable[[bytes, str], ParsedFile]] = {".xlsx": parse_xlsx, ".docx": parse_docx}
+PARSERS: dict[str, Callable[[bytes, str], ParsedFile]] = {".xlsx": parse_xlsx, ".docx": parse_docx, ".pdf": pdf_parser(pdf.extract_pages)}
 
 
 def register_parser(extension: str, parser: Callable[[bytes, str], ParsedFile]) -> None:
@@ -217,9 +220,9 @@ def parse_files(files: DataFrame) -> DataFrame:
     parsers = dict(PARSERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for frame in batches:
             rows = []
-            for path, data in zip(pdf["path"], pdf["content"], strict=True):
+            for path, data in zip(frame["path"], frame["content"], strict=True):
                 ext = "." + path.rsplit(".", 1)[-1].lower()
                 try:
                     rows.append({"path": path, "file_type": ext[1:], "error": None, **parsers[ext](bytes(data), path)})

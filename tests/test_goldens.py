@@ -12,8 +12,9 @@ from tessaria.functions import tokens as K
 from tessaria.functions import variants as V
 from tessaria.operators import changes, chunking, metrics, quality, ranking, versions
 from tessaria.operators.index import build_index, corpus_fingerprint
+from tessaria.plans import files
 from tessaria.plans.base import TEXTS
-from tessaria.sources import datasets, office, sinks
+from tessaria.sources import datasets, office, pdf, sinks
 from tessaria.streaming import streams
 
 Z = "‌"
@@ -296,8 +297,32 @@ def test_office_files(spark, tmp_path):
     assert got["bad.xlsx"]["error"] and "no sheet" in got["one.xlsx"]["error"]
     with pytest.raises(ValueError):
         office.register_parser("pdf", len)
-    office.register_parser(".pdf", office.pdf_parser(lambda data: ["p  1", None, "p2"]))
-    assert office.PARSERS.pop(".pdf")(b"", "x.pdf")["content"] == "p 1\n\np2"
+    office.register_parser(".scan", office.pdf_parser(lambda data: ["p  1", None, "p2"]))
+    assert office.PARSERS.pop(".scan")(b"", "x.scan")["content"] == "p 1\n\np2"
+
+
+PDF = (
+    b"%PDF-1.4\n% a comment (\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj 2 0 obj<</Type/Pages/Kids[3 0 R 6 0 R 8 0 R]>>endobj 3 0 obj<</Type/Page/Contents[4 0 R]>>endobj "
+    b"4 0 obj<</Length 5 0 R>>stream\nBT /F1 9 Tf 1 0 0 1 72 700 Tm (Hel\\(lo\\)) Tj 0 -12 Td [(wo)-50(rld)-400(next)] TJ T* (a\\101\\\nb) ' ET\nendstream endobj 5 0 obj 9 endobj "
+    b"6 0 obj<</Type/Page/Contents 7 0 R>>endobj 7 0 obj<</Filter/LZWDecode/Length 3>>stream\nabc\nendstream endobj 8 0 obj<</Type/Page/Contents 9 0 R/Parent 2 0 R>>endobj 9 0 obj<</Length 12>>stream\nBT (last) Tj \nendstream endobj"
+)
+
+
+def test_pdf():
+    assert pdf.extract_pages(PDF) == ["Hel(lo)\nworld next\n\naAb", None, "last"]  # the second page's filter isn't known
+    assert office.PARSERS[".pdf"](PDF, "x/y.pdf")["content"] == "Hel(lo)\nworld next\n\naAb\n\nlast"
+    texts = ["سلام دنیا", "", "é 😀 (x) <y>"]
+    assert [p.strip() for p in pdf.extract_pages(files.pdf(texts))] == texts
+    table = b"1 begincodespacerange <00> <ff> endcodespacerange 2 beginbfrange <41> <43> <0061> <50> <51> [<0078> <00660066>] endbfrange"
+    assert pdf.unicode_table(table) == (1, {0x50: "x", 0x51: "ff"}, [(0x41, 0x43, "a")])
+    packed = b"7 0 5 20 <</Type/Page>>  (seven)"
+    doc = pdf.Document(b"1 0 obj<</Type/ObjStm/N 2/First 9/Length %d>>stream\n%s\nendstream endobj" % (len(packed), packed))
+    assert doc.objects[7] == {"Type": "Page"} and doc.objects[5] is not None
+    loop = b"%PDF-1.4 1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj 2 0 obj<</Type/Pages/Kids[2 0 R]>>endobj"
+    assert pdf.extract_pages(loop) == [] == pdf.extract_pages(b"%PDF-1.4 cut off <<< (((")
+    for bad in (b"", b"x", b"%PDF-1.4 trailer<</Encrypt 3 0 R>>"):
+        with pytest.raises(ValueError):
+            office.PARSERS[".pdf"](bad, "x.pdf")
 
 
 def test_datasets(spark, tmp_path):
