@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaria.llm import decontaminate, exact_dedup, html_extract, language_id, near_dedup, packing, sharding, substring_dedup, token_counts, url_filter
+from tessaria.llm import decontaminate, exact_dedup, html_extract, language_id, near_dedup, packing, sharding, substring_dedup, token_counts, url_filter, vector_codes, warc, whitening
 from tessaria.llm.common import shared_dir, table
 
 
@@ -66,10 +66,52 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all usable embeddings: 16 parts, 64 entries, 2 rounds."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable embeddings on the four largest components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back from them."""
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_html_extract, op3_language_id, op4_packing, op5_url_filter, op6_substring_dedup, op7_exact_dedup, op8_token_counts, op9_sharding, op10_decontamination)
+    f.__name__: f for f in (op1_near_dedup, op2_html_extract, op3_language_id, op4_packing, op5_url_filter, op6_substring_dedup, op7_exact_dedup, op8_token_counts, op9_sharding, op10_decontamination, op11_vector_codes, op12_whitening, op13_warc)
 }
 
+def _codes_sql(rounds: int = 2) -> str:
+    """Codes of vectors of 64 components: a part is four columns, each round a join of parts and entries."""
+    four = range(1, 5)
+    sql = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+parts AS (SELECT vec_id, p, {', '.join(f'x[4 * p + {d}] AS x{d}' for d in four)} FROM v, range(16) t(p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM v QUALIFY k < 64),
+c0 AS (SELECT p, k, {', '.join(f'x{d} AS c{d}' for d in four)} FROM parts JOIN first USING (vec_id))"""
+    for r in range(rounds + 1):
+        far = " + ".join(f"(x{d} - c{d}) * (x{d} - c{d})" for d in four)
+        sql += f""",
+a{r} AS (SELECT vec_id, p, {', '.join(f'any_value(x{d}) AS x{d}' for d in four)}, min({far}) AS far, arg_min(k, ({far}) * 64 + k) AS k FROM parts JOIN c{r} USING (p) GROUP BY vec_id, p)"""
+        if r < rounds:
+            sql += f""",
+s{r} AS (SELECT p, k, {', '.join(f'CAST(floor(sum(x{d}) / count(*)) AS BIGINT) AS s{d}' for d in four)} FROM a{r} GROUP BY p, k),
+c{r + 1} AS (SELECT p, k, {', '.join(f'coalesce(s{d}, c{d}) AS c{d}' for d in four)} FROM c{r} LEFT JOIN s{r} USING (p, k))"""
+    return sql + f""",
+e AS (SELECT vec_id, string_agg(lower(printf('%02x', CAST(k AS INTEGER))), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg({" || ',' || ".join(f'c{d}' for d in four)}, ',' ORDER BY p, k)) FROM c{rounds}) AS codebooks_sha256
+FROM e JOIN v USING (vec_id)
+"""
+
+
+CODES = _codes_sql()
+
 ORACLES: dict[str, str] = {
     "op5_url_filter": r"""
 WITH cut AS (
@@ -118,5 +160,11 @@ covered AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnes
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op11_vector_codes": CODES,
+    "op13_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS digest FROM p),
+r AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest, n) ELSE page_id END AS top FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM r
 """,
 }
