@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessaria.functions.tokens import search_tokens, words
-from tessaria.operators.index import Index, idf, shared_root
+from tessaria.operators import vector_index
+from tessaria.operators.index import Index, idf
 
 K1, B, RRF_K = 1.5, 0.75, 60
 #: The candidates that a leg hands to fusion are this many times the results; at most POOL are reranked.
@@ -72,121 +72,48 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-#: Query vectors that are held against a partition at once.
+#: Query vectors that are sent to all tasks.
 QUERY_BLOCK = 4096
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """Exact cosine top-k of query vectors (query_id, vector) against all vectors (doc_id, vector): query_id, doc_id, score, rank.
 
-    Queries are taken in blocks of bounded size; each partition keeps its own k
-    best, and only those are shuffled. Zero vectors have no result and are none.
+    Up to ``block`` queries are sent to all tasks, each of which keeps its own k
+    best, and only those are shuffled; more queries are packed into a table of
+    blocks, which is joined with the vectors' blocks. Zero vectors have no result and are none.
     """
     spark = vectors.sparkSession
     ids = vectors.schema["doc_id"].dataType.simpleString()
-    out: DataFrame | None = None
-
-    def leg(chunk: list) -> DataFrame:
-        q = np.array([r["vector"] for r in chunk], float)
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in chunk]), q))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, q = shared.value
-            s, doc = np.zeros((len(names), 0)), None
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                e = np.vstack(pdf["vector"].to_numpy()).astype(float)
-                size = np.linalg.norm(e, axis=1)
-                new = np.where(size[:, None] > 0, e @ q.T / np.where(size, size, 1)[:, None], -np.inf).T
-                ids = np.broadcast_to(pdf["doc_id"].to_numpy(), new.shape)
-                # The best so far and the batch: ties go to the smaller id.
-                s, doc = np.hstack([s, new]), ids if doc is None else np.hstack([doc, ids])
-                best = np.lexsort((doc, -s), axis=1)[:, :k]
-                s, doc = np.take_along_axis(s, best, 1), np.take_along_axis(doc, best, 1)
-            if doc is not None:
-                got = pd.DataFrame({"query_id": np.repeat(names, s.shape[1]), "doc_id": doc.ravel(), "score": s.ravel()})
-                yield got[np.isfinite(got["score"])]
-
-        return vectors.select("doc_id", "vector").where("vector is not null").mapInPandas(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {ids}, score double")
-
-    chunk: list = []
-    some = queries.where(F.exists("vector", lambda v: v != 0)).select("query_id", "vector")
-    for r in some.toLocalIterator():
-        chunk.append(r)
-        if len(chunk) == block:
-            out = leg(chunk) if out is None else out.unionByName(leg(chunk))
-            chunk = []
-    if chunk or out is None:
-        last = leg(chunk) if chunk else spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {ids}, score double")
-        out = last if out is None else out.unionByName(last)
-    return top_k(out, k)
-
-
-def similarity_join(vectors: DataFrame, threshold: float, block: int = QUERY_BLOCK) -> DataFrame:
-    """Every pair of a table's vectors (doc_id long, vector), each told by its links: doc_id, class_id, n_links.
-
-    n_links is the number of other rows with a cosine of ``threshold`` or more;
-    class_id the smallest doc_id that a chain of links leads to. Ids are unique; a
-    null or zero vector has no link. Rows are dealt into blocks, each pair of blocks is
-    one product of matrices, and of the pairs only a sum and a smallest class per
-    row leave a task. The least class of the linked rows is taken over in rounds,
-    each a pass over all pairs, until nothing changes.
-    """
-    rows = vectors.where(F.exists("vector", lambda v: v != 0)).select("doc_id", "vector")
-    blocks = max(1, -(-rows.count() // block))
-    linked = "doc_id long, n_links long, least long"
-    context = vectors.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(vectors.sparkSession))
-    cut = lambda df: df.checkpoint()
-
-    def unit(part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, cls = part.field("doc_id").to_numpy(zero_copy_only=False), part.field("class_id").to_numpy(zero_copy_only=False)
-        v = part.field("vector").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
-        return ids, cls, v / np.linalg.norm(v, axis=1, keepdims=True)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, vs, n, least = None, None, None, None, None
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(least)], ["doc_id", "n_links", "least"])
-
-        for b in batches:
-            for r in range(b.num_rows):
-                if b.column(0)[r].as_py() != now:
-                    if now is not None:
-                        yield done()
-                    now = b.column(0)[r].as_py()
-                    ids, least, vs = unit(b.column(1)[r].values)
-                    n, least = np.zeros(len(ids), np.int64), least.copy()
-                other, cls, e = unit(b.column(2)[r].values)
-                order = np.argsort(cls, kind="stable")  # the first link is the one to the least class
-                other, cls, e = other[order], cls[order], e[order]
-                for at in range(0, len(ids), 1024):
-                    s = slice(at, at + 1024)
-                    link = (vs[s] @ e.T >= threshold) & (ids[s, None] != other)
-                    n[s] += np.count_nonzero(link, axis=1)
-                    least[s] = np.where(link.any(axis=1), np.minimum(least[s], cls[link.argmax(axis=1)]), least[s])
-        if now is not None:
-            yield done()
-
-    classes = rows.select("doc_id", F.col("doc_id").alias("class_id"))
-    while True:
-        of_block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
-        packed = cut(rows.join(classes, "doc_id").groupBy(of_block.alias("block")).agg(F.collect_list(F.struct("doc_id", "class_id", "vector")).alias("mine")))
-        theirs = packed.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.col("mine").alias("theirs"))
-        pairs = packed.hint("merge").join(theirs, "block").select("block", "mine", "theirs")
-        found = pairs.mapInArrow(run, linked).groupBy("doc_id").agg(F.sum("n_links").alias("n_links"), F.min("least").alias("least"))
-        found = cut(found.join(classes, "doc_id"))
-        if found.where("least < class_id").isEmpty():
-            break
-        # A class goes over as a whole, and then once more to the class of its new head.
-        head = found.groupBy("class_id").agg(F.min("least").alias("head"))
-        up = head.join(head.select(F.col("class_id").alias("head"), F.col("head").alias("top")), "head")
-        classes = found.join(up.select("class_id", "top"), "class_id").select("doc_id", F.col("top").alias("class_id"))
-    return vectors.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    chunk = queries.where(F.exists("vector", lambda v: v != 0)).select("query_id", "vector").limit(block + 1).collect()
+    if len(chunk) > block:
+        return top_k(vector_index.exact_by_blocks(queries, vectors, k), k)
+    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {ids}, score double"
+    if not chunk:
+        return top_k(spark.createDataFrame([], kind), k)
+    q = np.array([r["vector"] for r in chunk], float)
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in chunk]), q))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, q = shared.value
+        s, doc = np.zeros((len(names), 0)), None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            e = np.vstack(pdf["vector"].to_numpy()).astype(float)
+            size = np.linalg.norm(e, axis=1)
+            new = np.where(size[:, None] > 0, e @ q.T / np.where(size, size, 1)[:, None], -np.inf).T
+            ids = np.broadcast_to(pdf["doc_id"].to_numpy(), new.shape)
+            # The best so far and the batch: ties go to the smaller id.
+            s, doc = np.hstack([s, new]), ids if doc is None else np.hstack([doc, ids])
+            best = np.lexsort((doc, -s), axis=1)[:, :k]
+            s, doc = np.take_along_axis(s, best, 1), np.take_along_axis(doc, best, 1)
+        if doc is not None:
+            got = pd.DataFrame({"query_id": np.repeat(names, s.shape[1]), "doc_id": doc.ravel(), "score": s.ravel()})
+            yield got[np.isfinite(got["score"])]
+
+    return top_k(vectors.select("doc_id", "vector").where("vector is not null").mapInPandas(run, kind), k)
 
 
 def fuse(legs: list[DataFrame], k: int | None = None, weights: list[float] | None = None, rrf_k: int = RRF_K, key: str = "query_id") -> DataFrame:

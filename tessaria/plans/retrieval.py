@@ -9,6 +9,7 @@ from tessaria.functions.text import clean_text
 from tessaria.operators import index as X
 from tessaria.operators import metrics as M
 from tessaria.operators import ranking as R
+from tessaria.operators import vector_index as VI
 from tessaria.plans.base import query, quoted, spread, table
 from tessaria.plans.text import WORD, search_tokens_sql
 
@@ -150,7 +151,35 @@ SELECT id AS doc_id, class_id, (SELECT count(*) FROM link WHERE a = id) AS n_lin
 """)
 def similarity_join(spark, sf_dir):
     """The whole table against itself: each row's class and its number of links."""
-    return R.similarity_join(vectors(spark, sf_dir), SIMILAR)
+    return VI.similarity_join(vectors(spark, sf_dir), SIMILAR)
+
+
+#: Every vector is given a near copy, as the made ones have no neighbours; a pair at this cosine shares one of so many bits in some band with a chance of 0.9, a copy all but surely.
+NEAR, BAND_BITS, COPY = 0.9, 8, 10**9
+
+
+@query("g7_banded_join", f"""
+WITH RECURSIVE w AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+v AS (SELECT id, e FROM w UNION ALL SELECT id + {COPY}, list_transform(e, lambda x, i: x * (1 + ((id + i) % 3 - 1) / 16)) FROM w),
+link AS (SELECT a.id AS a, b.id AS b FROM v a, v b WHERE a.id <> b.id AND list_cosine_similarity(a.e, b.e) >= {NEAR}),
+reach(id, top) AS (SELECT id, id FROM v UNION SELECT link.b, reach.top FROM reach JOIN link ON link.a = reach.id AND reach.top < link.b),
+class AS (SELECT id, min(top) AS class_id FROM reach GROUP BY id)
+SELECT id AS doc_id, class_id, (SELECT count(*) FROM link WHERE a = id) AS n_links FROM class
+""")
+def banded_join(spark, sf_dir):
+    """Candidates share a bucket of a band of signed projections; links are scored exactly."""
+    v = vectors(spark, sf_dir).select("doc_id", "vector")
+    moved = F.transform("vector", lambda x, i: (x * (1 + (F.pmod(F.col("doc_id") + i + 1, F.lit(3)) - 1) / 16)).cast("float"))
+    return VI.similarity_join(v.unionByName(v.select((F.col("doc_id") + COPY).alias("doc_id"), moved.alias("vector"))), NEAR, BAND_BITS, 0.9)
+
+
+@query("i3_band_search")
+def band_search(spark, sf_dir):
+    """The dense search within buckets, with as many probes as a sample of the queries needs for a recall of 0.9: the ten best of each query."""
+    q, v = query_vectors(spark, sf_dir), vectors(spark, sf_dir)
+    index = VI.BandIndex.build(v, 64)
+    most, _ = index.calibrate(q, v, 10)
+    return _ranked(index.search(q, 10, most))
 
 
 LEGS = TFIDF

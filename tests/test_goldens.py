@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessaria.functions import text as T
 from tessaria.functions import tokens as K
 from tessaria.functions import variants as V
-from tessaria.operators import changes, chunking, metrics, quality, ranking, versions
+from tessaria.operators import changes, chunking, metrics, quality, ranking, vector_index, versions
 from tessaria.operators.index import build_index, corpus_fingerprint
 from tessaria.plans import files
 from tessaria.plans.base import TEXTS
@@ -162,7 +162,7 @@ def test_similarity_join_is_whole(spark, sf_dir):
     real = [(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()]
     for rows, threshold, block in ((chain, 0.99, 4), (chain, 0.99, 100), (real, 0.3, 150)):
         df = spark.createDataFrame(rows, "doc_id long, vector array<float>").repartition(3)
-        assert {tuple(r) for r in ranking.similarity_join(df, threshold, block).collect()} == brute(rows, threshold)
+        assert {tuple(r) for r in vector_index.similarity_join(df, threshold, block=block).collect()} == brute(rows, threshold)
 
 
 def test_negatives_are_as_many_as_asked_for(spark):
