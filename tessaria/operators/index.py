@@ -17,49 +17,98 @@ def idf(df: Column, n: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1.0)
 
 
+#: Postings of a block, on average; blocks of a term beyond LANE_BLOCKS go to further files; postings of a shelf, which is a folder.
+BLOCK, LANE_BLOCKS, SHELF_POSTINGS, MOST_SHELVES = 1024, 256, 250_000, 8192
+K1, B = 1.5, 0.75
+
+
+def saturation(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
+    """The part of a BM25 score that a posting brings, but for idf: it rises with tf and falls with dl."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.greatest(avgdl, F.lit(1.0))))
+
+
+def shelf_of(key: Column, shelves: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(shelves)).cast("int")
+
+
 @dataclass
 class Index:
-    """postings: doc_id, term, tf, dl, and df once written; df: term, df; stats: one row of n_docs, avgdl; norms: doc_id, norm of tf / length * idf.
+    """postings: doc_id, term, tf, dl; df: term, df; stats: one row of n_docs, avgdl; norms: doc_id, norm of tf / length * idf.
 
-    The tables can be written once and read again: postings clustered by term, with
-    their terms' frequencies, so that a batch of queries joins nothing but its own terms.
+    A written index has, in place of plain postings, ``blocks``: a row per term and
+    some postings of like impact (shelf, lane, term, df, level, part, n, most_tf,
+    least_dl, docs), in a folder per shelf, whose number follows the number of
+    postings; and ``forward``: the postings by document, in folders of their own.
+    Queries read the shelves of their terms alone.
     """
 
     postings: DataFrame
     df: DataFrame
     stats: DataFrame
     norms: DataFrame | None = None
+    ids: DataFrame | None = None
+    blocks: DataFrame | None = None
+    forward: DataFrame | None = None
+    shelves: int = 0
 
     def weighted(self, terms: DataFrame) -> DataFrame:
-        """The postings of some terms (term and further columns), with df: they are pruned before anything else is joined."""
-        hit = self.postings.join(terms, "term")
-        return hit if "df" in self.postings.columns else hit.join(self.df, "term")
+        """The postings of some terms (term and further columns), with df."""
+        if self.blocks is None:
+            return self.postings.join(terms, "term").join(self.df, "term")
+        hit = self.heads(terms, "docs")
+        return hit.select(*[c for c in hit.columns if c not in ("docs", "shelf")], F.inline("docs"))
+
+    def heads(self, terms: DataFrame, *columns: str) -> DataFrame:
+        """The blocks of some terms, of their columns those that are named: shelves without a term aren't read."""
+        named = terms.where("term > ''").withColumn("shelf", shelf_of(F.col("term"), self.shelves))
+        return self.blocks.select("shelf", "term", "df", *columns).join(named, ["shelf", "term"])
+
+    def of_documents(self, rows: DataFrame) -> DataFrame:
+        """The postings of some documents (doc_id and further columns), from the shelves of these documents."""
+        named = rows.where("doc_id is not null").withColumn("shelf", shelf_of(F.col("doc_id"), self.shelves))
+        return self.forward.join(named, ["shelf", "doc_id"]).drop("shelf")
 
     def doc_norms(self) -> DataFrame:
         if self.norms is not None:
             return self.norms
+        return self._norms(self.postings.join(self.df, "term"))
+
+    def _norms(self, full: DataFrame) -> DataFrame:
         w = F.col("tf") / F.col("dl") * idf(F.col("df"), F.col("n_docs"))
-        all_ = self.postings if "df" in self.postings.columns else self.postings.join(self.df, "term")
-        return all_.crossJoin(self.stats).groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+        return full.crossJoin(self.stats).groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
 
-    def write(self, path: str, buckets: int = 64) -> None:
-        """Tables in the folder ``path``; postings are tokenised once, all else comes from what is written."""
+    def write(self, path: str, shelves: int | None = None, block: int = BLOCK) -> None:
+        """Tables in the folder ``path``. Documents are tokenised once; all else comes from the postings by document."""
         spark = self.postings.sparkSession
+        part = lambda name: spark.read.parquet(f"{path}/{name}")
         self.postings.write.mode("overwrite").parquet(f"{path}/raw")
-        raw = spark.read.parquet(f"{path}/raw")
+        raw = part("raw")
+        sums = raw.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).first()
+        if shelves is None:
+            shelves = max(8, min(MOST_SHELVES, sums["n"] // SHELF_POSTINGS))
+        stats = self.stats if self.ids is None else self.ids.agg(F.count(F.lit(1)).alias("n_docs")).withColumn("avgdl", F.coalesce(F.try_divide(F.lit(sums["tokens"]), F.col("n_docs")), F.lit(0.0)))
+        stats.withColumn("shelves", F.lit(shelves)).write.mode("overwrite").parquet(f"{path}/stats")
         raw.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/df")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-        by_term = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-        full = raw.join(spark.read.parquet(f"{path}/df"), "term").select("*", by_term)
-        full.repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
-        Index.read(spark, path, norms=False).doc_norms().write.mode("overwrite").parquet(f"{path}/norms")
+        full = raw.join(part("df"), "term")
+        avg = part("stats").first()["avgdl"]
+        # Blocks hold postings of like impact: those of a frequent term are told apart by levels, and within a level dealt by document.
+        level = F.when(F.col("df") <= block, 0).otherwise(F.floor(4 * saturation(F.col("tf"), F.col("dl"), F.lit(avg)))).cast("int")
+        parts = F.ceil(F.col("df") / block)
+        put = full.select("term", "df", level.alias("level"), F.pmod(F.xxhash64("doc_id", F.lit(1)), parts).cast("int").alias("part"), shelf_of(F.col("term"), shelves).alias("shelf"), F.struct("doc_id", "tf", "dl").alias("d"))
+        dealt = put.withColumn("lane", F.floor(F.col("part") / LANE_BLOCKS).cast("int")).repartition("shelf", "lane")
+        made = dealt.groupBy("shelf", "lane", "term", "df", "level", "part").agg(F.count(F.lit(1)).alias("n"), F.max("d.tf").alias("most_tf"), F.min("d.dl").alias("least_dl"), F.collect_list("d").alias("docs"))
+        made.sortWithinPartitions("shelf", "term").write.partitionBy("shelf").mode("overwrite").parquet(f"{path}/blocks")
+        by_doc = raw.withColumn("shelf", shelf_of(F.col("doc_id"), shelves))
+        by_doc.repartition("shelf").sortWithinPartitions("shelf", "doc_id").write.partitionBy("shelf").mode("overwrite").parquet(f"{path}/forward")
+        Index(raw, part("df"), part("stats").drop("shelves"))._norms(full).write.mode("overwrite").parquet(f"{path}/norms")
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/raw")
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     @staticmethod
-    def read(spark: SparkSession, path: str, norms: bool = True) -> Index:
+    def read(spark: SparkSession, path: str) -> Index:
         part = lambda name: spark.read.parquet(f"{path}/{name}")
-        return Index(part("postings").drop("bucket"), part("df"), part("stats"), part("norms") if norms else None)
+        stats, forward = part("stats"), part("forward")
+        return Index(forward.drop("shelf"), part("df"), stats.drop("shelves"), part("norms"), blocks=part("blocks"), forward=forward, shelves=stats.first()["shelves"])
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -98,7 +147,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: Column | None = N
     postings = bag.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = bag.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    return Index(postings, df, stats)
+    return Index(postings, df, stats, ids=docs.select(F.col(id_col).alias("doc_id")))
 
 
 def row_fingerprint(*parts: Column) -> Column:

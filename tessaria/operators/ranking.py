@@ -12,9 +12,10 @@ from pyspark.sql.window import Window
 
 from tessaria.functions.tokens import search_tokens, words
 from tessaria.operators import vector_index
-from tessaria.operators.index import Index, idf
+from tessaria.operators.components import kept
+from tessaria.operators.index import B, K1, Index, idf, saturation
 
-K1, B, RRF_K = 1.5, 0.75, 60
+RRF_K = 60
 #: The candidates that a leg hands to fusion are this many times the results; at most POOL are reranked.
 OVERFETCH, POOL = 3, 50
 
@@ -37,13 +38,52 @@ def bm25(queries: DataFrame, index: Index, k: int, k1: float = K1, b: float = B,
     """
     terms = query_terms(queries, tokens=tokens)
     hit = index.weighted(terms).crossJoin(index.stats)
-    norm = k1 * (1 - b + b * F.col("dl") / F.greatest("avgdl", F.lit(1.0)))
-    part = F.col("qtf") * idf(F.col("df"), F.col("n_docs")) * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
+    part = F.col("qtf") * idf(F.col("df"), F.col("n_docs")) * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     if weight is not None:
         part = part * weight
     return top_k(hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")), k)
 
 
+#: The terms of a query that are looked up first, the strongest; a bound on a score is compared with some room for rounding.
+FIRST_TERMS, ROOM = 6, 1e-6
+
+
+def bm25_pruned(queries: DataFrame, index: Index, k: int, k1: float = K1, b: float = B, tokens=search_tokens) -> DataFrame:
+    """The result of :func:`bm25`, exact, over a written index: postings that can't bring a document among a query's k best aren't read.
+
+    A block of postings tells its largest term frequency and least length, and so
+    the most that a posting of it can add. The strongest terms give 2k documents a
+    query, whose full scores, read from the postings by document, give a k-th
+    score that the result must reach. Terms whose largest parts together stay
+    below it can't bring in a document by themselves; of the others only blocks
+    are read that reach it with all that the other terms may add. The documents
+    found there are scored in full.
+    """
+    terms = kept(query_terms(queries, tokens=tokens), "terms")
+    n_docs, avgdl = index.stats.first()
+    score = F.col("qtf") * idf(F.col("df"), F.lit(n_docs)) * saturation(F.col("tf"), F.col("dl"), F.lit(avgdl), k1, b)
+    most = F.col("qtf") * idf(F.col("df"), F.lit(n_docs)) * saturation(F.col("most_tf"), F.col("least_dl"), F.lit(avgdl), k1, b)
+    own = kept(index.heads(terms, "most_tf", "least_dl").groupBy("query_id", "term", "qtf", "df").agg(F.max(most).alias("most")), "bounds")
+    strongest = own.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("most").desc(), "term"))).where(F.col("i") <= FIRST_TERMS)
+
+    def full(pairs: DataFrame) -> DataFrame:
+        rows = index.of_documents(pairs).join(own, ["query_id", "term"])
+        return rows.groupBy("query_id", "doc_id").agg(F.sum(score).alias("score"))
+
+    first = index.weighted(strongest.select("query_id", "term", "qtf")).groupBy("query_id", "doc_id").agg(F.sum(score).alias("score"))
+    seeds = kept(top_k(first, 2 * k).select("query_id", "doc_id"), "seeds")
+    reached = top_k(full(seeds), k).where(F.col("rank") == k).select("query_id", (F.col("score") - ROOM).alias("floor"))
+    up, all_ = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("query_id")
+    judged_ = own.join(reached, "query_id", "left").withColumns({"floor": F.coalesce("floor", F.lit(0.0)), "below": F.sum("most").over(up), "all": F.sum("most").over(all_)})
+    judged_ = kept(judged_.withColumn("weak", F.col("below") < F.col("floor")), "judged")
+    strong = judged_.where("not weak").select("query_id", "term", "qtf", "floor", (F.col("all") - F.col("most")).alias("others"))
+    rest = judged_.groupBy("query_id").agg(F.sum(F.when(F.col("weak"), F.col("most")).otherwise(0.0)).alias("rest"))
+    blocks = index.heads(strong, "most_tf", "least_dl", "docs").where(most + F.col("others") >= F.col("floor"))
+    part = blocks.select("query_id", "qtf", "df", "floor", F.inline("docs")).groupBy("query_id", "doc_id", "floor").agg(F.sum(score).alias("part")).join(rest, "query_id")
+    found = part.where(F.col("part") + F.col("rest") >= F.col("floor")).select("query_id", "doc_id")
+    return top_k(full(kept(found, "found")), k)
+
+
 def tfidf(queries: DataFrame, index: Index, k: int) -> DataFrame:
     """Cosine of tf / length * idf vectors. Terms that the corpus lacks weigh 1 in the query's length."""
     qw = query_weights(queries, index)

@@ -10,6 +10,7 @@ from tessaria.operators import index as X
 from tessaria.operators import metrics as M
 from tessaria.operators import ranking as R
 from tessaria.operators import vector_index as VI
+from tessaria.operators.components import kept
 from tessaria.plans.base import query, quoted, spread, table
 from tessaria.plans.text import WORD, search_tokens_sql
 
@@ -34,16 +35,20 @@ def fresh_index(spark, sf_dir):
 
 
 def qrels(spark, sf_dir):
-    """Relevant are documents that hold the passage: those that have its longest word are the candidates, and the texts decide.
+    """Relevant are documents that hold the passage: those that have its rarest inner word, by the index, are the candidates, and the texts decide.
 
-    Words travel with ids alone; texts are fetched for the candidates.
+    The first and the last word may be parts of longer words in a document. A passage without an inner word is held against all texts.
     """
-    words = K.words(F.col("text"))
-    longest = F.element_at(F.array_sort(F.transform(words, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))), -1)["w"]
-    item = questions(spark, sf_dir).select("query_id", longest.alias("key"))
-    pairs = docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(words)).alias("key")).join(item, "key").select("query_id", "doc_id").distinct()
-    both = pairs.join(questions(spark, sf_dir).withColumnRenamed("text", "passage"), "query_id").join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
-    return both.where(F.contains("text", F.col("passage"))).select("query_id", "doc_id", F.lit(1).alias("rel"))
+    ix, q = index(spark, sf_dir), questions(spark, sf_dir)
+    inner = lambda c: F.slice(K.extract_all(K.search_letters(F.lower(c)), K.SEARCH_TOKEN), F.lit(2), F.greatest(F.size(K.extract_all(K.search_letters(F.lower(c)), K.SEARCH_TOKEN)) - 2, F.lit(0)))
+    words = q.select("query_id", F.explode(inner(F.col("text"))).alias("term")).where((F.char_length("term") > 1) & ~F.col("term").isin(*K.STOP_SEARCH)).distinct()
+    rarest = kept(words.join(ix.df, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).select("query_id", "r.term"), "rarest")
+    pairs = ix.weighted(rarest).select("query_id", "doc_id")
+    both = pairs.join(q.withColumnRenamed("text", "passage"), "query_id").join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    bare = q.join(rarest, "query_id", "left_anti").where("text is not null").withColumnRenamed("text", "passage")
+    if not bare.isEmpty():
+        both = both.unionByName(docs(spark, sf_dir).select("doc_id", "text").join(F.broadcast(bare), F.contains("text", F.col("passage"))))
+    return both.where(F.contains("text", F.col("passage"))).select("query_id", "doc_id", F.lit(1).alias("rel")).distinct()
 
 
 BASE = f"""
@@ -100,6 +105,13 @@ def bm25_topk(spark, sf_dir):
     return bm25_run(spark, sf_dir, 10).select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("i1_bm25_pruned", f"WITH {BASE} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM bm25 WHERE rank <= 10")
+def bm25_pruned(spark, sf_dir):
+    """The same search with bounds by block."""
+    run = R.bm25_pruned(questions(spark, sf_dir), index(spark, sf_dir), 10)
+    return run.select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 TFIDF = f"""{BASE}, w AS (SELECT doc_id, term, CAST(tf AS DOUBLE) / dl * ln((n - df + 0.5) / (df + 0.5) + 1) AS w FROM p JOIN df USING (term) JOIN dl USING (doc_id), stats),
 nd AS (SELECT doc_id, sqrt(sum(w * w)) AS nd FROM w GROUP BY doc_id), qt AS (SELECT query_id, term, count(*) AS n1 FROM q GROUP BY ALL), ql AS (SELECT query_id, count(*) AS ql FROM q GROUP BY query_id),
 qw AS (SELECT query_id, term, CAST(n1 AS DOUBLE) / ql * coalesce(ln((n - df + 0.5) / (df + 0.5) + 1), 1) AS qw FROM qt JOIN ql USING (query_id) LEFT JOIN df USING (term), stats),

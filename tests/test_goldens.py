@@ -216,7 +216,7 @@ def test_index_round_trip_and_fingerprint(spark, tmp_path):
     from tessaria.operators.index import Index
 
     d = spark.createDataFrame([(k, f"word{k} common") for k in range(50)], "doc_id long, text string")
-    build_index(d).write(str(tmp_path / "ix"), 4)
+    build_index(d).write(str(tmp_path / "ix"), 4, 8)
     q = spark.createDataFrame([(1, "word7")], "query_id long, text string")
     back = Index.read(spark, str(tmp_path / "ix"))
     assert ranking.bm25(q, back, 1).first()["doc_id"] == 7
