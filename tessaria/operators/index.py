@@ -107,8 +107,12 @@ class Index:
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
         part = lambda name: spark.read.parquet(f"{path}/{name}")
-        stats, forward = part("stats"), part("forward")
-        return Index(forward.drop("shelf"), part("df"), stats.drop("shelves"), part("norms"), blocks=part("blocks"), forward=forward, shelves=stats.first()["shelves"])
+        stats, norms = part("stats"), part("norms")
+        kind = norms.schema["doc_id"].dataType.simpleString()
+        # Tables in folders have no file, and so no schema, where the corpus is empty.
+        blocks = spark.read.schema(f"lane int, term string, df bigint, level int, part int, n bigint, most_tf bigint, least_dl bigint, docs array<struct<doc_id:{kind},tf:bigint,dl:bigint>>, shelf int").parquet(f"{path}/blocks")
+        forward = spark.read.schema(f"doc_id {kind}, term string, tf bigint, dl bigint, shelf int").parquet(f"{path}/forward")
+        return Index(forward.drop("shelf"), part("df"), stats.drop("shelves"), norms, blocks=blocks, forward=forward, shelves=stats.first()["shelves"])
 
 
 def shared_root(spark: SparkSession) -> str:
