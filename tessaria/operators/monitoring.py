@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessaria.operators.quantiles import exact_quantiles
+
 
 def list_page(df: DataFrame, filters: dict, order: str, tie: str, page: int = 1, size: int = 20) -> DataFrame:
     """A page of rows that equal the given values, newest first. Values of None don't filter."""
@@ -61,8 +63,13 @@ def drift(logs: DataFrame, as_of: Column, value: str, recent: int = 7, baseline:
 
 
 def latency_percentiles(logs: DataFrame, value: str, *by: str) -> DataFrame:
-    p = lambda q: F.round(F.percentile(value, q), 6).alias(f"p{round(q * 100)}")
-    return logs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), p(0.5), p(0.95), p(0.99))
+    """by, n, p50, p95, p99: exact, between the nearest values; see :mod:`tessaria.operators.quantiles`."""
+    found = exact_quantiles(logs, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, *by)
+    n = logs.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.count(F.lit(1)).alias("n"))
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return n.join(found, on).select(*by, "n", *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")])
 
 
 def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int = 30) -> DataFrame:
@@ -92,4 +99,20 @@ def job_summary(results: DataFrame) -> DataFrame:
 
 def judge_stats(scores: DataFrame, value: str, least: float = 0.7) -> DataFrame:
     r = lambda c: F.round(c, 6)
-    return scores.agg(F.count(F.lit(1)).alias("n"), r(F.avg(value)).alias("mean"), r(F.median(value)).alias("median"), r(F.min(value)).alias("min"), r(F.max(value)).alias("max"), F.count_if(F.col(value) >= least).alias("passed"))
+    sums = scores.agg(F.count(F.lit(1)).alias("n"), r(F.avg(value)).alias("mean"), r(F.min(value)).alias("min"), r(F.max(value)).alias("max"), F.count_if(F.col(value) >= least).alias("passed"))
+    middle = exact_quantiles(scores, value, {"median": 0.5}).select(r(F.col("median")).alias("median"))
+    return sums.join(middle, F.lit(True), "left").select("n", "mean", "median", "min", "max", "passed")  # a row each
+
+
+def grouping_sets(df: DataFrame, columns: list[str], sets: list[list[str]], *measures: Column) -> DataFrame:
+    """The columns (null where a set lacks them), grouping_id and measures of several groupings in one pass.
+
+    grouping_id has a bit per column, the last column's the lowest, which is 1 where the
+    column was summed over: so a total is told from a group whose value is null.
+    """
+    return df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns]).agg(F.grouping_id().cast("long").alias("grouping_id"), *measures)
+
+
+def cube(df: DataFrame, columns: list[str], *measures: Column) -> DataFrame:
+    """All groupings of the columns, as :func:`grouping_sets` gives them."""
+    return df.cube(*columns).agg(F.grouping_id().cast("long").alias("grouping_id"), *measures)
