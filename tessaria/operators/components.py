@@ -44,7 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
         # The least class among the neighbours goes to the head of a node's own class, so that classes merge as wholes.
         near = links.join(parent.select(F.col("node").alias("to"), F.col("class_id").alias("theirs")), "to").groupBy("node").agg(F.min("theirs").alias("theirs"))
         offer = parent.join(near, "node").groupBy("class_id").agg(F.min("theirs").alias("best")).where("best < class_id")
-        up = parent.join(offer, "class_id", "left").select("node", F.coalesce("best", "class_id").alias("class_id"))
+        up = join_spread(parent, offer, ["class_id"], F.col("node"), "left").select("node", F.coalesce("best", "class_id").alias("class_id"))
         step = kept(up, "classes")
         top = step.select(F.col("node").alias("class_id"), F.col("class_id").alias("above"))
         step = kept(join_spread(step, top, ["class_id"], F.col("node"), "left").select("node", F.least("class_id", F.coalesce("above", "class_id")).alias("class_id")), "classes")

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tessaria.operators.components import components, join_spread, kept
 
-#: Most vectors of a block, on average.
-BLOCK = 2048
+#: Most vectors of a block, on average; of the blocks of a join, each pair of which gives at most a row per vector.
+BLOCK, JOIN_BLOCK = 2048, 8192
 BANDS, BITS, PROBES, SEED = 8, 8, 8, 1
 
 
@@ -189,7 +189,7 @@ def bands_for(threshold: float, bits: int, wanted: float = 0.99) -> int:
     return max(1, math.ceil(math.log(1 - wanted) / math.log1p(-same))) if same < 1 else 1
 
 
-def similarity_join(vectors: DataFrame, threshold: float, bits: int = 0, wanted: float = 0.99, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def similarity_join(vectors: DataFrame, threshold: float, bits: int = 0, wanted: float = 0.99, block: int = JOIN_BLOCK, seed: int = SEED) -> DataFrame:
     """Links of a table's vectors (doc_id long, vector): doc_id, class_id, n_links.
 
     n_links is the number of other rows with a cosine of ``threshold`` or more;
@@ -237,12 +237,28 @@ def similarity_join(vectors: DataFrame, threshold: float, bits: int = 0, wanted:
     return own.unionByName(alone.join(own.select("doc_id"), "doc_id", "left_anti"))
 
 
+def _heads(hx: np.ndarray, hy: np.ndarray, i: np.ndarray, j: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The least id that links (i, j) of the rows lead to, from the heads so far."""
+    names, ix = np.unique(np.r_[hx, hy], return_inverse=True)
+    while True:
+        before = hx.copy(), hy.copy()
+        np.minimum.at(hx, i, hy[j])
+        np.minimum.at(hy, j, hx[i])
+        if same:
+            hx = hy = np.minimum(hx, hy)
+        # Rows that had one head before keep one.
+        least = np.full(len(names), np.iinfo(np.int64).max)
+        np.minimum.at(least, ix, np.r_[hx, hy])
+        hx, hy = least[ix[: len(hx)]], least[ix[len(hx) :]]
+        if (hx == before[0]).all() and (hy == before[1]).all():
+            return hx, hy
+
+
 def _linked(band: int, same: bool, x: list, y: list, threshold: float) -> pa.RecordBatch:
-    """Each row's weight of links in a pair of blocks, and the least row of its component there."""
+    """Each row's weight of links in a pair of blocks, and the least row of its component there; the links of a few hundred rows are held at once."""
     (xid, xw, xc, xv), (yid, yw, yc, yv) = x, y
     nx, ny = np.zeros(len(xid), np.int64), np.zeros(len(yid), np.int64)
-    hx, hy = xid.copy(), yid.copy()
-    parts = []
+    hx, hy = xid.astype(np.int64), yid.astype(np.int64)
     for at in range(0, len(xid), 512):
         s = slice(at, at + 512)
         link = xv[s] @ yv.T >= threshold
@@ -254,16 +270,9 @@ def _linked(band: int, same: bool, x: list, y: list, threshold: float) -> pa.Rec
         nx[s] += link @ yw
         if not same:
             ny += link.T @ xw[s]
-        parts.append((np.nonzero(link)[0] + at, np.nonzero(link)[1]))
-    i, j = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    while len(i):
-        before = hx.copy(), hy.copy()
-        np.minimum.at(hx, i, hy[j])
-        np.minimum.at(hy, j, hx[i])
-        if same:
-            hx = hy = np.minimum(hx, hy)
-        if (hx == before[0]).all() and (hy == before[1]).all():
-            break
+        i, j = np.nonzero(link)
+        if len(i):
+            hx, hy = _heads(hx, hy, i + at, j, same)
     ids, n, head = (xid, nx, hx) if same else (np.r_[xid, yid], np.r_[nx, ny], np.r_[hx, hy])
     hit = (n > 0) | (head < ids)
     return pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in (ids, n, head)], ["doc_id", "n_links", "head"])
