@@ -181,10 +181,6 @@ def parse(html: str) -> Tree:
     return tree
 
 
-_WORDS = re.compile(r"\S+")
-FEATURES = 2 * (len(KINDS) + 1) + 3 * len(TOKENS) + 16
-
-
 def features(tree: Tree) -> np.ndarray:
     """A row of features per block node."""
     n = len(tree.kind)
@@ -240,6 +236,7 @@ def features(tree: Tree) -> np.ndarray:
     rest = np.column_stack([
         depth, np.log1p(chars), chars / total, linked / np.maximum(1, chars), chars / size, stops / np.maximum(1, wordy), np.log1p(wordy), paras, marks / size,
         blocks, brothers, order / brothers, np.log1p((chars[up] - chars) / brothers), chars / np.maximum(1, chars[up]), before / total, np.log1p(own),
+        tok.sum(axis=1), anc_tok.sum(axis=1), inside.sum(axis=1),
     ])
     return np.hstack([onehot, anc_kind, tok, anc_tok, inside, rest])
 
@@ -249,7 +246,7 @@ class Forest:
 
     DEPTH, BINS = 4, 32
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 70, rate: float = 0.25, least: float = 1.0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 90, rate: float = 0.25, least: float = 1.0):
         self.cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, self.BINS + 1)[1:-1])) for f in range(x.shape[1])]
         b = self.bins(x)
         share = y.mean()
@@ -369,6 +366,9 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[int]]:
 
         el("ul", label, "", items)
 
+    plain = chance(0.25)  # a page that has divs for paragraphs, and few classes
+    para = "div" if plain else "p"
+
     def paras(label: int, n: int) -> None:
         for _ in range(n):
             body = " ".join(sentence(30) for _ in range(int(rng.integers(1, 6))))
@@ -376,7 +376,7 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[int]]:
                 body = f"<b>{body}<br>"
             elif chance(0.2):
                 body = f'{sentence()} <a href="#">{sentence(4)}</a> <em>{body}</em>'
-            el("p", label, "", body, chance(0.85) and "<b>" not in body)
+            el(para, label, "", body, para == "div" or chance(0.85) and "<b>" not in body)
 
     def nav():
         if chance(0.7):
@@ -447,11 +447,11 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[int]]:
     junk = (ad, notice, form, share, side, nav)
 
     def article():
-        if chance(0.18):  # a short one
+        if chance(0.25):  # a short one
             if chance(0.5):
                 el(pick("h1", "h2"), 1, "", sentence(6))
             for _ in range(int(rng.integers(1, 4))):
-                el("p", 1, "", sentence(10))
+                el(para, 1, "", " ".join(sentence(20) for _ in range(int(rng.integers(1, 3)))))
             return
         if chance(0.85):
             el(pick("h1", "h1", "h2"), 1, "", sentence(14))
@@ -483,8 +483,25 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[int]]:
         if chance(0.12):
             comments()
 
+    def cells():
+        """A table that lays out the page: menus and boxes in some cells, the article in another."""
+        def row():
+            if chance(0.5):
+                el("td", 0, "", lambda: links(0, int(rng.integers(2, 9))))
+            el("td", 1, "", article)
+            if chance(0.4):
+                el("td", 0, "", pick(ad, side, form))
+
+        el("table", 1, "", lambda: el("tr", 1, "", row))
+
+    def nested(depth: int) -> None:
+        """The article in elements that say nothing of it."""
+        el(pick("div", "div", "section"), 1, pick("", "", f' class="c{int(rng.integers(90))}"', f' id="x{int(rng.integers(90))}"'), lambda: nested(depth - 1) if depth else article())
+
     def middle():
-        if chance(0.65):
+        if chance(0.7 if plain else 0.12):
+            cells() if chance(0.25) else nested(int(rng.integers(0, 3)))
+        elif chance(0.65):
             el("article", 1, pick("", attrs("post", "entry", "story")), article)
         else:
             el(pick("div", "section", "main", "td"), 1, attrs("content", "article", "main", "post", "entry", "story", "text"), article)
@@ -531,7 +548,7 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[int]]:
     return "".join(out), labels
 
 
-TRAINING_PAGES = 900
+TRAINING_PAGES = 1600
 
 
 @lru_cache(1)

@@ -315,6 +315,29 @@ def test_html_written_by_hand(page, text):
     assert html_extract.extract_texts([page], html_extract.model()) == [text]
 
 
+P = [" ".join(f"word{(k * 7 + n) % 23}" for k in range(25)).capitalize() + "." for n in range(6)]
+MENU = "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "page, blocks",
+    [
+        (f"<body><div><div>{P[0]}</div><div>{P[1]}</div></div></body>", P[:2]),
+        ("<body><div>" + "".join(f"<div>{p}</div>" for p in P[:4]) + "</div></body>", P[:4]),
+        (f"<table><tr><td><h1>Headline</h1><p>{P[0]}<p>{P[1]}</td></tr></table>", ["Headline", *P[:2]]),
+        (f"<td><h1>Headline</h1><p>{P[0]}<p>{P[1]}</td>", ["Headline", *P[:2]]),
+        (f"<body><div><h1>Head</h1><p>{P[0]}</p><p>{P[1]}</p></div></body>", ["Head", *P[:2]]),
+        (f"<html><head><title>x</title></head><body><nav>{MENU}</nav><div><h1>Head line here</h1><div>{P[0]}</div><div>{P[1]}</div><div>{P[2]}</div></div><footer>&copy; 2024</footer></body></html>", ["Head line here", *P[:3]]),
+        (f"<html><body><header><h1>Site name</h1></header><section><h2>Title of it</h2><p>{P[3]}</p><p>{P[4]}</p></section><div class=sidebar><p>{P[5]}</p></div></body></html>", ["Title of it", P[3], P[4]]),
+        (f"<body><table><tr><td>{MENU}</td><td><h1>Top</h1><p>{P[0]}</p><p>{P[1]}</p></td></tr></table></body>", ["Top", *P[:2]]),
+        (f"<p>{P[0]}</p><p>{P[1]}</p>", P[:2]),
+    ],
+)
+def test_html_without_telling_attributes(page, blocks):
+    """Pages from outside the generator: blocks that are divs, containers without attributes, tables as layout."""
+    assert html_extract.extract_texts([page], html_extract.model())[0].split("\n") == blocks
+
+
 @pytest.mark.parametrize("page", ["<div>" * 20000 + "</span>" * 20000, "<ul><li><ul>" + "<div>" * 20000 + "<li></li>" * 20000, "<p><li>" + "<span>" * 20000 + "<div></div>" * 20000, "<b>" * 30000 + "</i>" * 30000, "<a '" * 20000])
 def test_html_is_parsed_in_linear_time(page):
     began = time.perf_counter()
