@@ -15,6 +15,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaria.llm.common import small_batches
+from tessaria.llm.common import join_spread, keep, small_batches
 
 WINDOW = 10
 #: Most words of items in one automaton (some 200 MB in a Python worker); larger benchmarks are scanned in several blocks of items.
@@ -116,9 +117,10 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS)
     yield block
 
 
-CARRIED = "doc_id long, text string, hit binary, items array<string>"
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+#: The key of a row whose hits are stored: its id, and 128 bits of its text.
+KEY = ["_none", "_id", "_a", "_b"]
 _held: dict[str, Windows] = {}
 
 
@@ -130,8 +132,23 @@ def _automaton(key: str, shared, window: int) -> Windows:
     return _held[key]
 
 
-def _scan_block(docs: DataFrame, block: list[Item], window: int, last: bool) -> DataFrame:
-    """Adds one block's hits to those that the rows carry; the last block's scan gives the result."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_a": F.xxhash64("text"), "_b": F.xxhash64("text", F.lit(1))})
+
+
+def _judged(words: list[bytes], text: str | None, hit: np.ndarray, names: set[str]) -> tuple:
+    own = ",".join(sorted(n[1:] for n in names if n[0] == "i"))
+    cuts = [{"start": s, "end": e} for s, e in spans(text, hit)] if names else []
+    return len(words), int(hit.sum()), len(names), hashlib.sha256(own.encode()).hexdigest(), bool(hit.any()), cuts
+
+
+def _result(doc_ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), _SPANS]
+    return pa.RecordBatch.from_arrays([doc_ids, *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], [f.split()[0] for f in RESULT.split(", ")])
+
+
+def _one_block(docs: DataFrame, block: list[Item], window: int) -> DataFrame:
+    """The result where all items fit in one automaton: one scan, nothing is stored or shuffled."""
     items, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,28 +156,46 @@ def _scan_block(docs: DataFrame, block: list[Item], window: int, last: bool) ->
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b, out = whole.slice(at, 512), []
-                for t, bits, ids in zip(b.column(1), b.column(2), b.column(3), strict=True):
-                    t, bits, ids = t.as_py(), bits.as_py(), ids.as_py()
+                for t in b.column(1):
+                    t = t.as_py()
                     w = word_list(t)
                     hit, found = auto.scan(w)
-                    names = {*(ids or ()), *(items.value[k][0] for k in found)}
-                    if bits is not None:
-                        hit |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(w)).astype(bool)
-                    if last:
-                        own = ",".join(sorted(n[1:] for n in names if n[0] == "i"))
-                        cuts = [{"start": s, "end": e} for s, e in spans(t, hit)] if names else []
-                        out.append((len(w), int(hit.sum()), len(names), hashlib.sha256(own.encode()).hexdigest(), bool(hit.any()), cuts))
-                    else:
-                        out.append((np.packbits(hit).tobytes() if names else None, sorted(names) or None))
-                cols = list(zip(*out, strict=True))
-                if last:
-                    kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), _SPANS], [f.split()[0] for f in RESULT.split(", ")]
-                    yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names)
-                else:
-                    kinds = [pa.binary(), pa.list_(pa.string())]
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "text", "hit", "items"])
-
-    return docs.mapInArrow(run, RESULT if last else CARRIED)
+                    out.append(_judged(w, t, hit, {items.value[k][0] for k in found}))
+                yield _result(b.column(0), out)
+
+    return docs.mapInArrow(run, RESULT)
+
+
+def _block_hits(docs: DataFrame, block: list[Item], window: int) -> DataFrame:
+    """The keys of the rows that hold a window of a block's items, with which words are hit, as bits, and the items' names."""
+    items, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = _automaton(key, items, window)
+        for b in batches:
+            rows, bits, names = [], [], []
+            for k, t in enumerate(b.column(0)):
+                hit, found = auto.scan(word_list(t.as_py()))
+                if found:
+                    rows.append(k)
+                    bits.append(np.packbits(hit).tobytes())
+                    names.append(sorted({items.value[i][0] for i in found}))
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(rows, pa.int64())) for c in b.columns[1:]], pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string()))], [*KEY, "hit", "items"])
+
+    return _keyed(docs).select("text", *KEY).mapInArrow(run, "_none boolean, _id string, _a long, _b long, hit binary, items array<string>")
+
+
+def _stored_hits(docs: DataFrame, first: list[list[Item]], rest: Iterator[list[Item]], window: int) -> DataFrame:
+    """The hits of all blocks. Each block is a job of its own, whose hits are written before the next begins, so that no worker ever holds two automata."""
+    tables = [keep(_block_hits(docs, block, window), "hits")[0] for block in chain(first, rest)]
+    both = tables[0]
+    for t in tables[1:]:
+        both = both.unionByName(t)
+    return both.distinct()  # rows that repeat have the same hits; a row per block is left of each
+
+
+def _first_two(found: Iterator[list[Item]]) -> list[list[Item]]:
+    return list(islice(found, 2))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -173,32 +208,54 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     count each by itself, but have no place in items_sha256. Other columns are
     ignored. An empty benchmark contaminates nothing, an empty table gives an empty
     result. spans are runs of hit words as code point offsets in the original
-    text. Nothing is shuffled; each block of items is a scan.
+    text. A benchmark of one block is one scan without a shuffle; of a larger one
+    each block is a scan, whose hits, the only rows that are shuffled, are stored and joined.
     """
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
-    before = None
-    for block in blocks(benchmark, window, block_words):
-        if before is not None:
-            rows = _scan_block(rows, before, window, last=False)
-        before = block
-    return _scan_block(rows, before, window, last=True)
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = blocks(benchmark, window, block_words)
+    first = _first_two(found)
+    if len(first) == 1:
+        return _one_block(rows, first[0], window)
+    hits = _stored_hits(rows, first, found, window).groupBy(*KEY).agg(F.collect_list("hit").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("names"))
+    joined = join_spread(_keyed(rows).withColumn("_at", F.spark_partition_id()), hits, KEY, ["_at"], "left").select("doc_id", "text", "hits", "names")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b, out = whole.slice(at, 512), []
+                for t, hits, names in zip(b.column(1), b.column(2), b.column(3), strict=True):
+                    t = t.as_py()
+                    w = word_list(t)
+                    hit = np.zeros(len(w), bool)
+                    for bits in hits.as_py() or ():
+                        hit |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(w)).astype(bool)
+                    out.append(_judged(w, t, hit, set(names.as_py() or ())))
+                yield _result(b.column(0), out)
+
+    return joined.mapInArrow(run, RESULT)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents that hold no window of any item, with their own columns: a scan per block of items, without a shuffle.
+    """The documents that hold no window of any item, with their own columns.
 
-    Null texts and texts without a word stay, rows that repeat each for itself.
+    Null texts and texts without a word stay, rows that repeat each for itself. A
+    benchmark of one block is one scan; of a larger one, rows are held against the stored keys of the rows with hits.
     """
     names, at = small_batches(docs).columns, docs.columns.index("text")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    for block in blocks(benchmark, window, block_words):
-        items, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch], items=items, key=key) -> Iterator[pa.RecordBatch]:
-            auto = _automaton(key, items, window)
-            for b in batches:
-                ok = [not auto.scan(word_list(t.as_py()))[1] for t in b.column(at)]
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns], names)
-
-        docs = docs.mapInArrow(run, kinds)
-    return docs
+    found = blocks(benchmark, window, block_words)
+    first = _first_two(found)
+    if len(first) > 1:
+        own = [F.col(c).alias(f"_own{k}") for k, c in enumerate(names)]
+        back = [F.col(f"_own{k}").alias(c) for k, c in enumerate(names)]
+        keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *own)).withColumn("_at", F.spark_partition_id())
+        hits = _stored_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), first, found, window).select(*KEY).distinct().withColumn("_hit", F.lit(True))
+        return join_spread(keyed, hits, KEY, ["_at"], "left").where(F.col("_hit").isNull()).select(*back)
+    items, key = docs.sparkSession.sparkContext.broadcast(first[0]), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = _automaton(key, items, window)
+        for b in batches:
+            ok = [not auto.scan(word_list(t.as_py()))[1] for t in b.column(at)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns], names)
+
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))

@@ -113,6 +113,20 @@ def test_leaks(spark, docs, table_rows):
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_blocks_are_scanned_one_after_another(spark, docs, table_rows, capfd):
+    """The plan of the result has no automaton, whatever the number of blocks; hot rows that repeat are judged each."""
+    bench = spark.createDataFrame([(k, prose(50 + k, 20)) for k in range(9)] + [(99, prose(1, 12))], "item_id long, text string")
+    assert sum(1 for _ in decontaminate.blocks(bench, 10, 25)) == 10
+    many = docs.select("doc_id", "text").unionByName(spark.range(300).select(F.lit(1).cast("long").alias("doc_id"), F.lit(prose(1, 400)).alias("text")))
+    found = decontaminate.decontaminate(many, bench, block_words=25)
+    found.explain()
+    assert capfd.readouterr().out.count("MapInArrow") == 1
+    whole = decontaminate.decontaminate(many, bench)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(found) == key(whole) and found.where("contaminated").count() > 300
+    assert decontaminate.keep_clean(many, bench, block_words=25).count() == decontaminate.keep_clean(many, bench).count() == many.count() - found.where("contaminated").count()
+
+
 def test_spans_point_into_the_original(spark):
     text = "Ünder the,  SHORT -- Item; (漢字 ünder)"
     auto = decontaminate.build([("2", "short item")])
