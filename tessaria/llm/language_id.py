@@ -169,7 +169,7 @@ def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFram
     if not counts:
         return rows.limit(0)
     rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in sorted(counts.items())])
-    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 20)) < rate * (1 << 20))
+    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 62)) < rate * float(1 << 62))
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
@@ -187,7 +187,9 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | Non
                     val.append((c / max(1, len(got))).astype("<f4").tobytes())
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(idx, pa.binary()), pa.array(val, pa.binary()), s.column(2)], ["lang", "idx", "val", "o"])
 
-    got = sample(docs, per_language).select("lang", "text", F.xxhash64("doc_id").alias("o")).mapInArrow(count, "lang string, idx binary, val binary, o long").collect()
+    counted = sample(docs, per_language).select("lang", "text", F.xxhash64("doc_id").alias("o")).mapInArrow(count, "lang string, idx binary, val binary, o long")
+    # Rows that repeat an id are sampled together: twice what is expected is the most that reaches the driver.
+    got = counted.orderBy("o", "lang", "idx").limit(2 * per_language * MOST_LANGUAGES).collect()
     got.sort(key=lambda r: (r["o"], r["lang"], r["idx"]))  # the same order on every run
     rows = [(r["lang"], np.frombuffer(r["idx"], "<i4"), np.frombuffer(r["val"], "<f4")) for r in got if r["idx"]]
     del got
