@@ -17,8 +17,10 @@ def idf(df: Column, n: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1.0)
 
 
-#: Postings of a block, on average; blocks of a term beyond LANE_BLOCKS go to further files; postings of a shelf, which is a folder.
-BLOCK, LANE_BLOCKS, SHELF_POSTINGS, MOST_SHELVES = 1024, 256, 250_000, 8192
+#: Postings of a block, on average; blocks of a term beyond LANE_BLOCKS go to further files; bytes of text for each shelf, which is a folder.
+BLOCK, LANE_BLOCKS, SHELF_BYTES, MOST_SHELVES = 1024, 256, 4 << 20, 8192
+#: Bytes of text whose documents one task counts.
+LANE_BYTES = 128 << 20
 K1, B = 1.5, 0.75
 
 
@@ -37,8 +39,8 @@ class Index:
 
     A written index has, in place of plain postings, ``blocks``: a row per term and
     some postings of like impact (shelf, lane, term, df, level, part, n, most_tf,
-    least_dl, docs), in a folder per shelf, whose number follows the number of
-    postings; and ``forward``: the postings by document, in folders of their own.
+    least_dl, docs), in a folder per shelf, whose number follows the bytes
+    of text; and ``forward``: the postings by document, in folders of their own.
     Queries read the shelves of their terms alone.
     """
 
@@ -46,7 +48,8 @@ class Index:
     df: DataFrame
     stats: DataFrame
     norms: DataFrame | None = None
-    ids: DataFrame | None = None
+    source: DataFrame | None = None
+    tokens: Callable[[Column], Column] = search_tokens
     blocks: DataFrame | None = None
     forward: DataFrame | None = None
     shelves: int = 0
@@ -78,19 +81,21 @@ class Index:
         return full.crossJoin(self.stats).groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
 
     def write(self, path: str, shelves: int | None = None, block: int = BLOCK) -> None:
-        """Tables in the folder ``path``. Documents are tokenised once; all else comes from the postings by document."""
-        spark = self.postings.sparkSession
+        """Tables in the folder ``path``: documents are dealt by shelf and tokenised once, all else comes from their postings."""
+        spark = self.source.sparkSession
         part = lambda name: spark.read.parquet(f"{path}/{name}")
-        self.postings.write.mode("overwrite").parquet(f"{path}/raw")
-        raw = part("raw")
-        sums = raw.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).first()
-        if shelves is None:
-            shelves = max(8, min(MOST_SHELVES, sums["n"] // SHELF_POSTINGS))
-        stats = self.stats if self.ids is None else self.ids.agg(F.count(F.lit(1)).alias("n_docs")).withColumn("avgdl", F.coalesce(F.try_divide(F.lit(sums["tokens"]), F.col("n_docs")), F.lit(0.0)))
-        stats.withColumn("shelves", F.lit(shelves)).write.mode("overwrite").parquet(f"{path}/stats")
-        raw.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/df")
-        full = raw.join(part("df"), "term")
-        avg = part("stats").first()["avgdl"]
+        size = self.source.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+        shelves = shelves or max(8, min(MOST_SHELVES, size["bytes"] // SHELF_BYTES))
+        lane = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(max(1, size["bytes"] // shelves // LANE_BYTES))).cast("int")
+        rows = self.source.select("doc_id", "text", shelf_of(F.col("doc_id"), shelves).alias("shelf"), lane.alias("lane")).repartition("shelf", "lane")
+        counted = _counted(rows, self.tokens, "shelf", "lane").drop("lane")
+        counted.sortWithinPartitions("shelf", "doc_id").write.partitionBy("shelf").mode("overwrite").parquet(f"{path}/forward")
+        forward = spark.read.schema(counted.schema).parquet(f"{path}/forward").drop("shelf")
+        tokens = forward.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")).first()["n"]
+        avg = tokens / size["n"] if size["n"] else 0.0
+        spark.range(1).select(F.lit(size["n"]).cast("long").alias("n_docs"), F.lit(avg).alias("avgdl"), F.lit(shelves).alias("shelves")).write.mode("overwrite").parquet(f"{path}/stats")
+        forward.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/df")
+        full = forward.join(part("df"), "term")
         # Blocks hold postings of like impact: those of a frequent term are told apart by levels, and within a level dealt by document.
         level = F.when(F.col("df") <= block, 0).otherwise(F.floor(4 * saturation(F.col("tf"), F.col("dl"), F.lit(avg)))).cast("int")
         parts = F.ceil(F.col("df") / block)
@@ -98,11 +103,7 @@ class Index:
         dealt = put.withColumn("lane", F.floor(F.col("part") / LANE_BLOCKS).cast("int")).repartition("shelf", "lane")
         made = dealt.groupBy("shelf", "lane", "term", "df", "level", "part").agg(F.count(F.lit(1)).alias("n"), F.max("d.tf").alias("most_tf"), F.min("d.dl").alias("least_dl"), F.collect_list("d").alias("docs"))
         made.sortWithinPartitions("shelf", "term").write.partitionBy("shelf").mode("overwrite").parquet(f"{path}/blocks")
-        by_doc = raw.withColumn("shelf", shelf_of(F.col("doc_id"), shelves))
-        by_doc.repartition("shelf").sortWithinPartitions("shelf", "doc_id").write.partitionBy("shelf").mode("overwrite").parquet(f"{path}/forward")
-        Index(raw, part("df"), part("stats").drop("shelves"))._norms(full).write.mode("overwrite").parquet(f"{path}/norms")
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/raw")
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        Index(forward, part("df"), part("stats").drop("shelves"))._norms(full).write.mode("overwrite").parquet(f"{path}/norms")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
@@ -141,17 +142,21 @@ def written_index(spark: SparkSession, source: str, build: Callable[[], Index])
     return Index.read(spark, _written[key])
 
 
-def tokenised(docs: DataFrame, id_col: str, text: Column, tokens=search_tokens) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(tokens(text), F.array().cast("array<string>")).alias("tokens")).select("doc_id", "tokens", F.size("tokens").cast("long").alias("dl"))
+def _counted(rows: DataFrame, tokens: Callable[[Column], Column], *also: str) -> DataFrame:
+    """doc_id, term, tf, dl and the columns ``also`` of rows of doc_id and text."""
+    bag = rows.select(*also, "doc_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    each = bag.select(*also, "doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    return each.groupBy(*also, "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, tokens=search_tokens) -> Index:
-    """Tokenises once; a term's frequency is summed within each task before the shuffle."""
-    bag = tokenised(docs, id_col, F.col("text") if text is None else text, tokens)
-    postings = bag.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    """A term's frequency is summed within each task before the shuffle."""
+    source = docs.select(F.col(id_col).alias("doc_id"), (F.col("text") if text is None else text).alias("text"))
+    postings = _counted(source, tokens)
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = bag.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    return Index(postings, df, stats, ids=docs.select(F.col(id_col).alias("doc_id")))
+    dl = F.size(F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))).cast("long")
+    stats = source.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg(dl), F.lit(0.0)).alias("avgdl"))
+    return Index(postings, df, stats, source=source, tokens=tokens)
 
 
 def row_fingerprint(*parts: Column) -> Column:
