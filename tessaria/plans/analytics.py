@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessaria.operators import monitoring as N
-from tessaria.operators import quantiles, sketches, timejoin
+from tessaria.functions import table as functions
+from tessaria.operators import changes as C
+from tessaria.operators import hash_tree, observed, quantiles, sketches, timejoin
 from tessaria.operators.index import shared_root
-from tessaria.plans.base import query, table
-from tessaria.streaming import streams
+from tessaria.plans.base import query, quoted, table
+from tessaria.plans.corpus import change_tables
+from tessaria.plans.text import WORD
+from tessaria.streaming import state, streams
 
 
 def events(spark, sf_dir, *types):
@@ -122,3 +126,77 @@ def sketch_frequent(spark, sf_dir):
     """The counts of the three most frequent users of a fortnight by type, from the stored sketches."""
     top = sketch_store(spark, sf_dir).frequent(*RANGE, 3, "event_type")
     return top.groupBy("event_type").agg(F.array_join(F.reverse(F.array_sort(F.collect_list("count"))), ",").alias("counts"))
+
+
+# --- streams with state --------------------------------------------------------------------------------------------------
+
+RUNS_SQL = """
+WITH g AS (SELECT user_id, event_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 1800000000 THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g), m AS (SELECT epoch_us(max(ts)) // 1000 - 3600000 AS mark FROM events),
+r AS (SELECT user_id, min(ts) AS first_ts, arg_min(event_id, ts) AS first_id, max(ts) AS last_ts, count(*) AS n FROM k GROUP BY user_id, run)
+SELECT user_id, first_ts, first_id, last_ts, n FROM r, m WHERE (epoch_us(last_ts) + 1800000000) // 1000 + 1 <= mark
+"""
+
+
+@query("n_first_of_runs", RUNS_SQL)
+def first_of_runs(spark, sf_dir):
+    """The first event of each run of a user's events, with its length: from the whole table."""
+    return state.first_of_runs(events(spark, sf_dir), "user_id", "ts", "event_id", 1800)
+
+
+@query("n_first_of_runs_stream", RUNS_SQL)
+def first_of_runs_stream(spark, sf_dir):
+    """The same from a stream that reads the table in six batches, with keyed state and timers."""
+    root = f"{shared_root(spark)}/runs-{uuid.uuid4().hex}"
+    e = events(spark, sf_dir)
+    ends = e.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("lo"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("hi")).first()
+    step = ((ends["hi"] or 0) - (ends["lo"] or 0)) // 6 + 1
+    for k in range(6):  # one after another, as files are read by their time
+        e.where(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(ends["lo"])) / step) == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    with state.rocks(spark):
+        runs = state.first_of_runs(streams.read_stream(spark, f"{root}/in", e.schema), "user_id", "ts", "event_id", 1800)
+        streams.run_to_end(runs, f"{root}/out", f"{root}/checkpoint")
+    return spark.read.schema(runs.schema).parquet(f"{root}/out")
+
+
+# --- counters, versions, table functions ---------------------------------------------------------------------------------
+
+
+@query("h18_observed_job", """
+WITH c AS (SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (lang = 'en') AS english FROM documents GROUP BY source)
+SELECT CAST(sum(n) AS BIGINT) AS documents, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(english) AS BIGINT) AS english, count(*) FILTER (n > 10) AS written FROM c
+""")
+def observed_job(spark, sf_dir):
+    """Counters of documents and of what is made of them, seen by the one pass that reads the documents and writes their summary."""
+    d, read = observed.observed(table(spark, sf_dir, "documents").select("source", "lang", "text"), documents=F.count(F.lit(1)), chars=F.coalesce(F.sum(F.char_length("text")), F.lit(0)), english=F.count_if(F.col("lang") == "en"))
+    made, wrote = observed.observed(d.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where("n > 10"), written=F.count(F.lit(1)))
+    made.write.parquet(f"{shared_root(spark)}/summary-{uuid.uuid4().hex}")
+    return spark.createDataFrame([tuple(read.get[k] for k in ("documents", "chars", "english")) + (wrote.get["written"],)], "documents long, chars long, english long, written long")
+
+
+@query("g11_changes_by_tree", """
+WITH a AS (SELECT doc_id AS path, sha256(text) AS h FROM documents WHERE lang <> 'es'), b AS (SELECT doc_id AS path, sha256(CASE WHEN lang = 'de' THEN text || '!' ELSE text END) AS h FROM documents WHERE lang <> 'fr')
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'modified' END AS status, a.h AS old, b.h AS new FROM a FULL JOIN b ON a.path = b.path WHERE a.h IS DISTINCT FROM b.h
+""")
+def changes_by_tree(spark, sf_dir):
+    """The change set of two stored versions, from the buckets whose digests differ."""
+    sides = change_tables(spark, sf_dir)
+    levels = hash_tree.levels_for(table(spark, sf_dir, "documents").count())
+    trees = [hash_tree.HashTree(spark, f"{shared_root(spark)}/tree-{uuid.uuid4().hex}", "path", "h") for _ in sides]
+    for tree, rows in zip(trees, sides, strict=True):
+        tree.write(rows, levels)
+    return hash_tree.changes(*trees, sides[0])
+
+
+@query("f1_chunks_in_sql", f"""
+WITH RECURSIVE l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, line, CAST(2 * length(regexp_extract_all(line, {WORD})) AS BIGINT) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE length(regexp_extract_all(line, {WORD})) > 0),
+p(doc_id, i, piece, size) AS (
+  SELECT doc_id, i, CAST(0 AS BIGINT), n FROM l WHERE i = 1
+  UNION ALL SELECT l.doc_id, l.i, CASE WHEN p.size + l.n > 120 THEN p.piece + 1 ELSE p.piece END, CASE WHEN p.size + l.n > 120 THEN l.n ELSE p.size + l.n END FROM p JOIN l ON l.doc_id = p.doc_id AND l.i = p.i + 1)
+SELECT doc_id, piece AS ordinal, string_agg(line, chr(10) ORDER BY i) AS content, CAST(sum(n) AS BIGINT) AS token_count FROM p JOIN l USING (doc_id, i) GROUP BY doc_id, piece
+""")
+def chunks_in_sql(spark, sf_dir):
+    """A query in SQL that calls the chunker for each document."""
+    functions.register(spark)
+    return spark.sql("SELECT doc_id, c.ordinal, c.content, c.token_count FROM {docs} AS d, LATERAL line_chunks(d.text, 120) AS c", docs=table(spark, sf_dir, "documents"))

@@ -634,6 +634,12 @@ def retrieval_corpus(spark, sf_dir):
     return datasets.retrieval_dataset(c, "k", "text", "text", "role")[1]
 
 
+@query("a9_retrieval_judgements", "WITH n AS (SELECT conv_id, turn, role, text, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i FROM conversations) SELECT 'q_' || i AS query_id, role AS doc_id, 1 AS rel FROM n WHERE text <> ''")
+def retrieval_judgements(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "role", "text")
+    return datasets.retrieval_dataset(c, "k", "text", "text", "role")[2]
+
+
 # --- N: the batch twins of the streams -----------------------------------------------------------------------------------
 
 

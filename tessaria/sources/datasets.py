@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaria.functions.text import strip
+from tessaria.operators.numbering import gapless
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -19,11 +20,9 @@ def retrieval_dataset(rows: DataFrame, order: str, query_field: str, corpus_fiel
 
     Row i in the given order, from 0, is query ``q_<i>``; rows with a blank query or
     text are skipped but counted; of passages with one id the last counts.
-    Numbers come from a sort of the whole table that keeps its partitions.
+    Numbers come from ranges of the order and the sizes of the ranges before.
     """
-    schema = f"_row bigint, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema.fields)}"
-    ordered = rows.orderBy(order)
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])).toDF(schema)
+    numbered = gapless(rows, [order], "_row")
     full = numbered.where((strip(F.col(query_field)) != "") & (strip(F.col(corpus_field)) != ""))
     named = full.select("_row", F.concat(F.lit("q_"), "_row").alias("query_id"), F.col(query_field).alias("text"), F.col(id_field).cast("string").alias("doc_id"), F.col(corpus_field).alias("passage"))
     corpus = named.groupBy("doc_id").agg(F.max_by("passage", "_row").alias("text"))
