@@ -238,6 +238,27 @@ def test_variants_are_stable_and_in_band(spark):
     assert all(r["query"] for r in one) and all(r["similarity"] >= 0.8 for r in one if r["format"] == "verbatim")
 
 
+def test_recipes(spark):
+    text = "برای ثبت قرارداد شماره ۷ کدام مدارک لازم است و گزارش آن کجا ارسال می‌شود؟"
+    q = spark.createDataFrame([(k, text, None) for k in range(40)] + [(90, "a b", None), (91, "", None), (92, None, None)], "query_id long, question string, keywords string")
+    got = {(r["query_id"], r["format"]): r["query"] for r in V.made(q, 1).collect()}
+    assert len(got) == 4 * 42 and len({got[k, "reworded"] for k in range(40)}) > 20
+    other = {w for v in V.SYNONYMS.values() for x in v for w in x.split()}
+    for k in range(40):
+        ws = text.split()
+        # Words of a paraphrase are the question's own or synonyms, and as many, between what is put around them.
+        inside = [w for w in got[k, "paraphrase"].split() if w in ws or w in other or w.rstrip("؟") in ws]
+        assert len(ws) - 1 <= len(inside) <= len(ws) + 12
+        kept = [w for w in ws if w in got[k, "reworded"].split()]
+        assert len(kept) <= len(ws) - len(ws) * 4 // 10 and any(got[k, "reworded"].startswith(p) for p in V.PREFIXES)
+        assert any(got[k, "conversational"].startswith(g) for g in V.GREETINGS) and "میشه" in got[k, "conversational"] and "می‌شود" not in got[k, "conversational"]
+        undone = got[k, "typo"]
+        for right, wrong in V.TYPOS.items():
+            undone = undone.replace(wrong, right)
+        assert undone.replace(Z, "") == text.replace(Z, "")
+    assert {got[k, "typo"] for k in range(40)} > {text} and got[90, "typo"] == "a b"
+
+
 def test_validation(spark):
     assert apply(spark, quality.chunk_errors, [None, "  ", "short", "متن فارسی به اندازهٔ کافی بلند است", "x" * 10001]) == [["empty"], ["empty"], ["too_short", "low_persian_ratio"], [], ["too_long", "low_persian_ratio"]]
 
