@@ -378,45 +378,52 @@ def heading(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", H.heading_path(F.col("text")).alias("heading"))
 
 
-@query("f16_law_sections")
+@query("f16_law_sections", f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(text, {WORD})[1:3], lambda w: NOT regexp_matches(w, '[^a-zA-Z]')) AS ws FROM documents),
+s AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d) SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, (CASE i WHEN 1 THEN 'ماده ١ ' WHEN 2 THEN 'بند (٢) ' ELSE 'المادة 3 ' END) || w AS section FROM s
+""")
 def law_sections(spark, sf_dir):
-    rows = [(1, "پیش ماده ۱ الف ماده 2 ب"), (2, "بدون"), (3, "ماده ۱ یک\nبند (۲) دو البند 3 سه")]
-    rows = spark.createDataFrame([(k, t.translate(str.maketrans("۰۱۲۳", "٠١٢٣"))) for k, t in rows], "id int, text string")
-    return rows.select("id", F.posexplode(H.law_sections(F.col("text"))).alias("pos", "section"))
-
+    """The first words of each document as sections of a law, behind a preface that is none."""
+    ws = F.filter(F.slice(K.words(F.col("text")), 1, 3), lambda w: ~w.rlike("[^a-zA-Z]"))
+    marks = F.array(*map(F.lit, ("ماده ١ ", "بند (٢) ", "المادة 3 ")))
+    text = F.concat(F.lit("preface "), F.array_join(F.zip_with(F.slice(marks, F.lit(1), F.size("ws")), "ws", lambda m, w: F.concat(m, w)), "\n"))
+    rows = docs(spark, sf_dir).select("doc_id", ws.alias("ws")).select("doc_id", text.alias("text"))
+    return rows.select("doc_id", F.posexplode(H.law_sections(F.col("text"))).alias("pos", "section"))
 
-SHEETS = [
-    (1, 0, "s1", "crm_qa", ["Question", "Answer", "Keyword"], [["q one?", "a\nb", "k1،k2"], ["q two", "", "k"], ["", "x", ""], ["Q one", "later", ""]]),
-    (1, 1, "s2", "crm_qa", ["question", "briefanswer", "extra"], [["q three", "b3", "e"], ["q one", "dup", ""]]),
-    (2, 0, "", None, ["question", "answer", "answer"], [["q four", "first", "last"]]),
-]
-SHEET_TYPE = "doc_id long, sheet_no int, name string, schema string, headers array<string>, rows array<array<string>>"
 
+def sheets(spark, sf_dir):
+    """Every three conversations as a file of three sheets: a row per question and answer, with a keyword."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 2).alias("row_no"))
+    side = lambda k: F.coalesce(F.max(F.when(F.col("turn") % 2 == k, F.col("text"))), F.lit(""))
+    pairs = c.agg(F.array(side(0), side(1), F.concat(F.lit("k"), (F.first("conv_id") % 5).cast("string"))).alias("row"))
+    rows = pairs.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "row"))), lambda x: x["row"]).alias("rows"))
+    nth = F.col("conv_id") % 3
+    return rows.select(F.floor(F.col("conv_id") / 3).alias("doc_id"), nth.cast("int").alias("sheet_no"), F.concat(F.lit("s"), nth.cast("string")).alias("name"), F.lit("crm_qa").alias("schema"), F.array(*map(F.lit, ("Question", "Answer", "Keyword"))).alias("headers"), "rows")
 
-def sheets(spark):
-    return spark.createDataFrame(SHEETS, SHEET_TYPE)
 
+PAIRS = """pairs AS (SELECT conv_id // 3 AS doc_id, conv_id % 3 AS sheet_no, 's' || conv_id % 3 AS sheet_name, turn // 2 AS i, coalesce(max(CASE WHEN turn % 2 = 0 THEN text END), '') AS q, coalesce(max(CASE WHEN turn % 2 = 1 THEN text END), '') AS a, 'k' || conv_id % 5 AS k FROM conversations GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sheet_no ORDER BY i) - 1 AS row_no FROM pairs)"""
+_cell = lambda c: f"replace({_strip(c)}, chr(10), ' ')"
+ROWS_SQL = f"""{PAIRS}, kids AS (SELECT doc_id, sheet_no, row_no, row_number() OVER (PARTITION BY doc_id ORDER BY sheet_no, row_no) - 1 AS ordinal, sheet_name, {_cell('q')} AS question,
+  'سوال: ' || {_cell('q')} || chr(10) || 'پاسخ کامل: ' || {_cell('a')} || chr(10) || 'کلیدواژه‌ها: ' || k AS content FROM numbered WHERE {_cell('q')} <> '' AND {_cell('a')} <> '')"""
 
-ROWS = [
-    (1, 0, 0, 0, "s1", "سوال: q one?\nپاسخ کامل: a b\nکلیدواژه‌ها: k1،k2"), (1, 0, 3, 1, "s1", "سوال: Q one\nپاسخ کامل: later"), (1, 1, 0, 2, "s2", "سوال: q three\nپاسخ کوتاه: b3\nextra: e"),
-    (1, 1, 1, 3, "s2", "سوال: q one\nپاسخ کوتاه: dup"), (2, 0, 0, 0, "", "سوال: q four\nپاسخ کامل: last"),
-]
-ROWS_SQL = f"(VALUES {', '.join('(' + ', '.join(quoted(x) if isinstance(x, str) else str(x) for x in r) + ')' for r in ROWS)}) v(doc_id, sheet_no, row_no, ordinal, sheet_name, content)"
 
-
-@query("f11_f12_sheet_rows", f"SELECT * FROM {ROWS_SQL}")
+@query("f11_f12_sheet_rows", f"WITH {ROWS_SQL} SELECT doc_id, sheet_no, row_no, ordinal, sheet_name, content FROM kids")
 def sheet_rows(spark, sf_dir):
-    return H.sheet_rows(sheets(spark)).select(*long("doc_id", "sheet_no", "row_no", "ordinal"), "sheet_name", "content")
+    return H.sheet_rows(sheets(spark, sf_dir)).select(*long("doc_id", "sheet_no", "row_no", "ordinal"), "sheet_name", "content")
 
 
-@query("f13_parents", f"SELECT doc_id, sheet_name AS parent_key, string_agg(content, chr(10) || chr(10) ORDER BY ordinal) AS content, count(*) AS child_count FROM {ROWS_SQL} GROUP BY ALL")
+@query("f13_parents", f"WITH {ROWS_SQL} SELECT doc_id, sheet_name AS parent_key, string_agg(content, chr(10) || chr(10) ORDER BY ordinal) AS content, count(*) AS child_count FROM kids GROUP BY ALL")
 def parents(spark, sf_dir):
-    return H.parents(H.sheet_rows(sheets(spark))).select("doc_id", "parent_key", "content", "child_count")
+    return H.parents(H.sheet_rows(sheets(spark, sf_dir))).select("doc_id", "parent_key", "content", "child_count")
 
 
-@query("a5_sheet_text")
+@query("a5_sheet_text", f"""
+WITH {PAIRS}, lines AS (SELECT doc_id, sheet_no, sheet_name, row_no, concat_ws(' | ', CASE WHEN {_strip('q')} <> '' THEN 'Question: ' || regexp_replace(q, '[\r\n]+', ' ', 'g') END, CASE WHEN {_strip('a')} <> '' THEN 'Answer: ' || regexp_replace(a, '[\r\n]+', ' ', 'g') END, 'Keyword: ' || k) AS line FROM numbered)
+SELECT doc_id, sheet_no, '=== Sheet: ' || sheet_name || ' ===' || chr(10) || '[Schema: crm_qa]' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY row_no) AS text FROM lines GROUP BY doc_id, sheet_no, sheet_name
+""")
 def sheet_text(spark, sf_dir):
-    return sheets(spark).select("doc_id", "sheet_no", H.sheet_text(F.col("name"), F.col("schema"), F.col("headers"), F.col("rows")).alias("text"))
+    return sheets(spark, sf_dir).select("doc_id", "sheet_no", H.sheet_text(F.col("name"), F.col("schema"), F.col("headers"), F.col("rows")).alias("text"))
 
 
 @query("l2_question_dedup", f"WITH r AS (SELECT conv_id, turn, {QUESTION_SQL} AS k FROM conversations WHERE role = 'user'), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY conv_id, turn) AS i FROM r WHERE k <> '') SELECT conv_id, turn FROM n WHERE i = 1")
@@ -424,15 +431,17 @@ def question_dedup(spark, sf_dir):
     return C.keep_first(table(spark, sf_dir, "conversations").where("role = 'user'"), question_form(F.col("text")), "conv_id", "turn").select("conv_id", "turn")
 
 
-@query("l2_sheet_question_dedup", "SELECT * FROM (VALUES ('q four'), ('q one?'), ('q three'), ('Q one')) v(question)")
+@query("l2_sheet_question_dedup", f"WITH {ROWS_SQL}, keyed AS (SELECT *, {QUESTION_SQL.replace('text', 'question')} AS key FROM kids), f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, sheet_no, row_no) AS n FROM keyed WHERE key <> '') SELECT doc_id, sheet_no, question FROM f WHERE n = 1")
 def sheet_dedup(spark, sf_dir):
-    return H.sheet_rows(sheets(spark), dedup=True).select("question")
+    return H.sheet_rows(sheets(spark, sf_dir), dedup=True).select("doc_id", "sheet_no", "question")
 
 
-@query("l18_detect_schema", "SELECT * FROM (VALUES (1, 'crm_qa'), (2, 'reason_codes'), (3, NULL), (4, 'articles')) v(id, schema)")
+@query("l18_detect_schema", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'crm_qa' WHEN 1 THEN 'reason_codes' WHEN 2 THEN NULL ELSE 'articles' END AS schema FROM documents")
 def schemas(spark, sf_dir):
-    rows = [(1, ["Question", "Brief Answer", "ANSWER"]), (2, ["Reason Code", "model_name", "Model-ID", "brief_explanation", "keywords", "bin score", "bin impact", "data source", "Feature Name"]), (3, ["a", "b", None]), (4, ["Title", "Content", "Type", "Version", "Summary", "Heading"])]
-    return spark.createDataFrame(rows, "id int, headers array<string>").select("id", H.detect_schema(F.col("headers")).alias("schema"))
+    """Each document's source and language as two columns among those of a known sheet, or of none."""
+    kinds = [["Question", "Brief Answer", "ANSWER"], ["Reason Code", "model_name", "Model-ID", "brief_explanation", "keywords", "bin score", "bin impact", "data source", "Feature Name"], ["a", "b", None], ["Title", "Content", "Type", "Version", "Summary", "Heading"]]
+    known = F.get(F.array(*[F.array(*map(F.lit, k)) for k in kinds]), (F.col("doc_id") % 4).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", H.detect_schema(F.concat(F.array("source", "lang"), known)).alias("schema"))
 
 
 # --- L: state, versions, validation --------------------------------------------------------------------------------------

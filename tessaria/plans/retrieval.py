@@ -390,12 +390,14 @@ def gate(spark, sf_dir):
     return M.gate(v, spark.createDataFrame(GATES, "metric string, at_least double, at_most double")).select("metric", "value", "passed")
 
 
-VERSIONS = [("v1", 0.6833, 0.2656), ("v2", 0.9, 0.7363), ("v3", 0.892, 0.787)]
+#: Each source's documents as a version of the corpus, with the share of good ones and of those that aren't toxic.
+VERSIONS = "SELECT source AS version, CAST(avg(quality) AS DOUBLE) AS hit, CAST(avg(1.0::DOUBLE / (1 + toxic)) AS DOUBLE) AS mrr FROM documents JOIN labels USING (doc_id) GROUP BY source"
 
 
-@query("j14_version_deltas", f"WITH v(version, hit, mrr) AS (VALUES {', '.join(map(str, VERSIONS))}) SELECT version, CAST(hit AS DOUBLE) AS hit, CAST(mrr AS DOUBLE) AS mrr, CAST(round(hit - lag(hit) OVER (ORDER BY version), 6) AS DOUBLE) AS delta_hit, CAST(round(mrr - lag(mrr) OVER (ORDER BY version), 6) AS DOUBLE) AS delta_mrr FROM v")
+@query("j14_version_deltas", f"WITH v AS ({VERSIONS}) SELECT version, round(hit, 6) AS hit, round(mrr, 6) AS mrr, round(hit - lag(hit) OVER (ORDER BY version), 6) AS delta_hit, round(mrr - lag(mrr) OVER (ORDER BY version), 6) AS delta_mrr FROM v")
 def version_deltas(spark, sf_dir):
-    return M.deltas(spark.createDataFrame(VERSIONS, "version string, hit double, mrr double"), ["hit", "mrr"])
+    v = table(spark, sf_dir, "labels").join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id").groupBy(F.col("source").alias("version")).agg(F.avg("quality").alias("hit"), F.avg(1 / (1 + F.col("toxic"))).alias("mrr"))
+    return M.deltas(v, ["hit", "mrr"]).select("version", F.round("hit", 6).alias("hit"), F.round("mrr", 6).alias("mrr"), "delta_hit", "delta_mrr")
 
 
 FORMATS = "SELECT CASE WHEN item_id % 3 = 0 THEN 'verbatim' WHEN item_id % 3 = 1 THEN 'typo' ELSE 'reworded' END AS format, coalesce(fr, -1) AS rank, length(text) AS elapsed_ms FROM benchmark LEFT JOIN x ON x.query_id = item_id"

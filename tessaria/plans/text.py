@@ -80,14 +80,14 @@ def clean_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.clean_text(F.col("html")).alias("out"))
 
 
-KEYWORD_ROWS = [("بروزرسانی، بازپرداخت، وام، گزارش اعتباری مدل: حقیقی و حقوقی…", "x"), ("[a]; bb، \"cc\"\n x:y; مدل ; dd", "q"), (None, "این پرسش درباره قرارداد تسهیلات است"), ("…", "کد گزارش"), ("a1, b2, c3, d4, e5, f6, g7", "")]
-
-
-KEYWORD_SQL = ", ".join("(" + ", ".join(["NULL" if v is None else quoted(v) if isinstance(v, str) else str(v) for v in (k, *r)]) + ")" for k, r in enumerate(KEYWORD_ROWS))
+WORD = quoted(f"[^{T.WS}]+")
+#: Keyword fields with junk of all kinds, made of a document's first words; every fourth has none.
+KEYWORD_ROWS = f"""SELECT doc_id AS id, CASE WHEN doc_id % 4 > 0 THEN concat_ws('،', w[1], '[' || w[2] || ']', w[3] || '…', w[4] || ':' || w[5], 'حقیقی', ' ' || w[6] || ' مدل: ' || w[7], '…', w[8] || '; ' || w[9], w[10]) END AS keywords, 'این پرسش درباره قرارداد است ' || w[1] AS question
+  FROM (SELECT doc_id, regexp_extract_all(text, {WORD}) AS w FROM documents)"""
 
 
 @query("d22_keyword_field", rf"""
-WITH r AS (SELECT * FROM (VALUES {KEYWORD_SQL}) v(id, keywords, question)),
+WITH r AS ({KEYWORD_ROWS}),
 c AS (SELECT id, question, replace({rr(rr("coalesce(keywords, '')", f"[{T.WS}]*مدل[{T.WS}]*:[{T.WS}]*[^\n,،؛]+", ""), "…+", "")}, {quoted(T.ZWNJ)}, ' ') AS k FROM r),
 i AS (SELECT id, question, list_transform(regexp_split_to_array(k, '[،,؛;\n]+'), lambda x: {_strip(rr("x", "^[][\"' …]+|[][\"' …]+$", ""))}) AS items FROM c),
 g AS (SELECT id, list_filter(items, lambda x: length(x) >= 2 AND NOT contains(x, ':') AND NOT contains(x, 'مدل') AND x NOT IN ('حقیقی', 'حقوقی', 'و') AND NOT regexp_full_match(x, '[…. ]+')) AS good,
@@ -95,7 +95,10 @@ g AS (SELECT id, list_filter(items, lambda x: length(x) >= 2 AND NOT contains(x,
 SELECT id, array_to_string(list_slice(CASE WHEN len(good) > 0 THEN good ELSE words END, 1, 6), ' ') AS out FROM g
 """)
 def keyword_field(spark, sf_dir):
-    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(KEYWORD_ROWS)], "id int, keywords string, question string")
+    w = lambda k: F.get("w", F.lit(k - 1))
+    junk = F.concat_ws("،", w(1), F.concat(F.lit("["), w(2), F.lit("]")), F.concat(w(3), F.lit("…")), F.concat(w(4), F.lit(":"), w(5)), F.lit("حقیقی"), F.concat(F.lit(" "), w(6), F.lit(" مدل: "), w(7)), F.lit("…"), F.concat(w(8), F.lit("; "), w(9)), w(10))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), K.words(F.col("text")).alias("w"))
+    rows = rows.select("id", F.when(F.col("id") % 4 > 0, junk).alias("keywords"), F.concat(F.lit("این پرسش درباره قرارداد است "), w(1)).alias("question"))
     return rows.select("id", T.keyword_field(F.col("keywords"), F.col("question")).alias("out"))
 
 
@@ -116,7 +119,6 @@ def heading_hierarchy(spark, sf_dir):
 
 # --- tokens, keywords, quality -------------------------------------------------------------------------------------------
 
-WORD = quoted(f"[^{T.WS}]+")
 STOP = ", ".join(map(quoted, K.STOP_SEARCH))
 
 
@@ -203,16 +205,21 @@ def preprocess(spark, sf_dir):
     return K.preprocess(texts(spark, sf_dir), "id", "text")
 
 
-ANSWERS = ['[{"query": "a", "type": "x"}]', 'Sure:\n```json\n[{"query": "b", "type": "y"}]\n```', 'text [{"query": "c"}] end', 'none here', '', '{"query": "d"}']
+#: A model's answers about each document: bare, fenced, within a text, an object, or none.
+ANSWERS = """SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN j WHEN 1 THEN 'Sure:' || chr(10) || '```json' || chr(10) || j || chr(10) || '```' WHEN 2 THEN 'text ' || j || ' end' WHEN 3 THEN '{"query": "' || source || '"}' ELSE 'none: ' || source END AS text
+  FROM (SELECT doc_id, source, '[{"query": "' || source || '-' || doc_id || '", "type": "' || lang || '"}]' AS j FROM documents)"""
 
 
 @query("e15_repaired_json", f"""
-WITH a AS (SELECT * FROM (VALUES {', '.join(f'({k}, {quoted(t)})' for k, t in enumerate(ANSWERS))}) v(id, text)),
+WITH a AS ({ANSWERS}),
 p AS (SELECT id, coalesce(CASE WHEN json_valid(text) AND (text LIKE '[%' OR text LIKE '{{%') THEN text END, CASE WHEN json_valid(regexp_extract(text, '(?s)\\[.*\\]')) THEN regexp_extract(text, '(?s)\\[.*\\]') END) AS j FROM a)
 SELECT id, coalesce(j ->> '$[0].query', j ->> '$.query', '') AS out FROM p
 """)
 def repaired_json(spark, sf_dir):
-    a = spark.createDataFrame(list(enumerate(ANSWERS)), "id int, text string")
+    one = F.concat(F.lit('[{"query": "'), "source", F.lit("-"), F.col("doc_id").cast("string"), F.lit('", "type": "'), "lang", F.lit('"}]'))
+    k = F.col("doc_id") % 5
+    text = F.when(k == 0, one).when(k == 1, F.concat(F.lit("Sure:\n```json\n"), one, F.lit("\n```"))).when(k == 2, F.concat(F.lit("text "), one, F.lit(" end"))).when(k == 3, F.concat(F.lit('{"query": "'), "source", F.lit('"}'))).otherwise(F.concat(F.lit("none: "), "source"))
+    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.alias("text"))
     j = K.repaired_json(F.col("text"), "array<struct<query:string,type:string>>")
     return a.select("id", F.coalesce(F.get(j, F.lit(0))["query"], F.lit("")).alias("out"))
 

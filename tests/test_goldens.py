@@ -20,6 +20,14 @@ from tessaria.streaming import streams
 Z = "‌"
 
 
+SHEETS = [
+    (1, 0, "s1", "crm_qa", ["Question", "Answer", "Keyword"], [["q one?", "a\nb", "k1،k2"], ["q two", "", "k"], ["", "x", ""], ["Q one", "later", ""]]),
+    (1, 1, "s2", "crm_qa", ["question", "briefanswer", "extra"], [["q three", "b3", "e"], ["q one", "dup", ""]]),
+    (2, 0, "", None, ["question", "answer", "answer"], [["q four", "first", "last"]]),
+]
+SHEET_TYPE = "doc_id long, sheet_no int, name string, schema string, headers array<string>, rows array<array<string>>"
+
+
 def apply(spark, fn, values):
     df = spark.createDataFrame(list(enumerate(values)), "id int, t string")
     return [r["o"] for r in df.select("id", fn(F.col("t")).alias("o")).orderBy("id").collect()]
@@ -92,9 +100,7 @@ def test_overlap_is_of_plain_chunks(spark):
 
 
 def test_parents_link_by_key(spark):
-    from tessaria.plans.corpus import sheets
-
-    kids = chunking.sheet_rows(sheets(spark))
+    kids = chunking.sheet_rows(spark.createDataFrame(SHEETS, SHEET_TYPE))
     by_sheet = {(r["doc_id"], r["parent_key"]): r["child_count"] for r in chunking.parents(kids).collect()}
     assert by_sheet == {(1, "s1"): 2, (1, "s2"): 2, (2, ""): 1}
     assert {r["doc_id"]: r["child_count"] for r in chunking.parents(kids, "document").collect()} == {1: 4, 2: 1}
@@ -104,6 +110,17 @@ RUN = [("a", 1, "x"), ("a", 2, "y"), ("a", 3, "z"), ("b", 1, "y"), ("c", 1, "q")
 RELS = [("a", "y", 2), ("a", "w", 1), ("b", "y", 1), ("d", "x", 1)]
 
 
+def test_rows_of_odd_sheets(spark):
+    """Blank cells, columns of one name, line ends in cells, a sheet without name and schema."""
+    sheets = spark.createDataFrame(SHEETS, SHEET_TYPE)
+    got = {(r["doc_id"], r["sheet_no"], r["row_no"], r["ordinal"], r["content"]) for r in chunking.sheet_rows(sheets).collect()}
+    assert got == {
+        (1, 0, 0, 0, "سوال: q one?\nپاسخ کامل: a b\nکلیدواژه‌ها: k1،k2"), (1, 0, 3, 1, "سوال: Q one\nپاسخ کامل: later"), (1, 1, 0, 2, "سوال: q three\nپاسخ کوتاه: b3\nextra: e"),
+        (1, 1, 1, 3, "سوال: q one\nپاسخ کوتاه: dup"), (2, 0, 0, 0, "سوال: q four\nپاسخ کامل: last"),
+    }
+    assert {r["question"] for r in chunking.sheet_rows(sheets, dedup=True).collect()} == {"q four", "q one?", "q three", "Q one"}
+
+
 def test_metrics(spark):
     run, rel = spark.createDataFrame(RUN, "query_id string, rank int, doc_id string"), spark.createDataFrame(RELS, "query_id string, doc_id string, rel int")
     got = {r["query_id"]: r for r in metrics.per_query(run, rel, 2).collect()}
