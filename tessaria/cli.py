@@ -7,8 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaria.operators import generation, ingest, metrics, monitoring, ranking
-from tessaria.operators.index import build_index
+from tessaria.operators import changes, generation, ingest, metrics, monitoring, ranking
 
 
 def session() -> SparkSession:
@@ -26,7 +25,8 @@ def run(args: list[str], spark: SparkSession | None = None) -> DataFrame:
     i.add_argument("--as-of", help="the run's time; now by default")
     sub.add_parser("status", help="counts of documents and chunks")
     sub.add_parser("status-chunks", help="sums over chunks")
-    s = sub.add_parser("search", help="BM25 over chunks")
+    s = sub.add_parser("search", help="search in chunks")
+    s.add_argument("--by", choices=["bm25", "dense", "hybrid"], default="bm25", help="words, vectors, or both with their ranks fused")
     s.add_argument("query")
     s.add_argument("--top-k", type=int, default=10, choices=range(1, 51), metavar="1-50")
     n = sub.add_parser("inspect", help="a document's chunks")
@@ -50,14 +50,17 @@ def run(args: list[str], spark: SparkSession | None = None) -> DataFrame:
         return chunks().where(F.col("doc_id") == a.doc_id).orderBy("ordinal").select("ordinal", "chunk_type", "token_count", F.substring("content", 1, 300).alias("preview"))
     if a.command == "search":
         q = spark.createDataFrame([(1, a.query)], "query_id int, text string")
-        found = ranking.bm25(q, build_index(chunks(), "chunk_id", F.col("content")), a.top_k)
+        if a.by == "bm25":
+            found = ranking.bm25(q, kb.index(), a.top_k)
+        else:
+            asked = q.select("query_id", changes.hash_embed(F.col("text")).alias("vector"))
+            found = ranking.dense(asked, kb.vectors(), a.top_k) if a.by == "dense" else ranking.hybrid(q, kb.index(), kb.vectors(), asked, a.top_k)
         titled = chunks().join(kb.read("documents").select("doc_id", "title"), "doc_id", "left").select(F.col("chunk_id").alias("doc_id"), F.coalesce("title", F.lit("Unknown")).alias("title"), "ordinal", F.substring("content", 1, 300).alias("preview"))
         return found.join(titled, "doc_id").orderBy("rank").select("rank", F.round("score", 4).alias("score"), "title", "ordinal", "preview")
     queries, qrels = generation.dataset_from_pairs(pairs())
     if a.command == "eval-generate":
         return queries.join(qrels, "query_id")
-    children = chunks().where(~F.col("chunk_type").endswith("_parent"))  # a parent repeats its only child's text
-    found = ranking.bm25(queries, build_index(children, "chunk_id", F.col("content")), a.k)
+    found = ranking.bm25(queries, kb.index(children=True), a.k)
     return metrics.summary(metrics.per_query(found, qrels, a.k, queries))
 
 

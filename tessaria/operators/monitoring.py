@@ -88,13 +88,18 @@ def by_domain(df: DataFrame, allowed: list[str]) -> DataFrame:
     return df.where(F.col("domain").isin(*allowed)) if allowed else df.where(F.lit(False))
 
 
-def job_summary(results: DataFrame) -> DataFrame:
-    """Counters of a run, from rows (action, ok, n_chunks)."""
+def job_counters() -> dict[str, Column]:
+    """Counters of a run over rows (action, ok, n_chunks): aggregates, to be observed or summed."""
     a = F.col("action")
-    return results.agg(
-        F.count(F.lit(1)).alias("files"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.count_if((a == "create") & F.col("ok")).alias("created"),
-        F.count_if((a == "update") & F.col("ok")).alias("updated"), F.count_if(a == "skip").alias("skipped"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("n_chunks"))), F.lit(0)).alias("chunks"),
-    )
+    return {
+        "files": F.count(F.lit(1)), "succeeded": F.count_if("ok"), "failed": F.count_if(~F.col("ok")), "created": F.count_if((a == "create") & F.col("ok")),
+        "updated": F.count_if((a == "update") & F.col("ok")), "skipped": F.count_if(a == "skip"), "chunks": F.coalesce(F.sum(F.when(F.col("ok"), F.col("n_chunks"))), F.lit(0)),
+    }
+
+
+def job_summary(results: DataFrame) -> DataFrame:
+    """One row of the counters."""
+    return results.agg(*[c.alias(n) for n, c in job_counters().items()])
 
 
 def judge_stats(scores: DataFrame, value: str, least: float = 0.7) -> DataFrame:

@@ -33,10 +33,32 @@ def test_ingest_update_search(spark, tmp_path):
     assert cli.run(["--kb", kb, "status"], spark).where("dimension = 'status'").first()["n"] == 2
     assert cli.run(["--kb", kb, "status-chunks"], spark).first()["n_chunks"] == base.read("chunks").count()
     assert cli.run(["--kb", kb, "eval-run"], spark).first()["mrr"] == 1.0 and cli.run(["--kb", kb, "eval-generate"], spark).count() == 1
+    for by in ("dense", "hybrid"):
+        best = cli.run(["--kb", kb, "search", "how to cancel contract", "--by", by, "--top-k", "2"], spark).collect()
+        assert best[0]["title"] == "qa" and [r["rank"] for r in best] == [1, 2]
+    log = base.tables["files"].read()
+    assert {(r["action"], r["count"]) for r in log.groupBy("action").count().collect()} == {("create", 2), ("failed", 3), ("skip", 3), ("update", 1)}
     full = cli.run(["--kb", kb, "ingest", str(src), "--full", "--as-of", "2024-01-04"], spark).first()
     assert full["created"] == 2 and ingest.KnowledgeBase(spark, kb).read("documents").where("version = 1").count() == 2
 
 
+def test_known_files_are_not_parsed(spark, tmp_path, monkeypatch):
+    src, kb = tmp_path / "src", ingest.KnowledgeBase(spark, f"file://{tmp_path}/kb")
+    src.mkdir()
+    for k in range(3):
+        (src / f"f{k}.docx").write_bytes(DOCX)
+    assert kb.update(str(src), F.lit("2024-01-01").cast("timestamp")).first()["created"] == 3
+    given, parse = [], ingest.office.parse_files
+    monkeypatch.setattr(ingest.office, "parse_files", lambda files: given.append(files.count()) or parse(files))
+    assert kb.update(str(src), F.lit("2024-01-02").cast("timestamp")).first()["skipped"] == 3
+    (src / "f1.docx").write_bytes(DOCX + b"\0")  # other bytes, the same text
+    (src / "f3.docx").write_bytes(DOCX)
+    job = kb.update(str(src), F.lit("2024-01-03").cast("timestamp")).first()
+    assert (job["files"], job["skipped"], job["created"], job["updated"]) == (4, 3, 1, 0)
+    assert kb.update(str(src), F.lit("2024-01-04").cast("timestamp")).first()["skipped"] == 4
+    assert given == [0, 2, 0]
+
+
 def test_generation(spark):
     q = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "query_id long, text string")
     answer = lambda c: F.when(c.contains("alpha"), F.lit('x [{"query": "alpha", "type": "keyword_only"}, {"query": "beta"}] y')).otherwise(F.lit("none"))
