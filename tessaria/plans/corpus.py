@@ -16,7 +16,7 @@ from tessaria.operators import generation
 from tessaria.operators import monitoring as N
 from tessaria.operators import quality as Q
 from tessaria.operators import versions as S
-from tessaria.plans.base import query, quoted, table
+from tessaria.plans.base import query, quoted, rr, table
 from tessaria.plans.text import QUESTION_SQL, WORD, _strip, encoding_sql, quality_sql, ratio_sql
 from tessaria.sources import datasets, sinks
 from tessaria.streaming import streams
@@ -330,17 +330,107 @@ def question_pieces(spark, sf_dir):
     return H.semantic(text, doc_type="qa_pair", overlap=0).select("doc_id", "ordinal", "content")
 
 
-@query("f2_fixed_chunker")
+WORDS = lambda c: f"CAST(2 * length(regexp_extract_all({c}, {WORD})) AS BIGINT)"
+HEADING_SQL = _strip("regexp_extract(content, " + quoted(r"(?m)^#{1,6}[ \t]+(.+)$") + ", 1)")
+
+
+def sentences_sql(source: str, key: str, text: str) -> str:
+    """sent: key, i (from 1), s, n: the sentences of each text."""
+    parts = f"list_filter(list_transform(string_split({rr(text, f'([.!؟?])[{T.WS}]+', chr(92) + '1' + chr(2))}, chr(2)), lambda x: {_strip('x')}), lambda x: x <> '')"
+    return f"raw AS (SELECT {key}, {parts} AS ss FROM {source}), sent AS (SELECT {key}, s, i, {WORDS('s')} AS n FROM (SELECT {key}, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM raw))"
+
+
+def pack_sql(most: int) -> str:
+    """packed: doc_id, k, piece, n: sentences put together while they fit; one that is too long stands alone if nothing is held."""
+    return f"""fold(doc_id, i, own, cur, empty, held) AS (
+  SELECT doc_id, i, 0, CASE WHEN n >= {most} THEN 1 ELSE 0 END, n >= {most}, CASE WHEN n >= {most} THEN 0 ELSE n END FROM sent WHERE i = 1
+  UNION ALL SELECT s.doc_id, s.i, CASE WHEN empty OR held + n <= {most} THEN cur ELSE cur + 1 END, CASE WHEN empty AND n >= {most} OR NOT empty AND held + n > {most} THEN cur + 1 ELSE cur END,
+    empty AND n >= {most}, CASE WHEN empty AND n >= {most} THEN 0 WHEN NOT empty AND held + n <= {most} THEN held + n ELSE n END FROM fold f JOIN sent s ON s.doc_id = f.doc_id AND s.i = f.i + 1),
+packed AS (SELECT doc_id, own AS k, string_agg(s, ' ' ORDER BY i) AS piece, CAST(sum(n) AS BIGINT) AS n FROM fold JOIN sent USING (doc_id, i) GROUP BY doc_id, own)"""
+
+
+def absorb_sql(least: int) -> str:
+    """chunks: doc_id, ordinal, content: pieces of which a short one takes in the next."""
+    return f"""taken(doc_id, k, o, held) AS (
+  SELECT doc_id, k, 0, n FROM packed WHERE k = 0
+  UNION ALL SELECT p.doc_id, p.k, CASE WHEN held < {least} THEN o ELSE o + 1 END, CASE WHEN held < {least} THEN held + n ELSE n END FROM taken t JOIN packed p ON p.doc_id = t.doc_id AND p.k = t.k + 1),
+chunks AS (SELECT doc_id, CAST(o AS BIGINT) AS ordinal, string_agg(piece, chr(10) || chr(10) ORDER BY k) AS content FROM taken JOIN packed USING (doc_id, k) GROUP BY doc_id, o)"""
+
+
+def chunks_sql(overlap: int = H.OVERLAP, left: str = "…", right: str = "…") -> str:
+    """The columns of a chunker over ``chunks``, with the last words of the one before ahead of each."""
+    tail = f"regexp_extract_all(prev, {WORD})"
+    n = overlap // 2
+    return f"""before AS (SELECT *, {HEADING_SQL} AS heading_path, lag(content) OVER (PARTITION BY doc_id ORDER BY ordinal) AS prev FROM chunks),
+full_ AS (SELECT doc_id, ordinal, heading_path, CASE WHEN prev IS NULL THEN content ELSE {quoted(left)} || array_to_string(list_slice({tail}, greatest(len({tail}) - {n - 1}, 1), len({tail})), ' ') || {quoted(right)} || chr(10) || content END AS content FROM before)
+SELECT doc_id, ordinal, 'body' AS chunk_type, content, heading_path, {WORDS('content')} AS token_count FROM full_"""
+
+
+@query("f2_fixed_chunker", f"WITH RECURSIVE {sentences_sql('documents', 'doc_id', 'text')}, {pack_sql(H.MAX_TOKENS)}, {absorb_sql(H.MIN_TOKENS)}, {chunks_sql()}")
 def fixed_chunker(spark, sf_dir):
     return H.chunk(docs(spark, sf_dir), "fixed")
 
 
-@query("f5_f8_semantic_chunker")
+@query("f3_short_pieces", f"WITH RECURSIVE {sentences_sql('documents', 'doc_id', 'text')}, {pack_sql(40)}, {absorb_sql(30)}, {chunks_sql(20)}")
+def short_pieces(spark, sf_dir):
+    """The same with small pieces, of which many are too short."""
+    return H.chunk(docs(spark, sf_dir), "fixed", most=40, least=30, overlap=20)
+
+
+def _cut(text: str, pattern: str) -> str:
+    return f"list_filter(string_split(regexp_replace({text}, {quoted(pattern)}, chr(1) || '\\0', 'g'), chr(1)), lambda x: {_strip('x')} <> '')"
+
+
+def _first(text: str, patterns: list[str], otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, {quoted(p)}) THEN {_cut(text, p)}" for p in patterns) + f" ELSE {otherwise} END"
+
+
+def _finer(text: str) -> str:
+    """The first mark that cuts a text in several pieces."""
+    bars = f"length({text}) - length(replace({text}, '|', '')) >= 3"
+    return "CASE " + " ".join(f"WHEN {f'{bars} AND ' if k == 0 else ''}len({_cut(text, p)}) > 1 THEN {_cut(text, p)}" for k, p in enumerate((H.PIPE_ROW, H.SCHEMA, H.BLANK_LINE, H.NEWLINE))) + f" ELSE [{text}] END"
+
+
+def structure_sql(most: int, least: int, overlap: int) -> str:
+    """Cut by the first structural mark, then more finely what is too long, then by sentences, then by length; short pieces take in the next."""
+    latin = f"string_split({rr('t', '([.!?])' + f'[{T.WS}]+', chr(92) + '1' + chr(2))}, chr(2))"
+    return f"""WITH RECURSIVE p1 AS (SELECT doc_id, unnest(ps) AS t, generate_subscripts(ps, 1) AS a FROM (SELECT doc_id, {_first('text', [H.ARTICLE, H.SECTION, H.HEADING, H.SHEET], '[text]')} AS ps FROM documents)),
+p2 AS (SELECT doc_id, a, unnest(ps) AS t, generate_subscripts(ps, 1) AS b FROM (SELECT doc_id, a, CASE WHEN {WORDS('t')} > {most} THEN {_finer('t')} ELSE [t] END AS ps FROM p1)),
+long AS (SELECT doc_id, a, b, t, {latin} AS ss FROM p2 WHERE {WORDS('t')} > {most}),
+sent AS (SELECT doc_id, a, b, s, i, {WORDS('s')} AS n FROM (SELECT doc_id, a, b, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM long WHERE len(ss) > 1)),
+fold(doc_id, a, b, i, own, held) AS (
+  SELECT doc_id, a, b, i, 0, n FROM sent WHERE i = 1
+  UNION ALL SELECT s.doc_id, s.a, s.b, s.i, CASE WHEN held + n <= {most} THEN own ELSE own + 1 END, CASE WHEN held + n <= {most} THEN held + n ELSE n END FROM fold f JOIN sent s ON s.doc_id = f.doc_id AND s.a = f.a AND s.b = f.b AND s.i = f.i + 1),
+p3 AS (SELECT doc_id, a, b, 0 AS c, t FROM p2 WHERE {WORDS('t')} <= {most}
+  UNION ALL SELECT doc_id, a, b, own, {_strip("string_agg(s, ' ' ORDER BY i)")} FROM fold JOIN sent USING (doc_id, a, b, i) GROUP BY doc_id, a, b, own HAVING {_strip("string_agg(s, ' ' ORDER BY i)")} <> ''
+  UNION ALL SELECT doc_id, a, b, x, substr(t, CAST(x AS BIGINT) * {4 * most} + 1, {4 * most}) FROM (SELECT doc_id, a, b, t, unnest(range(0, (length(t) - 1) // {4 * most} + 1)) AS x FROM long WHERE len(ss) = 1)),
+packed AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, b, c) - 1 AS k, t AS piece, {WORDS('t')} AS n FROM p3),
+{absorb_sql(least).replace("string_agg(piece, chr(10) || chr(10) ORDER BY k)", _strip("string_agg(piece, chr(10) || chr(10) ORDER BY k)"))},
+{chunks_sql(overlap, *H.SEMANTIC_MARKS).replace("FROM chunks)", "FROM chunks WHERE content <> '')")}"""
+
+
+@query("f5_f8_semantic_chunker", structure_sql(H.MAX_TOKENS, H.MIN_TOKENS, H.OVERLAP))
 def semantic_chunker(spark, sf_dir):
     return H.chunk(docs(spark, sf_dir), "semantic")
 
 
-@query("f17_sentence_aware_chunker")
+@query("f9_f10_fine_pieces", structure_sql(24, 16, 10))
+def fine_chunker(spark, sf_dir):
+    """The same with pieces so small that lines, sentences and cuts by length are all needed."""
+    return H.chunk(docs(spark, sf_dir), "semantic", most=24, least=16, overlap=10)
+
+
+@query("f17_sentence_aware_chunker", f"""
+WITH RECURSIVE {sentences_sql('documents', 'doc_id', 'text')}, c AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS c FROM sent),
+tails AS (SELECT a.doc_id, a.i, coalesce(min(b.i), any_value(a.i) + 1) AS j FROM c a LEFT JOIN c b ON b.doc_id = a.doc_id AND b.i <= a.i AND b.i > a.i - {H.OVERLAP} AND a.c - b.c + b.n <= {H.OVERLAP} GROUP BY a.doc_id, a.i),
+fold(doc_id, i, a, flush) AS (
+  SELECT doc_id, i, i, CAST(NULL AS BIGINT) FROM c WHERE i = 1
+  UNION ALL SELECT x.doc_id, x.i, CASE WHEN p.c - q.c + q.n + x.n > {H.MAX_TOKENS} THEN t.j ELSE f.a END, CASE WHEN p.c - q.c + q.n + x.n > {H.MAX_TOKENS} THEN f.a END
+  FROM fold f JOIN c x ON x.doc_id = f.doc_id AND x.i = f.i + 1 JOIN c p ON p.doc_id = f.doc_id AND p.i = f.i JOIN c q ON q.doc_id = f.doc_id AND q.i = f.a JOIN tails t ON t.doc_id = f.doc_id AND t.i = f.i),
+pieces AS (SELECT doc_id, flush AS a, i - 1 AS e FROM fold WHERE flush IS NOT NULL UNION ALL SELECT doc_id, max_by(a, i), max(i) FROM fold GROUP BY doc_id),
+chunks AS (SELECT p.doc_id, e, string_agg(s, ' ' ORDER BY i) AS content FROM pieces p JOIN sent t ON t.doc_id = p.doc_id AND t.i BETWEEN a AND e GROUP BY p.doc_id, a, e)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS ordinal, 'body' AS chunk_type, content, {HEADING_SQL} AS heading_path, {WORDS('content')} AS token_count FROM chunks
+""")
 def sentence_chunker(spark, sf_dir):
     return H.chunk(docs(spark, sf_dir), "sentence")
 
