@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessaria.llm.common import drop, keep
+from tessaria.llm.common import drop, join_spread, keep
 
 #: The white space that equality ignores: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -110,6 +110,18 @@ def build_index(located: DataFrame, capacity: int = CAPACITY, most: int = MAX_DE
     return index, path
 
 
+def look_up(rows: DataFrame, index: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
+    """Rows of key, digest and bytes with their entry of the index.
+
+    The directory, of 2^most cells at most, sends each row to its bucket, and a
+    bucket's rows meet that bucket's entries; rows of one text are spread over many tasks.
+    """
+    at = cell(F.col("key"), most).alias("cell")
+    routes = index.select(at, "bucket").distinct()
+    routed = rows.withColumn("cell", cell(F.col("key"), most)).join(F.broadcast(routes), "cell").drop("cell")
+    return join_spread(routed, index, ["bucket", *SAME], ["doc_id", "points"])
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -121,7 +133,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """
     located, _ = keep(entries(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "exact-entries")
     index, _ = build_index(located)
-    return located.join(index.hint("merge"), SAME).select(
+    return look_up(located, index).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
