@@ -21,6 +21,8 @@ def idf(df: Column, n: Column) -> Column:
 BLOCK, LANE_BLOCKS, SHELF_BYTES, MOST_SHELVES = 1024, 256, 4 << 20, 8192
 #: Bytes of text whose documents one task counts.
 LANE_BYTES = 128 << 20
+#: A vocabulary whose file has no more bytes goes to all tasks as a whole; a larger one is joined by a shuffle.
+SMALL_DF = 24 << 20
 K1, B = 1.5, 0.75
 
 
@@ -95,7 +97,10 @@ class Index:
         avg = tokens / size["n"] if size["n"] else 0.0
         spark.range(1).select(F.lit(size["n"]).cast("long").alias("n_docs"), F.lit(avg).alias("avgdl"), F.lit(shelves).alias("shelves")).write.mode("overwrite").parquet(f"{path}/stats")
         forward.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/df")
-        full = forward.join(part("df"), "term")
+        df = part("df")
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/df")
+        small = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength() <= SMALL_DF
+        full = forward.join(F.broadcast(df) if small else df, "term")
         # Blocks hold postings of like impact: those of a frequent term are told apart by levels, and within a level dealt by document.
         level = F.when(F.col("df") <= block, 0).otherwise(F.floor(4 * saturation(F.col("tf"), F.col("dl"), F.lit(avg)))).cast("int")
         parts = F.ceil(F.col("df") / block)
@@ -103,7 +108,7 @@ class Index:
         dealt = put.withColumn("lane", F.floor(F.col("part") / LANE_BLOCKS).cast("int")).repartition("shelf", "lane")
         made = dealt.groupBy("shelf", "lane", "term", "df", "level", "part").agg(F.count(F.lit(1)).alias("n"), F.max("d.tf").alias("most_tf"), F.min("d.dl").alias("least_dl"), F.collect_list("d").alias("docs"))
         made.sortWithinPartitions("shelf", "term").write.partitionBy("shelf").mode("overwrite").parquet(f"{path}/blocks")
-        Index(forward, part("df"), part("stats").drop("shelves"))._norms(full).write.mode("overwrite").parquet(f"{path}/norms")
+        Index(forward, df, part("stats").drop("shelves"))._norms(full).write.mode("overwrite").parquet(f"{path}/norms")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
