@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 _WORD = re.compile(r"\w+")
@@ -44,8 +43,8 @@ def replace_children(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def keep_first(rows: DataFrame, key: Column, *order: str) -> DataFrame:
     """The first row of each key; blank and null keys go."""
-    w = Window.partitionBy("_key").orderBy(*order)
-    return rows.withColumn("_key", key).where("_key <> ''").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_key", "_n")
+    keyed = rows.withColumn("_key", key).where("_key <> ''")
+    return keyed.groupBy("_key").agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")  # the least of each task is shuffled
 
 
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:

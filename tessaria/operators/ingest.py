@@ -3,7 +3,7 @@
 A knowledge base is a folder of versioned tables (documents, chunks, versions,
 files, jobs). A run hashes the files and parses those alone whose bytes are not
 known, compares what it read with what is stored, and makes chunks only for
-what is new or changed; a file that can't be read is reported in the job and
+what is new or changed. All tables' new versions become visible by one commit; a file that can't be read is reported in the job and
 harms no other. The job's counters are taken while the run's log of files is written.
 """
 
@@ -44,15 +44,25 @@ class Settings:
 
 
 class KnowledgeBase:
-    """The tables of a folder; each is read at its current version, or empty."""
+    """The tables of a folder, all read as the last commit has them, or empty."""
 
     def __init__(self, spark: SparkSession, where: str):
         self.spark = spark
         self.tables = {n: versions.VersionedTable(spark, f"{where.rstrip('/')}/{n}") for n in ("documents", "chunks", "jobs", "versions", "files")}
 
+        self.commits = versions.Commits(spark, f"{where.rstrip('/')}/commits")
+
+    def version(self, name: str) -> int | None:
+        """The version of a table in the last commit."""
+        return self.commits.current()[1].get(name)
+
     def read(self, name: str, schema: str | None = None) -> DataFrame:
-        t = self.tables[name]
-        return t.read() if t.current() else self.spark.createDataFrame([], schema or {"documents": DOCUMENTS, "chunks": CHUNKS, "jobs": JOBS}[name])
+        at = self.version(name)
+        return self.tables[name].read(at) if at is not None else self.spark.createDataFrame([], schema or {"documents": DOCUMENTS, "chunks": CHUNKS, "jobs": JOBS}[name])
+
+    def wipe(self) -> None:
+        """All tables are empty from the next commit on; their versions stay in the folder, and an earlier state can be committed again."""
+        self.commits.advance(self.commits.current()[0], {})
 
     def rebuild(self, folder: str, as_of: Column, settings: Settings = Settings()) -> DataFrame:
         """All files anew: the tables are overwritten by new versions. Returns the job row."""
@@ -63,6 +73,14 @@ class KnowledgeBase:
         return self._run("incremental", folder, as_of, settings)
 
     def _run(self, kind: str, folder: str, as_of: Column, s: Settings) -> DataFrame:
+        turn, state = self.commits.current()
+        state = dict(state)
+
+        def put(name: str, df: DataFrame) -> DataFrame:
+            state[name] = self.tables[name].write(df, activate=False)
+            return self.tables[name].read(state[name])
+
+        old_of = lambda name: self.tables[name].read(state[name]) if kind == "incremental" and name in state else None
         stored = self.read("documents") if kind == "incremental" else self.spark.createDataFrame([], DOCUMENTS)
         seen = kept(office.scan_files(self.spark, folder).select("path", F.sha2("content", 256).alias("source_hash")), "files")
         known = stored.select(F.col("source_path").alias("path"), "source_hash")
@@ -74,33 +92,32 @@ class KnowledgeBase:
         doc_id = changes.stable_id(F.col("path")).alias("doc_id")
         fresh = make_chunks(todo.select(doc_id, "path", "content", "file_type", "sheets"), s)
         chunks = changes.replace_children(self.read("chunks") if kind == "incremental" else self.spark.createDataFrame([], CHUNKS), fresh, "doc_id")
-        self.tables["chunks"].write(chunks)
-        counts = self.tables["chunks"].read().groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
+        chunks = put("chunks", chunks)
+        counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
         old = stored.select("doc_id", F.col("version").alias("_v"))
         new = todo.select(doc_id, F.col("path").alias("source_path"), "title", F.lit(s.domain).alias("domain"), F.lit(s.category).alias("category"), F.lit("active").alias("status"), "content_hash", "source_hash").join(old, "doc_id", "left")
         new = new.select("doc_id", "source_path", "title", "domain", "category", "status", (F.coalesce("_v", F.lit(0)) + 1).cast("int").alias("version"), "content_hash", "source_hash").join(counts, "doc_id", "left").fillna(0, ["chunk_count"]).withColumn("updated_at", as_of)
         # A file that was written anew with the same text isn't changed, but its bytes are known from now on.
         touched = good.select(F.col("path").alias("source_path"), F.col("source_hash").alias("_h"))
         rest = stored.join(new.select("doc_id"), "doc_id", "left_anti").join(touched, "source_path", "left").withColumn("source_hash", F.coalesce("_h", "source_hash")).drop("_h")
-        self.tables["documents"].write(rest.unionByName(new))
+        documents = put("documents", rest.unionByName(new))
         rows = seen.select("path").join(parsed.select("path", "error", F.lit(True).alias("_read")), "path", "left").join(change, "path", "left").join(counts.withColumnRenamed("doc_id", "_d"), changes.stable_id(F.col("path")) == F.col("_d"), "left")
         action = F.when(F.col("_read").isNull(), "skip").otherwise(F.coalesce("action", F.lit("failed")))
         rows = rows.select("path", action.alias("action"), F.col("error").isNull().alias("ok"), F.when(action.isin("create", "update"), F.col("chunk_count")).alias("n_chunks"), "error", as_of.alias("run_at"))
         counters = monitoring.job_counters()
         seen_rows, taken = observed(rows, **counters)
-        log = self.tables["files"]
-        log.write(log.read().unionByName(seen_rows) if log.current() and kind == "incremental" else seen_rows)
+        put("files", seen_rows if (log := old_of("files")) is None else log.unionByName(seen_rows))
         errors = parsed.where("error is not null").agg(F.array_sort(F.collect_list(F.concat_ws(": ", F.element_at(F.split("path", "/"), -1), "error"))).alias("errors"))  # files at fault alone
         job = errors.select(F.lit(kind).alias("job_type"), as_of.alias("finished_at"), *[F.lit(taken.get[c]).cast("long").alias(c) for c in counters], "errors")
-        self.tables["jobs"].write(self.read("jobs").unionByName(job).coalesce(1))
-        snap = versions.snapshot(self.tables["documents"].read().join(new.select("doc_id"), "doc_id", "left_semi"), self.tables["chunks"].read(), F.col("version"))
-        held = self.tables["versions"]
-        held.write(held.read().unionByName(snap) if held.current() and kind == "incremental" else snap)
+        put("jobs", self.read("jobs").unionByName(job).coalesce(1))
+        snap = versions.snapshot(documents.join(new.select("doc_id"), "doc_id", "left_semi"), chunks, F.col("version"))
+        put("versions", snap if (held := old_of("versions")) is None else held.unionByName(snap))
+        self.commits.advance(turn, state)
         return self.read("jobs").orderBy(F.col("finished_at").desc()).limit(1)
 
     def _files(self, folder: str, todo: DataFrame) -> DataFrame:
         """The contents of the files to be read: all of the folder's where none is known, else those named, whose paths the driver's file index holds in any case."""
-        if self.tables["documents"].current() is None:
+        if self.version("documents") is None:
             return office.scan_files(self.spark, folder)
         paths = [r["path"] for r in todo.collect()]
         if not paths:
@@ -114,9 +131,9 @@ class KnowledgeBase:
         if children:
             rows = rows.where(~F.col("chunk_type").endswith("_parent"))  # a parent repeats its only child's text
         made = build_index(rows, "chunk_id", F.col("content"))
-        if table.current() is None:
+        if (at := self.version("chunks")) is None:
             return made
-        where = f"{table.where}-index/v={table.current()}-{'children' if children else 'all'}"
+        where = f"{table.where}-index/v={at}-{'children' if children else 'all'}"
         if not table.fs.exists(table._path(f"{where}/norms/_SUCCESS")):  # the last table that is written
             made.write(where)
         return Index.read(self.spark, where)
@@ -125,9 +142,9 @@ class KnowledgeBase:
         """doc_id and vector of the chunks, written once for each version of the chunks."""
         table = self.tables["chunks"]
         made = self.read("chunks").select(F.col("chunk_id").alias("doc_id"), embed(F.col("content")).alias("vector"))
-        if table.current() is None:
+        if (at := self.version("chunks")) is None:
             return made
-        where = f"{table.where}-vectors/v={table.current()}"
+        where = f"{table.where}-vectors/v={at}"
         if not table.fs.exists(table._path(f"{where}/_SUCCESS")):
             made.write.mode("overwrite").parquet(where)
         return self.spark.read.schema(made.schema).parquet(where)

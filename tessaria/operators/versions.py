@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tessaria.operators.changes import change_set
 
+
 def snapshot(docs: DataFrame, chunks: DataFrame, version: Column, status: str = "snapshot") -> DataFrame:
     """doc_id, version, content_hash, chunk_count, status, snapshot_data (title, domain, category, chunks in order).
 
@@ -31,8 +33,8 @@ def history(versions: DataFrame, doc_id=None) -> DataFrame:
 
 
 def latest(versions: DataFrame) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy(F.col("version").desc())
-    return versions.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Each document's row of the greatest version; rows are compared within tasks before they are shuffled."""
+    return versions.groupBy("doc_id").agg(F.max_by(F.struct(*versions.columns), "version").alias("r")).select("r.*")
 
 
 def restored_chunks(versions: DataFrame, targets: DataFrame) -> DataFrame:
@@ -104,3 +106,51 @@ class VersionedTable:
 
     def read(self, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.where}/v={self.current() if version is None else version}")
+
+
+class Commits:
+    """One pointer over several tables: a state names the version of each, and readers see the last state as a whole.
+
+    A state is written first, and becomes the next turn by a file that can be
+    created once: of two writers that follow one turn the second gets an error, and
+    changes nothing. A turn without content, whose writer was lost in between, is none.
+    """
+
+    def __init__(self, spark: SparkSession, where: str):
+        self.spark, self.where = spark, where.rstrip("/")
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.fs = self._path(self.where).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _text(self, path: str) -> str:
+        stream = self.fs.open(self._path(path))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _put(self, path: str, text: str) -> None:
+        out = self.fs.create(self._path(path), False)  # fails where the file is there
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def turns(self) -> list[int]:
+        root = self._path(f"{self.where}/turns")
+        return sorted(int(x.getPath().getName()) for x in self.fs.listStatus(root)) if self.fs.exists(root) else []
+
+    def current(self) -> tuple[int, dict[str, int]]:
+        """The last turn, and the state that readers see."""
+        turns = self.turns()
+        for t in reversed(turns):
+            if name := self._text(f"{self.where}/turns/{t:08d}"):
+                return turns[-1], json.loads(self._text(f"{self.where}/states/{name}"))
+        return (turns or [0])[-1], {}
+
+    def advance(self, after: int, state: dict[str, int]) -> int:
+        """Makes a state the one that follows turn ``after``."""
+        name = f"{uuid.uuid4().hex}.json"
+        self._put(f"{self.where}/states/{name}", json.dumps(state))
+        try:
+            self._put(f"{self.where}/turns/{after + 1:08d}", name)
+        except Exception as e:
+            raise OSError(f"another writer has followed turn {after}") from e
+        return after + 1
