@@ -21,8 +21,8 @@ def idf(df: Column, n: Column) -> Column:
 BLOCK, LANE_BLOCKS, SHELF_BYTES, MOST_SHELVES = 1024, 256, 4 << 20, 8192
 #: Bytes of text whose documents one task counts.
 LANE_BYTES = 128 << 20
-#: A vocabulary whose file has no more bytes goes to all tasks as a whole; a larger one is joined by a shuffle.
-SMALL_DF = 24 << 20
+#: A vocabulary whose file has no more bytes (some tenfold in memory) goes to all tasks as a whole; a larger one is joined by a shuffle.
+SMALL_DF = 8 << 20
 K1, B = 1.5, 0.75
 
 

@@ -87,6 +87,8 @@ def bm25_pruned(queries: DataFrame, index: Index, k: int, k1: float = K1, b: flo
 def tfidf(queries: DataFrame, index: Index, k: int) -> DataFrame:
     """Cosine of tf / length * idf vectors. Terms that the corpus lacks weigh 1 in the query's length."""
     qw = query_weights(queries, index)
+    if index.blocks is not None:
+        qw = kept(qw, "weights")  # small, and read by the scan's pruning, the join and the queries' lengths
     qnorm = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
     scored = dot_products(qw, index).join(index.doc_norms(), "doc_id").join(qnorm, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
     return top_k(scored.where("score > 0"), k)
