@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,8 +84,8 @@ def test_sql(name, spark):
     """Queries that SQL can express give what DuckDB gives."""
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{d}/{t}.parquet')")
     got, want = QUERIES[name](spark, d).toPandas(), con.execute(ORACLES[name]).df()
-    show = lambda df: sorted(tuple(None if v is None or v != v else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    show = lambda df: sorted(tuple("null" if pd.isna(v) else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
     assert sorted(got.columns) == sorted(want.columns) and show(got) == show(want)
