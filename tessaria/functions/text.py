@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
@@ -95,8 +96,18 @@ def unstable() -> str:
         if d and d[0] != "<" and " " in d:
             second.add(int(d.split(" ")[1], 16))
     found = [k for k in range(0x300, 0x110000) if not 0xD800 <= k < 0xE000 and (k in second or unicodedata.combining(chr(k)) or not unicodedata.is_normalized("NFC", chr(k)))]
-    cuts = [i for i in range(len(found)) if i == 0 or found[i] != found[i - 1] + 1]
-    return "[" + "".join(rf"\x{{{found[a]:X}}}-\x{{{found[b - 1]:X}}}" for a, b in zip(cuts, [*cuts[1:], len(found)], strict=True)) + "]"
+    # Such a class tries one range after another: its ranges lie within those of their block, so that most characters try a few.
+    def ranges(of: list[int]) -> str:
+        cuts = [i for i in range(len(of)) if i == 0 or of[i] != of[i - 1] + 1]
+        return "".join(rf"\x{{{of[a]:X}}}-\x{{{of[b - 1]:X}}}" for a, b in zip(cuts, [*cuts[1:], len(of)], strict=True))
+
+    def within(of: list[int], *sizes: int) -> str:
+        if not sizes:
+            return ranges(of)
+        blocks = [list(g) for _, g in groupby(of, lambda x: x // sizes[0])]
+        return "".join(rf"[\x{{{g[0]:X}}}-\x{{{g[-1]:X}}}&&[{within(g, *sizes[1:])}]]" for g in blocks)
+
+    return rf"[\x{{300}}-\x{{10FFFF}}&&[{within(found, 0x1000, 0x100)}]]"
 
 
 def nfc(c: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import ArrayType, StringType
 
 from tessaria.functions.text import ARABIC, WS, clean_text, normalise, search_letters, strip
 
@@ -67,22 +70,43 @@ def char_grams(tokens: Column, n: int = 3) -> Column:
 
 def search_tokens(c: Column) -> Column:
     """The bag of search: words, then 3-grams of words in the Arabic script."""
-    found = search_words(c)
-    return F.concat(found, char_grams(found))
+    # The words are bound to a name, so that they are found once.
+    both = F.transform(F.array(search_words(c)), lambda found: F.when(F.rlike(c, F.lit(r"[\x{0600}-\x{06FF}]")), F.concat(found, char_grams(found))).otherwise(found))
+    return F.get(both, F.lit(0))
 
 
 def keyword_tokens(c: Column) -> Column:
     return extract_all(F.lower(c), KEYWORD_TOKEN)
 
 
+def top_tokens(top: int):
+    """A function of a column of tokens in order: of each row the most frequent, counted where the row is."""
+
+    @F.arrow_udf(ArrayType(StringType()))
+    def keywords(tokens: pa.Array) -> pa.Array:
+        n = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        coded = tokens.flatten().dictionary_encode()
+        words_, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        size = max(1, len(words_))
+        good = pc.and_(pc.greater_equal(pc.utf8_length(words_), 2), pc.invert(pc.is_in(words_, value_set=pa.array(STOP_KEYWORDS)))).to_numpy(zero_copy_only=False)
+        more = 5 * pc.match_substring_regex(words_, r"\A[A-Za-z0-9_.\-]{3,}\z").to_numpy(zero_copy_only=False).astype(int)
+        at, first, count = np.unique(np.repeat(np.arange(len(n)), n) * size + code, return_index=True, return_counts=True)
+        kept = good[at % size] if len(at) else np.zeros(0, bool)
+        at, first, count = at[kept], first[kept], count[kept]
+        row, word = at // size, at % size
+        order = np.lexsort((first, -(count + more[word] if len(at) else count), row))
+        row, word = row[order], word[order]
+        starts = np.searchsorted(row, np.arange(len(n) + 1))
+        best = np.arange(len(row)) - starts[row] < top
+        cuts = np.searchsorted(row[best], np.arange(len(n) + 1))
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words_.take(pa.array(word[best])))
+
+    return keywords
+
+
 def extract_keywords(df: DataFrame, id_col: str, text_col: str, top: int = 15) -> DataFrame:
     """(id, keywords): the most frequent tokens; ASCII words count five more, ties by first occurrence."""
-    tok = df.select(id_col, F.posexplode(keyword_tokens(F.col(text_col))).alias("pos", "token")).where((F.char_length("token") >= 2) & ~F.col("token").isin(*STOP_KEYWORDS))
-    counted = tok.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    score = F.col("n") + F.when(F.col("token").rlike(r"\A[A-Za-z0-9_.\-]{3,}\z"), 5).otherwise(0)
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy(score.desc(), "first"))).where(F.col("rank") <= top)
-    listed_ = ranked.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("keywords"))
-    return df.select(id_col).join(listed_, id_col, "left").select(id_col, F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
+    return df.select(id_col, top_tokens(top)(keyword_tokens(F.col(text_col))).alias("keywords"))
 
 
 def encoding_quality(c: Column, delete: bool = False) -> Column:
@@ -145,8 +169,7 @@ def preprocess(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, cleaned, normalised, keywords, sentence_count, quality_score."""
     out = df.select(id_col, clean_text(F.col(text_col)).alias("cleaned"))
     out = out.withColumn("normalised", normalise(F.col("cleaned")))
-    out = out.withColumns({"sentence_count": count_sentences(F.col("normalised")), "quality_score": quality_score(F.col("cleaned"))})
-    return out.join(extract_keywords(out, id_col, "normalised"), id_col, "left")
+    return out.withColumns({"sentence_count": count_sentences(F.col("normalised")), "quality_score": quality_score(F.col("cleaned")), "keywords": top_tokens(15)(keyword_tokens(F.col("normalised")))})
 
 
 def repaired_json(c: Column, schema: str) -> Column:
