@@ -102,7 +102,7 @@ def length_quantiles(spark, sf_dir):
 
 def sketch_store(spark, sf_dir):
     """Sketches of the events' users by day and type, written in two goes."""
-    store = sketches.SketchStore(spark, f"{shared_root(spark)}/sketches-{uuid.uuid4().hex}", ["event_type"])
+    store = sketches.SketchStore(spark, f"{shared_root(spark)}/sketches-{uuid.uuid4().hex}", ["event_type"], sketches.buckets_for(events(spark, sf_dir), "user_id"))
     half = F.col("value") < 50
     for part in (half, ~half):
         store.write(events(spark, sf_dir).where(part), F.col("ts"), "user_id")

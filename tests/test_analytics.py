@@ -129,3 +129,15 @@ def test_sketches_are_merged_without_a_rescan(spark, tmp_path):
         assert sorted(top[s], reverse=True) == exact
     assert store.counts("2030-01-01", "2030-01-02").first()["n"] is None
     assert store.counts("2024-02-02", "2024-02-05").first()["n"] == sum(map(len, want.values()))
+
+
+def test_frequent_values_beyond_one_sketch(spark, tmp_path):
+    """More values than a sketch follows: each bucket follows its own, so that the counts stay exact."""
+    rows = spark.range(60_000).select(F.lit("2024-01-01").cast("date").alias("day"), F.lit("a").alias("kind"), "id").withColumn("id", F.explode(F.array_repeat("id", 2)))
+    rows = rows.unionByName(rows.where("id in (59990, 31, 7)").distinct()).unionByName(rows.where("id = 59990").distinct())
+    store = sketches.SketchStore(spark, f"{tmp_path}/s", ["kind"], sketches.buckets_for(rows, "id"))
+    assert store.buckets > 5
+    for part in (F.col("id") % 2 == 0, F.col("id") % 2 == 1):
+        store.write(rows.where(part), F.col("day"), "id")
+    assert [(r["value"], r["count"]) for r in store.frequent("2024-01-01", "2024-01-02", 4, "kind").orderBy(F.col("count").desc(), "value").limit(3).collect()] == [(59990, 4), (7, 3), (31, 3)]
+    assert store.counts("2024-01-01", "2024-01-02", "kind").first()["n"] == 120_004
