@@ -144,6 +144,10 @@ def first_of_runs(spark, sf_dir):
     return state.first_of_runs(events(spark, sf_dir), "user_id", "ts", "event_id", 1800)
 
 
+#: Rows of a file that a batch of the stream reads.
+SLICE_ROWS = 100_000
+
+
 @query("n_first_of_runs_stream", RUNS_SQL)
 def first_of_runs_stream(spark, sf_dir):
     """The same from a stream that reads the table in six batches, with keyed state and timers."""
@@ -151,10 +155,14 @@ def first_of_runs_stream(spark, sf_dir):
     e = events(spark, sf_dir)
     ends = e.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("lo"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("hi")).first()
     step = ((ends["hi"] or 0) - (ends["lo"] or 0)) // 6 + 1
+    slice_ = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(ends["lo"])) / step)
+    held = {r["k"]: r["count"] for r in e.groupBy(slice_.alias("k")).count().collect()}
+    files = max(1, min(held.get(k, 0) for k in range(6)) // SLICE_ROWS)  # as many for each batch, and none of them empty
     for k in range(6):  # one after another, as files are read by their time
-        e.where(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(ends["lo"])) / step) == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        part = e.where(slice_ == k)
+        (part.repartition(files, "event_id") if files > 1 else part.coalesce(1)).write.mode("append").parquet(f"{root}/in")
     with state.rocks(spark):
-        runs = state.first_of_runs(streams.read_stream(spark, f"{root}/in", e.schema), "user_id", "ts", "event_id", 1800)
+        runs = state.first_of_runs(streams.read_stream(spark, f"{root}/in", e.schema, files), "user_id", "ts", "event_id", 1800)
         streams.run_to_end(runs, f"{root}/out", f"{root}/checkpoint")
     return spark.read.schema(runs.schema).parquet(f"{root}/out")
 

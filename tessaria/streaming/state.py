@@ -21,7 +21,7 @@ def _close_ms(last_us: int, quiet_us: int) -> int:
 
 
 class Runs(StatefulProcessor):
-    """Rows of a key that are at most ``quiet`` apart are one run. State is a key's open runs, of which late rows may join two into one; a timer releases a run and forgets it."""
+    """Rows of a key that are at most ``quiet`` apart are one run. State is a key's open runs, of which late rows may join two into one. A key has one timer, for the run that closes first: when it fires, all runs that the watermark has passed are released and forgotten."""
 
     def __init__(self, quiet_us: int):
         self.quiet = quiet_us
@@ -29,9 +29,12 @@ class Runs(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.runs = handle, handle.getListState("runs", RUN)
 
+    def _next(self, runs) -> int | None:
+        return min((_close_ms(r[2], self.quiet) for r in runs), default=None)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         open_ = [list(r) for r in self.runs.get()]
-        before = {_close_ms(r[2], self.quiet) for r in open_}
+        before = self._next(open_)
         for batch in rows:
             open_ += [[t, i, t, 1] for t, i in zip(batch["us"].tolist(), batch["id"].tolist(), strict=True)]
         merged: list[list[int]] = []
@@ -40,20 +43,24 @@ class Runs(StatefulProcessor):
                 merged[-1][2], merged[-1][3] = max(merged[-1][2], r[2]), merged[-1][3] + r[3]
             else:
                 merged.append(r)
-        after = {_close_ms(r[2], self.quiet) for r in merged}
-        for t in before - after:
-            self.handle.deleteTimer(t)
-        for t in after - before:
-            self.handle.registerTimer(t)
+        after = self._next(merged)
+        if before != after:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(after)
         self.runs.put([tuple(r) for r in merged])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
+        at = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         held = [tuple(r) for r in self.runs.get()]
         done = [r for r in held if _close_ms(r[2], self.quiet) <= at]
         rest = [r for r in held if _close_ms(r[2], self.quiet) > at]
-        self.runs.put(rest) if rest else self.runs.clear()
+        if rest:
+            self.runs.put(rest)
+            self.handle.registerTimer(self._next(rest))
+        else:
+            self.runs.clear()
         if done:
             yield pd.DataFrame([(*key, *r) for r in done], columns=["key", *[f.split()[0] for f in RUN.split(", ")]])
 

@@ -123,3 +123,35 @@ def test_runs_of_a_stream_equal_those_of_the_table(spark, tmp_path):
     want = {(x["user"], (x["first_ts"] - BEGIN).total_seconds() / 60, x["first_id"], (x["last_ts"] - BEGIN).total_seconds() / 60, x["n"]) for x in table.collect()}
     assert run(spark, root) == want and len(want) > 20
     assert state.first_of_runs(spark.createDataFrame([], SCHEMA), "user", "ts", "id", 600).count() == 0
+
+
+def test_a_key_has_one_timer():
+    """However many runs a key has open, one timer stands, and it releases all runs that the watermark has passed."""
+    import pandas as pd
+
+    from tessaria.streaming.state import Runs, _close_ms
+
+    timers, held = set(), []
+
+    class Held:
+        get = lambda self: iter(list(held))
+        put = lambda self, rows: held.__setitem__(slice(None), rows)
+        clear = lambda self: held.clear()
+
+    class Handle:
+        getListState = lambda self, *a: Held()
+        registerTimer = lambda self, t: timers.add(t)
+        deleteTimer = lambda self, t: timers.remove(t)
+
+    class At:
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+    quiet, runs = 10_000_000, Runs(10_000_000)
+    runs.init(Handle())
+    times = [k * 60_000_000 for k in range(50)]
+    list(runs.handleInputRows((7,), iter([pd.DataFrame({"us": times, "id": range(50)})]), None))
+    assert timers == {_close_ms(0, quiet)} and len(held) == 50
+    first = timers.pop()  # it fires when the watermark has passed 20 runs
+    made = pd.concat(runs.handleExpiredTimer((7,), At(_close_ms(times[19], quiet)), type("Info", (), {"getExpiryTimeInMs": lambda self: first})()))
+    assert made["first_id"].tolist() == list(range(20)) and len(held) == 30 and timers == {_close_ms(times[20], quiet)}
