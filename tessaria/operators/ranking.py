@@ -6,8 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from tessaria.functions.tokens import search_tokens, words
@@ -35,8 +38,16 @@ def bm25(queries: DataFrame, index: Index, k: int, k1: float = K1, b: float = B,
     """query_id, doc_id, score, rank. Only documents that share a term are scored; a query without terms has no result.
 
     ``weight`` may be a Column over ``term``, to weigh words and grams differently.
+    A batch of queries that shares many postings with a written index is scored
+    document by document; of a few queries the postings are looked up.
     """
     terms = query_terms(queries, tokens=tokens)
+    if index.forward is not None:
+        own = terms.join(index.df, "term").crossJoin(index.stats)
+        w = F.col("qtf") * idf(F.col("df"), F.col("n_docs"))
+        found = _by_document(own.select("query_id", "term", "df", (w if weight is None else w * weight).alias("w")), index, k, (k1, b))
+        if found is not None:
+            return top_k(found, k)
     hit = index.weighted(terms).crossJoin(index.stats)
     part = F.col("qtf") * idf(F.col("df"), F.col("n_docs")) * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     if weight is not None:
@@ -44,6 +55,73 @@ def bm25(queries: DataFrame, index: Index, k: int, k1: float = K1, b: float = B,
     return top_k(hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")), k)
 
 
+#: A batch is scored by document where its queries' postings are more than this part of all, and it has no more weights than are sent to all tasks; cells of a table of scores.
+SCAN_SHARE, MOST_WEIGHTS, CELLS = 1 / 10, 1 << 20, 1 << 19
+
+
+def _by_document(weights: DataFrame, index: Index, k: int, saturate: tuple[float, float] | None) -> DataFrame | None:
+    """query_id, doc_id, score: at least the k best of each query, or None where looking up the postings is cheaper.
+
+    ``weights`` (query_id, term, df, w) go to all tasks. A task reads its documents
+    whole, adds up a table of scores of some documents by all queries, and keeps
+    each query's k best; only those are shuffled. A posting counts w times its BM25
+    saturation for (k1, b), or w * tf / length / the document's norm for None.
+    """
+    rows = weights.limit(MOST_WEIGHTS + 1).collect()
+    if len(rows) > MOST_WEIGHTS or any(not r["w"] > 0 for r in rows) or sum(r["df"] for r in rows) <= index.n_postings * SCAN_SHARE:
+        return None
+    spark = weights.sparkSession
+    names = sorted({r["query_id"] for r in rows})
+    number = {q: i for i, q in enumerate(names)}
+    vocabulary = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
+    rows.sort(key=lambda r: vocabulary[r["term"]])
+    cuts = np.searchsorted([vocabulary[r["term"]] for r in rows], np.arange(len(vocabulary) + 1))
+    avgdl = max(index.stats.first()["avgdl"], 1.0)
+    shared = spark.sparkContext.broadcast((names, list(vocabulary), cuts, np.array([number[r["query_id"]] for r in rows]), np.array([r["w"] for r in rows])))
+    docs = index.forward.select("doc_id", "dl", "bag")
+    docs = docs.join(index.norms, "doc_id").select("doc_id", (F.col("dl") * F.col("norm")).alias("dl"), "bag") if saturate is None else docs.withColumn("dl", F.col("dl").cast("double"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, terms, cuts, of, w = shared.value
+        terms, width = pa.array(terms, pa.string()), len(names)
+        best, floor = None, np.full(width, -np.inf)
+        for batch in batches:
+            ids = batch.column(0).to_pandas(integer_object_nulls=True).to_numpy()
+            for at in range(0, len(ids), step := max(1, CELLS // width)):
+                part = batch.slice(at, step)
+                dl, bags = part.column(1).to_numpy(zero_copy_only=False), part.column(2)
+                doc = np.repeat(np.arange(len(part)), pc.list_value_length(bags).to_numpy(zero_copy_only=False))
+                pairs = bags.flatten()
+                term = pc.index_in(pairs.field(0), value_set=terms)
+                hit = term.is_valid().to_numpy(zero_copy_only=False)
+                doc, tf, term = doc[hit], pairs.field(1).to_numpy(zero_copy_only=False)[hit], term.drop_null().to_numpy(zero_copy_only=False)
+                if not len(doc):
+                    continue
+                x = tf / dl[doc] if saturate is None else tf * (saturate[0] + 1) / (tf + saturate[0] * (1 - saturate[1] + saturate[1] * dl[doc] / avgdl))
+                # Each posting meets the queries that have its term.
+                many = cuts[term + 1] - cuts[term]
+                ends = np.cumsum(many)
+                to = np.arange(ends[-1]) + np.repeat(cuts[term] - ends + many, many)
+                table = np.bincount(np.repeat(doc, many) * width + of[to], np.repeat(x, many) * w[to], len(part) * width).reshape(-1, width)
+                near = np.round(table, 9)
+                if len(part) > k:
+                    floor = np.maximum(floor, np.partition(near, len(part) - k, axis=0)[len(part) - k])
+                row, q = np.nonzero((table > 0) & (near >= floor))
+                new = pd.DataFrame({"q": q, "doc_id": ids[at:][row], "score": table[row, q], "near": near[row, q]})
+                best = new if best is None else pd.concat([best, new], ignore_index=True)
+                best = best.sort_values(["q", "near", "doc_id"], ascending=[True, False, True]).groupby("q").head(k)
+                full = best.groupby("q")["near"].agg(["size", "min"])
+                full = full[full["size"] == k]
+                floor[full.index] = np.maximum(floor[full.index], full["min"])
+        if best is not None:
+            made = [pa.array([names[i] for i in best["q"]], of_query), pa.array(best["doc_id"], of_doc, from_pandas=True), pa.array(best["score"], pa.float64())]
+            yield pa.RecordBatch.from_arrays(made, ["query_id", "doc_id", "score"])
+
+    types = [weights.schema["query_id"].dataType, docs.schema["doc_id"].dataType]
+    of_query, of_doc = map(to_arrow_type, types)
+    return kept(docs.mapInArrow(run, f"query_id {types[0].simpleString()}, doc_id {types[1].simpleString()}, score double"), "found")
+
+
 #: The terms of a query that are looked up first, the strongest; a bound on a score is compared with some room for rounding.
 FIRST_TERMS, ROOM = 6, 1e-6
 
@@ -90,6 +168,11 @@ def tfidf(queries: DataFrame, index: Index, k: int) -> DataFrame:
     if index.blocks is not None:
         qw = kept(qw, "weights")  # small, and read by the scan's pruning, the join and the queries' lengths
     qnorm = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
+    if index.forward is not None:
+        w = F.col("qw") * idf(F.col("df"), F.col("n_docs")) / F.col("qnorm")
+        found = _by_document(qw.join(index.df, "term").join(qnorm, "query_id").crossJoin(index.stats).select("query_id", "term", "df", w.alias("w")), index, k, None)
+        if found is not None:
+            return top_k(found, k)
     scored = dot_products(qw, index).join(index.doc_norms(), "doc_id").join(qnorm, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
     return top_k(scored.where("score > 0"), k)
 
@@ -219,7 +302,7 @@ def hybrid(queries: DataFrame, index: Index, vectors: DataFrame | None, query_ve
     """BM25 and dense legs of 3k each, fused, the k best. With ``trace`` a row per stage and candidate."""
     legs = {"bm25": bm25(queries, index, OVERFETCH * k)}
     if vectors is not None:
-        legs["dense"] = dense(query_vectors, vectors, OVERFETCH * k)
+        legs["dense"] = kept(dense(query_vectors, vectors, OVERFETCH * k), "dense")  # read by every stage of the trace
     fused = fuse(list(legs.values()), None, weights)
     if not trace:
         return fused.where(F.col("rank") <= k)
