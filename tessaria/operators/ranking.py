@@ -47,7 +47,7 @@ def bm25(queries: DataFrame, index: Index, k: int, k1: float = K1, b: float = B,
         w = F.col("qtf") * idf(F.col("df"), F.col("n_docs"))
         found = _by_document(own.select("query_id", "term", "df", (w if weight is None else w * weight).alias("w")), index, k, (k1, b))
         if found is not None:
-            return top_k(found, k)
+            return found
     hit = index.weighted(terms).crossJoin(index.stats)
     part = F.col("qtf") * idf(F.col("df"), F.col("n_docs")) * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     if weight is not None:
@@ -60,7 +60,7 @@ SCAN_SHARE, MOST_WEIGHTS, CELLS = 1 / 10, 1 << 20, 1 << 19
 
 
 def _by_document(weights: DataFrame, index: Index, k: int, saturate: tuple[float, float] | None) -> DataFrame | None:
-    """query_id, doc_id, score: at least the k best of each query, or None where looking up the postings is cheaper.
+    """query_id, doc_id, score, rank of the k best of each query, or None where looking up the postings is cheaper.
 
     ``weights`` (query_id, term, df, w) go to all tasks. A task reads its documents
     whole, adds up a table of scores of some documents by all queries, and keeps
@@ -79,7 +79,7 @@ def _by_document(weights: DataFrame, index: Index, k: int, saturate: tuple[float
     avgdl = max(index.stats.first()["avgdl"], 1.0)
     shared = spark.sparkContext.broadcast((names, list(vocabulary), cuts, np.array([number[r["query_id"]] for r in rows]), np.array([r["w"] for r in rows])))
     docs = index.forward.select("doc_id", "dl", "bag")
-    docs = docs.join(index.norms, "doc_id").select("doc_id", (F.col("dl") * F.col("norm")).alias("dl"), "bag") if saturate is None else docs.withColumn("dl", F.col("dl").cast("double"))
+    docs = docs.join(index.doc_norms(), "doc_id").select("doc_id", (F.col("dl") * F.col("norm")).alias("dl"), "bag") if saturate is None else docs.withColumn("dl", F.col("dl").cast("double"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, terms, cuts, of, w = shared.value
@@ -119,7 +119,7 @@ def _by_document(weights: DataFrame, index: Index, k: int, saturate: tuple[float
 
     types = [weights.schema["query_id"].dataType, docs.schema["doc_id"].dataType]
     of_query, of_doc = map(to_arrow_type, types)
-    return kept(docs.mapInArrow(run, f"query_id {types[0].simpleString()}, doc_id {types[1].simpleString()}, score double"), "found")
+    return kept(top_k(docs.mapInArrow(run, f"query_id {types[0].simpleString()}, doc_id {types[1].simpleString()}, score double"), k), "found")
 
 
 #: The terms of a query that are looked up first, the strongest; a bound on a score is compared with some room for rounding.
@@ -172,7 +172,7 @@ def tfidf(queries: DataFrame, index: Index, k: int) -> DataFrame:
         w = F.col("qw") * idf(F.col("df"), F.col("n_docs")) / F.col("qnorm")
         found = _by_document(qw.join(index.df, "term").join(qnorm, "query_id").crossJoin(index.stats).select("query_id", "term", "df", w.alias("w")), index, k, None)
         if found is not None:
-            return top_k(found, k)
+            return found
     scored = dot_products(qw, index).join(index.doc_norms(), "doc_id").join(qnorm, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
     return top_k(scored.where("score > 0"), k)
 
