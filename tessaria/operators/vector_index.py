@@ -24,6 +24,8 @@ from tessaria.operators.components import components, join_spread, kept
 
 #: Most vectors of a block, on average; of the blocks of a join, each pair of which gives at most a row per vector.
 BLOCK, JOIN_BLOCK = 2048, 8192
+#: Bytes of a block's vectors where a join holds all pairs: larger blocks are sent to fewer others. Cells of a product that are held at once.
+JOIN_BYTES, CELLS = 32 << 20, 1 << 22
 BANDS, BITS, PROBES, SEED = 8, 8, 8, 1
 
 
@@ -189,7 +191,13 @@ def bands_for(threshold: float, bits: int, wanted: float = 0.99) -> int:
     return max(1, math.ceil(math.log(1 - wanted) / math.log1p(-same))) if same < 1 else 1
 
 
-def similarity_join(vectors: DataFrame, threshold: float, bits: int = 0, wanted: float = 0.99, block: int = JOIN_BLOCK, seed: int = SEED) -> DataFrame:
+def _join_block(spark: SparkSession, n: int, dims: int) -> int:
+    """Vectors of a block where all pairs of blocks are held: JOIN_BYTES at most, and so few that there are some pairs for each core."""
+    least = math.ceil(math.sqrt(8 * spark.sparkContext.defaultParallelism))
+    return max(1, min(JOIN_BYTES // (8 * dims), max(JOIN_BLOCK, math.ceil(n / least))))
+
+
+def similarity_join(vectors: DataFrame, threshold: float, bits: int = 0, wanted: float = 0.99, block: int | None = None, seed: int = SEED) -> DataFrame:
     """Links of a table's vectors (doc_id long, vector): doc_id, class_id, n_links.
 
     n_links is the number of other rows with a cosine of ``threshold`` or more;
@@ -203,25 +211,27 @@ def similarity_join(vectors: DataFrame, threshold: float, bits: int = 0, wanted:
     pair of blocks are sums per row, and the edges of a forest of its links.
     """
     rows = kept(usable(vectors, "doc_id").groupBy("vector").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("weight")), "vectors")
-    dims = rows.agg(F.max(F.size("vector")).alias("d")).first()["d"]
+    dims, n = rows.agg(F.max(F.size("vector")), F.count(F.lit(1))).first()
     alone = vectors.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     if dims is None:
         return alone
     if bits:
         index = BandIndex.build(rows, dims, bands_for(threshold, bits, wanted), bits, seed)
         coded = kept(index.rows.join(rows.select("doc_id", "weight"), "doc_id"), "coded")
-        blocks = pack(coded.select("doc_id", "vector", "weight", "codes", F.posexplode("codes").alias("band", "bucket")), ["band", "bucket"], "doc_id", "members", block)
+        blocks = pack(coded.select("doc_id", "vector", "weight", "codes", F.posexplode("codes").alias("band", "bucket")), ["band", "bucket"], "doc_id", "members", block or JOIN_BLOCK)
     else:
         none = F.array().cast("array<bigint>")
-        blocks = pack(rows.select("doc_id", "vector", "weight", none.alias("codes")), [], "doc_id", "members", block).withColumns({"band": F.lit(0), "bucket": F.lit(0).cast("long")})
+        blocks = pack(rows.select("doc_id", "vector", "weight", none.alias("codes")), [], "doc_id", "members", block or _join_block(rows.sparkSession, n, dims)).withColumns({"band": F.lit(0), "bucket": F.lit(0).cast("long")})
+    blocks = kept(blocks, "blocks")
     pairs = blocks.select("band", F.lit(True).alias("same"), F.col("members").alias("mine"), "members")
-    if not blocks.where("parts > 1").isEmpty():
-        blocks = kept(blocks, "blocks")
-        keys = ["band", "bucket", "part"]
-        many = blocks.where("parts > 1")
-        left = many.where(F.col("part") < F.col("parts") - 1).select("band", "bucket", F.col("members").alias("mine"), F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("part"))
-        pairs = blocks.select(*pairs.columns[:1], F.lit(True).alias("same"), F.col("members").alias("mine"), "members")
-        pairs = pairs.unionByName(left.join(many.select(*keys, "members"), keys).select("band", F.lit(False).alias("same"), "mine", "members"))
+    tiles = blocks.agg(F.sum(F.col("parts") - 1 - F.col("part")).alias("n")).first()["n"]
+    if tiles:  # of two blocks of one bucket: dealt by both, so that no task has all the pairs of a block
+        tasks, keys = min(tiles, 4096), ["band", "bucket", "part", "other"]
+        left = blocks.where("part < parts - 1").select("band", "bucket", "part", F.col("members").alias("mine"), F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("other"))
+        right = blocks.where("part > 0").select("band", "bucket", "members", F.col("part").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("part") - 1)).alias("part"))
+        both = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys)
+        pairs = blocks.repartition(tasks, *keys[:3]).select(*pairs.columns[:1], F.lit(True).alias("same"), F.col("members").alias("mine"), "members")
+        pairs = pairs.unionByName(both.select("band", F.lit(False).alias("same"), "mine", "members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -255,24 +265,39 @@ def _heads(hx: np.ndarray, hy: np.ndarray, i: np.ndarray, j: np.ndarray, same: b
 
 
 def _linked(band: int, same: bool, x: list, y: list, threshold: float) -> pa.RecordBatch:
-    """Each row's weight of links in a pair of blocks, and the least row of its component there; the links of a few hundred rows are held at once."""
+    """Each row's weight of links in a pair of blocks, and the least row of its component there.
+
+    Products of single precision leave out what is surely below the threshold; what they
+    can't decide is scored in double precision. CELLS cells are held at once.
+    """
     (xid, xw, xc, xv), (yid, yw, yc, yv) = x, y
     nx, ny = np.zeros(len(xid), np.int64), np.zeros(len(yid), np.int64)
     hx, hy = xid.astype(np.int64), yid.astype(np.int64)
-    for at in range(0, len(xid), 512):
-        s = slice(at, at + 512)
-        link = xv[s] @ yv.T >= threshold
-        if same:
-            link[np.arange(len(link)), np.arange(at, at + len(link))] = False
+    x32, y32 = xv.astype(np.float32), yv.astype(np.float32)
+    slack = (xv.shape[1] + 4) * 2.0**-23  # twice what a product of unit vectors can be off by
+    step, links, held = max(1, CELLS // max(1, len(yid))), [], 0
+    for at in range(0, len(xid), step):
+        first = at if same else 0  # a block against itself: its later rows alone
+        s = x32[at : at + step] @ y32[first:].T
+        cells = np.flatnonzero(s >= threshold - slack)
+        i, j = np.divmod(cells, s.shape[1])
+        near, i, j = s.ravel()[cells] < threshold + slack, i + at, j + first
+        keep = i < j if same else np.ones(len(i), bool)
         if xc.size:
             for c in range(band):  # the pair has counted in the first band in which it meets
-                link &= xc[s, c, None] != yc[None, :, c]
-        nx[s] += link @ yw
-        if not same:
-            ny += link.T @ xw[s]
-        i, j = np.nonzero(link)
+                keep &= xc[i, c] != yc[j, c]
+        near = np.flatnonzero(near & keep)
+        for k in range(0, len(near), 1 << 15):
+            some = near[k : k + (1 << 15)]
+            keep[some] = np.einsum("nd,nd->n", xv[i[some]], yv[j[some]]) >= threshold
+        i, j = i[keep], j[keep]
         if len(i):
-            hx, hy = _heads(hx, hy, i + at, j, same)
-    ids, n, head = (xid, nx, hx) if same else (np.r_[xid, yid], np.r_[nx, ny], np.r_[hx, hy])
+            nx += np.bincount(i, yw[j], len(nx)).astype(np.int64)
+            ny += np.bincount(j, xw[i], len(ny)).astype(np.int64)
+            links, held = [*links, (i, j)], held + len(i)
+        if links and (held >= CELLS or at + step >= len(xid)):
+            hx, hy = _heads(hx, hy, *(np.concatenate(c) for c in zip(*links, strict=True)), same)
+            links, held = [], 0
+    ids, n, head = (xid, nx + ny, hx) if same else (np.r_[xid, yid], np.r_[nx, ny], np.r_[hx, hy])
     hit = (n > 0) | (head < ids)
     return pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in (ids, n, head)], ["doc_id", "n_links", "head"])

@@ -112,3 +112,29 @@ def test_spread_join_keeps_rows(spark):
     other = spark.createDataFrame([(0, "a"), (1, "b"), (5, "c")], "k long, name string")
     got = join_spread(df, other, ["k"], F.col("id"), "left").groupBy("k", "name").count().collect()
     assert {tuple(r) for r in got} == {(0, "a", 1000), (1, "b", 1000), (2, None, 1000)}
+
+
+def test_banded_join_finds_pairs_that_are_barely_near(spark, tmp_path):
+    """Pairs little above and below the threshold, of which bands miss some, and copies that single precision would move: as in SQL."""
+    import duckdb
+
+    from tessaria import plans
+
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(60, 64))
+    rows = [(c * (1 + 1e-3 * k) + rng.normal(size=64) * 0.31).tolist() for k, c in enumerate(np.repeat(centres, 6, axis=0))]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>").withColumn("label", F.lit(0))
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(plans.ORACLES["g7_banded_join"]).fetchall()
+    got = plans.QUERIES["g7_banded_join"](spark, str(tmp_path)).select("doc_id", "class_id", "n_links").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(n for *_, n in want) > 2 * len(want)
+
+
+def test_links_that_single_precision_cannot_decide(spark):
+    """Cosines a billionth above and below the threshold, in one block and in several, and a chain that later rows of a block close."""
+    rows = [(k, [float(np.cos(a)), float(np.sin(a))]) for k, a in enumerate(np.r_[0, np.arccos(0.9 + np.array([1e-9, -1e-9, 3e-8, -3e-8])), -np.arange(1, 40) * 0.07])]
+    df = spark.createDataFrame(rows, "doc_id long, vector array<double>").repartition(3)
+    for block in (None, 9):
+        assert {tuple(r) for r in vector_index.similarity_join(df, 0.9, block=block).collect()} == brute(rows, 0.9)
