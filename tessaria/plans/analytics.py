@@ -55,8 +55,8 @@ SELECT i.user_id, s AS session_start, count(*) AS errors, round(sum(value), 4) A
 def interval_join(spark, sf_dir):
     """How many errors of anyone fall into each user's sessions."""
     errors = events(spark, sf_dir, "error").select("ts", "value")
-    both = timejoin.interval_join(errors, streams.sessions(events(spark, sf_dir)), "ts", "session_start", "session_end")
-    return both.groupBy("user_id", "session_start").agg(F.count(F.lit(1)).alias("errors"), F.round(F.sum("value"), 4).alias("value"))
+    sums = timejoin.interval_sums(errors, streams.sessions(events(spark, sf_dir)), "ts", "session_start", "session_end", "value", ["user_id", "session_start"])
+    return sums.select("user_id", "session_start", F.col("n").alias("errors"), F.round("total", 4).alias("value"))
 
 
 @query("q_interval_join_by_key", """

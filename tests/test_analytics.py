@@ -102,6 +102,51 @@ def test_interval_join(spark, capfd):
     assert timejoin.interval_join(p, i.limit(0), "ts", "s", "e", ["k"]).count() == 0
 
 
+@pytest.mark.parametrize("odd", ["plain", "outlier", "not finite"])
+def test_interval_sums(spark, odd):
+    """Against plain Python: ends at the points' times, before and after all points, null and empty intervals, values of any size."""
+    r = random.Random(6)
+    time = lambda: BEGIN + dt.timedelta(seconds=r.choice([60, 1]) * r.randrange(4000))
+    values = {"plain": [0.1, 29.27, -3.0, 560.21], "outlier": [1e300, -1e300, 1e-300, 0.1, -2.5, 0.0, None], "not finite": [math.inf, -math.inf, math.nan, None, 1.5, 2.5]}[odd]
+    points = [(time(), r.choice(values if k % 40 == 0 else values[-3:])) for k in range(400)] + [(None, 1.0)]
+    spans = [(k, s, s + dt.timedelta(seconds=r.choice([-5, 0, 1, 60, 600, 10**7]))) for k, s in enumerate([time() for _ in range(150)] + [t for t, _ in points[:60]])]
+    spans += [(900, BEGIN - dt.timedelta(days=9), BEGIN + dt.timedelta(days=9)), (901, BEGIN - dt.timedelta(days=9), BEGIN - dt.timedelta(days=8)), (902, BEGIN + dt.timedelta(days=8), BEGIN + dt.timedelta(days=9)), (903, None, BEGIN), (904, BEGIN, None), (None, BEGIN, BEGIN + dt.timedelta(hours=1))]
+    want = {}
+    for n, s, e in spans:
+        if hit := [v for t, v in points if t and s and e and s <= t < e]:
+            there = [v for v in hit if v is not None]
+            up, down = math.inf in there, -math.inf in there
+            want[n] = (len(hit), None if not there else math.nan if any(map(math.isnan, there)) or up and down else math.inf if up else -math.inf if down else math.fsum(there))
+    p = spark.createDataFrame(points, "ts timestamp, v double").repartition(3)
+    i = spark.createDataFrame(spans, "n long, s timestamp, e timestamp").withColumnRenamed("n", "id")
+    got = {x["id"]: (x["n"], x["total"]) for x in timejoin.interval_sums(p, i, "ts", "s", "e", "v", ["id"]).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in want.items()} and 900 in got and not {901, 902} & set(got)
+    for k, (_, v) in want.items():
+        assert got[k][1] == v or (math.isnan(got[k][1]) and math.isnan(v) if v != v else got[k][1] == pytest.approx(v, rel=1e-12))
+    assert timejoin.interval_sums(p.limit(0), i, "ts", "s", "e", "v", ["id"]).count() == 0 and timejoin.interval_sums(p, i.limit(0), "ts", "s", "e", "v", ["id"]).count() == 0
+
+
+def test_errors_in_sessions_meet_no_session(spark, tmp_path, capfd):
+    """As in SQL where sessions begin long before the first error and end after the last, with null users and values; and no point is held against an interval."""
+    import duckdb
+
+    from tessaria import plans
+
+    r = random.Random(8)
+    rows = [(u, BEGIN + dt.timedelta(minutes=25 * k, microseconds=u or 0), "view", 1.0) for u in (1, 2, None) for k in range(12)]
+    rows += [(r.choice([3, 4, None]), BEGIN + dt.timedelta(seconds=7200 + r.randrange(5000)), "error", r.choice([0.1, 2.25, None, 560.21])) for _ in range(300)]
+    rows += [(1, None, "error", 5.0), (9, BEGIN + dt.timedelta(days=3), "view", 2.0)]
+    df = spark.createDataFrame([(k, t, u, kind, v) for k, (u, t, kind, v) in enumerate(rows)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(plans.ORACLES["q_interval_join"]).fetchall()
+    found = plans.QUERIES["q_interval_join"](spark, str(tmp_path)).select("user_id", "session_start", "errors", "value")
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want)) and len(want) > 3
+    found.explain()
+    assert "_bin" not in capfd.readouterr().out  # the bins in which points met the intervals, a row for each pair
+
+
 def test_totals_are_told_from_null_groups(spark):
     df = spark.createDataFrame([("x", None, 1), ("x", "u", 2), (None, "u", 4)], "a string, b string, v int")
     got = {(r["a"], r["b"], r["grouping_id"]): r["s"] for r in monitoring.cube(df, ["a", "b"], F.sum("v").alias("s")).collect()}
