@@ -24,8 +24,8 @@ from tessaria.operators.components import components, join_spread, kept
 
 #: Most vectors of a block, on average; of the blocks of a join, each pair of which gives at most a row per vector.
 BLOCK, JOIN_BLOCK = 2048, 8192
-#: Bytes of a block's vectors where a join holds all pairs: larger blocks are sent to fewer others. Cells of a product that are held at once.
-JOIN_BYTES, CELLS = 32 << 20, 1 << 22
+#: Bytes of a block's vectors where a join holds all pairs, two of which a task holds several times over: larger blocks are sent to fewer others. Cells of a product that are held at once.
+JOIN_BYTES, CELLS = 8 << 20, 1 << 22
 BANDS, BITS, PROBES, SEED = 8, 8, 8, 1
 
 
@@ -222,7 +222,8 @@ def similarity_join(vectors: DataFrame, threshold: float, bits: int = 0, wanted:
     else:
         none = F.array().cast("array<bigint>")
         blocks = pack(rows.select("doc_id", "vector", "weight", none.alias("codes")), [], "doc_id", "members", block or _join_block(rows.sparkSession, n, dims)).withColumns({"band": F.lit(0), "bucket": F.lit(0).cast("long")})
-    blocks = kept(blocks, "blocks")
+    files = 4 * math.ceil(n * (len(index.p) if bits else 1) * 8 * dims / JOIN_BYTES)  # of few blocks, as a reader's batch holds all blocks of a file
+    blocks = kept(blocks.repartition(files, "band", "bucket", "part"), "blocks")
     pairs = blocks.select("band", F.lit(True).alias("same"), F.col("members").alias("mine"), "members")
     tiles = blocks.agg(F.sum(F.col("parts") - 1 - F.col("part")).alias("n")).first()["n"]
     if tiles:  # of two blocks of one bucket: dealt by both, so that no task has all the pairs of a block
